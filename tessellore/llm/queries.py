@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash, mixing, packing, quality, secret_scan, suffix_dedup
+from . import audio, chat, license_scan, minhash, mixing, packing, quality, secret_scan, suffix_dedup, token_counts
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +17,14 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licences(table(spark, sf_dir, "documents"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -36,13 +45,26 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op9_audio_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings rendered from all vectors; every hundredth is searched among all."""
+    return audio.align(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", is_query=F.col("rec_id") % 100 == 0, vectors=True).withColumnRenamed("rec_id", "vec_id")
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_license_scan": op2_license_scan,
+    "op3_token_counts": op3_token_counts,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_near_dedup": op6_near_dedup,
     "op7_source_mixing": op7_source_mixing,
     "op8_quality_rules": op8_quality_rules,
+    "op9_audio_alignment": op9_audio_alignment,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_quality_rules": quality.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op8_quality_rules": quality.ORACLE, "op10_chat_formatting": chat.ORACLE}
