@@ -170,14 +170,14 @@ ALLOWED = "allowed AS (SELECT id FROM nodes WHERE status <> 'deprecated' AND NOT
 UNDIRECTED = "und AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)"
 
 
-@R.query(f"{CTE}, {ALLOWED}, {UNDIRECTED}, k AS (SELECT id, 0 AS hops FROM allowed WHERE id = 'papers/o3' UNION SELECT a.id, k.hops + 1 FROM k JOIN und ON und.src = k.id JOIN allowed a ON a.id = und.dst WHERE k.hops < 2) SELECT id, min(hops) AS hops FROM k GROUP BY id")
+@R.query(f"{CTE}, {ALLOWED}, {UNDIRECTED}, k AS (SELECT id, 0 AS hops FROM allowed WHERE id = '{HUB}' UNION SELECT a.id, k.hops + 1 FROM k JOIN und ON und.src = k.id JOIN allowed a ON a.id = und.dst WHERE k.hops < 2) SELECT id, min(hops) AS hops FROM k GROUP BY id")
 def khop_undirected(spark, sf):
-    return graph.neighborhood(*both(spark, sf), ["papers/o3"], 2)
+    return graph.neighborhood(*both(spark, sf), [HUB], 2)
 
 
-@R.query(f"{CTE}, {ALLOWED}, k AS (SELECT id, 0 AS hops FROM nodes WHERE id = 'claims/o3--1' UNION SELECT n.id, k.hops + 1 FROM k JOIN edges ON edges.src = k.id JOIN nodes n ON n.id = edges.dst WHERE k.hops < 2) SELECT id, any_value(type) AS type, min(hops) AS hops FROM k JOIN allowed USING (id) JOIN nodes USING (id) GROUP BY id")
+@R.query(f"{CTE}, {ALLOWED}, k AS (SELECT id, 0 AS hops FROM nodes WHERE id = 'datasets/supplier-000000001' UNION SELECT n.id, k.hops + 1 FROM k JOIN edges ON edges.src = k.id JOIN nodes n ON n.id = edges.dst WHERE k.hops < 2) SELECT id, any_value(type) AS type, min(hops) AS hops FROM k JOIN allowed USING (id) JOIN nodes USING (id) GROUP BY id")
 def walk_directed(spark, sf):
-    return graph.walk(*both(spark, sf), "claims/o3--1", 2)
+    return graph.walk(*both(spark, sf), "datasets/supplier-000000001", 2)
 
 
 CAP_CTE = f"""{CTE}, {ALLOWED}, {DEGREE}, g AS (SELECT id, type, paper, degree FROM nodes JOIN allowed USING (id) JOIN deg USING (id)),
@@ -198,10 +198,10 @@ def fair_claims(spark, sf):
     return graph.fair_claims(claims, 200)
 
 
-@R.query(f"{CTE}, {ALLOWED}, {UNDIRECTED}, k AS (SELECT 'papers/o3' AS id UNION SELECT a.id FROM und JOIN allowed a ON a.id = und.dst WHERE und.src = 'papers/o3') SELECT src, dst FROM edges WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)")
+@R.query(f"{CTE}, {ALLOWED}, {UNDIRECTED}, k AS (SELECT '{HUB}' AS id UNION SELECT a.id FROM und JOIN allowed a ON a.id = und.dst WHERE und.src = '{HUB}') SELECT src, dst FROM edges WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)")
 def graph_edges_induced(spark, sf):
     nodes, edges = both(spark, sf)
-    return graph.induced(edges, graph.neighborhood(nodes, edges, ["papers/o3"], 1)).select("src", "dst")
+    return graph.induced(edges, graph.neighborhood(nodes, edges, [HUB], 1)).select("src", "dst")
 
 
 @R.query(f"{CTE} SELECT count(*) FILTER (type = 'Claim' AND status <> 'deprecated') AS n_claims, count(*) FILTER (type = 'Claim' AND status <> 'deprecated') >= 40 AS hide FROM nodes")
@@ -210,11 +210,11 @@ def graph_hide_claims(spark, sf):
     return lens.nodes(spark, sf).agg(n.alias("n_claims"), (n >= 40).alias("hide"))
 
 
-ISSUES = f"""real AS (SELECT src AS at, dst AS id, 0 AS i FROM edges WHERE src <> dst UNION ALL SELECT dst, src, 1 FROM edges WHERE src <> dst),
-  seen AS (SELECT at, count(*) AS n, count(*) FILTER (o.type <> 'Claim') AS n_other, sum(i) AS n_in FROM real JOIN nodes o ON o.id = real.id GROUP BY at),
+ISSUES = f"""real AS (SELECT src AS node, dst AS id, 0 AS i FROM edges WHERE src <> dst UNION ALL SELECT dst, src, 1 FROM edges WHERE src <> dst),
+  seen AS (SELECT node, count(*) AS n, count(*) FILTER (o.type <> 'Claim') AS n_other, sum(i) AS n_in FROM real JOIN nodes o ON o.id = real.id GROUP BY node),
   found AS (SELECT CASE WHEN type = 'Paper' AND coalesce(n, 0) = 0 THEN 'isolated-paper' WHEN type = 'Paper' AND coalesce(n_other, 0) = 0 THEN 'claim-only-paper'
     WHEN type IN ({HUBS}) AND coalesce(n, 0) = 0 THEN 'isolated-concept' WHEN type IN ({HUBS}) AND coalesce(n_in, 0) = 0 THEN 'unreferenced-concept' END AS category, nodes.id
-    FROM nodes LEFT JOIN seen ON seen.at = nodes.id WHERE status <> 'deprecated'
+    FROM nodes LEFT JOIN seen ON seen.node = nodes.id WHERE status <> 'deprecated'
     UNION ALL SELECT 'dead-link', src || ' -> ' || dst FROM edges WHERE dst NOT IN (SELECT id FROM nodes))"""
 
 
@@ -359,10 +359,10 @@ def canonical_choice(spark, sf):
     return resolve.canonical(resolve.edit_pairs(hubs(spark, sf, ("Gene",))).select("a", "b"), links)
 
 
-@R.query(f"{CTE}, {PAIRS}, d AS (SELECT b AS x, a AS y FROM pairs WHERE a LIKE '%e%') SELECT p.a, p.b FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM d WHERE least(x, y) = p.a AND greatest(x, y) = p.b)")
+@R.query(f"{CTE}, {PAIRS}, d AS (SELECT b AS x, a AS y FROM pairs WHERE a LIKE '%r%') SELECT p.a, p.b FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM d WHERE least(x, y) = p.a AND greatest(x, y) = p.b)")
 def dismissed_pairs(spark, sf):
     pairs = resolve.edit_pairs(hubs(spark, sf, ("Gene",))).select("a", "b")
-    gone = pairs.filter(F.col("a").contains("e")).select(F.col("b").alias("a"), F.col("a").alias("b"))
+    gone = pairs.filter(F.col("a").contains("r")).select(F.col("b").alias("a"), F.col("a").alias("b"))
     return integrity.without_dismissed(pairs, gone)
 
 
