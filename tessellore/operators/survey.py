@@ -42,3 +42,36 @@ def prune_sessions(sessions: DataFrame, most: int = schema.CAPS["sessions"]) ->
     """Sessions (``workspace, id, updated, n_turns``) that stay: empty ones go first, then the oldest."""
     order = Window.partitionBy("workspace").orderBy((F.col("n_turns") == 0), F.col("updated").desc(), "id")
     return sessions.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most).drop("n")
+
+
+def manuscript(surveys: DataFrame, keys: DataFrame, style: str = "md") -> DataFrame:
+    """``id, text`` of surveys (``id, body``): links to papers become citations by key, links to other pages their labels.
+
+    Links are exploded, joined with the keys and put back in place, so no pattern is made
+    of the keys and no body is matched against all of them.
+    """
+    pattern = r"\[([^\]]*)\]\(/?([^)\s]+?)(?:\.md)?\)"
+    cite = {"md": lambda k: F.concat(F.lit("[@"), k, F.lit("]")), "tex": lambda k: F.concat(F.lit(r"\cite{"), k, F.lit("}"))}[style]
+    plain = text.escape_latex if style == "tex" else (lambda x: x)
+    parts = surveys.select(
+        "id",
+        F.split("body", r"\[[^\]]*\]\(/?[^)\s]+?(?:\.md)?\)", -1).alias("between"),
+        F.regexp_extract_all("body", F.lit(pattern), F.lit(1)).alias("labels"),
+        F.regexp_extract_all("body", F.lit(pattern), F.lit(2)).alias("targets"),
+    )
+    links = parts.select("id", F.posexplode(F.arrays_zip("labels", "targets")).alias("pos", "link")).select("id", "pos", F.col("link.labels").alias("label"), F.col("link.targets").alias("target"))
+    met = links.join(keys.select(F.col("id").alias("target"), "key"), "target", "left")
+    shown = met.select("id", F.struct("pos", F.when(F.col("key").isNotNull(), cite(F.col("key"))).otherwise(plain(F.col("label"))).alias("t")).alias("l"))
+    texts = shown.groupBy("id").agg(F.transform(F.array_sort(F.collect_list("l")), lambda x: x.t).alias("links"))
+    whole = parts.select("id", "between").join(texts, "id", "left").withColumn("links", F.coalesce("links", F.array().cast("array<string>")))
+    woven = F.array_join(F.transform("between", lambda b, i: F.concat(plain(b), F.coalesce(F.get("links", i), F.lit("")))), "")
+    return whole.select("id", woven.alias("text"))
+
+
+def coverage_block(papers: DataFrame, cited: DataFrame, years: DataFrame) -> DataFrame:
+    """One row: papers in scope (``paper, year``), cited ones, and the years (``year``) without a paper."""
+    one = papers.agg(F.count(F.lit(1)).alias("n_scope"), F.collect_set("year").alias("have"))
+    n = papers.join(cited.select("paper").distinct(), "paper", "left_semi").agg(F.count(F.lit(1)).alias("n_cited"))
+    axis = years.agg(F.collect_set("year").alias("axis"))  # at most a hundred years
+    row = one.withColumn("k", F.lit(1)).join(n.withColumn("k", F.lit(1)), "k").join(axis.withColumn("k", F.lit(1)), "k")
+    return row.select("n_scope", "n_cited", F.array_sort(F.array_except("axis", "have")).alias("missing_years"))
