@@ -7,8 +7,10 @@ lineage is a Parquet table in the folder that the cluster names in
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ WORD_GAP = "\\x20\\x09-\\x0D"
 BLANKS = " \t\n\x0b\f\r"
 #: Rows of a table that may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Bytes of a table with arrays that may be broadcast, and what a row counts without them.
+BROADCAST_BYTES, ROW_BYTES = 128 << 20, 80
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +51,26 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+#: What an Arrow batch holds at most, so that a worker's memory follows neither the number of rows nor the longest texts.
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bounds the Arrow batches of what runs inside; the session's own settings return afterwards."""
+    before = {k: spark.conf.get(k, None) for k in ARROW_BATCH}
+    for k, v in ARROW_BATCH.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 class Scratch:
     """Intermediate tables of one operator call, in the shared folder."""
 
@@ -62,7 +86,8 @@ class Scratch:
         writer = frame.write
         if max_file_rows:
             writer = writer.option("maxRecordsPerFile", max_file_rows)
-        writer.parquet(path)
+        with small_batches(self.spark):
+            writer.parquet(path)
         out = self.spark.read.schema(frame.schema).parquet(path)
         out._tl_path = path
         return out
@@ -75,13 +100,18 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
-def join_small(big: DataFrame, small: DataFrame, on: Column, how: str = "left", *, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a table that is broadcast only if it has at most ``limit`` rows.
+def join_small(big: DataFrame, small: DataFrame, on: Column, how: str = "left", *, rows: int | None = None, limit: int = BROADCAST_ROWS, array_bytes: Column | None = None) -> DataFrame:
+    """Join with a table that is broadcast only if it is shown to be small.
 
-    Beyond that it is an ordinary shuffled join, whose hot keys adaptive execution splits.
+    It may have ``limit`` rows or, with ``array_bytes`` (of a row), BROADCAST_BYTES by sum. Beyond that it is an ordinary shuffled join, whose hot keys adaptive
+    execution splits.
     """
-    n = small.count() if rows is None else rows
-    return big.join(F.broadcast(small) if n <= limit else small, on, how)
+    if array_bytes is not None:
+        n, more = small.agg(F.count(F.lit(1)), F.sum(array_bytes)).first()
+        fits = ROW_BYTES * n + (more or 0) <= BROADCAST_BYTES
+    else:
+        fits = (small.count() if rows is None else rows) <= limit
+    return big.join(F.broadcast(small) if fits else small, on, how)
 
 
 def word_count(text: Column) -> Column:
