@@ -133,16 +133,18 @@ def masked(texts: pd.Series) -> pd.Series:
 
 
 def mask(text: str | None) -> str | None:
-    """The text with each span, overlapping ones together, replaced by a marker."""
-    found = find_secrets(text)
-    if not found:
-        return text
-    parts, at = [], 0
-    for a, b, kind in found:
-        if a >= at:
-            parts += [text[at:a], f"[{kind.upper()}]"]
-        at = max(at, b)
-    return "".join([*parts, text[at:]])
+    """The text with each span, overlapping ones together, replaced by a marker.
+
+    What a marker's place lets appear (patterns that overlapped) is masked in turn.
+    """
+    while found := find_secrets(text):
+        parts, at = [], 0
+        for a, b, kind in found:
+            if a >= at:
+                parts += [text[at:a], f"[{kind.upper()}]"]
+            at = max(at, b)
+        text = "".join([*parts, text[at:]])
+    return text
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", into: str = "secrets") -> DataFrame:
