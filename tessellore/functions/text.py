@@ -31,6 +31,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def strip(text: Column) -> Column:
+    """Without the blanks of any kind around it."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def concept_id(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(path, r"\\", "/"), r"^/+", ""), r"(?i)\.md$", "")
 
@@ -67,7 +72,7 @@ def extract_links(body: Column, page: Column) -> Column:
 
 
 def slug(text: Column) -> Column:
-    kept = F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), r"\s+", "-"), r"[^\p{L}\p{N}-]", "")
+    kept = F.regexp_replace(F.regexp_replace(F.lower(strip(text)), r"\s+", "-"), r"[^\p{L}\p{N}-]", "")
     cut = F.substring(F.regexp_replace(F.regexp_replace(kept, "-+", "-"), "^-|-$", ""), 1, 80)
     return F.when(F.coalesce(cut, F.lit("")) == "", F.lit("untitled")).otherwise(cut)
 
@@ -77,7 +82,7 @@ def paper_slug(year: Column, title: Column) -> Column:
 
 
 def normalize_published(value: Column) -> Column:
-    v = F.trim(value)
+    v = strip(value)
     day = F.when(v.rlike(r"^\d{4}$"), F.concat(v, F.lit("-01-01"))).when(v.rlike(r"^\d{4}-\d{2}$"), F.concat(v, F.lit("-01"))).when(v.rlike(r"^\d{4}-\d{2}-\d{2}$"), v)
     return F.when(F.try_to_date(day, "yyyy-MM-dd").isNotNull(), day)
 
@@ -87,7 +92,7 @@ def published_year(value: Column) -> Column:
 
 
 def normalize_doi(value: Column) -> Column:
-    return F.nullif(F.lower(F.regexp_replace(F.trim(value), r"^(?i)(https?://(dx\.)?doi\.org/|doi:\s*)", "")), F.lit(""))
+    return F.nullif(F.lower(F.regexp_replace(strip(value), r"^(?i)(https?://(dx\.)?doi\.org/|doi:\s*)", "")), F.lit(""))
 
 
 def title_year_key(title: Column, published: Column) -> Column:
@@ -143,7 +148,7 @@ def fixed_passages(text: Column, size: int = 800) -> Column:
 
 
 def align_key(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), r"^(the|an|a)\s+", ""), r"[^\p{L}\p{N}]", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(strip(text)), r"^(the|an|a)\s+", ""), r"[^\p{L}\p{N}]", "")
 
 
 def stem_key(key: Column) -> Column:
@@ -157,7 +162,7 @@ def align_tokens(text: Column) -> Column:
 
 
 def parentheticals(text: Column) -> Column:
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"\(([^)]+)\)"), F.lit(1)), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"\(([^)]+)\)"), F.lit(1)), strip), lambda t: t != "")
 
 
 def tokens_equal(a: Column, b: Column) -> Column:
@@ -266,7 +271,7 @@ def session_title(text: Column, most: int = 36) -> Column:
 
 
 def strip_thinking(reply: Column) -> Column:
-    return F.trim(F.regexp_replace(reply, r"(?s)<think>.*?</think>", ""))
+    return strip(F.regexp_replace(reply, r"(?s)<think>.*?</think>", ""))
 
 
 def json_object(text: Column) -> Column:
@@ -289,7 +294,7 @@ def generated_block(body: Column, name: str) -> Column:
 
 
 def strip_generated(body: Column, name: str) -> Column:
-    return F.trim(F.regexp_replace(body, rf"(?s)<!-- {name}:begin -->.*?<!-- {name}:end -->", ""))
+    return strip(F.regexp_replace(body, rf"(?s)<!-- {name}:begin -->.*?<!-- {name}:end -->", ""))
 
 
 def fingerprint16(text: Column) -> Column:

@@ -58,7 +58,7 @@ def replies(spark, sf):
     return cases(spark, "<think>hm\nhm</think>\nanswer", "plain").select("i", text.strip_thinking(F.col("a")).alias("reply"))
 
 
-@R.query("SELECT * FROM (VALUES (0, 1.0), (1, 0.95), (2, 0.88), (3, 0.55), (4, 0.2)) AS t(i, score)")
+@R.query("SELECT i, score::DOUBLE AS score FROM (VALUES (0, 1.0), (1, 0.95), (2, 0.88), (3, 0.55), (4, 0.2)) AS t(i, score)")
 def biblio_scores(spark, sf):
     c = spark.createDataFrame([(0, True, 0.0, False), (1, False, 1.0, True), (2, False, 0.96, False), (3, False, 0.7, True), (4, False, 0.5, True)], "i int, d boolean, o double, y boolean")
     return c.select("i", F.round(text.biblio_score(F.col("d"), F.col("o"), F.col("y")), 6).alias("score"))
