@@ -29,14 +29,14 @@ VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 BYTE_PENALTY = 10.0
 #: Pre-tokens whose counts a task remembers from batch to batch.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 #: Distinct pre-tokens that go into one trie.
 TRIE_WORDS = 20_000
 
 
 @functools.lru_cache(maxsize=2)
-def pieces(folder: str | None, vocabulary: str = VOCABULARY) -> tuple[dict[str, float], int, float]:
-    """Score of each piece, the longest piece's length, and the score of a byte."""
+def pieces(folder: str | None, vocabulary: str = VOCABULARY) -> tuple[dict[str, float | None], float]:
+    """The score of each piece, None for what only begins one, and the score of a byte."""
     import os
 
     import public_tokenizers
@@ -47,7 +47,8 @@ def pieces(folder: str | None, vocabulary: str = VOCABULARY) -> tuple[dict[str,
     n = model.get_piece_size()
     norm = math.log(sum(1 / (r + 2.7) for r in range(n)))
     score = {model.id_to_piece(i): -math.log(i + 2.7) - norm for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
-    return score, max(map(len, score)), -math.log(n + 2.7) - norm - BYTE_PENALTY
+    begins: dict[str, float | None] = {p[:k]: None for p in score for k in range(1, len(p))}
+    return begins | score, -math.log(n + 2.7) - norm - BYTE_PENALTY
 
 
 class Trie:
@@ -62,32 +63,41 @@ class Trie:
             node = node.setdefault(c, {})
         node[0] = -1
 
-    def count(self, score: dict[str, float], longest: int, byte: float) -> dict[str, int]:
-        """Tokens of each pre-token. Forward scores live on a stack along the current prefix, once for each node."""
+    def count(self, table: dict[str, float | None], byte: float) -> dict[str, int]:
+        """Tokens of each pre-token.
+
+        The walk carries the forward scores of the current prefix, computed once for each
+        node, and the places where a piece that is still open began.
+        """
         out: dict[str, int] = {}
-        path: list[str] = []
-        best, tokens = [0.0], [0]
-        stack: list[tuple[dict, int, str]] = [(n, 1, c) for c, n in self.root.items() if c != 0]
+        none, get = 1.0, table.get  # scores are negative
         if 0 in self.root:
             out[""] = 0
+        best, tokens = [0.0], [0]
+        stack: list[tuple[dict, str, list[int]]] = [(n, c, [0]) for c, n in self.root.items() if c != 0]
         while stack:
-            node, depth, char = stack.pop()
-            del path[depth - 1 :], best[depth:], tokens[depth:]
-            path.append(char)
-            prefix = "".join(path[-longest:])
-            size = len(char.encode("utf-8", "surrogatepass"))
-            top, count = best[depth - 1] + size * byte, tokens[depth - 1] + size
-            for n in range(1, len(prefix) + 1):
-                s = score.get(prefix[-n:])
-                if s is not None and best[depth - n] + s >= top:
-                    top, count = best[depth - n] + s, tokens[depth - n] + 1
+            node, prefix, begun = stack.pop()
+            depth = len(prefix)
+            del best[depth:], tokens[depth:]
+            size = len(prefix[-1].encode("utf-8", "surrogatepass"))
+            top, count, still = best[-1] + size * byte, tokens[-1] + size, []
+            for b in reversed(begun):
+                s = get(prefix[b:], none)
+                if s is None:
+                    still.append(b)
+                elif s < 0:
+                    still.append(b)
+                    if best[b] + s >= top:
+                        top, count = best[b] + s, tokens[b] + 1
+            still.reverse()
+            still.append(depth)
             best.append(top)
             tokens.append(count)
             for c, below in node.items():
                 if c == 0:
-                    node[0] = out["".join(path)] = count
+                    node[0] = out[prefix] = count
                 else:
-                    stack.append((below, depth + 1, c))
+                    stack.append((below, prefix + c, still))
         return out
 
 
@@ -103,7 +113,7 @@ def count_tokens(docs: DataFrame, folder: str | None = None, vocabulary: str = V
     """For each document (``doc_id``, ``text``) its pre-tokens, distinct pre-tokens and tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score, longest, byte = pieces(folder, vocabulary)
+        table, byte = pieces(folder, vocabulary)
         known: dict[str, int] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -111,12 +121,12 @@ def count_tokens(docs: DataFrame, folder: str | None = None, vocabulary: str = V
                 words = [pretokens(t.as_py() or "") for t in part.column(1)]
                 if len(known) > REMEMBERED:
                     known.clear()
-                fresh = list({w for x in words for w in x} - known.keys())
+                fresh = [w for w in {w for x in words for w in x} if w not in known]
                 for k in range(0, len(fresh), TRIE_WORDS):
                     trie = Trie()
                     for w in fresh[k : k + TRIE_WORDS]:
                         trie.insert(w)
-                    known.update(trie.count(score, longest, byte))
+                    known.update(trie.count(table, byte))
                 columns = ([len(x) for x in words], [len(set(x)) for x in words], [sum(map(known.__getitem__, x)) for x in words])
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "n_pretokens", "n_distinct", "n_tokens"])
 
