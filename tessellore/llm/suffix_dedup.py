@@ -154,7 +154,7 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield rows
 
 
-def repeated_anchors(packed: DataFrame) -> DataFrame:
+def repeated_anchors(packed: DataFrame, buckets: int) -> DataFrame:
     """``did, place`` of the anchors that occur more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +174,7 @@ def repeated_anchors(packed: DataFrame) -> DataFrame:
             places = np.concatenate([places[hit], np.frombuffer(b"".join(r[3] for r in known), dtype=np.int32)])
             yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(places)], names=["did", "place"])
 
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "did bigint, place int")
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "did bigint, place int")
 
 
 CONTEXTS = "bucket int, spans boolean, hashes binary, docs binary, starts binary, lengths binary, bytes binary"
@@ -315,7 +315,7 @@ def merge_spans(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     return docs[at], starts[at], np.maximum.reduceat(reach, at)
 
 
-def repeated_spans(packed: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated_spans(packed: DataFrame, buckets: int, length: int = LENGTH) -> DataFrame:
     """``did, start, end`` of runs of bytes that packed contexts show to be repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,7 +372,7 @@ def repeated_spans(packed: DataFrame, length: int = LENGTH) -> DataFrame:
             d, s, e = merge_spans(*(np.concatenate([x[i] for x in spans]) for i in range(3)))
             yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(e)], names=["did", "start", "end"])
 
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "did bigint, start bigint, end bigint")
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "did bigint, start bigint, end bigint")
 
 
 CUT = T.StructType([T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())])
@@ -432,15 +432,16 @@ def repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
         first = scratch.keep(first.join(numbered, F.col("first_id").eqNullSafe(F.col("n_id")) & (F.col("sha") == F.col("n_sha"))).select("sha", "first_id", "n", "did"))
     work = join_small(work.filter(F.octet_length("raw") >= LENGTH), copies, (F.col("sha") == F.col("c_sha")) & F.col("doc_id").eqNullSafe(F.col("c_id")), "left_anti", limit=JOIN_ROWS)
     work = work.select("did", "raw").dropDuplicates(["did"]) if equal_rows else work.select("did", "raw")
-    hits = repeated_anchors(find_anchors(work, buckets)).groupBy("did").agg(F.collect_list("place").alias("places"))
+    hits = repeated_anchors(find_anchors(work, buckets), buckets).groupBy("did").agg(F.collect_list("place").alias("places"))
     hits = scratch.keep(hits)
-    met = join_small(work, hits.withColumnRenamed("did", "h_did"), F.col("did") == F.col("h_did"), "inner", limit=JOIN_ROWS).select("did", "raw", "places")
-    spans = repeated_spans(contexts(met, buckets)).groupBy("did").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    met = join_small(work, hits.withColumnRenamed("did", "h_did"), F.col("did") == F.col("h_did"), "inner", array_bytes=4 * F.size("places")).select("did", "raw", "places")
+    spans = repeated_spans(contexts(met, buckets), buckets).groupBy("did").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     spans = scratch.keep(spans)
-    hurt = join_small(work, spans.withColumnRenamed("did", "s_did"), F.col("did") == F.col("s_did"), "inner", limit=JOIN_ROWS).select("did", "raw", "starts", "ends")
+    hurt = join_small(work, spans.withColumnRenamed("did", "s_did"), F.col("did") == F.col("s_did"), "inner", array_bytes=16 * F.size("starts")).select("did", "raw", "starts", "ends")
     changed = scratch.keep(hurt.mapInArrow(_cut(keep_bytes), "did bigint, n_removed bigint, n_spans bigint, kept_sha256 string, rest binary").dropDuplicates(["did"]))
     known = first.withColumn("did", F.col("first_id")) if stats.ids == stats.n else first
     known = scratch.keep(known.join(changed, "did", "left").select("sha", "first_id", "n_removed", "n_spans", "kept_sha256", *["rest"] * keep_bytes))
+    scratch.drop(hits, spans, changed)
     all_rows = slim.join(known, "sha", "left")
     copy = F.col("n_bytes") >= LENGTH
     copy = copy & ~F.col("doc_id").eqNullSafe(F.col("first_id"))
