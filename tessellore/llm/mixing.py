@@ -3,7 +3,8 @@
 Sources share the corpus by weight; what a source can't supply in its allowed epochs is
 reshared among the others. A source takes its documents whole for each complete epoch of
 its target and, for what remains, in the order of exponential keys -ln(u) / quality, u a
-hash of the document: heavier documents come sooner, reruns agree.
+hash of the document: heavier documents come sooner, reruns agree. What the last whole
+document of that order leaves open is closed by one more, the one that ends nearest.
 
 No source is ever sorted in one task. Keys fall into BINS bins; the sums of a source's
 bins (a small table, pre-aggregated before the shuffle) say in which bin the budget ends,
@@ -78,7 +79,8 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", identity
     sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{source}`").alias("source"), F.col(f"`{identity}`").alias("id"), word_count(F.col(f"`{text}`")).alias("size"), F.col(f"`{text}`").alias("text"))
     weight = default_quality(F.col("text"), F.col("size")) if quality is None else quality
     keyed = sized.select("row", "source", "id", "size", sampling_key([F.col("id"), F.col("size")], weight).alias("key"))
-    keyed = scratch.keep(keyed.withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * BINS).cast("int")))
+    keyed = keyed.withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * BINS).cast("int"))
+    keyed = scratch.keep(keyed.withColumn("uid", F.monotonically_increasing_id()))
     bins = keyed.groupBy("source", "bin").agg(F.sum("size").alias("in_bin"))
     bins = scratch.keep(bins)
     goal = scratch.keep(targets(bins.groupBy("source").agg(F.sum("in_bin").alias("source_size")), weights, epochs))
@@ -95,15 +97,18 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", identity
     joined = join_small(keyed, plan, F.col("source").eqNullSafe(F.col("of")), "left", rows=n_sources).drop("of")
     end = F.coalesce(F.col("end_bin"), F.lit(BINS))
     outside = joined.filter(F.col("bin") != end).withColumn("part", F.col("bin") < end)
-    order = Window.partitionBy("source").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    through = F.col("before") + F.sum("size").over(order)
-    inside = joined.filter(F.col("bin") == end).withColumn("through", through)
-    # the document that crosses the budget is taken if that ends nearer to it
-    nearer = (F.col("through") - F.col("budget")) < (F.col("budget") - (F.col("through") - F.col("size")))
-    inside = inside.withColumn("part", (F.col("through") <= F.col("budget")) | ((F.col("through") - F.col("size") < F.col("budget")) & nearer)).drop("through")
+    order = Window.partitionBy("source").orderBy("key", "id", "size", "uid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = joined.filter(F.col("bin") == end).withColumn("part", F.col("before") + F.sum("size").over(order) <= F.col("budget"))
     every = outside.unionByName(inside)
-    partial = F.col("part") & (F.col("budget") > 0) & (F.col("whole") < epochs)
-    return every.withColumn("copies", F.col("whole") + partial.cast("int")).select("row", "size", "source_size", "target", "copies")
+    # what the prefix leaves open is closed by the one document whose size comes nearest, if that ends nearer at all
+    gaps = every.groupBy("source").agg(F.max("budget") - F.sum(F.when(F.col("part"), F.col("size")).otherwise(0))).toDF("gap_of", "gap")
+    gaps = scratch.keep(gaps.filter("gap > 0"))
+    rest = join_small(every.filter(~F.col("part") & (F.col("size") > 0)).select("source", "size", "key", "id", "uid"), gaps, F.col("source").eqNullSafe(F.col("gap_of")), "inner", rows=n_sources)
+    off = F.abs(F.col("gap") - F.col("size"))
+    last = scratch.keep(rest.filter(off < F.col("gap")).groupBy("gap_of").agg(F.min(F.struct(off.alias("off"), "key", "id", "size", "uid")).alias("m")).select(F.col("m.uid").alias("last_uid")))
+    chosen = join_small(every, last, F.col("uid") == F.col("last_uid"), "left", rows=n_sources)
+    partial = (F.col("part") | F.col("last_uid").isNotNull()) & (F.col("budget") > 0) & (F.col("whole") < epochs)
+    return chosen.withColumn("copies", F.col("whole") + partial.cast("int")).select("row", "size", "source_size", "target", "copies")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
