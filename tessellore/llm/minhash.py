@@ -37,7 +37,7 @@ CELL = 512
 PIVOTS = 32
 MISS = 1e-6
 BATCH = 24
-WORD_CACHE = 400_000
+WORD_CACHE = 100_000
 CANDIDATE_ROWS = 400_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -206,7 +206,7 @@ def link(cells: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     places = "array<struct<cell:bigint,late:boolean>>"
     wanted = cells.select(F.col("rep"), "h1", "h2", "node", "known", F.col("at").cast(places))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
-    found = join_small(texts, wanted, F.col("id").eqNullSafe(F.col("rep")), "inner", limit=CANDIDATE_ROWS).select("text", "h1", "h2", "node", "known", "at")
+    found = join_small(texts, wanted, F.col("id").eqNullSafe(F.col("rep")), "inner", array_bytes=40 * F.size("at")).select("text", "h1", "h2", "node", "known", "at")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -275,6 +275,7 @@ def near_classes(docs: DataFrame, rule: Rule) -> DataFrame:
     base = nodes.select("node", "rep", "h1", "h2")
     cells = scratch.keep(at.join(base, "node").withColumn("known", F.col("node")))
     edges = scratch.keep(link(cells, docs, rule))
+    made = [nodes, members, cells, edges]  # what only the steps up to the names read
     roots = components(edges)
     large = members.filter(F.col("n") > CELL)
     if not large.isEmpty():
@@ -292,12 +293,14 @@ def near_classes(docs: DataFrame, rule: Rule) -> DataFrame:
         rest = rest.withColumn("to", F.when(F.col("late"), F.array_union(own, met)).otherwise(own)).select("node", "root", "key", "late", F.explode("to").alias("to"))
         at = rest.groupBy("node").agg(F.min("root").alias("known"), F.collect_list(F.struct(F.xxhash64("key", "to").alias("cell"), "late")).alias("at"))
         cells = scratch.keep(at.join(base, "node"))
+        made += [labelled, cells]
         if not cells.isEmpty():
             more = scratch.keep(link(cells, docs, rule))
             roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
     roots = scratch.keep(roots)
     ids = roots.join(base, "node").groupBy("root").agg(F.min("rep").alias("component_id"))
     named = scratch.keep(base.join(roots.join(ids, "root"), "node", "left").select("h1", "h2", F.coalesce("component_id", "rep").alias("component_id")))
+    scratch.drop(*made)
     joined = full.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id", "h1", "h2")
     empty = sketched.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "h1", "h2")
     return joined.unionByName(empty)
