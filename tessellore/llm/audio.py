@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_small
+from .common import Scratch, join_small, tidy
 
 RATE, HOP, FRAME = 4096, 256, 512
 LOWEST, HIGHEST = 440.0, 2000.0
@@ -126,7 +126,7 @@ def fingerprints(recordings: DataFrame, identity: str, media: str, *, vectors: b
                 out.append(fingerprint(render(got) if vectors else np.array([x or 0.0 for x in got], dtype=float)).view(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out, pa.list_(pa.int32()))], names=["rec_id", "fp"])
 
-    return recordings.select(F.col(f"`{identity}`").cast("bigint"), F.col(f"`{media}`").cast("array<double>")).mapInArrow(run, "rec_id bigint, fp array<int>")
+    return recordings.select(F.col(f"`{identity}`").cast("bigint"), F.col(f"`{media}`").cast("array<double>")).mapInArrow(tidy(run), "rec_id bigint, fp array<int>")
 
 
 def _errors(q: Column, r: Column, offset: Column) -> Column:

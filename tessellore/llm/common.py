@@ -8,10 +8,14 @@ lineage is a Parquet table in the folder that the cluster names in
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +75,27 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
+def release() -> None:
+    """Gives the memory that a Python worker no longer uses back to the system, as workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not this C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A batch function that releases its worker's memory at its end."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 class Scratch:
     """Intermediate tables of one operator call, in the shared folder."""
 

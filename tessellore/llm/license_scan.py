@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Normalised licence sentences (patterns after normalisation) and their identifiers.
 SENTENCES: tuple[tuple[str, str], ...] = (
     ("mit-name", r"(?:this (?:work|software|file|project|text) is )?(?:released|licensed|distributed|available) under (?:the )?(?:terms of the )?mit licen[cs]e"),
@@ -155,4 +157,4 @@ def scan_licences(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "licences", "n_licences", "spans"],
             )
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, SCAN)
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(tidy(run), SCAN)

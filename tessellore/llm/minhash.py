@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_small
+from .common import Scratch, join_small, tidy
 from .components import components
 
 CELL = 512
@@ -140,7 +140,7 @@ def sketch(docs: DataFrame, rule: Rule) -> DataFrame:
                 offsets = pa.array(np.arange(0, (len(keys) + 1) * rule.bands, rule.bands, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *(pa.array(c, type=pa.int64()) for c in (sizes, ones, twos)), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "n_shingles", "h1", "h2", "bands"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, SKETCH)
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(tidy(run), SKETCH)
 
 
 class Forest:
@@ -248,8 +248,8 @@ def link(cells: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
             yield packed(out)
         yield packed(solve(rows))
 
-    dealt = found.mapInArrow(spread, "cell bigint, node bigint, known bigint, late boolean, bits binary, sig binary")
-    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(search, "u bigint, v bigint")
+    dealt = found.mapInArrow(tidy(spread), "cell bigint, node bigint, known bigint, late boolean, bits binary, sig binary")
+    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(search), "u bigint, v bigint")
 
 
 def near_classes(docs: DataFrame, rule: Rule) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, release, tidy
 
 CAPACITY = 1024
 END_TOKEN = 2
@@ -99,7 +99,7 @@ def tokenize(docs: DataFrame, capacity: int = CAPACITY, folder: str | None = Non
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(pieces, PIECES)
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(tidy(pieces), PIECES)
 
 
 class Bins:
@@ -200,6 +200,7 @@ def island(capacity: int, last: bool, turn: int):
             for i in sorted(members):
                 where[i], offset[i], done[i] = name, used, final
                 used += sizes[i]
+        release()
         return items.drop(columns="island").assign(sequence_id=where, offset=offset, final=done)
 
     return run

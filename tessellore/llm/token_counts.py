@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 BYTE_PENALTY = 10.0
@@ -130,4 +132,4 @@ def count_tokens(docs: DataFrame, folder: str | None = None, vocabulary: str = V
                 columns = ([len(x) for x in words], [len(set(x)) for x in words], [sum(map(known.__getitem__, x)) for x in words])
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "n_pretokens", "n_distinct", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, COUNTS)
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(tidy(run), COUNTS)
