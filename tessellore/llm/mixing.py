@@ -4,7 +4,8 @@ Sources share the corpus by weight; what a source can't supply in its allowed ep
 reshared among the others. A source takes its documents whole for each complete epoch of
 its target and, for what remains, in the order of exponential keys -ln(u) / quality, u a
 hash of the document: heavier documents come sooner, reruns agree. What the last whole
-document of that order leaves open is closed by one more, the one that ends nearest.
+document of that order leaves open is closed by up to FILLERS more: the largest that fit
+and, at last, the one that ends nearest.
 
 No source is ever sorted in one task. Keys fall into BINS bins; the sums of a source's
 bins (a small table, pre-aggregated before the shuffle) say in which bin the budget ends,
@@ -28,6 +29,8 @@ from .common import Scratch, join_small, word_count
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 BINS = 4096
+#: Documents that may close what the prefix of a source leaves open.
+FILLERS = 4
 SEED = 20_240_601
 
 
@@ -100,13 +103,23 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", identity
     order = Window.partitionBy("source").orderBy("key", "id", "size", "uid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = joined.filter(F.col("bin") == end).withColumn("part", F.col("before") + F.sum("size").over(order) <= F.col("budget"))
     every = outside.unionByName(inside)
-    # what the prefix leaves open is closed by the one document whose size comes nearest, if that ends nearer at all
-    gaps = every.groupBy("source").agg(F.max("budget") - F.sum(F.when(F.col("part"), F.col("size")).otherwise(0))).toDF("gap_of", "gap")
-    gaps = scratch.keep(gaps.filter("gap > 0"))
-    rest = join_small(every.filter(~F.col("part") & (F.col("size") > 0)).select("source", "size", "key", "id", "uid"), gaps, F.col("source").eqNullSafe(F.col("gap_of")), "inner", rows=n_sources)
+    # what the prefix leaves open is closed by the largest documents that fit, at last by the one that ends nearest
+    slim = scratch.keep(every.select("source", "size", "key", "id", "uid", "part", "budget"))
+    gaps = slim.groupBy("source").agg(F.max("budget") - F.sum(F.when(F.col("part"), F.col("size")).otherwise(0))).toDF("gap_of", "gap")
+    gaps, last = scratch.keep(gaps.filter("gap > 0")), None
+    rest = slim.filter(~F.col("part") & (F.col("size") > 0))
     off = F.abs(F.col("gap") - F.col("size"))
-    last = scratch.keep(rest.filter(off < F.col("gap")).groupBy("gap_of").agg(F.min(F.struct(off.alias("off"), "key", "id", "size", "uid")).alias("m")).select(F.col("m.uid").alias("last_uid")))
-    chosen = join_small(every, last, F.col("uid") == F.col("last_uid"), "left", rows=n_sources)
+    for turn in range(FILLERS):
+        free = rest if last is None else join_small(rest, last, F.col("uid") == F.col("last_uid"), "left_anti", rows=FILLERS * n_sources)
+        met = join_small(free, gaps, F.col("source").eqNullSafe(F.col("gap_of")), "inner", rows=n_sources)
+        fits = met.filter(F.col("size") <= F.col("gap") if turn < FILLERS - 1 else off < F.col("gap"))
+        best = fits.groupBy(F.col("source").alias("of")).agg(F.min(F.struct(off.alias("off"), "key", "id", "size", "uid")).alias("m"))
+        found = join_small(gaps, best, F.col("gap_of").eqNullSafe(F.col("of")), "left", rows=n_sources)
+        found = scratch.keep(found.select("gap_of", (F.col("gap") - F.coalesce("m.size", F.lit(0))).alias("gap"), F.col("m.uid").alias("last_uid")))
+        picked = found.filter("last_uid is not null").select("last_uid")
+        last = picked if last is None else last.unionByName(picked)
+        gaps = found.filter("gap > 0").select("gap_of", "gap")
+    chosen = join_small(every, last, F.col("uid") == F.col("last_uid"), "left", rows=FILLERS * n_sources)
     partial = (F.col("part") | F.col("last_uid").isNotNull()) & (F.col("budget") > 0) & (F.col("whole") < epochs)
     return chosen.withColumn("copies", F.col("whole") + partial.cast("int")).select("row", "size", "source_size", "target", "copies")
 
