@@ -15,7 +15,9 @@ a smaller id, or before in the same one. The steps, all over whole texts:
 5. The repeats of a document are merged, and its remaining bytes are digested.
 
 Before anything is shuffled, equal anchors and contexts of a batch are combined, so that a
-passage that a third of all documents share arrives once for each batch.
+passage that a third of all documents share arrives once for each batch. Where its anchors
+still come from very many batches, each string around them is keyed by itself, so its
+occurrences with other surroundings spread over all tasks.
 
 Edge cases: a null or empty text has no bytes; texts of any length are cut nowhere; rows
 that repeat an id are ordered by id, then digest, and equal rows are one document; a null
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, join_small
+from .common import Scratch, join_small, tidy
 from .minhash import mixed_bits
 
 LENGTH, GRAM = 100, 32
@@ -44,6 +46,8 @@ BUCKET_BYTES = 8 << 20
 #: Bytes of the texts of one suffix array, if no single anchor has more.
 ARRAY_BYTES = 1 << 20
 JOIN_ROWS = 400_000
+#: Batches that may share an anchor before its strings are dealt one by one.
+HOT = 20_000
 _P = 0x9E3779B97F4A7C15
 
 
@@ -131,12 +135,12 @@ def find_anchors(texts: DataFrame, buckets: int) -> DataFrame:
                 kept = kept[np.argsort(bucket[kept], kind="stable")]
                 cuts = np.flatnonzero(np.diff(bucket[kept])) + 1
                 for part in np.split(kept, cuts) if len(kept) else []:
-                    rows.append((int(bucket[part[0]]), again, b"" if again else hashes[part].tobytes(), doc[part].tobytes(), place[part].tobytes()))
+                    rows.append((int(bucket[part[0]]), again, hashes[part].tobytes(), doc[part].tobytes(), place[part].tobytes()))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=["bucket", "again", "hashes", "docs", "places"])
 
-    return texts.mapInArrow(run, ANCHORS)
+    return texts.mapInArrow(tidy(run), ANCHORS)
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -155,7 +159,8 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 
 
 def repeated_anchors(packed: DataFrame, buckets: int) -> DataFrame:
-    """``did, place`` of the anchors that occur more than once."""
+    """``did, place`` of the anchors that occur more than once; -1 - place of those that over HOT batches have."""
+    most = HOT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_bucket(batches):
@@ -170,11 +175,14 @@ def repeated_anchors(packed: DataFrame, buckets: int) -> DataFrame:
             same[1:] |= equal
             same[:-1] |= equal
             hit = by[same]
+            each, n = np.unique(hashes[hit], return_counts=True)
+            hashes = np.concatenate([hashes[hit], np.frombuffer(b"".join(r[1] for r in known), dtype=np.uint64)])
             docs = np.concatenate([docs[hit], np.frombuffer(b"".join(r[2] for r in known), dtype=np.int64)])
             places = np.concatenate([places[hit], np.frombuffer(b"".join(r[3] for r in known), dtype=np.int32)])
+            places = np.where(np.isin(hashes, each[n > most]), -1 - places, places).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(places)], names=["did", "place"])
 
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "did bigint, place int")
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), "did bigint, place int")
 
 
 CONTEXTS = "bucket int, spans boolean, hashes binary, docs binary, starts binary, lengths binary, bytes binary"
@@ -191,18 +199,26 @@ def contexts(texts: DataFrame, buckets: int, length: int = LENGTH) -> DataFrame:
                 end = int(ends[k])
                 begun = int(ends[k - 1]) if k else 0
                 did = int(ids[k])
-                for place in sorted(set(more[k][0])):
+                places = set(more[k][0])
+                spread = {x for x in places if x < 0}
+                around: list[tuple[int, int, int]] = []  # (start, end, 0 or the anchor's place in it)
+                for place in places - spread:
                     p = begun + place
                     a, b = max(begun, p - (length - GRAM)), min(end, p + length)
-                    if b - a < length:
-                        continue
+                    if b - a >= length:
+                        around.append((a, b, p))
+                # what very many batches share is keyed by each whole string, so that no task gets all of it
+                single = {a for x in spread for a in range(max(begun, begun - 1 - x - (length - GRAM)), min(end - length, begun - 1 - x) + 1)}
+                around += [(a, a + length, -1) for a in single]
+                for a, b, p in sorted(around):
                     key = raw[a:b]
-                    if key in first:
+                    tag = (key, p < 0)
+                    if tag in first:
                         repeats.append((did, a - begun, b - a))
                     else:
-                        first[key] = (xxhash.xxh3_64_intdigest(raw[p : p + GRAM]), did, a - begun)
+                        first[tag] = (xxhash.xxh3_64_intdigest(key if p < 0 else raw[p : p + GRAM]), did, a - begun)
             groups: dict[int, list] = {}
-            for key, (h, did, start) in first.items():
+            for (key, _), (h, did, start) in first.items():
                 groups.setdefault(h % buckets, []).append((h, did, start, key))
             rows: list[tuple] = []
             for bucket, found in groups.items():
@@ -215,7 +231,7 @@ def contexts(texts: DataFrame, buckets: int, length: int = LENGTH) -> DataFrame:
             kinds = (pa.int32(), pa.bool_(), *[pa.binary()] * 5)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=["bucket", "spans", "hashes", "docs", "starts", "lengths", "bytes"])
 
-    return texts.mapInArrow(run, CONTEXTS)
+    return texts.mapInArrow(tidy(run), CONTEXTS)
 
 
 def suffix_order(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
@@ -372,7 +388,7 @@ def repeated_spans(packed: DataFrame, buckets: int, length: int = LENGTH) -> Dat
             d, s, e = merge_spans(*(np.concatenate([x[i] for x in spans]) for i in range(3)))
             yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(e)], names=["did", "start", "end"])
 
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "did bigint, start bigint, end bigint")
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), "did bigint, start bigint, end bigint")
 
 
 CUT = T.StructType([T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())])
@@ -438,7 +454,7 @@ def repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     spans = repeated_spans(contexts(met, buckets), buckets).groupBy("did").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     spans = scratch.keep(spans)
     hurt = join_small(work, spans.withColumnRenamed("did", "s_did"), F.col("did") == F.col("s_did"), "inner", array_bytes=16 * F.size("starts")).select("did", "raw", "starts", "ends")
-    changed = scratch.keep(hurt.mapInArrow(_cut(keep_bytes), "did bigint, n_removed bigint, n_spans bigint, kept_sha256 string, rest binary").dropDuplicates(["did"]))
+    changed = scratch.keep(hurt.mapInArrow(tidy(_cut(keep_bytes)), "did bigint, n_removed bigint, n_spans bigint, kept_sha256 string, rest binary").dropDuplicates(["did"]))
     known = first.withColumn("did", F.col("first_id")) if stats.ids == stats.n else first
     known = scratch.keep(known.join(changed, "did", "left").select("sha", "first_id", "n_removed", "n_spans", "kept_sha256", *["rest"] * keep_bytes))
     scratch.drop(hits, spans, changed)

@@ -136,6 +136,17 @@ def test_repeats_with_small_batches_and_many_buckets(spark, monkeypatch):
     assert got == brute_repeats(list(enumerate(texts)))
 
 
+def test_repeats_when_every_shared_anchor_is_hot(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 2)
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 3000)
+    texts = corpus(13, 40)
+    docs = frame(spark, texts)
+    marked = suffix_dedup.repeated_anchors(suffix_dedup.find_anchors(docs.filter("length(text) >= 100").selectExpr("doc_id as did", "cast(text as binary) as raw"), 48), 48)
+    assert 0 < marked.filter("place < 0").count() < marked.count()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeat_report(docs).collect()}
+    assert got == brute_repeats(list(enumerate(texts)))
+
+
 def test_suffix_order_is_the_order_of_suffixes():
     rng = random.Random(1)
     for _ in range(60):
