@@ -18,10 +18,13 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
+
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("secret", T.StringType())]))
 BASE_KINDS = ("assign", "access", "hex")
 #: All kinds in the order that breaks ties between spans with one start.
@@ -127,11 +130,6 @@ def secret_spans(texts: pd.Series) -> pd.Series:
     return pd.Series([[{"kind": k, "start": a, "end": b, "secret": t[a:b]} for a, b, k in find_secrets(t)] for t in texts], dtype=object)
 
 
-@F.pandas_udf(T.StringType())
-def masked(texts: pd.Series) -> pd.Series:
-    return pd.Series([mask(t) for t in texts], dtype=object)
-
-
 def mask(text: str | None) -> str | None:
     """The text with each span, overlapping ones together, replaced by a marker.
 
@@ -154,7 +152,17 @@ def scan_secrets(docs: DataFrame, text: str = "text", into: str = "secrets") ->
 
 def redact_secrets(docs: DataFrame, text: str = "text", length: str | None = None) -> DataFrame:
     """Every row and column of ``docs``, secrets replaced by markers; ``length`` is a column kept in step."""
-    out = docs.withColumn(text, masked(F.col(text)))
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                columns = part.columns
+                columns[place] = pa.array([mask(t.as_py()) for t in columns[place]], columns[place].type)
+                yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+
+    out = docs.mapInArrow(tidy(run), docs.schema)
     return out if length is None else out.withColumn(length, F.length(text).cast(docs.schema[length].dataType))
 
 
