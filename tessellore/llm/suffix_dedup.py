@@ -435,7 +435,7 @@ def repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     first = slim.filter(F.col("n_bytes") >= LENGTH).groupBy("sha").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id")).alias("f"), F.any_value("n_bytes").alias("n"))
     first = scratch.keep(first.select("sha", F.col("f.doc_id").alias("first_id"), "n"))
     stats = first.agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("bytes"), F.count_distinct("first_id").alias("ids")).first()
-    buckets = max(48, -(-int(stats.bytes or 0) // BUCKET_BYTES))
+    buckets = max(16, -(-int(stats.bytes or 0) // BUCKET_BYTES))
     held = slim.join(first, "sha")
     equal_rows = held.filter(F.col("doc_id").eqNullSafe(F.col("first_id"))).count() > stats.n
     copies = held.filter(~F.col("doc_id").eqNullSafe(F.col("first_id"))).select(F.col("doc_id").alias("c_id"), F.col("sha").alias("c_sha")).distinct()
