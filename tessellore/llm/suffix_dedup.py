@@ -193,7 +193,7 @@ def contexts(texts: DataFrame, buckets: int, length: int = LENGTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, data, ends, more in _texts(batches):
-            raw, first, repeats = data.tobytes(), {}, []
+            raw, first, repeats, within = data.tobytes(), {}, [], set()
             begun = 0
             for k in np.argsort(ids, kind="stable"):
                 end = int(ends[k])
@@ -212,11 +212,17 @@ def contexts(texts: DataFrame, buckets: int, length: int = LENGTH) -> DataFrame:
                 around += [(a, a + length, -1) for a in single]
                 for a, b, p in sorted(around):
                     key = raw[a:b]
-                    tag = (key, p < 0)
-                    if tag in first:
+                    # clipped contexts of several anchors may be one stretch, which is filed under each of them
+                    tag = (key, b"" if p < 0 else raw[p : p + GRAM])
+                    if tag not in first:
+                        first[tag] = (xxhash.xxh3_64_intdigest(tag[1] or key), did, a - begun)
+                    elif first[tag][1:] != (did, a - begun):
                         repeats.append((did, a - begun, b - a))
-                    else:
-                        first[tag] = (xxhash.xxh3_64_intdigest(key if p < 0 else raw[p : p + GRAM]), did, a - begun)
+                    elif tag not in within:
+                        # one stretch that has its anchor twice is no repeat of itself, but strings in it may be
+                        within.add(tag)
+                        begins = {raw[x : x + length]: x for x in range(b - length, a - 1, -1)}
+                        repeats += [(did, x - begun, length) for x in range(a, b - length + 1) if begins[raw[x : x + length]] < x]
             groups: dict[int, list] = {}
             for (key, _), (h, did, start) in first.items():
                 groups.setdefault(h % buckets, []).append((h, did, start, key))

@@ -147,6 +147,28 @@ def test_repeats_when_every_shared_anchor_is_hot(spark, monkeypatch):
     assert got == brute_repeats(list(enumerate(texts)))
 
 
+def short_periodic(seed=17):
+    """Texts of 100 to 168 bytes that say a phrase twice or have a short period, and texts that share a part of them."""
+    rng = random.Random(seed)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    texts = []
+    for n in range(100, 169, 2):
+        phrase = some(40)
+        texts.append((phrase + some(n - 80) + phrase)[:n])
+        for period in (1, 2, 10, 33, 50, 67):
+            texts.append((some(period) * n)[:n])
+        two, more = some(n), some(60)
+        texts += [two, two[:100] + more, more + two[-100:]]
+    rng.shuffle(texts)
+    return texts
+
+
+def test_repeats_in_short_texts_that_hold_an_anchor_twice(spark):
+    texts = short_periodic()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeat_report(frame(spark, texts)).collect()}
+    assert got == brute_repeats(list(enumerate(texts)))
+
+
 def test_suffix_order_is_the_order_of_suffixes():
     rng = random.Random(1)
     for _ in range(60):
