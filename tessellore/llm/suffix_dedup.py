@@ -14,10 +14,10 @@ a smaller id, or before in the same one. The steps, all over whole texts:
    the first-byte buckets; adjacent common prefixes of LENGTH bytes or more are repeats.
 5. The repeats of a document are merged, and its remaining bytes are digested.
 
-Before anything is shuffled, equal anchors and contexts of a batch are combined, so that a
-passage that a third of all documents share arrives once for each batch. Where its anchors
-still come from very many batches, each string around them is keyed by itself, so its
-occurrences with other surroundings spread over all tasks.
+Before anything is shuffled, equal contexts of a batch are combined, so that a passage that
+many documents share arrives once for each batch. Of an anchor that occurs more than HOT
+times each string around it is keyed by itself, so its occurrences with other surroundings
+spread over all tasks and no task or suffix array gets more than HOT contexts of one anchor.
 
 Edge cases: a null or empty text has no bytes; texts of any length are cut nowhere; rows
 that repeat an id are ordered by id, then digest, and equal rows are one document; a null
@@ -46,8 +46,10 @@ BUCKET_BYTES = 8 << 20
 #: Bytes of the texts of one suffix array, if no single anchor has more.
 ARRAY_BYTES = 1 << 20
 JOIN_ROWS = 400_000
-#: Batches that may share an anchor before its strings are dealt one by one.
-HOT = 20_000
+#: Occurrences of an anchor, and so contexts in one suffix array, before its strings are dealt one by one.
+HOT = 6_000
+#: Bytes of contexts that a batch holds before it hands them on.
+HELD_BYTES = 8 << 20
 _P = 0x9E3779B97F4A7C15
 
 
@@ -109,36 +111,24 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
                 ids, held, more, size = [], [], [], 0
 
 
-ANCHORS = "bucket int, again boolean, hashes binary, docs binary, places binary"
+ANCHORS = "bucket int, hashes binary, docs binary, places binary"
 
 
 def find_anchors(texts: DataFrame, buckets: int) -> DataFrame:
-    """Packed anchors of ``did, text`` by bucket; those that repeat within their batch are marked."""
+    """Packed anchors of ``did, text`` by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, data, ends, _ in _texts(batches):
             at, hashes = anchors(data, ends)
             doc = np.searchsorted(ends, at, side="right")
             place = (at - (ends[doc] - np.diff(ends, prepend=0)[doc])).astype(np.int32)
-            by = np.argsort(hashes, kind="stable")
-            hashes, doc, place = hashes[by], ids[doc[by]], place[by]
-            same = np.zeros(len(hashes), dtype=bool)
-            equal = hashes[1:] == hashes[:-1]
-            follows = np.concatenate([[False], equal]) if len(hashes) else same
-            same[1:] |= equal
-            same[:-1] |= equal
             bucket = (hashes % np.uint64(buckets)).astype(np.int32)
-            rows: list[tuple] = []
-            # the first of each hash asks; all of a hash that repeats here are known to repeat
-            for again, some in ((False, ~follows), (True, same)):
-                kept = np.flatnonzero(some)
-                kept = kept[np.argsort(bucket[kept], kind="stable")]
-                cuts = np.flatnonzero(np.diff(bucket[kept])) + 1
-                for part in np.split(kept, cuts) if len(kept) else []:
-                    rows.append((int(bucket[part[0]]), again, hashes[part].tobytes(), doc[part].tobytes(), place[part].tobytes()))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=["bucket", "again", "hashes", "docs", "places"])
+            by = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket[by])) + 1
+            rows = [(int(bucket[part[0]]), hashes[part].tobytes(), ids[doc[part]].tobytes(), place[part].tobytes()) for part in np.split(by, cuts) if len(part)]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=["bucket", "hashes", "docs", "places"])
 
     return texts.mapInArrow(tidy(run), ANCHORS)
 
@@ -159,28 +149,19 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 
 
 def repeated_anchors(packed: DataFrame, buckets: int) -> DataFrame:
-    """``did, place`` of the anchors that occur more than once; -1 - place of those that over HOT batches have."""
+    """``did, place`` of the anchors that occur more than once; -1 - place of those that do more than HOT times."""
     most = HOT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_bucket(batches):
-            asked = [r for r in rows if not r[0]]
-            known = [r for r in rows if r[0]]
-            hashes = np.frombuffer(b"".join(r[1] for r in asked), dtype=np.uint64)
-            docs = np.frombuffer(b"".join(r[2] for r in asked), dtype=np.int64)
-            places = np.frombuffer(b"".join(r[3] for r in asked), dtype=np.int32)
+            hashes, docs, places = (np.frombuffer(b"".join(r[i] for r in rows), dtype=t) for i, t in enumerate((np.uint64, np.int64, np.int32)))
             by = np.argsort(hashes, kind="stable")
-            equal = hashes[by][1:] == hashes[by][:-1]
-            same = np.zeros(len(by), dtype=bool)
-            same[1:] |= equal
-            same[:-1] |= equal
-            hit = by[same]
-            each, n = np.unique(hashes[hit], return_counts=True)
-            hashes = np.concatenate([hashes[hit], np.frombuffer(b"".join(r[1] for r in known), dtype=np.uint64)])
-            docs = np.concatenate([docs[hit], np.frombuffer(b"".join(r[2] for r in known), dtype=np.int64)])
-            places = np.concatenate([places[hit], np.frombuffer(b"".join(r[3] for r in known), dtype=np.int32)])
-            places = np.where(np.isin(hashes, each[n > most]), -1 - places, places).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(places)], names=["did", "place"])
+            heads = np.flatnonzero(np.concatenate([[True], hashes[by][1:] != hashes[by][:-1]])[: len(by)])
+            n = np.diff(heads, append=len(by))
+            times = np.repeat(n, n)
+            by, times = by[times > 1], times[times > 1]
+            places = np.where(times > most, -1 - places[by], places[by]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(docs[by]), pa.array(places)], names=["did", "place"])
 
     return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), "did bigint, place int")
 
@@ -191,10 +172,33 @@ CONTEXTS = "bucket int, spans boolean, hashes binary, docs binary, starts binary
 def contexts(texts: DataFrame, buckets: int, length: int = LENGTH) -> DataFrame:
     """Packed contexts of ``did, text, places`` by bucket, and spans of contexts that their batch has earlier."""
 
+    def pack(first: dict, repeats: list) -> pa.RecordBatch:
+        groups: dict[int, list] = {}
+        for (key, _), (h, did, start) in first.items():
+            groups.setdefault(h % buckets, []).append((h, did, start, key))
+        rows: list[tuple] = []
+        for bucket, found in groups.items():
+            h, did, start, keys = zip(*found, strict=True)
+            rows.append((bucket, False, np.array(h, np.uint64).tobytes(), np.array(did, np.int64).tobytes(), np.array(start, np.int64).tobytes(), np.array([len(x) for x in keys], np.int64).tobytes(), b"".join(keys)))
+        if repeats:
+            did, start, end = (np.array(x, np.int64) for x in zip(*repeats, strict=True))
+            rows.append((int(did[0]) % buckets, True, b"", did.tobytes(), start.tobytes(), (end - start).tobytes(), b""))
+        columns = list(zip(*rows, strict=True)) or [()] * 7
+        kinds = (pa.int32(), pa.bool_(), *[pa.binary()] * 5)
+        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=["bucket", "spans", "hashes", "docs", "starts", "lengths", "bytes"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, data, ends, more in _texts(batches):
-            raw, first, repeats, within = data.tobytes(), {}, [], set()
+            raw, first, repeats, within, held = data.tobytes(), {}, [], set(), 0
             begun = 0
+
+            def again(did: int, start: int, end: int) -> None:
+                """One more repeated stretch, in one with the last if they touch."""
+                if repeats and repeats[-1][0] == did and repeats[-1][1] <= start <= repeats[-1][2]:
+                    repeats[-1][2] = max(end, repeats[-1][2])
+                else:
+                    repeats.append([did, start, end])
+
             for k in np.argsort(ids, kind="stable"):
                 end = int(ends[k])
                 begun = int(ends[k - 1]) if k else 0
@@ -207,7 +211,7 @@ def contexts(texts: DataFrame, buckets: int, length: int = LENGTH) -> DataFrame:
                     a, b = max(begun, p - (length - GRAM)), min(end, p + length)
                     if b - a >= length:
                         around.append((a, b, p))
-                # what very many batches share is keyed by each whole string, so that no task gets all of it
+                # what occurs very often is keyed by each whole string, so that no task gets all of it
                 single = {a for x in spread for a in range(max(begun, begun - 1 - x - (length - GRAM)), min(end - length, begun - 1 - x) + 1)}
                 around += [(a, a + length, -1) for a in single]
                 for a, b, p in sorted(around):
@@ -216,26 +220,23 @@ def contexts(texts: DataFrame, buckets: int, length: int = LENGTH) -> DataFrame:
                     tag = (key, b"" if p < 0 else raw[p : p + GRAM])
                     if tag not in first:
                         first[tag] = (xxhash.xxh3_64_intdigest(tag[1] or key), did, a - begun)
+                        held += len(key)
                     elif first[tag][1:] != (did, a - begun):
-                        repeats.append((did, a - begun, b - a))
+                        again(did, a - begun, b - begun)
                     elif tag not in within:
                         # one stretch that has its anchor twice is no repeat of itself, but strings in it may be
                         within.add(tag)
                         begins = {raw[x : x + length]: x for x in range(b - length, a - 1, -1)}
-                        repeats += [(did, x - begun, length) for x in range(a, b - length + 1) if begins[raw[x : x + length]] < x]
-            groups: dict[int, list] = {}
-            for (key, _), (h, did, start) in first.items():
-                groups.setdefault(h % buckets, []).append((h, did, start, key))
-            rows: list[tuple] = []
-            for bucket, found in groups.items():
-                h, did, start, keys = zip(*found, strict=True)
-                rows.append((bucket, False, np.array(h, np.uint64).tobytes(), np.array(did, np.int64).tobytes(), np.array(start, np.int64).tobytes(), np.array([len(x) for x in keys], np.int64).tobytes(), b"".join(keys)))
-            if repeats:
-                did, start, size = (np.array(x, np.int64) for x in zip(*repeats, strict=True))
-                rows.append((int(did[0]) % buckets, True, b"", did.tobytes(), start.tobytes(), size.tobytes(), b""))
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = (pa.int32(), pa.bool_(), *[pa.binary()] * 5)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=["bucket", "spans", "hashes", "docs", "starts", "lengths", "bytes"])
+                        for x in range(a, b - length + 1):
+                            if begins[raw[x : x + length]] < x:
+                                again(did, x - begun, x + length - begun)
+                    if p < 0 and held >= HELD_BYTES:
+                        yield pack(first, repeats)
+                        first, repeats, within, held = {}, [], set(), 0
+                if held >= HELD_BYTES:
+                    yield pack(first, repeats)
+                    first, repeats, within, held = {}, [], set(), 0
+            yield pack(first, repeats)
 
     return texts.mapInArrow(tidy(run), CONTEXTS)
 
@@ -358,6 +359,8 @@ def repeated_spans(packed: DataFrame, buckets: int, length: int = LENGTH) -> Dat
             def close() -> None:
                 nonlocal total
                 if len(fresh) > 1:
+                    if total + sizes[fresh].sum() > ARRAY_BYTES:
+                        solve()
                     for i in fresh:
                         parts.append(raw[heads[i] : heads[i + 1]])
                         at_doc.append(docs[i])

@@ -147,6 +147,27 @@ def test_repeats_when_every_shared_anchor_is_hot(spark, monkeypatch):
     assert got == brute_repeats(list(enumerate(texts)))
 
 
+def test_an_anchor_is_hot_by_its_occurrences_whatever_the_batches(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 20)
+    rng = random.Random(19)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage = some(160)
+    texts = [some(150) + passage + some(150) for _ in range(60)] + [some(150) + some(90) * 2 for _ in range(9)]
+    docs = frame(spark, texts)
+    raw = docs.selectExpr("doc_id as did", "cast(text as binary) as raw")
+    marked = suffix_dedup.repeated_anchors(suffix_dedup.find_anchors(raw, 16), 16)
+    assert marked.filter("place < 0").count() >= 60
+    met = raw.join(marked.groupBy("did").agg({"place": "collect_list"}).toDF("did", "places"), "did")
+    # no task gets more than HOT contexts of an anchor
+    for r in suffix_dedup.contexts(met, 16).filter("not spans").collect():
+        sizes = np.frombuffer(r["lengths"], np.int64)
+        hashes = np.frombuffer(r["hashes"], np.uint64)[sizes > 100]
+        assert not len(hashes) or np.unique(hashes, return_counts=True)[1].max() <= 20
+    monkeypatch.setattr(suffix_dedup, "HELD_BYTES", 4000)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeat_report(docs).collect()}
+    assert got == brute_repeats(list(enumerate(texts)))
+
+
 def short_periodic(seed=17):
     """Texts of 100 to 168 bytes that say a phrase twice or have a short period, and texts that share a part of them."""
     rng = random.Random(seed)
