@@ -2,12 +2,13 @@
 
 Samples become pitch-class frames (windowed spectra folded to twelve classes); filters over
 an integral image of the frames become packed 32-bit integers, one for each place in time.
-Recordings that share integers vote for the offset between them; the offset with most
-votes is aligned and its bit error rate decides.
+Every offset at which enough of the shorter recording overlaps has a bit error rate; those
+whose rate is low enough are candidates, and integers that are equal vote among them. No
+candidate depends on integers that survive whole, unless a least number of them is asked for.
 
 Recordings with one fingerprint form a class and are searched as one, so a recording that
-is held many times costs no more than once and no pair of copies is ever written. Votes
-are an equi-join of the queries' integers with all others'.
+is held many times costs no more than once and no pair of copies is ever written. Classes
+and queries meet as packed blocks of bounded size, each pair of blocks in any task.
 
 Edge cases: null, empty or too short recordings have an empty fingerprint, a class of
 their own and no match; null samples count as silence; repeated rows share a class; an
@@ -25,15 +26,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_small, tidy
+from .common import BROADCAST_BYTES, Scratch, tidy
 
 RATE, HOP, FRAME = 4096, 256, 512
 LOWEST, HIGHEST = 440.0, 2000.0
 SMOOTH = (0.25, 0.75, 1.0, 0.75, 0.25)
 FILTERS, WIDEST = 16, 8
-#: Votes at one offset that make a candidate; bits that may differ; part of the shorter recording that must overlap.
+#: Equal integers at the offset that align() asks for unless told otherwise; bits that may differ; part of the shorter recording that must overlap.
 MIN_VOTES, MAX_ERROR, MIN_OVERLAP = 4, 0.2, 0.5
-QUERY_ROWS = 200_000
+#: Integers of a block; places of one query times those of a recording from which transforms count the bits.
+BLOCK, LONG = 1 << 14, 1 << 22
+MOST_TASKS = 4_000
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -129,18 +132,104 @@ def fingerprints(recordings: DataFrame, identity: str, media: str, *, vectors: b
     return recordings.select(F.col(f"`{identity}`").cast("bigint"), F.col(f"`{media}`").cast("array<double>")).mapInArrow(tidy(run), "rec_id bigint, fp array<int>")
 
 
-def _errors(q: Column, r: Column, offset: Column) -> Column:
-    """(overlap, differing bits) of q at i against r at i + offset."""
-    a, b = F.greatest(F.lit(0), -offset), F.least(F.size(q), F.size(r) - offset)
-    bits = F.aggregate(F.sequence(a, b - 1), F.lit(0), lambda s, i: s + F.bit_count(F.get(q, i).bitwiseXOR(F.get(r, i + offset))))
-    return F.when(b > a, F.struct((b - a).alias("overlap"), bits.cast("int").alias("bits")))
+def differing(q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Differing bits of two long fingerprints at all offsets from 1 - len(q) on, by transforms of each bit."""
+    n = len(q) + len(r) - 1
+    size = 1 << (n - 1).bit_length()
+    total = np.zeros(size // 2 + 1, dtype=complex)
+    for k in range(32):
+        a, b = (1.0 - 2.0 * ((x >> np.uint32(k)) & np.uint32(1)) for x in (q[::-1], r))
+        total += np.fft.rfft(a, size) * np.fft.rfft(b, size)
+    agree = np.rint(np.fft.irfft(total, size)[:n]).astype(np.int64)  # equal less differing bits
+    at = np.arange(1 - len(q), len(r))
+    overlap = np.minimum(len(q), len(r) - at) - np.maximum(0, -at)
+    return (32 * overlap - agree) // 2
+
+
+def candidates(queries: list[np.ndarray], r: np.ndarray, long: int = LONG) -> Iterator[tuple[int, int, int, int]]:
+    """(query, offset, overlap, differing bits) of all offsets of all queries that the rule accepts."""
+    sizes = np.array([len(q) for q in queries])
+    least = MIN_OVERLAP * np.minimum(sizes, len(r))
+    allowed = 32 * (MAX_ERROR + 5e-7)
+    if sizes.max() * len(r) > long:
+        for k, q in enumerate(queries):
+            at = np.arange(1 - len(q), len(r))
+            overlap = np.minimum(len(q), len(r) - at) - np.maximum(0, -at)
+            bits = differing(q, r)
+            for i in np.flatnonzero((overlap >= least[k]) & (bits <= allowed * overlap)):
+                yield k, int(at[i]), int(overlap[i]), int(bits[i])
+        return
+    table = np.zeros((sizes.max(), len(queries)), dtype=np.uint32)
+    mask = np.zeros_like(table)
+    for k, q in enumerate(queries):
+        table[: len(q), k] = q
+        mask[: len(q), k] = 0xFFFFFFFF
+    even = bool((sizes == sizes[0]).all())
+    for offset in range(1 - int(sizes.max()), len(r)):
+        a, b = max(0, -offset), min(len(table), len(r) - offset)
+        overlap = np.minimum(sizes, b) - a
+        enough = (overlap >= least) & (overlap > 0)
+        if not enough.any():
+            continue
+        other = table[a:b] ^ r[a + offset : b + offset, None]
+        bits = np.bitwise_count(other if even else other & mask[a:b]).sum(axis=0, dtype=np.int32)
+        for k in np.flatnonzero(enough & (bits <= allowed * overlap)):
+            yield int(k), offset, int(overlap[k]), int(bits[k])
+
+
+def best_offsets(queries: list[np.ndarray], r: np.ndarray, long: int = LONG) -> dict[int, tuple[int, int, int, int]]:
+    """(offset, votes, overlap, differing bits) by query: most equal integers, then least error, then the nearest offset."""
+    best: dict[int, tuple] = {}
+    for k, offset, overlap, bits in candidates(queries, r, long):
+        q = queries[k]
+        a = max(0, -offset)
+        votes = int((q[a : a + overlap] == r[a + offset : a + offset + overlap]).sum())
+        key = (votes, -bits / overlap, -abs(offset), offset)
+        if k not in best or key > best[k][0]:
+            best[k] = (key, (offset, votes, overlap, bits))
+    return {k: x for k, (_, x) in best.items()}
+
+
+def _blocks(classes: DataFrame, name: str) -> DataFrame:
+    """Packed ``class_id, fp`` rows of about BLOCK integers: ids, sizes and integers."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row() -> pa.RecordBatch:
+            parts = (np.array(ids, np.int64), np.array([len(x) for x in prints], np.int64), np.concatenate(prints))
+            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], names=[f"{name}_{x}" for x in ("ids", "sizes", "values")])
 
-def align(recordings: DataFrame, identity: str, media: str, *, is_query: Column, vectors: bool = False) -> DataFrame:
+        ids, prints, n = [], [], 0
+        for batch in batches:
+            for i, fp in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids.append(i)
+                prints.append(fp.values.to_numpy(zero_copy_only=False).astype(np.int32))
+                n += len(prints[-1])
+                if n >= BLOCK:
+                    yield row()
+                    ids, prints, n = [], [], 0
+        if ids:
+            yield row()
+
+    return classes.select("class_id", "fp").filter("class_id IS NOT NULL").sortWithinPartitions(F.size("fp")).mapInArrow(tidy(run), f"{name}_ids binary, {name}_sizes binary, {name}_values binary")
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            raw = [batch.column(c)[i].as_py() for c in range(6)]
+            (r_ids, r_prints), (q_ids, q_prints) = ((np.frombuffer(x, np.int64), np.split(np.frombuffer(z, np.uint32), np.cumsum(np.frombuffer(y, np.int64))[:-1])) for x, y, z in (raw[:3], raw[3:]))
+            rows = [(int(q_ids[k]), int(r), *x) for r, fp in zip(r_ids, r_prints, strict=True) for k, x in best_offsets(q_prints, fp).items() if q_ids[k] != r]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=["q", "class_id", "offset", "votes", "overlap", "bits"])
+
+
+def align(recordings: DataFrame, identity: str, media: str, *, is_query: Column, vectors: bool = False, min_votes: int = MIN_VOTES) -> DataFrame:
     """``rec_id, class_id, is_query, matches`` of every row.
 
     A class has the least id of the recordings with its fingerprint. Rows that are queries
-    list the other classes that align: class_id, offset, votes and bit_error.
+    list the other classes that align: class_id, offset, votes and bit_error. With
+    ``min_votes`` 0 the bit error alone decides; more asks for equal integers besides.
     """
     scratch = Scratch(recordings.sparkSession)
     made = scratch.keep(fingerprints(recordings, identity, media, vectors=vectors).withColumn("query", is_query))
@@ -148,16 +237,13 @@ def align(recordings: DataFrame, identity: str, media: str, *, is_query: Column,
     keyed = made.filter(F.size("fp") > 0).select("rec_id", "query", print_of.alias("print"), "fp")
     classes = keyed.groupBy("print").agg(F.min("rec_id").alias("class_id"), F.max(F.coalesce("query", F.lit(False))).alias("asks"), F.any_value("fp").alias("fp"))
     classes = scratch.keep(classes)
-    spread = classes.select("class_id", "asks", F.posexplode("fp").alias("at", "value"))
-    asked = spread.filter("asks").select(F.col("class_id").alias("q"), F.col("at").alias("q_at"), F.col("value").alias("q_value"))
-    n_asked = asked.count()
-    votes = join_small(spread, asked, (F.col("value") == F.col("q_value")) & ~F.col("class_id").eqNullSafe(F.col("q")), "inner", rows=n_asked, limit=QUERY_ROWS)
-    votes = votes.groupBy("q", "class_id", (F.col("at") - F.col("q_at")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("q", "class_id").agg(F.max_by(F.struct("offset", "votes"), F.struct("votes", -F.abs("offset"), "offset")).alias("b")).select("q", "class_id", "b.*").filter(F.col("votes") >= MIN_VOTES)
-    q_prints = classes.filter("asks").select(F.col("class_id").alias("q"), F.col("fp").alias("q_fp"))
-    pairs = best.join(q_prints, "q").join(classes.select("class_id", "fp"), "class_id")
-    pairs = pairs.withColumn("e", _errors(F.col("q_fp"), F.col("fp"), F.col("offset"))).withColumn("bit_error", F.round(F.col("e.bits") / (32 * F.col("e.overlap")), 6))
-    pairs = pairs.filter((F.col("bit_error") <= MAX_ERROR) & (F.col("e.overlap") >= MIN_OVERLAP * F.least(F.size("q_fp"), F.size("fp"))))
+    held = scratch.keep(_blocks(classes, "r"))
+    asked = scratch.keep(_blocks(classes.filter("asks"), "q"))
+    tasks = max(1, min(held.count(), MOST_TASKS))
+    n_bytes = asked.agg(F.sum(F.octet_length("q_values") + F.octet_length("q_ids") + F.octet_length("q_sizes"))).first()[0] or 0
+    met = held.repartition(tasks).crossJoin(F.broadcast(asked) if n_bytes <= BROADCAST_BYTES else asked)
+    pairs = met.mapInArrow(tidy(_compare), "q bigint, class_id bigint, offset int, votes bigint, overlap bigint, bits bigint")
+    pairs = pairs.withColumn("bit_error", F.round(F.col("bits") / (32 * F.col("overlap")), 6)).filter((F.col("bit_error") <= MAX_ERROR) & (F.col("votes") >= min_votes))
     found = pairs.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("class_id", "offset", "votes", "bit_error"))).alias("matches"))
     rows = made.select("rec_id", "query", F.when(F.size("fp") > 0, print_of).alias("print"))
     named = rows.join(classes.select("print", F.col("class_id")), "print", "left")

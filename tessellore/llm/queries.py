@@ -47,7 +47,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_audio_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recordings rendered from all vectors; every hundredth is searched among all."""
-    return audio.align(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", is_query=F.col("rec_id") % 100 == 0, vectors=True).withColumnRenamed("rec_id", "vec_id")
+    return audio.align(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", is_query=F.col("rec_id") % 100 == 0, vectors=True, min_votes=0).withColumnRenamed("rec_id", "vec_id")
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -230,6 +230,47 @@ def test_votes_and_errors_are_those_of_brute_force(spark):
         assert [tuple(m) for m in r.matches] == want
 
 
+def all_offsets(q, r):
+    """(offset, bit error) of every offset that the rule accepts."""
+    out = []
+    for offset in range(1 - len(q), len(r)):
+        a, b = max(0, -offset), min(len(q), len(r) - offset)
+        bits = sum(bin(int(q[i]) ^ int(r[i + offset])).count("1") for i in range(a, b))
+        if b - a >= audio.MIN_OVERLAP * min(len(q), len(r)) and round(bits / (32 * (b - a)), 6) <= audio.MAX_ERROR:
+            out.append((offset, round(bits / (32 * (b - a)), 6)))
+    return out
+
+
+def test_no_recording_within_the_error_is_lost(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(23)
+    sounds = []
+    for k in range(8):
+        base = audio.render(tune(100 + k, 36 + 3 * k))
+        sounds += [base] + [base + rng.normal(scale=x, size=len(base)) for x in (0.3, 0.6, 0.9, 1.2)] + [base[7 * audio.HOP + 90 :]]
+    recordings = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(sounds)], "rec_id bigint, samples array<double>")
+    got = {r.rec_id: r.matches for r in audio.align(recordings, "rec_id", "samples", is_query=F.col("rec_id") % 6 == 0, min_votes=0).collect()}
+    prints = [audio.fingerprint(x) for x in sounds]
+    few = 0
+    for i in range(0, len(sounds), 6):
+        want = {j: x for j, r in enumerate(prints) if j != i and (x := all_offsets(prints[i], r))}
+        assert {m.class_id for m in got[i]} == set(want)
+        for m in got[i]:
+            assert m.bit_error == pytest.approx(dict(want[m.class_id])[m.offset], abs=2e-6)
+            few += m.votes < audio.MIN_VOTES
+    assert few  # some that whole integers alone don't find
+
+
+def test_transforms_count_the_bits_of_long_recordings():
+    rng = np.random.default_rng(29)
+    q = rng.integers(0, 1 << 32, 50, dtype=np.uint32)
+    r = np.concatenate([rng.integers(0, 1 << 32, 30, dtype=np.uint32), q[:40] ^ np.uint32(5)])
+    queries = [q, q[:20], rng.integers(0, 1 << 32, 33, dtype=np.uint32)]
+    assert list(audio.candidates(queries, r, 0)) == sorted(audio.candidates(queries, r))
+    assert audio.best_offsets(queries, r)[0][:2] == (30, 0)
+
+
 # the registered queries and the pipeline ------------------------------------------------
 SF = "/root/testdata/sf0.001"
 
