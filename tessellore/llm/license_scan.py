@@ -1,13 +1,16 @@
 """License scans by sentence rules.
 
-Texts are cut into sentences, each is normalised (case, punctuation, years, holders) and
-looked up among known licence sentences, which gives it an identifier. The identifiers met
-in a document, in order, are then matched against ordered licence rules: the first rule
-whose sequence occurs (gaps of unknown sentences up to a bound allowed, known sentences
-between not) claims its sentences for a licence; later rules see what is left.
-
-Edge cases: a null or empty text has no licence; a text of any length is read whole, line
-by line; repeated rows each get their own result; an empty table gives an empty result;
+Texts are cut into sentences at line breaks and after end marks, each is normalised (case,
+punctuation, years, holders) and looked up among known licence sentences, which gives it an
+identifier. Where a line alone is none, the lines after it in its paragraph are joined to it
+and the sentence is tried that a wrapped text has there. The identifiers met in a document,
+in order, are then matched against ordered licence rules: the first rule whose sequence
+occurs (gaps of unknown sentences up to a bound allowed, known sentences between not)
+claims its sentences for a licence; later rules see what is left. An SPDX line gives the
+expression it names.
+
+Edge cases: a null or empty text has no licence; a text of any length is read whole;
+repeated rows each get their own result; an empty table gives an empty result;
 only the named id and text columns take part, so others may have any name.
 """
 
@@ -84,12 +87,22 @@ MAX_GAP = 3
 
 _BREAK = re.compile(r"\n|(?<=[.!?;])\s")
 _NOISE = re.compile(r"[^a-z0-9]+")
+#: Comment marks and indents at the start of a line that a wrapped sentence goes on in.
+_MARGIN = re.compile(r"^[ \t]*(?:(?://+|#+|\*+|;+|--+|/\*+|>+|%+)[ \t]*)?")
+#: Lines that a sentence may be wrapped over, all of known ones have fewer at 70 columns.
+MAX_LINES = 24
+#: How sentences begin that are long enough to be wrapped.
+_START = re.compile(r"[\W_]*(?:permission is|the above|the software|this |redistribution|neither|either version|you may|released|licensed|distributed|available|dedicated|marked|subject|copyright|\(c\)|all rights|the mit|mit|(?:the )?apache)", re.I)
+_HELD = re.compile(r"[\W_]*(?:copyright\b|\(c\)|©)[^\n]*?\b(all rights reserved)[.\s]*", re.I)
+_SPDX = re.compile(r"spdx-license-identifier\s*:\s*([A-Za-z0-9.+:() \t-]+?)\s*(?:\*/|-->|$)", re.I)
 _HINT = re.compile(r"licen[cs]|permission|redistribut|rights reserved|warrant|copyright|public domain|endorse|cc0|free software|spdx|later version", re.I)
 _TABLE = [(name, re.compile(p)) for name, p in SENTENCES]
 
 
 def sentence_id(sentence: str) -> str | None:
     """The identifier of a licence sentence, or None."""
+    if (held := _HELD.fullmatch(sentence)) is not None:
+        sentence = held[1]  # without the years and the holder
     plain = _NOISE.sub(" ", sentence.lower()).strip()
     for name, pattern in _TABLE:
         if pattern.fullmatch(plain):
@@ -109,6 +122,43 @@ def sentences(text: str) -> Iterator[tuple[int, int, int]]:
         yield k, at, len(text)
 
 
+def _follows(text: str, a: int, b: int) -> str:
+    """What lies between two pieces: "wrap" for one line break in a paragraph, "end" after an end mark, "paragraph" or "part"."""
+    last, gap = text[:a][-2:].rstrip()[-1:], text[a:b]
+    if gap.count("\n") > 1 or gap.strip():
+        return "paragraph"
+    if last == ";":
+        return "part"
+    return "end" if last in (".", "!", "?") else "wrap"
+
+
+def _identified(text: str) -> Iterator[tuple[int, str, int, int]]:
+    """(number, identifier, start, end) of the known sentences; wrapped lines count as one sentence."""
+    cuts = [(a, b) for _, a, b in sentences(text)]
+    lines = [_MARGIN.sub("", text[a:b]).strip() for a, b in cuts]
+    names = [sentence_id(x) if _HINT.search(x) else None for x in lines]
+    joins = ["paragraph"] + ["paragraph" if not (lines[i] and lines[i - 1]) else _follows(text, cuts[i - 1][1], cuts[i][0]) for i in range(1, len(cuts))]
+    k = i = 0
+    while i < len(cuts):
+        if joins[i] != "wrap" and any(map(str.isalpha, lines[i - 1] if i else "")):
+            k += 1  # list numbers and empty comment lines are no sentences
+        name, last = names[i], i
+        if _START.match(lines[i]):
+            whole = lines[i]
+            for j in range(i + 1, min(len(cuts), i + MAX_LINES)):
+                if joins[j] not in ("wrap", "part") or names[j]:
+                    break
+                whole = f"{whole} {lines[j]}"
+                # tried where the sentence ends
+                if (j + 1 == len(cuts) or joins[j + 1] != "wrap" or names[j + 1]) and _HINT.search(whole) and (found := sentence_id(whole)):
+                    if found != name:
+                        name, last = found, j
+                    break
+        if name:
+            yield k, name, cuts[i][0], cuts[last][1]
+        i = last + 1
+
+
 def match_rules(found: Sequence[tuple[int, str]], rules: Sequence[tuple[str, tuple[str, ...]]] = RULES, gap: int = MAX_GAP) -> list[tuple[str, int, int]]:
     """(licence, first and last index into ``found``) of the rules that (number, identifier) sequences meet."""
     used, out = [False] * len(found), []
@@ -130,11 +180,11 @@ def find_licences(text: str | None) -> list[tuple[str, str, int, int]]:
     if not text or not _HINT.search(text):
         return []
     found, places = [], []
-    for k, a, b in sentences(text):
-        if _HINT.search(text, a, b) and (name := sentence_id(text[a:b])):
-            found.append((k, name))
-            places.append((a, b))
-    return [(licence, "+".join(n for _, n in found[i : j + 1]), places[i][0], places[j][1]) for licence, i, j in match_rules(found)]
+    for k, name, a, b in _identified(text):
+        found.append((k, name))
+        places.append((a, b))
+    out = [(licence, "+".join(n for _, n in found[i : j + 1]), places[i][0], places[j][1]) for licence, i, j in match_rules(found)]
+    return [(m[1].rstrip(". ") if x[0] == "SPDX" and (m := _SPDX.search(text[x[2] : x[3]])) else x[0], *x[1:]) for x in out]
 
 
 SCAN = "doc_id bigint, licences array<string>, n_licences bigint, spans array<struct<licence:string,rule:string,start:bigint,end:bigint>>"

@@ -61,6 +61,56 @@ def test_licences(text, wanted):
         assert 0 <= a < b <= len(text)
 
 
+BSD = """Copyright (c) 2020, Foo Bar
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """# This program is free software; you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation; either version 2 of the License, or
+# (at your option) any later version.
+"""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.
+"""
+
+
+@pytest.mark.parametrize(
+    "text, wanted, rule",
+    [
+        (BSD, "BSD-3-Clause", "bsd-redistribution+bsd-endorse"),
+        (BSD.replace("\n", "\r\n"), "BSD-3-Clause", "bsd-redistribution+bsd-endorse"),
+        (GPL, "GPL-2.0-or-later", "gpl-free+gpl-later"),
+        (MIT, "MIT", "mit-grant+mit-notice+as-is"),
+        ("Licensed under the GNU General Public License\nversion 3.", "GPL-3.0", "gpl-3-name"),
+        ("Copyright (c) 2020 X, all rights reserved", "Proprietary", "all-rights"),
+        ("// SPDX-License-Identifier: MIT OR Apache-2.0\ncode", "MIT OR Apache-2.0", "spdx-line"),
+        ("/* SPDX-License-Identifier: GPL-2.0-only */", "GPL-2.0-only", "spdx-line"),
+    ],
+)
+def test_licences_as_they_are_published(text, wanted, rule):
+    assert [x[:2] for x in license_scan.find_licences(f"Prose before.\n\n{text}\nProse after it\n")] == [(wanted, rule)]
+
+
 def test_rules_match_brute_force_sequences():
     rng = random.Random(4)
     names = ["a", "b", "c"]
