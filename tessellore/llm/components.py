@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-MAX_ROUNDS = 40
-
 
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """One star operation: every node hands its (larger or smaller) neighbours its least one."""
@@ -35,7 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
     scratch = Scratch(edges.sparkSession)
     now = scratch.keep(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
-    for _ in range(MAX_ROUNDS):
+    while True:  # every round that changes something lowers a node's neighbour, so this ends
         after = scratch.keep(_star(_star(now, True), False))
         seen = after.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
         scratch.drop(now)

@@ -123,6 +123,13 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {**{i: 0 for i in range(41)}, **{k: 100 for k in range(100, 160)}}
 
 
+def test_components_go_on_until_nothing_changes(spark, monkeypatch):
+    monkeypatch.setattr("tessellore.llm.components.MAX_ROUNDS", 1, raising=False)
+    edges = [(i, i + 1) for i in range(60)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    assert got == {i: 0 for i in range(61)}
+
+
 def test_repeats_are_those_of_all_strings(spark):
     texts = corpus()
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeat_report(frame(spark, texts)).collect()}
