@@ -4,13 +4,16 @@ A genome is a grouping: a list of bins. Crossover injects whole well-filled bins
 parent into the other, removes the bins that hold a duplicate of an injected item, and
 puts the displaced items back by best fit. Pieces are dealt at random over islands of
 bounded size; each evolves on its own until it meets the lower bound of its items or its
-generations end. Then the elites migrate: well-filled bins of an island are final, all
-other bins are broken up and their pieces travel on to fewer, mixed islands, where they
-evolve again next to those of other islands, until no more than one island is left.
-
-Edge cases: a null or empty text is one piece, the end token; documents of any length are
-cut from the end so that only the first piece is short; repeated rows are packed once
-each; an empty table gives an empty result; other columns of the input don't take part.
+generations bring nothing. After each epoch full bins are final and leave. Of the others
+the elite bins migrate: they travel as whole groups to another island and are a parent
+there, next to those that the island makes itself, so what one island found is crossed
+into the groupings of another. The pieces of all other bins are dealt anew. The islands
+get fewer from epoch to epoch, until one is left.
+
+Edge cases: a null or empty text is one piece, the end token; the string of a special
+token in a text is that token, as the tokenizer has it; documents of any length are cut
+from the end so that only the first piece is short; repeated rows are packed once each;
+an empty table gives an empty result; other columns of the input don't take part.
 """
 
 from __future__ import annotations
@@ -34,11 +37,15 @@ END_TOKEN = 2
 VOCABULARY = "byte_bpe_50k"
 #: Pieces of an island at most, on average.
 ISLAND = 6_000
-POPULATION, GENERATIONS, ROUNDS = 4, 6, 6
-#: A bin with no more than this many free tokens is an elite: it is final.
+POPULATION, ROUNDS = 4, 6
+#: Generations at most, and those that may pass without a better grouping.
+GENERATIONS, PATIENCE = 80, 20
+#: A bin with no more than this many free tokens is final.
 SLACK = 2
+#: A bin that isn't final is an elite with no more than this many free tokens.
+ELITE_SLACK = 24
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-PACKED = f"uid bigint, {PIECES}, sequence_id bigint, offset bigint, final boolean"
+PACKED = f"uid bigint, {PIECES}, sequence_id bigint, offset bigint, final boolean, elite boolean"
 
 
 @functools.lru_cache(maxsize=2)
@@ -47,8 +54,10 @@ def encoder(folder: str | None, vocabulary: str = VOCABULARY):
 
     The rank file holds the same vocabulary as the JSON file and gives the same ids, several
     times as fast; a text that it can't take (the pattern's backtracking) goes to the JSON one.
+    The strings of the added tokens that the JSON file lists are those tokens.
     """
     import base64
+    import json
     import os
 
     import public_tokenizers
@@ -57,18 +66,20 @@ def encoder(folder: str | None, vocabulary: str = VOCABULARY):
     place = public_tokenizers.path if folder is None else lambda name: os.path.join(folder, name)
     with open(place(f"{vocabulary}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(place(f"{vocabulary}.json"), encoding="utf-8") as file:
+        added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+    fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
     @functools.lru_cache(maxsize=1)
     def exact():
         from tokenizers import Tokenizer
 
-        out = Tokenizer.from_file(place(f"{vocabulary}.json"))
-        out.encode_special_tokens = True
-        return out
+        return Tokenizer.from_file(place(f"{vocabulary}.json"))
 
     def ids(text: str) -> np.ndarray:
         try:
+            if any(t in text for t in added):
+                return np.array(fast.encode(text, allowed_special="all"), dtype="<u4")
             return np.array(fast.encode_ordinary(text), dtype="<u4")
         except BaseException as e:  # a panic of the pattern engine isn't an Exception
             if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
@@ -161,31 +172,53 @@ def cross(sizes: list[int], a: list[list[int]], b: list[list[int]], capacity: in
     return child.members
 
 
-def evolve(sizes: list[int], capacity: int = CAPACITY, seed: int = 0) -> list[list[int]]:
-    """The best grouping found of items of these sizes."""
+def first_fit(sizes: list[int], order: list[int], capacity: int, groups: list[list[int]] = ()) -> list[list[int]]:
+    """The grouping that best fit makes of the items in an order, beside given groups."""
+    made = Bins(sizes, capacity)
+    for g in groups:
+        made.add(list(g), capacity - sum(sizes[i] for i in g))
+    taken = {i for g in groups for i in g}
+    for i in order:
+        if i not in taken:
+            made.put(i)
+    return made.members
+
+
+def evolve(sizes: list[int], capacity: int = CAPACITY, seed: int = 0, migrants: list[list[int]] = (), effort: dict | None = None) -> list[list[int]]:
+    """The best grouping found of items of these sizes; never worse than best fit decreasing.
+
+    ``migrants`` are bins that other islands hand over; they make a parent of their own.
+    ``effort`` counts the crossovers.
+    """
     least = -(-sum(sizes) // capacity)
     rng = random.Random(seed)
-    population: list[list[list[int]]] = []
-    for k in range(POPULATION):
-        order = sorted(range(len(sizes)), key=lambda i: (-(sizes[i] + (rng.random() * 64 * k)), i))
-        first = Bins(sizes, capacity)
-        for i in order:
-            first.put(i)
-        population.append(first.members)
-        if len(first.members) == least:
-            return first.members
-    scored = sorted(population, key=lambda g: (len(g), -fill(sizes, g, capacity)))
+    rank = lambda g: (len(g), -fill(sizes, g, capacity))
+    falling = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    scored = [first_fit(sizes, falling, capacity)]
+    if migrants:
+        scored.append(first_fit(sizes, falling, capacity, migrants))
+    if min(map(len, scored)) == least:
+        return min(scored, key=rank)
+    while len(scored) < POPULATION:
+        spread = 64 * len(scored)
+        order = sorted(falling, key=lambda i: -(sizes[i] + rng.random() * spread))
+        scored.append(first_fit(sizes, order, capacity))
+    scored.sort(key=rank)
+    idle = 0
     for _ in range(GENERATIONS):
-        a, b = rng.sample(scored[: max(2, POPULATION - 1)], 2)
-        scored.append(cross(sizes, a, b, capacity, rng))
-        scored = sorted(scored, key=lambda g: (len(g), -fill(sizes, g, capacity)))[:POPULATION]
-        if len(scored[0]) == least:
+        if len(scored[0]) == least or idle >= PATIENCE:
             break
+        a, b = rng.sample(scored, 2)
+        child = cross(sizes, a, b, capacity, rng)
+        if effort is not None:
+            effort["crossovers"] = effort.get("crossovers", 0) + 1
+        idle = 0 if rank(child) < rank(scored[0]) else idle + 1
+        scored = sorted([*scored, child], key=rank)[:POPULATION]
     return scored[0]
 
 
 def island(capacity: int, last: bool, turn: int):
-    """Evolves one island's pieces; says which bins are final."""
+    """Evolves one island's pieces; says which bins are final and which others are elites."""
 
     def run(items: pd.DataFrame) -> pd.DataFrame:
         items = items.sort_values("uid", ignore_index=True)
@@ -193,15 +226,20 @@ def island(capacity: int, last: bool, turn: int):
         where = np.zeros(len(sizes), dtype=np.int64)
         offset = np.zeros(len(sizes), dtype=np.int64)
         done = np.ones(len(sizes), dtype=bool)
+        elite = np.zeros(len(sizes), dtype=bool)
         uid = items["uid"].to_numpy()
-        for members in evolve(sizes, capacity, int(items["island"].iloc[0]) * 31 + turn):
+        handed: dict[int, list[int]] = {}
+        for i, group in enumerate(items["handed"]):
+            if not pd.isna(group):
+                handed.setdefault(int(group), []).append(i)
+        for members in evolve(sizes, capacity, int(items["island"].iloc[0]) * 31 + turn, list(handed.values())):
             used, name = 0, min(int(uid[i]) for i in members)
-            final = last or sum(sizes[i] for i in members) >= capacity - SLACK
+            free = capacity - sum(sizes[i] for i in members)
             for i in sorted(members):
-                where[i], offset[i], done[i] = name, used, final
+                where[i], offset[i], done[i], elite[i] = name, used, last or free <= SLACK, free <= ELITE_SLACK
                 used += sizes[i]
         release()
-        return items.drop(columns="island").assign(sequence_id=where, offset=offset, final=done)
+        return items.drop(columns=["island", "handed"]).assign(sequence_id=where, offset=offset, final=done, elite=elite)
 
     return run
 
@@ -211,17 +249,18 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, island_size: int = ISLAND)
     scratch = Scratch(pieces.sparkSession)
     all_pieces = scratch.keep(pieces.withColumn("uid", F.monotonically_increasing_id()))
     own = all_pieces.filter(F.col("length") >= capacity).select(*pieces.columns, F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    done, left, names = [own], all_pieces.filter(F.col("length") < capacity).select("uid", *pieces.columns), pieces.columns
+    done, left, names = [own], all_pieces.filter(F.col("length") < capacity).select("uid", *pieces.columns, F.lit(None).cast("long").alias("handed")), pieces.columns
     n = left.count()
     for turn in range(ROUNDS):
         islands = max(1, -(-n // island_size))
         last = islands == 1 or turn == ROUNDS - 1
-        dealt = left.withColumn("island", F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(islands)))
+        # the pieces of an elite bin travel together
+        dealt = left.withColumn("island", F.pmod(F.xxhash64(F.coalesce("handed", "uid"), F.lit(turn)), F.lit(islands)))
         packed = scratch.keep(dealt.groupBy("island").applyInPandas(island(capacity, last, turn), PACKED))
         done.append(packed.filter("final").select(*names, "sequence_id", "offset"))
         if last:
             break
-        left = packed.filter(~F.col("final")).select("uid", *names)
+        left = packed.filter(~F.col("final")).select("uid", *names, F.when(F.col("elite"), F.col("sequence_id")).alias("handed"))
         n = left.count()
     out = done[0]
     for part in done[1:]:

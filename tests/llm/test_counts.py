@@ -150,7 +150,6 @@ def check_packing(rows, texts, capacity=1024):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    exact.encode_special_tokens = True
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
@@ -191,6 +190,41 @@ def test_migration_between_islands_keeps_all_pieces(spark, monkeypatch):
     assert used <= least * 1.02 + 1
 
 
+def test_ids_are_the_tokenizers_also_for_special_tokens():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    exact, ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder(None)
+    assert ids("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
+    rng = random.Random(17)
+    bits = ["<|endoftext|>", "<|endoftext|", "|>", " ", "  ", "\n", "word", "é漢", "🙂", "'s", "12", "<|im_end|>", "a" * 30, "\u3000"]
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
+        assert ids(text).tolist() == exact.encode(text, add_special_tokens=False).ids, text
+
+
+def test_elite_bins_of_one_island_reach_the_parents_of_another(monkeypatch):
+    import pandas as pd
+
+    sizes = [300, 350, 374, 511, 513, 400, 500, 700, 250]
+    seen = []
+    real = packing.evolve
+    monkeypatch.setattr(packing, "evolve", lambda *a: seen.append(a[3]) or real(*a))
+    n = len(sizes)
+    items = pd.DataFrame({"uid": range(n), "doc_id": range(n), "piece": 0, "start": 0, "length": sizes, "ids_crc32": 0, "handed": [7, 7, 7, 8, 8, None, None, None, None], "island": 0})
+    out = packing.island(1024, False, 1)(items)
+    assert seen == [[[0, 1, 2], [3, 4]]]
+    for _, members in out.groupby("sequence_id"):
+        free = 1024 - members["length"].sum()
+        assert free >= 0 and set(members["final"]) == {free <= packing.SLACK} and set(members["elite"]) == {free <= packing.ELITE_SLACK}
+
+
+def test_migrants_are_kept_where_they_are_better():
+    sizes = [512, 342, 341, 341, 512, 342, 341, 341]  # falling best fit pairs 512 with 512
+    bins = packing.evolve(sizes, 1024, 0, [[1, 2, 3], [5, 6, 7]])
+    assert len(bins) == 3 and sorted(i for b in bins for i in b) == list(range(8))
+
+
 def test_repeated_rows_are_packed_once_each(spark):
     docs = spark.createDataFrame([(1, "a b", 0), (1, "a b", 0), (None, None, 0)], "doc_id bigint, text string, uid int")
     rows = packing.pack_documents(docs).collect()
