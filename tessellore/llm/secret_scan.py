@@ -3,16 +3,21 @@
 Every whole text is searched for three patterns (assignments, access keys, long hex runs).
 On top of them, candidate strings (long runs without blanks) are scanned by a sliding
 window whose Shannon entropy is kept by incremental counts, once for each character class;
-windows over the class's threshold merge into spans. An allow list suppresses what is
-dense but public: words, paths, identifiers made of words, UUIDs, numbers, samples.
+windows over the class's threshold merge into spans, which are added to those of the
+patterns; both stay where they overlap. An allow list suppresses what is dense but public:
+words, paths, identifiers made of words, UUIDs, numbers, published samples. Long runs of
+letters count as words only if their letters are spread as in words.
 
 Edge cases: a null or empty text has no spans; texts of any length are scanned whole and
-in time linear in their length; repeated rows each get their own result; all columns of
-the input, whatever their names, pass through unchanged beside the one that is added.
+in time linear in their length, but for one search in a sorted list a dense span; repeated
+rows each get their own result; all columns of the input, whatever their names, pass
+through unchanged beside the one that is added, whose name takes underscores until it is
+free.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Iterator
@@ -45,11 +50,19 @@ CLASSES = (
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+")
 ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
+    re.compile(r"[0-9+/_=-]+"),
+)
+#: Shapes of words and of identifiers made of words, allowed if their long parts read like words.
+WORDY = (
     re.compile(r"[-_/=+]*+(?:(?:[A-Z]?[a-z]++|[A-Z]++|[0-9]{1,4}+)[-_/=+]++)*+(?:[A-Z]?[a-z]++|[A-Z]++|[0-9]{1,4}+)?"),
     re.compile(r"(?:[A-Z]?[a-z]{2,}+)++[0-9]{0,4}"),
-    re.compile(r"[0-9+/_=-]+"),
-    re.compile(r".*(?:EXAMPLE|example|0123456789|abcdefghij|ABCDEFGHIJ).*"),
 )
+#: Samples from public documentation, and stand-ins that cut a string in two.
+SAMPLES = ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+STAND_IN = re.compile(r"EXAMPLE|example|0123456789|abcdefghij|ABCDEFGHIJ")
+#: A run of letters of this length must read like a word: enough vowels, few of the rare letters.
+LONG_PART, LEAST_VOWELS, MOST_RARE = 16, 0.25, 0.16
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SELF_INFO = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
 
 
@@ -79,9 +92,53 @@ def dense_windows(run: str, bits: float) -> Iterator[tuple[int, int]]:
         yield begun, end
 
 
+def wordlike(part: str) -> bool:
+    """Whether a run of letters may be a word: short, or with vowels and rare letters as words have them."""
+    n, low = len(part), part.lower()
+    if n < LONG_PART:
+        return True
+    vowels, rare = sum(map(low.count, "aeiouy")), sum(map(low.count, "jqxzkvw"))
+    return vowels >= LEAST_VOWELS * n and rare <= MOST_RARE * n
+
+
 def allowed(string: str) -> bool:
     """Whether a dense string is of a public kind."""
-    return any(p.fullmatch(string) for p in ALLOWED)
+    if string in SAMPLES or any(p.fullmatch(string) for p in ALLOWED):
+        return True
+    return any(p.fullmatch(string) for p in WORDY) and all(map(wordlike, _PARTS.findall(string)))
+
+
+def _between(string: str) -> Iterator[tuple[int, int]]:
+    """The stretches of a candidate that no stand-in covers and that a window fits in."""
+    at = 0
+    for m in STAND_IN.finditer(string):
+        if m.start() - at >= WINDOW:
+            yield at, m.start()
+        at = m.end()
+    if len(string) - at >= WINDOW:
+        yield at, len(string)
+
+
+def dense_spans(candidate: str) -> list[tuple[int, int, str]]:
+    """Dense spans of one candidate by class; a span within one of an earlier class is not said again."""
+    out: list[tuple[int, int, str]] = []
+    if allowed(candidate):
+        return out
+    earlier: list[tuple[list[int], list[int]]] = []  # for each class starts and ends, both ascending
+    for kind, members, bits in CLASSES:
+        starts, ends = [], []
+        for x, y in _between(candidate):
+            for r in members.finditer(candidate, x, y):
+                if r.end() - r.start() < WINDOW or allowed(r[0]):
+                    continue
+                for a, b in dense_windows(r[0], bits):
+                    a, b = a + r.start(), b + r.start()
+                    if all((k := bisect.bisect_right(s, a) - 1) < 0 or e[k] < b for s, e in earlier):
+                        out.append((a, b, kind))
+                        starts.append(a)
+                        ends.append(b)
+        earlier.append((starts, ends))
+    return out
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -99,7 +156,7 @@ def find_secrets(text: str | None) -> list[tuple[int, int, str]]:
     """All spans (start, end, kind) of one text in code points, by start, then kind."""
     if not text:
         return []
-    out, dense, at = base_spans(text), [], 0
+    out, at = base_spans(text), 0
     for word in text.split():
         if len(word) < WINDOW:
             continue
@@ -107,21 +164,9 @@ def find_secrets(text: str | None) -> list[tuple[int, int, str]]:
         if len(word) >= 32:
             out += [(at + m.start(), at + m.end(), "hex") for m in HEX.finditer(word) if m.end() - m.start() >= 32]
         for m in CANDIDATE.finditer(word):
-            if m.end() - m.start() < WINDOW or allowed(m[0]):
-                continue
-            taken: list[tuple[int, int]] = []
-            for kind, members, bits in CLASSES:
-                for r in members.finditer(m[0]):
-                    if r.end() - r.start() < WINDOW or allowed(r[0]):
-                        continue
-                    for a, b in dense_windows(r[0], bits):
-                        span = (at + m.start() + r.start() + a, at + m.start() + r.start() + b)
-                        if not any(x <= span[0] and span[1] <= y for x, y in taken):
-                            taken.append(span)
-                            dense.append((*span, kind))
+            if m.end() - m.start() >= WINDOW:
+                out += [(at + m.start() + a, at + m.start() + b, kind) for a, b, kind in dense_spans(m[0])]
         at += len(word)
-    base = [(a, b) for a, b, _ in out]
-    out += [d for d in dense if not any(a < d[1] and d[0] < b for a, b in base)]
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
@@ -147,6 +192,9 @@ def mask(text: str | None) -> str | None:
 
 def scan_secrets(docs: DataFrame, text: str = "text", into: str = "secrets") -> DataFrame:
     """Every row and column of ``docs`` and the spans found in its text."""
+    taken = {c.lower() for c in docs.columns}
+    while into.lower() in taken:
+        into += "_"
     return docs.withColumn(into, secret_spans(F.col(text)))
 
 
