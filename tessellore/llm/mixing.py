@@ -46,25 +46,43 @@ def sampling_key(identity: Sequence[Column], quality: Column) -> Column:
     return -F.log(u) / quality
 
 
+def ranked(sources: DataFrame) -> DataFrame:
+    """``sources`` with ``rank``, from 0 in code point order, null last.
+
+    Sources are dealt by ranges; a part's own order and the sizes of the parts before it
+    give the rank, so no task sorts them all.
+    """
+    scratch = Scratch(sources.sparkSession)
+    dealt = sources.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id())
+    dealt = scratch.keep(dealt)
+    before, offsets = 0, []
+    for row in sorted(dealt.groupBy("part").count().collect()):  # a row a partition
+        offsets.append((row.part, before))
+        before += row["count"]
+    table = sources.sparkSession.createDataFrame(offsets, "of int, before bigint")
+    own = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
+    return dealt.withColumn("own", own).join(F.broadcast(table), F.col("part") == F.col("of")).withColumn("rank", F.col("before") + F.col("own") - 1).drop("part", "own", "of", "before")
+
+
 def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int = MAX_EPOCHS) -> DataFrame:
     """``source, source_size`` with each source's rank, weight and target.
 
     All excess is reshared by weight until no target is above its bound. Each pass is one
     aggregate of exact integers, and a pass that bounds no further source is the last.
     """
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))  # one slim row a source
-    ranked = sources.withColumn("rank", rank).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int")).cast("long"))
-    ranked = ranked.withColumn("bound", F.col("source_size") * epochs)
-    kept = Scratch(sources.sparkSession).keep(ranked)
-    total = kept.agg(F.sum("source_size").alias("t")).first().t or 0
-    left, share = total, kept.agg(F.sum("weight").alias("w")).first().w or 1
+    exact = lambda c: c.cast("decimal(19,0)")  # noqa: E731  # products of two are exact
+    weighed = ranked(sources).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")).cast("long"))
+    weighed = weighed.withColumn("bound", exact(F.col("source_size")) * exact(F.lit(epochs)))
+    kept = Scratch(sources.sparkSession).keep(weighed)
+    total = int(kept.agg(F.sum(exact(F.col("source_size"))).alias("t")).first().t or 0)
+    left, share = total, int(kept.agg(F.sum("weight").alias("w")).first().w or 1)
     bounded = F.lit(False)
     while True:
-        now = F.col("bound") * F.lit(share) <= F.col("weight").cast("decimal(38,0)") * F.lit(left)
+        now = exact(F.col("bound")) * exact(F.lit(share)) <= exact(F.col("weight")) * exact(F.lit(left))
         full = kept.filter(now).agg(F.sum("bound").alias("b"), F.sum("weight").alias("w")).first()
         bounded = now
         rest = kept.filter(~now).agg(F.sum("weight").alias("w")).first().w
-        new_left, new_share = total - (full.b or 0), rest or 0
+        new_left, new_share = total - int(full.b or 0), int(rest or 0)
         if not rest or (new_left, new_share) == (left, share):
             break
         left, share = new_left, new_share
@@ -73,7 +91,9 @@ def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int =
 
 
 def mix(docs: DataFrame, *, text: str = "text", source: str = "source", identity: str = "doc_id", weights: Sequence[int] = WEIGHTS, epochs: int = MAX_EPOCHS, quality: Column | None = None, carry: Sequence[str] | None = None) -> DataFrame:
-    """Every row of ``docs`` as the struct ``row`` with its size, its source's figures and ``copies``, how often the mix takes it.
+    """Every row of ``docs`` as the struct ``row`` with its size, its source's figures, ``copies``, how often the mix takes it, and ``filler``.
+
+    A filler, of which a source has at most FILLERS, is taken for its size and not by its key.
 
     ``carry`` names the columns of the struct; all of them unless given.
     """
@@ -121,7 +141,8 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", identity
         gaps = found.filter("gap > 0").select("gap_of", "gap")
     chosen = join_small(every, last, F.col("uid") == F.col("last_uid"), "left", rows=FILLERS * n_sources)
     partial = (F.col("part") | F.col("last_uid").isNotNull()) & (F.col("budget") > 0) & (F.col("whole") < epochs)
-    return chosen.withColumn("copies", F.col("whole") + partial.cast("int")).select("row", "size", "source_size", "target", "copies")
+    out = chosen.withColumn("copies", F.col("whole") + partial.cast("int")).withColumn("filler", partial & ~F.col("part"))
+    return out.select("row", "size", "source_size", "target", "copies", "filler")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
@@ -132,4 +153,4 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 def mix_report(docs: DataFrame) -> DataFrame:
     """The contract's columns for every document."""
     out = mix(docs.select("doc_id", "source", "text"), carry=["doc_id", "source"])
-    return out.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies")
+    return out.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies", "filler")

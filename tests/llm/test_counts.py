@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -288,6 +289,65 @@ def test_mix_meets_its_targets(spark):
     assert all(max(k) - min(k) <= 1 for k in whole.values())
 
 
+def brute_mix(rows, keys, weights=(1, 2, 3), fillers=4):
+    """{id: (copies, filler)}: whole epochs, then the sorted prefix, then what closes the rest."""
+    sizes, by_source = defaultdict(int), defaultdict(list)
+    for i, text, source in rows:
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+        sizes[source] += n
+        by_source[source].append((keys[i], i, n))
+    out = {}
+    for source, target in brute_targets(dict(sizes)).items():
+        total = sizes[source]
+        whole = min(math.floor(target / total), 3) if total else 0
+        gap, taken, free = target - whole * total, set(), []
+        budget, open_ = gap, True
+        for key, i, n in sorted(by_source[source]):
+            open_ = open_ and n <= gap
+            if open_:
+                taken.add(i)
+                gap -= n
+            elif n:
+                free.append((key, i, n))
+        extra = set()
+        for turn in range(fillers):
+            fits = [f for f in free if f[1] not in extra and (f[2] <= gap if turn < fillers - 1 else abs(gap - f[2]) < gap)]
+            if gap <= 0 or not fits:
+                if gap <= 0:
+                    break
+                continue
+            key, i, n = min(fits, key=lambda f: (abs(gap - f[2]), f[0], f[1]))
+            extra.add(i)
+            gap -= n
+        for _, i, _ in by_source[source]:
+            more = budget > 0 and whole < 3
+            out[i] = (whole + (more and i in taken | extra), more and i in extra)
+    return out
+
+
+def test_the_sample_is_the_sorted_prefix_of_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(16)
+    rows = [(i, rng.choice([None, ""]) if rng.random() < 0.02 else "w" * rng.randint(1, 9) + " v" * rng.randint(0, 60), rng.choice(["big"] * 20 + ["mid"] * 6 + ["small", None, "é"])) for i in range(2500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    size = mixing.word_count(F.col("text"))
+    keys = {r[0]: r[1] for r in docs.select("doc_id", mixing.sampling_key([F.col("doc_id"), size], mixing.default_quality(F.col("text"), size))).collect()}
+    want = brute_mix(rows, keys)
+    assert {r.doc_id: (r.copies, r.filler) for r in mixing.mix_report(docs).collect()} == want
+    assert sum(f for _, f in want.values()) <= mixing.FILLERS * 5
+
+
+def test_targets_of_many_and_of_huge_sources(spark):
+    n = 20_000
+    sources = spark.range(n).selectExpr("concat('s', id) source", "1L source_size").unionByName(spark.createDataFrame([(None, 30_000_000_000_000), ("a", 3_000_000_000_000_000_000)], "source string, source_size bigint"))
+    got = {r.source: r for r in mixing.targets(sources).collect()}
+    want = brute_targets({r: g.source_size for r, g in got.items()})
+    assert len(got) == n + 2 and got[None].rank == n + 1 and got["a"].rank == 0
+    assert sorted((s for s in got if s is not None)) == sorted((s for s in got if s is not None), key=lambda s: got[s].rank)
+    assert all(math.isclose(got[s].target, t, rel_tol=1e-12) for s, t in want.items())
+
+
 def test_mixed_rows_are_the_taken_copies(spark):
     docs = spark.createDataFrame([(i, "w " * (i % 7 + 1), "en", "ab"[i % 2], i) for i in range(300)], SCHEMA)
     copies = {r.doc_id: r.copies for r in mixing.mix_report(docs).collect()}
