@@ -1,9 +1,12 @@
 """Token counts under a unigram vocabulary by dynamic programming over a shared trie.
 
-The distinct pre-tokens of a batch go into one trie. A walk over it carries, for each
+The distinct pre-tokens of a batch go into one trie whose edges carry strings, so that it
+has at most two nodes a pre-token, however long that is. A walk over it carries, for each
 prefix, the best score of a segmentation that ends there and how many pieces it has; it is
 computed once for all pre-tokens that share the prefix, and the count is stored where a
-pre-token ends. A document's count is the sum over its pre-tokens; no text is shuffled.
+pre-token ends. The walk holds the scores of those places only where a piece is still open,
+so a step costs at most the longest piece. A document's count is the sum over its
+pre-tokens; no text is shuffled.
 
 The pieces are those of a public vocabulary file; a piece's score is the logarithm of its
 share under Zipf's law of the file's rank order (nothing is trained here). A character
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import functools
 import math
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,6 +36,8 @@ MARK = "▁"
 BYTE_PENALTY = 10.0
 #: Pre-tokens whose counts a task remembers from batch to batch.
 REMEMBERED = 1_000_000
+#: Longer pre-tokens are not remembered from batch to batch.
+REMEMBERED_CHARS = 64
 #: Distinct pre-tokens that go into one trie.
 TRIE_WORDS = 20_000
 
@@ -39,8 +45,6 @@ TRIE_WORDS = 20_000
 @functools.lru_cache(maxsize=2)
 def pieces(folder: str | None, vocabulary: str = VOCABULARY) -> tuple[dict[str, float | None], float]:
     """The score of each piece, None for what only begins one, and the score of a byte."""
-    import os
-
     import public_tokenizers
     import sentencepiece
 
@@ -54,52 +58,57 @@ def pieces(folder: str | None, vocabulary: str = VOCABULARY) -> tuple[dict[str,
 
 
 class Trie:
-    """Pre-tokens by character; a node's slot 0 has the count of a pre-token that ends there."""
+    """Pre-tokens by shared prefixes; a node is [string of its edge, nodes below by first character, pre-token that ends here]."""
 
     def __init__(self) -> None:
-        self.root: dict = {}
+        self.root: list = ["", {}, None]
 
     def insert(self, word: str) -> None:
-        node = self.root
-        for c in word:
-            node = node.setdefault(c, {})
-        node[0] = -1
+        node, at = self.root, 0
+        while at < len(word):
+            below = node[1].get(word[at])
+            if below is None:
+                node[1][word[at]] = [word[at:], {}, word]
+                return
+            edge = below[0]
+            if not word.startswith(edge, at):
+                # the edge parts where the strings do
+                same = len(os.path.commonprefix((edge, word[at : at + len(edge)])))
+                upper = [edge[:same], {edge[same]: below}, None]
+                below[0] = edge[same:]
+                node[1][word[at]] = below = upper
+                edge = upper[0]
+            node, at = below, at + len(edge)
+        node[2] = word
 
     def count(self, table: dict[str, float | None], byte: float) -> dict[str, int]:
         """Tokens of each pre-token.
 
-        The walk carries the forward scores of the current prefix, computed once for each
-        node, and the places where a piece that is still open began.
+        The walk's state after a prefix is one entry (string since then, score, tokens) for
+        each place where a piece that is still open began, the last place first.
         """
         out: dict[str, int] = {}
         none, get = 1.0, table.get  # scores are negative
-        if 0 in self.root:
-            out[""] = 0
-        best, tokens = [0.0], [0]
-        stack: list[tuple[dict, str, list[int]]] = [(n, c, [0]) for c, n in self.root.items() if c != 0]
+        stack: list[tuple[list, list[tuple[str, float, int]]]] = [(self.root, [("", 0.0, 0)])]
         while stack:
-            node, prefix, begun = stack.pop()
-            depth = len(prefix)
-            del best[depth:], tokens[depth:]
-            size = len(prefix[-1].encode("utf-8", "surrogatepass"))
-            top, count, still = best[-1] + size * byte, tokens[-1] + size, []
-            for b in reversed(begun):
-                s = get(prefix[b:], none)
-                if s is None:
-                    still.append(b)
-                elif s < 0:
-                    still.append(b)
-                    if best[b] + s >= top:
-                        top, count = best[b] + s, tokens[b] + 1
-            still.reverse()
-            still.append(depth)
-            best.append(top)
-            tokens.append(count)
-            for c, below in node.items():
-                if c == 0:
-                    node[0] = out[prefix] = count
-                else:
-                    stack.append((below, prefix + c, still))
+            (edge, below, word), state = stack.pop()
+            for c in edge:
+                size = 1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass"))
+                top, count = state[0][1] + size * byte, state[0][2] + size
+                still = []
+                for since, score, tokens in state:
+                    since += c
+                    s = get(since, none)
+                    if s is None:
+                        still.append((since, score, tokens))
+                    elif s < 0:
+                        still.append((since, score, tokens))
+                        if score + s >= top:
+                            top, count = score + s, tokens + 1
+                state = [("", top, count), *still]
+            if word is not None:
+                out[word] = state[0][2]
+            stack += [(node, state) for node in below.values()]
         return out
 
 
@@ -130,6 +139,9 @@ def count_tokens(docs: DataFrame, folder: str | None = None, vocabulary: str = V
                         trie.insert(w)
                     known.update(trie.count(table, byte))
                 columns = ([len(x) for x in words], [len(set(x)) for x in words], [sum(map(known.__getitem__, x)) for x in words])
+                for w in fresh:
+                    if len(w) > REMEMBERED_CHARS:
+                        del known[w]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "n_pretokens", "n_distinct", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(tidy(run), COUNTS)

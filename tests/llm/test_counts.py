@@ -36,6 +36,38 @@ def test_token_counts_are_those_of_each_word_alone(spark):
         assert r.n_tokens == sum(brute_tokens(w, table, byte) for w in words)
 
 
+def test_a_trie_counts_shared_prefixes_as_each_word_alone():
+    table, byte = token_counts.pieces(None)
+    rng = random.Random(31)
+    words = {"".join(rng.choice("abtheé") for _ in range(rng.randint(0, 9))) for _ in range(3000)} | {"▁the", "▁", "the" * 40}
+    trie = token_counts.Trie()
+    for w in sorted(words, key=lambda w: rng.random()):
+        trie.insert(w)
+    assert trie.count(table, byte) == {w: brute_tokens(w, table, byte) for w in words}
+
+
+def test_long_pretokens_take_linear_time_and_are_counted_whole(spark):
+    import time
+
+    table, byte = token_counts.pieces(None)
+    rng = random.Random(32)
+    long = "".join(rng.choice("漢字仮名abcxyz09+/") for _ in range(800_000))
+
+    def took(n):
+        trie, begun = token_counts.Trie(), time.perf_counter()
+        trie.insert(long[:n])
+        got = trie.count(table, byte)
+        return time.perf_counter() - begun, got
+
+    took(10_000)
+    (small, _), (large, _) = took(200_000), took(800_000)
+    assert large < 8 * small + 0.2
+    assert took(3000)[1] == {long[:3000]: brute_tokens(long[:3000], table, byte)}
+    docs = spark.createDataFrame([(1, long + " a"), (2, long)], "doc_id bigint, text string")
+    a, b = sorted(token_counts.count_tokens(docs).collect())
+    assert a.n_pretokens == 2 and a.n_tokens > b.n_tokens > 0
+
+
 def test_token_counts_of_an_empty_table(spark):
     assert token_counts.count_tokens(spark.createDataFrame([], SCHEMA)).collect() == []
 
