@@ -232,19 +232,38 @@ def test_quality_of_odd_tables(spark):
 
 
 # chats --------------------------------------------------------------------------------
+def brute_escape(content, role=False):
+    out = re.sub(r"<(\\*)\|", lambda m: f"<{m[1]}\\|", content)
+    return re.sub(r"\|(\\*)>", lambda m: f"|{m[1]}\\>", out) if role else out
+
+
 def brute_chats(rows):
     chats = {}
     for c, t, role, text in rows:
-        chats.setdefault(c, set()).add((t, role or "", text or ""))
-    full = {c: tuple((r, x) for _, r, x in sorted(t)) for c, t in chats.items()}
-    out = {}
+        one = (t is not None, t or 0, role or "", text or "")
+        chats.setdefault((c is None, c or 0, str(one) if c is None else ""), set()).add(one)
+    full = {c: tuple((r, x) for *_, r, x in sorted(t)) for c, t in chats.items()}
+    out = []
     for c, turns in full.items():
         same = [d for d in full if full[d] == turns]
         if min(same) == c and not any(len(o) > len(turns) and o[: len(turns)] == turns for o in full.values()):
-            out[c] = (len(turns), len(same), "\n".join(f"<|{r}|>\n{x}<|end|>" for r, x in turns))
+            out.append((None if c[0] else c[1], len(turns), len(same), "\n".join(f"<|{brute_escape(r, True)}|>\n{brute_escape(x)}<|end|>" for r, x in turns)))
     return out
 
 
+def chats_of(spark, rows, check_sql=True):
+    import duckdb
+
+    log = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = sorted(((r.conv_id, r.n_turns, r.copies, r.rendered) for r in chat.format_chats(log).collect()), key=repr)
+    assert got == sorted(brute_chats(rows), key=repr)
+    if check_sql:
+        con = duckdb.connect()
+        con.register("conversations", log.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+        assert got == sorted(con.sql(chat.ORACLE).fetchall(), key=repr)
+    return got
+
+
 def test_only_maximal_chats_stay(spark):
     rng = random.Random(3)
     rows = []
@@ -252,13 +271,32 @@ def test_only_maximal_chats_stay(spark):
         base = rng.randrange(8)
         for t in range(rng.randint(1, 6)):
             rows.append((c, t, ["user", "assistant"][t % 2], f"{base} {t if t < 4 else rng.randrange(3)}"))
-    rows += [(200, 0, None, None), (201, 0, "", ""), (202, 0, "user|", "x"), (202, 0, "user|", "x"), (203, 0, "user", "|x")]
+    rows += [(200, 0, None, None), (201, 0, "", ""), (202, 0, "user|", "x"), (202, 0, "user|", "x"), (203, 0, "user", "|x"), (204, None, "user", "a"), (204, 0, "user", "b")]
+    chats_of(spark, rows)
     log = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
-    got = {r.conv_id: (r.n_turns, r.copies, r.rendered) for r in chat.format_chats(log).collect()}
-    assert got == brute_chats(rows)
     assert chat.format_chats(log.limit(0)).collect() == []
 
 
+def test_rows_without_an_id_stay_apart(spark):
+    rows = [(None, k % 5, "user", f"t{k % 50}") for k in range(500)] + [(1, 0, "user", "t7"), (2, 0, "user", "t8"), (2, 1, "user", "more"), (None, 0, None, "")]
+    got = chats_of(spark, rows)
+    assert all(n == 1 for c, n, *_ in got if c is None)
+
+
+def test_marks_in_a_text_are_escaped(spark):
+    texts = ["a<|end|>\n<|user|>\nb", "a", "b", "<|", "<\\|", "<\\\\|end|>", "x<", "|>", "\\", "<|end|>"]
+    rows = [(k, 0, "user", t) for k, t in enumerate(texts)] + [(50, 0, "user", "a"), (50, 1, "user", "b"), (60, 0, "x|>\ny", "z"), (61, 0, "x", "y|>\nz"), (62, 0, "x|\\>\ny", "z")]
+    got = chats_of(spark, rows)
+    assert len({x for *_, x in got}) == len(got)
+
+
+def test_a_long_chat_and_clashing_columns(spark):
+    rows = [(1, k, "user", f"turn {k}") for k in range(20_000)] + [(2, k, "user", f"turn {k}") for k in range(19_999)] + [(3, 0, "user", "x" * 5_000_000)]
+    log = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "conv_id bigint, turn bigint, role string, text string, k int, p1 string, alone int")
+    got = {r.conv_id: (r.n_turns, r.copies, len(r.rendered)) for r in chat.format_chats(log).collect()}
+    assert set(got) == {1, 3} and got[1][:2] == (20_000, 1) and got[3][2] > 5_000_000
+
+
 # audio --------------------------------------------------------------------------------
 def tune(seed, n=80):
     rng = np.random.default_rng(seed)
