@@ -3,12 +3,12 @@
 1. Each text becomes its set of hashed word shingles, a fingerprint of the set and the
    banded keys of its signature. Texts with one set are one node from here on.
 2. Keys that several nodes share are buckets; buckets with the same nodes count once.
-3. Each bucket is searched by nodes in small cells. Signatures are compared batch by
+3. Each bucket is searched by nodes in cells that are small by nodes and by bytes. Signatures are compared batch by
    batch; after each batch the pairs are pruned whose posterior probability of reaching
    the similarity, a beta, is under the chosen miss probability. Survivors are verified on
    the full sets. Nodes already known to be connected are not compared again, so a cell
    yields a spanning forest, never its pairs.
-4. A bucket over CELL nodes is cut into blocks that share a few pivot nodes. What the
+4. A bucket over that size is cut into blocks that share a few pivot nodes. What the
    links so far don't connect to the bucket's largest component is then compared with
    all its other nodes, block by block, so no link between components is lost.
 5. Links are joined to components by alternating stars.
@@ -33,8 +33,11 @@ from pyspark.sql import functions as F
 from .common import Scratch, join_small, tidy
 from .components import components
 
+#: Nodes of a cell, bytes of its sets, nodes that the blocks of a bucket share, and bytes that a task hands on at a time.
 CELL = 512
+CELL_BYTES = 64 << 20
 PIVOTS = 32
+HELD_BYTES = 8 << 20
 MISS = 1e-6
 BATCH = 24
 WORD_CACHE = 100_000
@@ -209,19 +212,29 @@ def link(cells: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     found = join_small(texts, wanted, F.col("id").eqNullSafe(F.col("rep")), "inner", array_bytes=40 * F.size("at")).select("text", "h1", "h2", "node", "known", "at")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
+        words, kinds = _Words(), (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+
+        def packed(out: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=["cell", "node", "known", "late", "bits", "sig"])
+
+        out: list[tuple] = []
+        held = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                out: list[tuple] = []
-                part = batch.slice(at, 256)
-                for text, h1, h2, node, known, places in zip(*(part.column(i).to_pylist() for i in range(6)), strict=True):
-                    made = shingles(text, rule.words, words)
-                    if fingerprint(made) == (h1, h2):
-                        bits, sig = made.tobytes(), signature(made, rule.factors).tobytes()
-                        out += [(p["cell"], node, known, p["late"], bits, sig) for p in places]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
-                columns = list(zip(*out, strict=True)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=["cell", "node", "known", "late", "bits", "sig"])
+            for i in range(batch.num_rows):
+                text, h1, h2, node, known, places = (batch.column(c)[i].as_py() for c in range(6))
+                made = shingles(text, rule.words, words)
+                if fingerprint(made) != (h1, h2):
+                    continue
+                bits, sig = made.tobytes(), signature(made, rule.factors).tobytes()
+                for p in places:
+                    out.append((p["cell"], node, known, p["late"], bits, sig))
+                    held += len(bits) + len(sig)
+                    # a set that goes to many cells is copied a few cells at a time
+                    if held >= HELD_BYTES:
+                        yield packed(out)
+                        out, held = [], 0
+        yield packed(out)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(rows: dict[int, tuple]) -> list[tuple[int, int]]:
@@ -233,7 +246,7 @@ def link(cells: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
             lates = [rows[n][1] for n in nodes]
             return link_cell(rule, nodes, sets, sigs, [rows[n][0] for n in nodes], None if None in lates else lates)
 
-        def packed(out: list[tuple[int, int]]) -> pa.RecordBatch:
+        def links(out: list[tuple[int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], type=pa.int64()) for i in (0, 1)], names=["u", "v"])
 
         cell, rows = None, {}
@@ -245,8 +258,8 @@ def link(cells: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
                     out += solve(rows)
                     cell, rows = at, {}
                 rows[columns[1][i].as_py()] = tuple(c[i].as_py() for c in columns[2:])
-            yield packed(out)
-        yield packed(solve(rows))
+            yield links(out)
+        yield links(solve(rows))
 
     dealt = found.mapInArrow(tidy(spread), "cell bigint, node bigint, known bigint, late boolean, bits binary, sig binary")
     return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(search), "u bigint, v bigint")
@@ -257,18 +270,19 @@ def near_classes(docs: DataFrame, rule: Rule) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     sketched = scratch.keep(sketch(docs, rule))
     full = sketched.filter("n_shingles > 0")
-    classes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"))
+    classes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("n_shingles").alias("size"))
     nodes = scratch.keep(classes.withColumn("node", F.monotonically_increasing_id()))
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("x"))
+    keyed = nodes.select("node", "size", F.explode("bands").alias("key"))
+    # blocks of a bucket: by its nodes or, where texts are very long, by the bytes of its sets
+    blocks_of = lambda n, size: F.greatest(F.ceil(n / CELL), F.ceil(8 * size / CELL_BYTES)).cast("long")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("all"), F.min("node").alias("low"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("x"))
     shared = shared.filter("n > 1")
-    buckets = shared.groupBy("n", "low", "s", "x").agg(F.min("key").alias("key")).select("key", "n")
+    buckets = shared.groupBy("n", "low", "s", "x").agg(F.min("key").alias("key"), F.any_value("all").alias("all")).select("key", "n", blocks_of(F.col("n"), F.col("all")).alias("blocks"))
     members = scratch.keep(keyed.join(buckets, "key"))
     # a large bucket's blocks share its pivots
-    blocks = F.ceil(F.col("n") / CELL).cast("long")
-    block = F.pmod(F.xxhash64("node"), blocks)
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     pivot = F.pmod(F.xxhash64("node", F.lit(3)), F.col("n")) < PIVOTS
-    to = F.when((F.col("n") > CELL) & pivot, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(block))
+    to = F.when((F.col("blocks") > 1) & pivot, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(block))
     dealt = members.select("node", "key", F.explode(to).alias("block"))
     late = F.lit(None).cast("boolean").alias("late")
     at = dealt.groupBy("node").agg(F.collect_list(F.struct(F.xxhash64("key", "block").alias("cell"), late)).alias("at"))
@@ -277,15 +291,15 @@ def near_classes(docs: DataFrame, rule: Rule) -> DataFrame:
     edges = scratch.keep(link(cells, docs, rule))
     made = [nodes, members, cells, edges]  # what only the steps up to the names read
     roots = components(edges)
-    large = members.filter(F.col("n") > CELL)
+    large = members.filter("blocks > 1")
     if not large.isEmpty():
         roots = scratch.keep(roots)
         labelled = scratch.keep(large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-        sizes = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-        main = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("n")).filter("most < n")
-        rest = labelled.drop("n").join(main, "key").withColumn("late", F.col("root") != F.col("main"))
-        late_blocks = F.ceil((F.col("n") - F.col("most")) / CELL).cast("long")
-        blocks = F.ceil(F.col("n") / CELL).cast("long")
+        sizes = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("z"))
+        main = sizes.groupBy("key").agg(F.max_by(F.struct("root", "z"), F.struct("c", "root")).alias("m"), F.max("c").alias("most"), F.sum("c").alias("n"), F.sum("z").alias("all")).filter("most < n")
+        main = main.select("key", F.col("m.root").alias("main"), blocks_of(F.col("n") - F.col("most"), F.col("all") - F.col("m.z")).alias("late_blocks"))
+        rest = labelled.join(main, "key").withColumn("late", F.col("root") != F.col("main"))
+        blocks, late_blocks = F.col("blocks"), F.col("late_blocks")
         row, column = F.pmod(F.xxhash64("node"), blocks), F.pmod(F.xxhash64("node", F.lit(5)), late_blocks)
         every = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
         own = F.transform(every(late_blocks), lambda c: F.struct(row.alias("r"), c.alias("c")))
