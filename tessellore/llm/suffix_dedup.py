@@ -46,6 +46,8 @@ BUCKET_BYTES = 8 << 20
 #: Bytes of the texts of one suffix array, if no single anchor has more.
 ARRAY_BYTES = 1 << 20
 JOIN_ROWS = 400_000
+#: Shuffle partitions at most; beyond as many buckets, a partition holds several, which are read one after the other.
+PARTITIONS = 20_000
 #: Occurrences of an anchor, and so contexts in one suffix array, before its strings are dealt one by one.
 HOT = 6_000
 #: Bytes of contexts that a batch holds before it hands them on.
@@ -163,7 +165,7 @@ def repeated_anchors(packed: DataFrame, buckets: int) -> DataFrame:
             places = np.where(times > most, -1 - places[by], places[by]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(docs[by]), pa.array(places)], names=["did", "place"])
 
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), "did bigint, place int")
+    return packed.repartition(min(buckets, PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), "did bigint, place int")
 
 
 CONTEXTS = "bucket int, spans boolean, hashes binary, docs binary, starts binary, lengths binary, bytes binary"
@@ -397,7 +399,7 @@ def repeated_spans(packed: DataFrame, buckets: int, length: int = LENGTH) -> Dat
             d, s, e = merge_spans(*(np.concatenate([x[i] for x in spans]) for i in range(3)))
             yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(e)], names=["did", "start", "end"])
 
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), "did bigint, start bigint, end bigint")
+    return packed.repartition(min(buckets, PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), "did bigint, start bigint, end bigint")
 
 
 CUT = T.StructType([T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())])

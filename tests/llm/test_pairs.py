@@ -98,6 +98,49 @@ def test_a_large_group_of_near_copies_is_one_component(spark, monkeypatch):
     assert got == brute_near(list(enumerate(texts)))
 
 
+def test_cells_are_bounded_by_bytes_too(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CELL_BYTES", 3000)
+    monkeypatch.setattr(minhash, "HELD_BYTES", 2000)
+    monkeypatch.setattr(minhash, "PIVOTS", 2)
+    texts = corpus(29, 40) + ["long " + " ".join(f"v{k}" for k in range(j, 900 + j)) for j in range(30)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_report(frame(spark, texts)).collect()}
+    assert got == brute_near(list(enumerate(texts)))
+
+
+def test_joins_that_are_too_large_to_broadcast(spark, monkeypatch):
+    from tessellore.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(suffix_dedup, "JOIN_ROWS", 0)
+    monkeypatch.setattr(minhash, "CANDIDATE_ROWS", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = corpus(31, 30)
+        rows = list(enumerate(texts))
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_report(frame(spark, texts)).collect()}
+        assert got == brute_near(rows)
+        cut = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeat_report(frame(spark, texts)).collect()}
+        assert cut == brute_repeats(rows)
+        kept = sorted(r.doc_id for r in minhash.drop_near(frame(spark, texts), minhash.Rule(3, 85)).collect())
+        assert kept == sorted(i for i, x in brute_near(rows).items() if x[2])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(37)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9))) for _ in range(5000)]
+    long = " ".join(rng.choice(words) for _ in range(150_000))
+    passage = " ".join(rng.choice(words) for _ in range(40))
+    texts = [long, long[:-40] + "another end", passage, passage + " x" * 10, long[500_000:500_400]]
+    docs = frame(spark, texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_report(docs).collect()}
+    assert got == brute_near(list(enumerate(texts)))
+    cut = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeat_report(docs).collect()}
+    assert cut == brute_repeats(list(enumerate(texts)))
+
+
 def test_dropping_keeps_one_row_of_each_component(spark):
     texts = corpus(9, 25)
     docs = frame(spark, texts)
@@ -138,6 +181,7 @@ def test_repeats_are_those_of_all_strings(spark):
 
 def test_repeats_with_small_batches_and_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "ARRAY_BYTES", 2000)
+    monkeypatch.setattr(suffix_dedup, "PARTITIONS", 3)
     texts = corpus(11, 40)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeat_report(frame(spark, texts)).collect()}
     assert got == brute_repeats(list(enumerate(texts)))
