@@ -38,13 +38,42 @@ SENTENCES: tuple[tuple[str, str], ...] = (
     ("gpl-3-name", r"(?:this (?:work|software|file|project|text) is )?(?:released|licensed|distributed|available) under (?:the )?(?:terms of the )?gnu general public licen[cs]e(?: version| v)? ?3(?: 0)?"),
     ("gpl-2-name", r"(?:this (?:work|software|file|project|text) is )?(?:released|licensed|distributed|available) under (?:the )?(?:terms of the )?gnu general public licen[cs]e(?: version| v)? ?2(?: 0)?"),
     ("gpl-any-name", r"(?:this (?:work|software|file|project|text) is )?(?:released|licensed|distributed|available) under (?:the )?(?:terms of the )?gnu general public licen[cs]e"),
+    ("gpl-2-only-free", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 (?:only )?as published by the free software foundation"),
+    ("gpl-2-later-free", r"this (?:program|file) is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("gpl-3-later-free", r"this (?:program|file) is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("agpl-3-later-free", r"this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("agpl-name", r"(?:this (?:work|software|file|project|text) is )?(?:released|licensed|distributed|available) under (?:the )?(?:terms of the )?(?:gnu )?(?:affero general public licen[cs]e|agpl).*"),
+    ("lgpl-3-later-free", r"this (?:library|program) is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl-free", r"this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license as published by the free software foundation"),
+    ("perl-same", r"this (?:library|program|module) is free software you can redistribute it and or modify it under the same terms as perl itself"),
+    ("gpl-2-title", r"gnu general public license version 2 june 1991"),
+    ("gpl-3-title", r"gnu general public license version 3 29 june 2007"),
+    ("gpl-2-later-name", r"(?:this (?:work|software|file|project|text) is )?(?:released|licensed|distributed|available) under (?:the )?(?:terms of the )?gnu general public licen[cs]e(?: version| v)? ?2(?: 0)? or (?:any )?later(?: version)?"),
+    ("gpl-3-later-name", r"(?:this (?:work|software|file|project|text) is )?(?:released|licensed|distributed|available) under (?:the )?(?:terms of the )?gnu general public licen[cs]e(?: version| v)? ?3(?: 0)? or (?:any )?later(?: version)?"),
     ("gpl-free", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license .*"),
-    ("gpl-later", r"either version (?:2|3) of the license or at your option any later version"),
+    ("gpl-later", r"either version 2 of the license or at your option any later version"),
+    ("gpl-3-later", r"either version 3 of the license or at your option any later version"),
+    ("lgpl-2.1-later", r"either version 2 1 of the license or at your option any later version"),
     ("lgpl-name", r"(?:this (?:work|software|file|project|text) is )?(?:released|licensed|distributed|available) under (?:the )?(?:terms of the )?gnu lesser general public licen[cs]e.*"),
     ("bsd-3-name", r"(?:this (?:work|software|file|project|text) is )?(?:released|licensed|distributed|available) under (?:the )?(?:terms of the )?(?:bsd 3 clause|3 clause bsd|new bsd)(?: licen[cs]e)?"),
     ("bsd-2-name", r"(?:this (?:work|software|file|project|text) is )?(?:released|licensed|distributed|available) under (?:the )?(?:terms of the )?(?:bsd 2 clause|2 clause bsd|simplified bsd)(?: licen[cs]e)?"),
     ("bsd-redistribution", r"redistribution and use in source and binary forms with or without modification are permitted .*"),
     ("bsd-endorse", r"neither the name of .* nor the names of its contributors may be used to endorse or promote products .*"),
+    ("bsd-advert", r"all advertising materials mentioning features or use of this software must display the following acknowledg[e]?ment .*"),
+    ("x11-name", r"except as contained in this notice the name .* shall not be used in advertising or otherwise to promote the sale use or other dealings in (?:this|the) software without prior written authorization .*"),
+    ("isc-grant", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("0bsd-grant", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc-as-is", r"the software is provided as is and .* disclaims all warranties with regard to this software .*"),
+    ("zlib-grant", r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("bsl-grant", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license .*"),
+    ("bsl-title", r"boost software license version 1 0 17 august 2003|boost software license version 1 0 august 17th 2003"),
+    ("bsl-name", r"distributed under the boost software license version 1 0"),
+    ("unlicense", r"this is free and unencumbered software released into the public domain"),
+    ("epl-1-name", r"this program and the accompanying materials are made available under the terms of the eclipse public license v ?(?:ersion )?1 0.*"),
+    ("epl-2-name", r"this program and the accompanying materials are made available under the terms of the eclipse public license v? ?(?:ersion )?2 0.*"),
+    ("wtfpl-title", r"do what the fuck you want to public license(?: version 2 december 2004)?"),
+    ("mpl-2-form", r"this source code form is subject to the terms of the mozilla public license v(?: 2 0)?"),
+    ("mpl-2-title", r"mozilla public license version 2 0"),
     ("mpl-2-name", r"(?:this .* is )?(?:released|licensed|distributed|available|subject to the terms) (?:under|of) the mozilla public licen[cs]e(?: version| v)? ?2 0"),
     ("cc-by-name", r"(?:this (?:work|software|file|project|text) is )?(?:released|licensed|distributed|available) under (?:a |the )?(?:creative commons attribution|cc by)(?: [1-4] [05])?(?: international)?(?: licen[cs]e)?"),
     ("cc-by-sa-name", r"(?:this (?:work|software|file|project|text) is )?(?:released|licensed|distributed|available) under (?:a |the )?(?:creative commons attribution share ?alike|cc by sa)(?: [1-4] [05])?(?: international)?(?: licen[cs]e)?"),
@@ -56,22 +85,54 @@ SENTENCES: tuple[tuple[str, str], ...] = (
 )
 #: Licences and the sentence sequences that mean them; the first that fits wins.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
+    ("X11", ("mit-grant", "mit-notice", "as-is", "x11-name")),
     ("MIT", ("mit-grant", "mit-notice", "as-is")),
+    ("MIT-0", ("mit-grant", "as-is")),
     ("MIT", ("mit-title", "mit-grant")),
     ("MIT", ("mit-name",)),
     ("Apache-2.0", ("apache-2-name", "apache-2-use")),
     ("Apache-2.0", ("apache-2-name",)),
     ("Apache-2.0", ("apache-2-title",)),
     ("GPL-2.0-or-later", ("gpl-free", "gpl-later")),
+    ("GPL-3.0-or-later", ("gpl-free", "gpl-3-later")),
+    ("GPL-2.0-or-later", ("gpl-2-later-free",)),
+    ("GPL-3.0-or-later", ("gpl-3-later-free",)),
+    ("GPL-2.0-or-later", ("gpl-2-later-name",)),
+    ("GPL-3.0-or-later", ("gpl-3-later-name",)),
+    ("GPL-2.0", ("gpl-2-only-free",)),
+    ("GPL-2.0", ("gpl-2-title",)),
+    ("GPL-3.0", ("gpl-3-title",)),
+    ("AGPL-3.0-or-later", ("agpl-3-later-free",)),
+    ("AGPL", ("agpl-name",)),
+    ("LGPL-2.1-or-later", ("lgpl-free", "lgpl-2.1-later")),
+    ("LGPL-2.0-or-later", ("lgpl-free", "gpl-later")),
+    ("LGPL-3.0-or-later", ("lgpl-free", "gpl-3-later")),
+    ("LGPL-3.0-or-later", ("lgpl-3-later-free",)),
+    ("LGPL", ("lgpl-free",)),
     ("LGPL", ("lgpl-name",)),
+    ("Artistic-1.0-Perl OR GPL-1.0-or-later", ("perl-same",)),
     ("GPL-3.0", ("gpl-3-name",)),
     ("GPL-2.0", ("gpl-2-name",)),
     ("GPL", ("gpl-any-name",)),
     ("GPL", ("gpl-free",)),
+    ("BSD-4-Clause", ("bsd-redistribution", "bsd-advert", "bsd-endorse")),
     ("BSD-3-Clause", ("bsd-redistribution", "bsd-endorse")),
     ("BSD-3-Clause", ("bsd-3-name",)),
     ("BSD-2-Clause", ("bsd-2-name",)),
     ("BSD-2-Clause", ("bsd-redistribution",)),
+    ("ISC", ("isc-grant", "isc-as-is")),
+    ("ISC", ("isc-grant",)),
+    ("0BSD", ("0bsd-grant", "isc-as-is")),
+    ("Zlib", ("zlib-grant",)),
+    ("BSL-1.0", ("bsl-title", "bsl-grant")),
+    ("BSL-1.0", ("bsl-grant",)),
+    ("BSL-1.0", ("bsl-name",)),
+    ("Unlicense", ("unlicense",)),
+    ("EPL-1.0", ("epl-1-name",)),
+    ("EPL-2.0", ("epl-2-name",)),
+    ("WTFPL", ("wtfpl-title",)),
+    ("MPL-2.0", ("mpl-2-form",)),
+    ("MPL-2.0", ("mpl-2-title",)),
     ("MPL-2.0", ("mpl-2-name",)),
     ("CC-BY-NC", ("cc-by-nc-name",)),
     ("CC-BY-SA", ("cc-by-sa-name",)),
@@ -85,17 +146,17 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 #: Unknown sentences that may stand between two of a rule.
 MAX_GAP = 3
 
-_BREAK = re.compile(r"\n|(?<=[.!?;])\s")
+_END = re.compile(r"(?<=[.!?;])\s")
 _NOISE = re.compile(r"[^a-z0-9]+")
 #: Comment marks and indents at the start of a line that a wrapped sentence goes on in.
-_MARGIN = re.compile(r"^[ \t]*(?:(?://+|#+|\*+|;+|--+|/\*+|>+|%+)[ \t]*)?")
+_MARGIN = re.compile(r"[ \t]*(?:(?://+|#+|\*+|;+|--+|/\*+|>+|%+)[ \t]*)?")
 #: Lines that a sentence may be wrapped over, all of known ones have fewer at 70 columns.
 MAX_LINES = 24
 #: How sentences begin that are long enough to be wrapped.
-_START = re.compile(r"[\W_]*(?:permission is|the above|the software|this |redistribution|neither|either version|you may|released|licensed|distributed|available|dedicated|marked|subject|copyright|\(c\)|all rights|the mit|mit|(?:the )?apache)", re.I)
+_START = re.compile(r"[\W_]*(?:permission |all advertising|except as|gnu general|boost|mozilla|the above|the software|this |redistribution|neither|either version|you may|released|licensed|distributed|available|dedicated|marked|subject|copyright|\(c\)|all rights|the mit|mit|(?:the )?apache)", re.I)
 _HELD = re.compile(r"[\W_]*(?:copyright\b|\(c\)|©)[^\n]*?\b(all rights reserved)[.\s]*", re.I)
 _SPDX = re.compile(r"spdx-license-identifier\s*:\s*([A-Za-z0-9.+:() \t-]+?)\s*(?:\*/|-->|$)", re.I)
-_HINT = re.compile(r"licen[cs]|permission|redistribut|rights reserved|warrant|copyright|public domain|endorse|cc0|free software|spdx|later version", re.I)
+_HINT = re.compile(r"licen[cs]|permission|redistribut|rights reserved|warrant|copyright|public\s+domain|unencumbered|advertis|endorse|cc0|free software|spdx|later version", re.I)
 _TABLE = [(name, re.compile(p)) for name, p in SENTENCES]
 
 
@@ -111,37 +172,39 @@ def sentence_id(sentence: str) -> str | None:
 
 
 def sentences(text: str) -> Iterator[tuple[int, int, int]]:
-    """(number, start, end) of the sentences of a text."""
-    at = k = 0
-    for m in _BREAK.finditer(text):
-        if text[at : m.start()].strip():
-            yield k, at, m.start()
-            k += 1
-        at = m.end()
-    if text[at:].strip():
-        yield k, at, len(text)
-
-
-def _follows(text: str, a: int, b: int) -> str:
-    """What lies between two pieces: "wrap" for one line break in a paragraph, "end" after an end mark, "paragraph" or "part"."""
-    last, gap = text[:a][-2:].rstrip()[-1:], text[a:b]
-    if gap.count("\n") > 1 or gap.strip():
-        return "paragraph"
-    if last == ";":
-        return "part"
-    return "end" if last in (".", "!", "?") else "wrap"
+    """(line, start, end) of the pieces of a text: lines without their margin, cut after end marks."""
+    at = line = 0
+    while at <= len(text):
+        stop = text.find("\n", at)
+        stop = len(text) if stop < 0 else stop
+        begin = _MARGIN.match(text, at, stop).end()
+        for m in _END.finditer(text, begin, stop):
+            if text[begin : m.start()].strip():
+                yield line, begin, m.start()
+            begin = m.end()
+        if text[begin:stop].strip():
+            yield line, begin, stop
+        at, line = stop + 1, line + 1
 
 
 def _identified(text: str) -> Iterator[tuple[int, str, int, int]]:
     """(number, identifier, start, end) of the known sentences; wrapped lines count as one sentence."""
-    cuts = [(a, b) for _, a, b in sentences(text)]
-    lines = [_MARGIN.sub("", text[a:b]).strip() for a, b in cuts]
+    cuts = list(sentences(text))
+    lines = [text[a:b].strip() for _, a, b in cuts]
     names = [sentence_id(x) if _HINT.search(x) else None for x in lines]
-    joins = ["paragraph"] + ["paragraph" if not (lines[i] and lines[i - 1]) else _follows(text, cuts[i - 1][1], cuts[i][0]) for i in range(1, len(cuts))]
+
+    def follows(i: int) -> str:
+        """How a piece follows the one before: "wrap" within a sentence, "end" after its end mark, "part" after a semicolon, "paragraph"."""
+        if i == 0 or cuts[i][0] - cuts[i - 1][0] > 1:
+            return "paragraph"
+        last = lines[i - 1][-1]
+        return "part" if last == ";" else "end" if last in ".!?" else "wrap"
+
+    joins = [follows(i) for i in range(len(cuts))]
     k = i = 0
     while i < len(cuts):
         if joins[i] != "wrap" and any(map(str.isalpha, lines[i - 1] if i else "")):
-            k += 1  # list numbers and empty comment lines are no sentences
+            k += 1  # list numbers are no sentences
         name, last = names[i], i
         if _START.match(lines[i]):
             whole = lines[i]
@@ -155,7 +218,7 @@ def _identified(text: str) -> Iterator[tuple[int, str, int, int]]:
                         name, last = found, j
                     break
         if name:
-            yield k, name, cuts[i][0], cuts[last][1]
+            yield k, name, cuts[i][1], cuts[last][2]
         i = last + 1
 
 

@@ -144,6 +144,75 @@ def test_licences_as_they_are_published(text, wanted, rule):
     assert [x[:2] for x in license_scan.find_licences(f"Prose before.\n\n{text}\nProse after it\n")] == [(wanted, rule)]
 
 
+#: Paragraphs of licences as they are published, and what they mean.
+PUBLISHED = {
+    "MIT": [
+        "MIT License",
+        "Copyright (c) 2021 Some Body",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    ],
+    "BSD-2-Clause": [
+        "Copyright (c) 2021, Some Body",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+    ],
+    "Apache-2.0": [
+        "Copyright 2021 Some Body",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+        "http://www.apache.org/licenses/LICENSE-2.0",
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    ],
+    "GPL-2.0-or-later": [
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ],
+    "GPL-3.0-or-later": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ],
+    "GPL-2.0": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."],
+    "LGPL-2.1-or-later": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "AGPL-3.0-or-later": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
+    "ISC": [
+        "Copyright (c) 2021, Some Body",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+    ],
+    "Zlib": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software."],
+    "CC-BY": ["This work is licensed under the Creative Commons Attribution 4.0 International License.", "To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/."],
+}
+PUBLISHED["BSD-3-Clause"] = [*PUBLISHED["BSD-2-Clause"][:-1], "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", PUBLISHED["BSD-2-Clause"][-1]]
+PUBLISHED["BSD-4-Clause"] = [*PUBLISHED["BSD-2-Clause"][:-1], "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by Some Body.", "4. Neither the name of Some Body nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", PUBLISHED["BSD-2-Clause"][-1]]
+PUBLISHED["X11"] = [*PUBLISHED["MIT"][1:], "Except as contained in this notice, the name of Some Body shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software without prior written authorization from Some Body."]
+
+
+@pytest.mark.parametrize("licence", sorted(PUBLISHED))
+def test_full_texts_are_found_however_they_are_wrapped(licence):
+    import textwrap
+
+    for width in (1_000, 100, 80, 76, 72, 66):
+        for mark in ("", "// ", "# ", " * ", "> ", ";; "):
+            for newline in ("\n", "\r\n"):
+                lines = []
+                for p in PUBLISHED[licence]:
+                    lines += [mark + x for x in textwrap.wrap(p, width, break_long_words=False, break_on_hyphens=False)] + [mark.rstrip()]
+                text = newline.join(["A first line of prose.", "", *lines, "", "x = 1  # and code that says nothing", ""])
+                assert list(dict.fromkeys(x[0] for x in license_scan.find_licences(text))) == [licence], (width, mark)
+
+
+def test_scan_of_a_very_long_text(spark):
+    prose = "Copyright matters and a permission is not a licence. " * 40_000
+    body = "\n\n".join(PUBLISHED["MIT"][2:])
+    docs = spark.createDataFrame([(1, f"{prose}\n\n{body}\n\n{prose}"), (2, prose)], "doc_id bigint, text string")
+    assert {r.doc_id: r.licences for r in license_scan.scan_licences(docs).collect()} == {1: ["MIT"], 2: []}
+
+
 def test_rules_match_brute_force_sequences():
     rng = random.Random(4)
     names = ["a", "b", "c"]
