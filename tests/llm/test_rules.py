@@ -224,6 +224,32 @@ def test_a_bad_host_goes_and_a_small_one_is_shrunk(spark):
     assert {r.source for r in kept.select("source").distinct().collect()} == {f"h{i}" for i in range(40)}
 
 
+def test_host_verdicts_are_those_of_sql(spark):
+    import duckdb
+
+    rng = random.Random(41)
+    good, junk = "one two three four five six seven eight nine ten eleven twelve", "# $ % & | < > * # $ % & one"
+    rows = [(i, rng.choice([junk] * 9 + [good]), "en", "noisy", 0) for i in range(300)] + [(1000 + i, rng.choice([good] * 9 + [junk, "short", "x " * 40]), "en", f"h{i % 30}", 0) for i in range(1500)]
+    rows += [(5000 + i, "bad", "en", "short", 0) for i in range(60)] + [(6000, "bad", "en", None, 0), (6001, good, "en", "single", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    wanted = con.sql(quality.ORACLE)
+    got = quality.quality_report(docs).select(*wanted.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(wanted.fetchall())
+    gone = {r.source for r in docs.join(got.filter("host_rejected"), "doc_id").select("source").distinct().collect()}
+    assert gone == {"noisy", "short"}
+    # documents that pass by themselves go with their host
+    assert got.filter("host_rejected and not base_failed and not kept").count() > 20
+
+
+def test_a_very_long_text_is_measured_whole(spark):
+    text = "\n".join(f"w{k % 977} v{k % 1013} u{k}" for k in range(60_000)) + " # end end end end end end"
+    docs = spark.createDataFrame([(1, text, "en", "s", 0)], SCHEMA)
+    r = quality.quality_report(docs).collect()[0]
+    assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute_quality(text)
+
+
 def test_quality_of_odd_tables(spark):
     docs = spark.createDataFrame([(1, None, None, "x"), (1, None, None, "x")], "doc_id bigint, text string, source string, kept string")
     assert [(r.n_words, r.kept) for r in quality.quality_report(docs).collect()] == [(0, False)] * 2
@@ -394,32 +420,61 @@ def test_transforms_count_the_bits_of_long_recordings():
 # the registered queries and the pipeline ------------------------------------------------
 
 
-def test_pipeline_stages_keep_their_promises(spark):
+def brute_mask(text):
+    """Spans that touch or overlap in order, the first of them named, until nothing is found."""
+    while found := brute_secrets(text):
+        spans = [(int(a), int(b), k) for k, a, b in (x.split(":") for x in found.split(","))]
+        out, at = "", 0
+        for a, b, kind in spans:
+            if a >= at:
+                out += text[at:a] + f"[{kind.upper()}]"
+            at = max(at, b)
+        text = out + text[at:]
+    return text
+
+
+def test_pipeline_stages_are_those_of_brute_force(spark):
     import corpus_pipeline
-    from tessellore.llm import minhash, mixing
+    from pyspark.sql import functions as F
+    from tessellore.llm import mixing
+
+    from .test_counts import brute_mix, check_packing
+    from .test_pairs import brute_near
 
     docs = table(spark, SF, "documents")
     columns = docs.columns
-    rows = {r.doc_id: r for r in docs.collect()}
     seen = docs
     for name, stage in corpus_pipeline.STAGES:
-        before = seen
+        before, rows = seen, {r.doc_id: r for r in seen.collect()}
         seen = stage(spark, before, SF)
         if name != "best_fit_packing":
             assert seen.columns == columns
         if name == "quality_rules":
             assert {r.doc_id for r in seen.collect()} == {i for i, r in rows.items() if not brute_quality(r.text)[5]}
         if name == "near_dedup":
-            classes = {r.doc_id: r.component_id for r in minhash.near_classes(before.select("doc_id", "text"), minhash.Rule(5, 80)).collect()}
-            assert sorted(r.doc_id for r in seen.collect()) == sorted(i for i, c in classes.items() if i == c)
+            near = brute_near([(i, r.text) for i, r in rows.items()], 5, 80)
+            assert sorted(r.doc_id for r in seen.collect()) == sorted(i for i, x in near.items() if x[2])
         if name == "secret_scans":
-            assert {r.doc_id: r.text for r in seen.collect()} == {r.doc_id: secret_scan.mask(r.text) for r in before.collect()}
+            after = {r.doc_id: r for r in seen.collect()}
+            assert {i: r.text for i, r in after.items()} == {i: brute_mask(r.text) for i, r in rows.items()}
+            assert all(r.n_chars == len(r.text) for r in after.values())
         if name == "source_mixing":
-            copies = {r.doc_id: r.copies for r in mixing.mix_report(before).collect() if r.copies}
-            assert Counter(r.doc_id for r in seen.collect()) == copies
-    pieces = seen.collect()
-    assert {r.doc_id for r in pieces} == set(copies)
-    assert sum(r.piece == 0 for r in pieces) == sum(copies.values())
+            size = mixing.word_count(F.col("text"))
+            keys = {r[0]: r[1] for r in before.select("doc_id", mixing.sampling_key([F.col("doc_id"), size], mixing.default_quality(F.col("text"), size))).collect()}
+            copies = brute_mix([(i, r.text, r.source) for i, r in rows.items()], keys)
+            assert Counter(r.doc_id for r in seen.collect()) == {i: c for i, (c, _) in copies.items() if c}
+        if name == "best_fit_packing":
+            texts = [(r.doc_id, r.text) for r in before.collect()]
+            pieces = seen.collect()
+    assert Counter(r.doc_id for r in pieces if r.piece == 0) == Counter(i for i, _ in texts)
+    once = {i: t for i, t in texts}
+    groups = {}
+    for r in pieces:
+        groups.setdefault((r.doc_id, r.piece), []).append(r)
+    firsts = [g[0] for g in groups.values()]
+    assert all({(x.start, x.length, x.ids_crc32) for x in g} == {(g[0].start, g[0].length, g[0].ids_crc32)} for g in groups.values())
+    check_packing(firsts, once, places=False)
+    check_packing(pieces, {}, places=True)
 
 
 def test_every_query_has_a_name_of_its_operator():
