@@ -1,5 +1,7 @@
 """Hand cases of the text functions and of the plain Python parts."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,8 +70,53 @@ def test_front_matter():
     assert udf.split_front_matter("---\n- a\n---\nb") == ("{}", "b")
 
 
+def test_a_row_without_a_divider_is_no_table():
+    assert udf.markdown_blocks("| a |") == [("paragraph", "| a |")]
+    assert udf.markdown_blocks("a | b\n--- | ---\n| 1 | 2 |\n\n##### five\n1) x\n2. y") == [("table", "a | b\n1 | 2"), ("paragraph", "##### five"), ("ordered-list", "x\ny")]
+    assert udf.markdown_inlines("a **b** `c` [d](/papers/e.md) ![f](g) _h_") == [("text", "a ", None), ("strong", "b", None), ("text", " ", None), ("code", "c", None), ("text", " ", None), ("link", "d", "/papers/e.md"), ("text", " ", None), ("text", "f", None), ("text", " ", None), ("em", "h", None)]
+
+
+def brute_fold(source):
+    import unicodedata
+
+    source = unicodedata.normalize("NFKC", source)
+    source = re.sub(r"-\s+(?=[a-z])", "", source.replace("\u00ad", ""))
+    return re.sub(r"\s+", " ", re.sub("[.,;:()\\[\\]\"'“”‘’…]", "", source)).strip().lower()
+
+
+def test_folding_and_its_places_over_random_texts():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(2000):
+        raw = "".join(rng.choice("aB c-\n.,(“é ﬁＡ x") for _ in range(rng.randint(0, 40)))
+        folded, places = udf.fold(udf.nfkc(raw))
+        assert folded == brute_fold(raw)
+        assert len(places) == len(folded) and places == sorted(places)
+        source = udf.nfkc(raw)
+        assert all(c == " " or source[p].lower() == c for c, p in zip(folded, places))
+        if folded:
+            words = folded.split(" ")
+            a = rng.randrange(len(words))
+            wanted = " ".join(words[a : rng.randint(a + 1, len(words))])
+            if brute_fold(wanted) == wanted:  # a lower-cased text may have hyphens that break a word
+                assert wanted in udf.fold(udf.snap_quote(wanted, raw))[0]
+
+
+def test_cut_texts_lose_nothing():
+    import random
+
+    rng = random.Random(6)
+    for _ in range(300):
+        raw = "".join(rng.choice(["word ", "\n\n", "\n", "x" * rng.randint(1, 30)]) for _ in range(rng.randint(0, 60)))
+        cut = udf.segments(raw, 50)
+        assert all(0 < len(x) <= 50 for x in cut) and "".join("".join(cut).split()) == "".join(raw.split())
+        joined = udf.passages(raw, 20, 40)
+        assert all(0 < len(x) <= 40 for x in joined) and "".join("".join(joined).split()) == "".join(raw.split())
+
+
 def test_blocks():
-    kinds = [k for k, _ in udf.markdown_blocks("# T\n\npara\nmore\n- a\n- b\n> q\n```\ncode\n```\n---\n| a |")]
+    kinds = [k for k, _ in udf.markdown_blocks("# T\n\npara\nmore\n- a\n- b\n> q\n```\ncode\n```\n---\n| a |\n|---|")]
     assert kinds == ["heading1", "paragraph", "list", "quote", "code", "rule", "table"]
 
 
