@@ -37,7 +37,7 @@ from .components import components
 CELL = 512
 CELL_BYTES = 64 << 20
 PIVOTS = 32
-HELD_BYTES = 8 << 20
+HELD_BYTES = 1 << 20
 MISS = 1e-6
 BATCH = 24
 WORD_CACHE = 100_000
