@@ -7,19 +7,16 @@ from pyspark.sql import functions as F
 
 from tessellore import schema
 from tessellore.functions import text
+from tessellore.operators.names import rank_within, unique_names
 
 
 def citation_keys(papers: DataFrame) -> DataFrame:
-    """``id, key`` unique by construction: the first paper of a key keeps it, others add their id's slug, then a number.
-
-    Two window passes, each over the papers of one key.
-    """
+    """``id, key``: the first paper of a key keeps it, others add their id's slug; what still repeats is numbered until no key does."""
     base = papers.select("id", text.citation_key(F.col("title"), F.col("published")).alias("base"))
-    first = F.row_number().over(Window.partitionBy("base").orderBy("id"))
     slug = F.substring(F.regexp_replace(F.regexp_replace("id", "^papers/", ""), "[^A-Za-z0-9]+", ""), 1, 12)
-    tried = base.withColumn("key", F.when(first == 1, F.col("base")).otherwise(F.concat("base", slug)))
-    again = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-    return tried.select("id", F.when(again == 1, F.col("key")).otherwise(F.concat("key", again.cast("string"))).alias("key"))
+    tried = rank_within(base, "base", "id").select("id", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat("base", slug)).alias("base"))
+    none = papers.sparkSession.createDataFrame([], "name string")
+    return unique_names(tried, none, glue="").select("id", F.col("name").alias("key"))
 
 
 def bibtex(papers: DataFrame) -> DataFrame:
