@@ -120,10 +120,12 @@ def latin_tokens(text: Column) -> Column:
 
 def han_tokens(text: Column, stops: str = HAN_STOPS) -> Column:
     """Single Han characters but stops, and the pairs of the text's Han characters in a row."""
-    han = F.regexp_replace(text, r"[^\p{IsHan}]", "")
-    size = F.length(han)
-    at = lambda n, w: F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(han, i, F.lit(w)))).otherwise(F.array().cast("array<string>"))
-    return F.concat(F.filter(at(size, 1), lambda c: ~F.lit(stops).contains(c)), at(size - 1, 2))
+    def both(chars: Column) -> Column:
+        pairs = F.filter(F.transform(chars, lambda c, i: F.concat(c, F.get(chars, i + 1))), lambda p: p.isNotNull())
+        return F.concat(F.filter(chars, lambda c: ~F.lit(stops).contains(c)), pairs)
+
+    found = F.regexp_extract_all(text, F.lit(r"\p{IsHan}"), F.lit(0))
+    return let(found, both)
 
 
 def fts_tokens(text: Column) -> Column:
@@ -236,7 +238,9 @@ def cite_ids(body: Column) -> Column:
 
 
 def citation_key(title: Column, published: Column) -> Column:
-    return F.concat(F.substring(F.regexp_replace(F.lower(title), r"[^\p{L}\p{N}]", ""), 1, 24), F.coalesce(published_year(published), F.lit("")))
+    """The letters and digits of a title, 24 at most, and its year."""
+    plain = F.substring(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), "[^a-z0-9]+", ""), 1, 24)
+    return F.concat(F.coalesce(F.nullif(plain, F.lit("")), F.lit("paper")), F.coalesce(published_year(published), F.lit("")))
 
 
 def escape_bib(text: Column) -> Column:
@@ -303,3 +307,178 @@ def fingerprint16(text: Column) -> Column:
 
 def biblio_score(same_doi: Column, overlap: Column, same_year: Column) -> Column:
     return F.when(same_doi, F.lit(1.0)).when((overlap >= 0.95) & same_year, F.lit(0.95)).when(overlap >= 0.95, F.lit(0.88)).when((overlap >= 0.6) & same_year, F.lit(0.55)).otherwise(F.least(overlap * 0.4, F.lit(0.4)))
+
+
+# links and generated blocks -----------------------------------------------------------
+def ensure_href(body: Column, title: Column, href: Column) -> Column:
+    """The body with a list item that links to ``href``, unless it names it."""
+    item = F.concat(F.lit("\n\n- ["), title, F.lit("]("), href, F.lit(")\n"))
+    return F.when(F.contains(body, href), body).otherwise(F.concat(F.regexp_replace(body, r"\s+$", ""), item))
+
+
+#: The form of a generated block, its name and its content.
+BLOCK = r"<!-- generated:([A-Za-z0-9_-]+) -->\s*([\s\S]*?)\s*<!-- /generated:\1 -->"
+_BLOCK_WHOLE = r"(<!-- generated:([A-Za-z0-9_-]+) -->[\s\S]*?<!-- /generated:\2 -->)"
+
+
+def wrap_generated(name: Column, content: Column) -> Column:
+    return F.concat(F.lit("<!-- generated:"), name, F.lit(" -->\n"), strip(content), F.lit("\n<!-- /generated:"), name, F.lit(" -->"))
+
+
+def generated_blocks(body: Column) -> Column:
+    """(name, content) of the generated blocks of a body, in order."""
+    pairs = F.arrays_zip(F.regexp_extract_all(body, F.lit(BLOCK), F.lit(1)).alias("name"), F.regexp_extract_all(body, F.lit(BLOCK), F.lit(2)).alias("content"))
+    return F.transform(pairs, lambda p: F.struct(p["name"].alias("name"), strip(p["content"]).alias("content")))
+
+
+def _each_block(body: Column, decide) -> Column:
+    """The body with each generated block replaced by ``decide(name, block)``."""
+    names, whole = F.regexp_extract_all(body, F.lit(_BLOCK_WHOLE), F.lit(2)), F.regexp_extract_all(body, F.lit(_BLOCK_WHOLE), F.lit(1))
+    between = F.split(body, _BLOCK_WHOLE, -1)
+    return F.array_join(F.transform(between, lambda b, i: F.concat(b, F.coalesce(decide(F.get(names, i), F.get(whole, i)), F.lit("")))), "")
+
+
+def strip_generated_blocks(body: Column, names: tuple[str, ...] | None = None) -> Column:
+    """The body without its generated blocks, or without the named ones."""
+    gone = (lambda name: F.lit(True)) if names is None else (lambda name: name.isin(*names))
+    left = strip(F.regexp_replace(_each_block(body, lambda name, block: F.when(gone(name), F.lit("")).otherwise(block)), r"\n{3,}", "\n\n"))
+    return F.when(left == "", F.lit("")).otherwise(F.concat(left, F.lit("\n")))
+
+
+def merged_generated(existing: Column, incoming: Column) -> Column:
+    """The existing body with its generated blocks renewed from the incoming one; new ones are appended, human text stays."""
+    new = generated_blocks(incoming)
+
+    def renewed(name: Column, block: Column) -> Column:
+        found = F.filter(new, lambda b: b["name"] == name)
+        return F.when(F.size(found) > 0, wrap_generated(name, F.element_at(found, -1)["content"])).otherwise(block)
+
+    had = F.transform(generated_blocks(existing), lambda b: b["name"])
+    names = F.array_distinct(F.transform(new, lambda b: b["name"]))
+    more = F.filter(names, lambda n: ~F.array_contains(had, n))
+    last = lambda n: F.element_at(F.filter(new, lambda b: b["name"] == n), -1)["content"]
+    out = F.aggregate(more, _each_block(existing, renewed), lambda body, n: F.concat(F.regexp_replace(body, r"\s+$", ""), F.lit("\n\n"), wrap_generated(n, last(n)), F.lit("\n")))
+    return F.when(F.size(new) == 0, existing).when(out.endswith("\n"), out).otherwise(F.concat(out, F.lit("\n")))
+
+
+# visual sections ----------------------------------------------------------------------
+#: The headings of what was read from page images and of the text layer.
+VISUAL, EMBEDDED = "## Visual extracts", "## Embedded text layer"
+#: Characters of a page's section below which it counts as empty.
+SECTION_CHARS = 10
+
+
+def strip_visual(body: Column) -> Column:
+    """A body without its visual section."""
+    at = F.instr(body, f"\n{VISUAL}")
+    return F.when(at > 0, F.regexp_replace(F.substring(body, F.lit(1), at - 1), r"\s+$", "")).when(body.startswith(VISUAL), F.lit("")).otherwise(F.regexp_replace(body, r"\s+$", ""))
+
+
+def merge_visual(layer: Column, visual: Column, scan: Column) -> Column:
+    """A text layer and what was read from images: for scans the latter comes first."""
+    seen, own = strip(visual), strip(strip_visual(layer))
+    scanned = F.when(seen == "", own).when(own == "", F.concat(seen, F.lit("\n"))).otherwise(F.concat(seen, F.lit(f"\n\n{EMBEDDED}\n\n"), own, F.lit("\n")))
+    section = F.concat(F.lit(f"{VISUAL}\n\n"), seen, F.lit("\n"))
+    plain = F.when(seen == "", F.when(own == "", own).otherwise(F.concat(own, F.lit("\n")))).when(own == "", section).otherwise(F.concat(own, F.lit("\n\n"), section))
+    return F.when(scan, scanned).otherwise(plain)
+
+
+def visual_section(body: Column, scan: Column) -> Column:
+    """What a body holds from images, or an empty text."""
+    embedded, marked = F.instr(body, f"\n{EMBEDDED}"), F.instr(body, f"\n{VISUAL}")
+    scanned = F.when(embedded > 0, strip(F.substring(body, F.lit(1), embedded - 1))).when(body.rlike(r"(?m)^### Page \d+"), strip(body)).otherwise("")
+    after = F.when(body.startswith(VISUAL), F.substring(body, F.lit(len(VISUAL) + 1), F.length(body))).when(marked > 0, F.substring(body, marked + len(VISUAL) + 1, F.length(body))).otherwise("")
+    return F.when(scan, scanned).otherwise(strip(after))
+
+
+def join_visual(before: Column, more: Column) -> Column:
+    return F.concat_ws("\n\n", F.nullif(strip(before), F.lit("")), F.nullif(strip(more), F.lit("")))
+
+
+def vision_problem(markdown: Column, pages: Column) -> Column:
+    """What is wrong with a transcript of pages: headings that lack, else sections that are as good as empty; null if nothing."""
+    heading = r"### Page (\d+)\s*\n"
+    numbers = F.regexp_extract_all(markdown, F.lit(heading), F.lit(1))
+    bodies = F.slice(F.split(markdown, heading, -1), 2, F.size(numbers) + 1)
+    place = lambda p: F.array_position(numbers, p.cast("string"))
+    named = lambda some: F.array_join(F.transform(some, lambda p: p.cast("string")), ",")
+    missing = F.filter(pages, lambda p: place(p) == 0)
+    empty = F.filter(pages, lambda p: (place(p) > 0) & (F.length(strip(F.coalesce(F.get(bodies, (place(p) - 1).cast("int")), F.lit("")))) < SECTION_CHARS))
+    return F.when(F.size(missing) > 0, F.concat(F.lit("missing headings for page(s) "), named(missing))).when(F.size(empty) > 0, F.concat(F.lit("near-empty output for page(s) "), named(empty)))
+
+
+def page_plan(pages: Column, most: int | None = None) -> Column:
+    """Numbers of the pages (``page, text, has_image``) that need vision, the first ``most`` of them."""
+    wanted = F.array_sort(F.transform(F.filter(pages, lambda p: needs_vision(p["text"], p["has_image"])), lambda p: p["page"]))
+    return wanted if most is None else F.slice(wanted, 1, most)
+
+
+# replies and scopes -------------------------------------------------------------------
+#: Code points that are pictographs by themselves.
+PICTOGRAPHS = (
+    r"\u00A9\u00AE\u203C\u2049\u2122\u2139\u2194-\u2199\u21A9\u21AA\u231A\u231B\u2328\u2388\u23CF\u23E9-\u23F3\u23F8-\u23FA\u24C2\u25AA\u25AB\u25B6\u25C0\u25FB-\u25FE"
+    r"\u2600-\u2605\u2607-\u2612\u2614-\u2685\u2690-\u2705\u2708-\u2712\u2714\u2716\u271D\u2721\u2728\u2733\u2734\u2744\u2747\u274C\u274E\u2753-\u2755\u2757\u2763-\u2767"
+    r"\u2795-\u2797\u27A1\u27B0\u27BF\u2934\u2935\u2B05-\u2B07\u2B1B\u2B1C\u2B50\u2B55\u3030\u303D\u3297\u3299"
+    r"\x{1F000}-\x{1F0FF}\x{1F10D}-\x{1F10F}\x{1F12F}\x{1F16C}-\x{1F171}\x{1F17E}\x{1F17F}\x{1F18E}\x{1F191}-\x{1F19A}\x{1F1AD}-\x{1F1E5}\x{1F201}-\x{1F20F}\x{1F21A}\x{1F22F}"
+    r"\x{1F232}-\x{1F23A}\x{1F23C}-\x{1F23F}\x{1F249}-\x{1F3FA}\x{1F400}-\x{1F53D}\x{1F546}-\x{1F64F}\x{1F680}-\x{1F6FF}\x{1F774}-\x{1F77F}\x{1F7D5}-\x{1F7FF}\x{1F80C}-\x{1F80F}"
+    r"\x{1F848}-\x{1F84F}\x{1F85A}-\x{1F85F}\x{1F888}-\x{1F88F}\x{1F8AE}-\x{1F8FF}\x{1F90C}-\x{1F93A}\x{1F93C}-\x{1F945}\x{1F947}-\x{1FAFF}\x{1FC00}-\x{1FFFD}"
+)
+
+
+def strip_emoji(value: Column) -> Column:
+    """A text without pictographs, their joiners and variants; the blanks that they leave shrink."""
+    bare = F.regexp_replace(value, rf"[{PICTOGRAPHS}](?:[\uFE0F\uFE0E]?\u200D[{PICTOGRAPHS}])*|[\x{{1F3FB}}-\x{{1F3FF}}\u20E3\uFE0F\uFE0E]", "")
+    return strip(F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, r"[ \t]+\n", "\n"), " {2,}", " "), r"\n{3,}", "\n\n"))
+
+
+def parse_reply(raw: Column) -> Column:
+    """(thinking, answer) of a model's reply: closed thoughts, then one left open, and what remains."""
+    closed = r"(?is)<think(?:ing)?\b[^>]*>(.*?)</think(?:ing)?>"
+    opened = r"(?is)<think(?:ing)?\b[^>]*>(.*)$"
+    rest = F.regexp_replace(raw, closed, "\n")
+    thoughts = F.concat(F.regexp_extract_all(raw, F.lit(closed), F.lit(1)), F.regexp_extract_all(rest, F.lit(opened), F.lit(1)))
+    answer = F.regexp_replace(F.regexp_replace(rest, opened, ""), r"(?i)</think(?:ing)?>", "")
+    return F.struct(F.filter(F.transform(thoughts, strip_emoji), lambda t: t != "").alias("thinking"), strip_emoji(answer).alias("answer"))
+
+
+def coverage_years(question: Column) -> Column:
+    """(low, high) of the years from 1900 to 2099 that a question names; null without any."""
+    years = F.regexp_extract_all(question, F.lit(r"(?<![A-Za-z0-9_])((?:19|20)\d{2})(?![A-Za-z0-9_])"), F.lit(1))
+    return F.struct(F.array_min(years).alias("low"), F.array_max(years).alias("high"))
+
+
+def asks_coverage(question: Column) -> Column:
+    return question.rlike(r"(?i)缺口|空白|缺年|覆盖|coverage|(?<![A-Za-z0-9_])gap(?![A-Za-z0-9_])|missing year|which years|未定期")
+
+
+# manuscripts --------------------------------------------------------------------------
+def latex_body(markdown: Column) -> Column:
+    """Headings and strong words of a body as LaTeX commands; titles are escaped line by line."""
+    def line(x: Column) -> Column:
+        level = F.length(F.regexp_extract(x, "^(#{1,4}) (.+)$", 1))
+        command = F.get(F.array(*map(F.lit, ("", r"\section*", r"\section", r"\subsection", r"\subsubsection"))), level)
+        return F.when(level > 0, F.concat(command, F.lit("{"), escape_latex_text(F.regexp_extract(x, "^(#{1,4}) (.+)$", 2)), F.lit("}"))).otherwise(x)
+
+    return F.regexp_replace(F.array_join(F.transform(F.split(markdown, "\n"), line), "\n"), r"\*\*([^*]+)\*\*", r"\\textbf{$1}")
+
+
+def escape_latex_text(value: Column) -> Column:
+    """The special characters of LaTeX as commands; each is met once."""
+    swaps = {"\\": r"\textbackslash{}", "{": r"\{", "}": r"\}", "$": r"\$", "&": r"\&", "#": r"\#", "^": r"\textasciicircum{}", "_": r"\_", "%": r"\%", "~": r"\textasciitilde{}"}
+    table = F.create_map(*[F.lit(x) for pair in swaps.items() for x in pair])
+    characters = F.filter(F.split(value, ""), lambda c: c != "")
+    return F.array_join(F.transform(characters, lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+
+
+def latex_document(title: Column, body: Column, stem: Column) -> Column:
+    head = F.concat(F.lit("\\documentclass{article}\n\\usepackage{hyperref}\n\\title{"), escape_latex_text(title), F.lit("}\n\\begin{document}\n\\maketitle\n\n"))
+    return F.concat(head, strip(latex_body(body)), F.lit("\n\n\\bibliographystyle{plain}\n\\bibliography{"), stem, F.lit("}\n\\end{document}\n"))
+
+
+def pandoc_document(title: Column, body: Column) -> Column:
+    return F.concat(F.lit('---\ntitle: "'), F.regexp_replace(title, r'([\\"])', r"\\$1"), F.lit('"\n---\n\n'), strip(body), F.lit("\n"))
+
+
+def manuscript_stem(path: Column) -> Column:
+    name = F.regexp_replace(F.regexp_replace(path, "^/*surveys/", ""), r"(?i)\.md$", "")
+    return F.coalesce(F.nullif(F.regexp_replace(name, "[^A-Za-z0-9._-]+", "-"), F.lit("")), F.lit("survey"))

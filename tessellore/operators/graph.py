@@ -8,16 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellore import schema
-from tessellore.storage import cut
-
-#: Rows of a side that may be sent to all executors; beyond it the join shuffles.
-BROADCAST_ROWS = 50_000
-
-
-def sized_broadcast(frame: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """The frame with a broadcast hint only if a count of at most ``limit`` + 1 rows shows it small."""
-    return F.broadcast(frame) if frame.limit(limit + 1).count() <= limit else frame
-
+from tessellore.storage import cut, sized_broadcast
 
 def edge_list(concepts: DataFrame) -> DataFrame:
     """``src, pos, dst`` of the outgoing links of concepts, dangling targets included."""
@@ -148,3 +139,160 @@ def issues(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     category = F.when(paper & (F.col("n") == 0), "isolated-paper").when(paper & (F.col("n_other") == 0), "claim-only-paper").when(hub & (F.col("n") == 0), "isolated-concept").when(hub & (F.col("n_in") == 0), "unreferenced-concept")
     dead = edges.join(nodes.select(F.col("id").alias("dst")), "dst", "left_anti").select(F.lit("dead-link").alias("category"), F.concat_ws(" -> ", "src", "dst").alias("id"))
     return full.select(category.alias("category"), "id").filter("category is not null").unionByName(dead)
+
+
+#: Nodes of a filtered graph, papers that stand for it, years and papers of its default window.
+FILTER_NODES, FILTER_PAPERS, WINDOW_YEARS, WINDOW_PAPERS = 180, 80, 15, 80
+
+
+def newest(papers: DataFrame, most: int) -> DataFrame:
+    return papers.orderBy(F.coalesce("published", F.lit("")).desc(), "id").limit(most)
+
+
+def filter_graph(nodes: DataFrame, edges: DataFrame, *, types: Sequence[str], this_year: int, low: str | None = None, high: str | None = None, seeds: DataFrame | None = None, depth: int = 1, most: int = FILTER_NODES, claim_degree: int = 0) -> tuple[DataFrame, bool]:
+    """``id`` of the nodes that a view shows, and whether it was cut.
+
+    A graph that fits is shown whole. Else it grows from seeds: the query's (``seeds``: id),
+    the papers within the years, or the papers of the last fifteen years, if any, when more
+    than eighty are dated. What is still too large without a query is the neighbourhood of
+    its newest papers, cut by id.
+    """
+    every = graph_nodes(nodes)
+    shown = every.filter(F.col("type").isin(*types))
+    if claim_degree > 0:
+        weak = degree(nodes, edges).filter(F.col("degree") < claim_degree).select("id")
+        shown = shown.filter("type <> 'Claim'").unionByName(shown.filter("type = 'Claim'").join(weak, "id", "left_anti"))
+    shown = cut(shown.select("id", "type", "published"))
+    bounded = low is not None or high is not None
+    if seeds is None and not bounded and shown.limit(most + 1).count() <= most:
+        return shown.select("id"), False
+    if seeds is None:
+        year = F.substring("published", 1, 4)
+        papers = every.filter("type = 'Paper'").select("id", "published")
+        if bounded:
+            papers = papers.filter(F.col("published").isNotNull() & (year >= (low or "")[:4]) & ((year <= high[:4]) if high else F.lit(True)))
+        elif papers.limit(WINDOW_PAPERS + 1).count() > WINDOW_PAPERS:
+            recent = papers.filter(year >= str(this_year - WINDOW_YEARS))
+            papers = newest(papers, WINDOW_PAPERS) if recent.isEmpty() else recent
+        seeds = papers.select("id")
+        ids = cut(shown.join(reach(nodes, edges, seeds, depth), "id", "left_semi"))
+        if ids.limit(most + 1).count() > most:
+            kept = newest(ids.filter("type = 'Paper'"), min(FILTER_PAPERS, most)).select("id")
+            return shown.join(reach(nodes, edges, kept, 1), "id", "left_semi").select("id").orderBy("id").limit(most), True
+        return ids.select("id"), False
+    return shown.join(reach(nodes, edges, seeds, depth), "id", "left_semi").select("id"), False
+
+
+def reach(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """``id`` within ``depth`` undirected steps of seeds (``id``), through graph nodes only."""
+    allowed = cut(graph_nodes(nodes).select("id"))
+    both = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    seen = frontier = cut(allowed.join(seeds.select("id").distinct(), "id", "left_semi"))
+    for _ in range(max(1, min(depth, 3))):
+        met = both.join(sized_broadcast(frontier.select(F.col("id").alias("src"))), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+        frontier = cut(allowed.join(met, "id", "left_semi").join(seen, "id", "left_anti"))
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def search_scope(nodes: DataFrame, edges: DataFrame, hits: DataFrame, links: int = schema.CAPS["links"]) -> DataFrame:
+    """``id`` of the graph nodes that hits (``id``) are or link to first (``edges``: src, pos, dst)."""
+    known = graph_nodes(nodes).select("id")
+    near = edges.filter(F.col("pos") < links).join(F.broadcast(hits.select(F.col("id").alias("src"))), "src").select(F.col("dst").alias("id"))
+    return known.join(hits.select("id").unionByName(near).distinct(), "id", "left_semi")
+
+
+def tool_graph(nodes: DataFrame, edges: DataFrame, allowed: DataFrame | None, claims: bool, cap: int = schema.CAPS["graph_nodes"], edge_cap: int = schema.CAPS["graph_edges"]) -> tuple[DataFrame, DataFrame, bool]:
+    """Nodes by type and id, then claims in turn from their papers; the links among them; whether the cap cut any."""
+    shown = graph_nodes(nodes)
+    shown = shown if allowed is None else shown.join(allowed.select("id"), "id", "left_semi")
+    overview = shown.filter("type <> 'Claim'").select("id", "type", "title", "published", schema.type_rank(F.col("type")).alias("rank")).orderBy("rank", "id").limit(cap + 1)
+    overview = cut(overview)
+    n = overview.count()
+    picked = overview.orderBy("rank", "id").limit(cap).withColumn("place", F.lit(0))
+    truncated = n > cap
+    if claims:
+        some = cut(shown.filter("type = 'Claim'").select("id", "type", "title", "published", "paper"))
+        left = max(0, cap - n)
+        truncated = truncated or n + some.limit(cap + 1).count() > cap
+        if left:
+            fair = cut(fair_claims(some.join(degree(some, edges.join(some.select("id"), (F.col("src") == F.col("id")) | (F.col("dst") == F.col("id")), "left_semi")).select("id", "degree"), "id"), left))
+            picked = picked.unionByName(fair.select("id", "type", "title", "published", F.lit(len(schema.GRAPH_TYPES)).alias("rank"), F.col("turn").alias("place")))
+    picked = cut(picked)
+    links = induced(edges.select("src", "dst").filter("src <> dst"), picked).distinct().orderBy("src", "dst").limit(edge_cap)
+    return picked.orderBy("rank", "place", "id").drop("rank", "place"), links, truncated
+
+
+def papers_from_hits(nodes: DataFrame, edges: DataFrame, hits: DataFrame) -> DataFrame:
+    """``id, rank`` of the papers that hits (``id, rank``) are, belong to, or link to, in the order of hits."""
+    records = nodes.select("id", "paper").join(F.broadcast(hits), "id")
+    own = records.select("id", "rank", F.lit(0).alias("step")).unionByName(records.filter("paper is not null").select(F.col("paper").alias("id"), "rank", F.lit(1).alias("step")))
+    near = edges.join(F.broadcast(hits.withColumnRenamed("id", "src")), "src").select(F.col("dst").alias("id"), "rank", F.lit(2).alias("step"))
+    papers = nodes.filter("type = 'Paper'").select("id")
+    return papers.join(own.unionByName(near).groupBy("id").agg(F.min(F.struct("rank", "step")).alias("o")), "id").select("id", F.col("o.rank").alias("rank"), F.col("o.step").alias("step"))
+
+
+def client_filter(nodes: DataFrame, edges: DataFrame, types: Sequence[str], *, query: str = "", low: str | None = None, high: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a shown graph: by type, then around what a query names or the papers within years.
+
+    One step in any direction leads from a seed; nodes of other types may lie between no two.
+    """
+    typed = nodes.filter(F.col("type").isin(*types))
+    year = F.substring("published", 1, 4)
+    if query.strip():
+        q = F.lit(query.strip().lower())
+        seeds = typed.filter(F.contains(F.lower("title"), q) | F.contains(F.lower("id"), q))
+    elif low or high:
+        seeds = typed.filter((F.col("type") == "Paper") & F.col("published").isNotNull() & (year >= (low or "")[:4]) & ((year <= high[:4]) if high else F.lit(True)))
+    else:
+        return typed, induced(edges, typed)
+    ids = seeds.select("id")
+    near = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).unionByName(edges.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id")))
+    kept = typed.join(ids.unionByName(near).distinct(), "id", "left_semi")
+    return kept, induced(edges, kept)
+
+
+def merge_graphs(base: DataFrame, extra: DataFrame) -> DataFrame:
+    """``id, type, title, published`` of two node lists: a known type and its title win over an unknown one, the later date over none."""
+    rows = base.select("id", "type", "title", "published", F.lit(0).alias("o")).unionByName(extra.select("id", "type", "title", "published", F.lit(1).alias("o")))
+    known, own = F.col("type") != "unknown", F.col("o") == 0
+    title_order = F.when(own & known, 0).when(~own & (F.col("title") != F.col("id")), 1).when(own, 2).otherwise(3)
+    met = rows.groupBy("id").agg(
+        F.coalesce(F.min_by("type", F.when(known, F.col("o"))), F.lit("unknown")).alias("type"),
+        F.min_by("title", title_order).alias("title"),
+        F.max_by("published", F.when(F.col("published").isNotNull(), F.col("o"))).alias("published"),
+    )
+    return met.select("id", "type", "title", "published")
+
+
+def merge_edges(base: DataFrame, extra: DataFrame) -> DataFrame:
+    """Edges of two graphs, each once, without loops."""
+    return base.select("src", "dst").unionByName(extra.select("src", "dst")).filter("src <> dst").distinct()
+
+
+def pipeline_audit(state: DataFrame, files: DataFrame) -> DataFrame:
+    """``path, severity, problem`` of source records (``path, status, paper, error``) against the files (``path``).
+
+    Done records whose paper page is gone, records that aren't done, and sources that no
+    record names.
+    """
+    papers = files.select(F.col("path").alias("paper"), F.lit(True).alias("there"))
+    met = state.join(papers, "paper", "left")
+    done = F.col("status") == "done"
+    lost = done & F.col("paper").isNotNull() & F.col("there").isNull()
+    failed = F.col("status").isin("failed", "compile_failed")
+    problem = F.when(lost, F.concat(F.lit("paper is missing: "), "paper")).when(~done, F.concat_ws(" ", F.concat(F.lit("status="), "status"), F.concat(F.lit("("), "error", F.lit(")"))))
+    known = met.select("path", F.when(lost | (~done & failed), "error").when(~done, "warning").alias("severity"), problem.alias("problem")).filter("problem is not null")
+    sources = files.filter(F.col("path").startswith("sources/") & F.lower("path").endswith(".pdf")).join(state.select("path"), "path", "left_anti")
+    return known.unionByName(sources.select("path", F.lit("warning").alias("severity"), F.lit("never ingested").alias("problem")))
+
+
+def check_summary(nodes: DataFrame, edges: DataFrame, state: DataFrame, files: DataFrame) -> DataFrame:
+    """One row: papers, concepts, dead links, isolated and claim-only papers, isolated and unreferenced concepts, pipeline records, those incomplete and unrecorded."""
+    by = F.col("category")
+    found = issues(nodes, edges).agg(*[F.count_if(by == c).alias(c.replace("-", "_")) for c in ("dead-link", "isolated-paper", "claim-only-paper", "isolated-concept", "unreferenced-concept")])
+    counts = nodes.agg(F.count_if(F.col("type") == "Paper").alias("papers"), F.count(F.lit(1)).alias("concepts"))
+    new = F.col("problem") == "never ingested"
+    audit = pipeline_audit(state, files).agg(F.count_if(~new).alias("incomplete"), F.count_if(new).alias("unrecorded"))
+    total = state.agg(F.count(F.lit(1)).alias("records"))
+    return counts.join(found).join(audit).join(total)  # four rows of one row each

@@ -69,13 +69,3 @@ def without_dismissed(pairs: DataFrame, dismissed: DataFrame) -> DataFrame:
     """Pairs whose order-free key nobody dismissed (``a, b`` in any order)."""
     key = lambda: F.array_join(F.array_sort(F.array("a", "b")), "\t")
     return pairs.withColumn("pair", key()).join(dismissed.select(key().alias("pair")).distinct(), "pair", "left_anti").drop("pair")
-
-
-def sanitize_links(links: DataFrame, files: DataFrame, papers: DataFrame) -> DataFrame:
-    """``scope, target, action, into``: keep what exists, send a paper's other names to it, align a unique slug prefix, unlink the rest."""
-    there = files.select(F.col("path").alias("target"), F.lit(True).alias("there"))
-    by_slug = papers.select(F.col("id").alias("into"), F.element_at(F.split("id", "/"), -1).alias("slug"))
-    met = links.join(there, "target", "left").withColumn("slug", F.regexp_replace(F.element_at(F.split("target", "/"), -1), r"\.md$", ""))
-    exact = met.join(by_slug, "slug", "left")
-    action = F.when(F.col("there"), "keep").when(F.col("into").isNotNull(), "rewrite").otherwise("unlink")
-    return exact.select("scope", "target", action.alias("action"), F.when(F.col("there"), F.col("target")).otherwise(F.col("into")).alias("into"))

@@ -9,16 +9,41 @@ from pyspark.sql import functions as F
 
 from tessellore import schema
 from tessellore.functions import text
+from tessellore.storage import cut, sized_broadcast
 
 RRF_K = 60
 
 
+def _postings(docs: DataFrame, keep=None) -> DataFrame:
+    """A row for each token of a document that ``keep`` (of a token) lets through; the title's tokens first.
+
+    One pass: title tokens and the others are two disjoint arrays, so no token is looked up
+    in the title and no row is made that a search would drop.
+    """
+    head, full = text.fts_tokens(F.coalesce("title", F.lit(""))), text.fts_tokens(F.concat_ws("\n", "title", "body"))
+    if keep is not None:
+        head, full = F.filter(head, keep), F.filter(full, keep)
+    flag = lambda tokens, there: F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(there).alias("in_title")))
+    both = docs.select("id", head.alias("head"), full.alias("full"))
+    spread = both.select("id", F.explode(F.concat(flag(F.col("head"), True), flag(F.array_except("full", "head"), False))).alias("p"))
+    return spread.select("p.token", "id", "p.in_title")
+
+
 def build_postings(docs: DataFrame) -> DataFrame:
     """``token, id, in_title`` of ``id, title, body``; one row for each token of a document."""
-    full = F.concat_ws("\n", "title", "body")
-    tokens = docs.select("id", text.fts_tokens(F.coalesce("title", F.lit(""))).alias("head"), text.fts_tokens(full).alias("all"))
-    spread = tokens.select("id", "head", F.explode("all").alias("token"))
-    return spread.select("token", "id", F.array_contains("head", F.col("token")).alias("in_title"))
+    return _postings(docs)
+
+
+def postings_for(docs: DataFrame, query: str) -> DataFrame:
+    """The postings of documents that a query meets, without an index: tokens are dropped before they are rows."""
+    return _postings(docs, lambda t: _begins(t, query))
+
+
+def _begins(token: Column, query: str) -> Column:
+    keep = F.lit(False)
+    for t in sorted(set(_query_tokens(query))):
+        keep = keep | token.startswith(t)
+    return keep
 
 
 def token_stats(postings: DataFrame, n_docs: int) -> DataFrame:
@@ -31,11 +56,7 @@ def matched_postings(postings: DataFrame, query: str) -> DataFrame:
 
     The condition is an OR of literals, so it prunes the scan and needs no join.
     """
-    tokens = sorted({t for t in _query_tokens(query)})
-    keep = F.lit(False)
-    for t in tokens:
-        keep = keep | F.col("token").startswith(t)
-    return postings.filter(keep)
+    return postings.filter(_begins(F.col("token"), query))
 
 
 def _query_tokens(query: str) -> list[str]:
@@ -47,8 +68,8 @@ def _query_tokens(query: str) -> list[str]:
 
 def fts_scores(postings: DataFrame, n_docs: int, query: str) -> DataFrame:
     """``id, score``: the sum over matched tokens of length weight, idf and title boost."""
-    met = matched_postings(postings, query)
-    stats = token_stats(met, n_docs)  # every posting of a matched token is matched
+    met = cut(matched_postings(postings, query))  # slim, and read twice
+    stats = sized_broadcast(token_stats(met, n_docs))  # every posting of a matched token is matched
     weight = F.when(F.length("token") >= 2, 2).otherwise(1) * F.coalesce("idf", F.lit(1.0)) * F.when(F.col("in_title"), 3).otherwise(1)
     return met.join(stats, "token").groupBy("id").agg(F.sum(weight).alias("score"))
 
