@@ -7,13 +7,21 @@ from pyspark.sql import functions as F
 
 from tessellore import schema
 from tessellore.functions import text
+from tessellore.storage import cut
 
 
 def hub_links(nodes: DataFrame, edges: DataFrame, hubs: tuple[str, ...] = schema.HUB_TYPES) -> DataFrame:
-    """``paper, hub, kind``: papers and hubs linked in either direction, each pair once."""
+    """``paper, hub, kind``: papers and hubs linked in either direction, each pair once.
+
+    Edges that say the types of their ends are filtered by them before any join.
+    """
     papers = nodes.filter(F.col("type") == "Paper").select(F.col("id").alias("paper"))
     hub = nodes.filter(F.col("type").isin(*hubs)).select(F.col("id").alias("hub"), F.col("type").alias("kind"))
-    both = edges.select(F.col("src").alias("paper"), F.col("dst").alias("hub")).unionByName(edges.select(F.col("dst").alias("paper"), F.col("src").alias("hub")))
+    out, back = edges, edges
+    if {"src_type", "dst_type"} <= set(edges.columns):
+        out = edges.filter((F.col("src_type") == "Paper") & F.col("dst_type").isin(*hubs))
+        back = edges.filter((F.col("dst_type") == "Paper") & F.col("src_type").isin(*hubs))
+    both = out.select(F.col("src").alias("paper"), F.col("dst").alias("hub")).unionByName(back.select(F.col("dst").alias("paper"), F.col("src").alias("hub")))
     return both.join(hub, "hub").join(papers, "paper", "left_semi").select("paper", "hub", "kind").distinct()
 
 
@@ -37,9 +45,9 @@ def topic_year_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def topic_hubs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``topic_id, kind, hub, n_papers``: live papers, undated ones too, that have both."""
-    links = hub_links(nodes, edges).join(live_papers(nodes).select("paper"), "paper", "left_semi")
+    links = hub_links(nodes, edges, ("Topic", *CROSSED)).join(live_papers(nodes).select("paper"), "paper", "left_semi")
     topics = links.filter("kind = 'Topic'").select("paper", F.col("hub").alias("topic_id"))
-    other = links.filter("kind in ('Method', 'Dataset', 'Gene', 'Pathway')")
+    other = links.filter(F.col("kind").isin(*CROSSED))
     return topics.join(other, "paper").groupBy("topic_id", "kind", "hub").agg(F.count(F.lit(1)).alias("n_papers"))
 
 
@@ -49,20 +57,36 @@ def year_axis(nodes: DataFrame) -> DataFrame:
     return span.filter("a is not null").select(F.explode(F.transform(text.years_between(F.col("a"), F.col("b")), lambda y: y.cast("string"))).alias("year"))
 
 
-def missing_years(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``topic_id, year`` without a paper, for topics that have any."""
-    cells = topic_year_counts(nodes, edges).select("topic_id", "year")
+CROSSED = ("Method", "Dataset", "Gene", "Pathway")
+
+
+def dated_links(nodes: DataFrame, edges: DataFrame, hubs: tuple[str, ...]) -> DataFrame:
+    """``paper, hub, kind, year`` of live papers."""
+    return hub_links(nodes, edges, hubs).join(live_papers(nodes).select("paper", "year"), "paper")
+
+
+def _missing_years(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    cells = links.filter("kind = 'Topic' and year is not null").select(F.col("hub").alias("topic_id"), "year").distinct()
     years = year_axis(nodes).agg(F.collect_set("year").alias("years"))  # at most a hundred values, one row
     full = cells.select("topic_id").distinct().join(F.broadcast(years)).select("topic_id", F.explode("years").alias("year"))
     return full.join(cells, ["topic_id", "year"], "left_anti")
 
 
+def _missing_hubs(links: DataFrame, topic: str) -> DataFrame:
+    papers = links.filter(F.col("hub") == topic).select("paper")
+    other = links.filter(F.col("kind").isin(*CROSSED))
+    met = other.join(papers, "paper", "left_semi").select("hub").distinct()
+    return other.select("kind", "hub").distinct().join(met, "hub", "left_anti").select(F.lit(topic).alias("topic_id"), "kind", "hub")
+
+
+def missing_years(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``topic_id, year`` without a paper, for topics that have any."""
+    return _missing_years(nodes, dated_links(nodes, edges, ("Topic",)))
+
+
 def missing_hubs(nodes: DataFrame, edges: DataFrame, topic: str) -> DataFrame:
     """``topic_id, kind, hub``: hubs that some live paper uses but none of the topic's."""
-    links = hub_links(nodes, edges, ("Method", "Dataset", "Gene", "Pathway")).join(live_papers(nodes).select("paper"), "paper", "left_semi")
-    used = links.select("kind", "hub").distinct()
-    met = topic_hubs(nodes, edges).filter(F.col("topic_id") == topic).select("hub")
-    return used.join(met, "hub", "left_anti").select(F.lit(topic).alias("topic_id"), "kind", "hub")
+    return _missing_hubs(cut(dated_links(nodes, edges, ("Topic", *CROSSED))), topic)
 
 
 def undated(nodes: DataFrame) -> DataFrame:
@@ -70,9 +94,10 @@ def undated(nodes: DataFrame) -> DataFrame:
 
 
 def gaps(nodes: DataFrame, edges: DataFrame, topic: str) -> DataFrame:
-    """``gap_id, kind`` of all gaps of one topic and the undated papers."""
-    years = missing_years(nodes, edges).filter(F.col("topic_id") == topic).select(F.concat_ws(":", F.lit("year"), "topic_id", "year").alias("gap_id"), F.lit("missing-year").alias("kind"))
-    hubs = missing_hubs(nodes, edges, topic).select(F.concat_ws(":", F.lower("kind"), "topic_id", "hub").alias("gap_id"), F.concat(F.lit("missing-"), F.lower("kind")).alias("kind"))
+    """``gap_id, kind`` of all gaps of one topic and the undated papers; the links are made once."""
+    links = cut(dated_links(nodes, edges, ("Topic", *CROSSED)))
+    years = _missing_years(nodes, links.filter(F.col("hub") == topic)).select(F.concat_ws(":", F.lit("year"), "topic_id", "year").alias("gap_id"), F.lit("missing-year").alias("kind"))
+    hubs = _missing_hubs(links, topic).select(F.concat_ws(":", F.lower("kind"), "topic_id", "hub").alias("gap_id"), F.concat(F.lit("missing-"), F.lower("kind")).alias("kind"))
     bare = undated(nodes).select(F.concat_ws(":", F.lit("undated"), "paper").alias("gap_id"), F.lit("undated").alias("kind"))
     return years.unionByName(hubs).unionByName(bare)
 
@@ -130,3 +155,44 @@ def draft_questions(gap_list: DataFrame, existing: DataFrame, most: int = schema
     """``id, kind, gap_id`` of questions for gaps that have none yet, the first by gap."""
     made = gap_list.select(F.concat(F.lit("questions/"), text.slug(F.regexp_replace("gap_id", "[:/]", " "))).alias("id"), "kind", "gap_id")
     return made.join(existing.select("id"), "id", "left_anti").orderBy("gap_id").limit(most)
+
+
+def appendix(topic: str, papers: DataFrame, undated_papers: DataFrame, claims: DataFrame, missing: list[str], gap_titles: list[str]) -> str:
+    """The coverage appendix of a survey: counts, years without papers, the papers in scope, gaps; a survey's scope bounds what is collected."""
+    dated, bare = (f.select("id", "title", "path").orderBy("id").collect() for f in (papers, undated_papers))
+    n = claims.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("confidence") == "reviewed").alias("reviewed")).first()
+    item = lambda r: f"- [{r.title or r.id}](/{r.path})"
+    lines = ["## Coverage appendix", "", f"What this library holds on {topic}, not what a field does.", "", f"- Papers in scope (dated): {len(dated)}", f"- Undated papers: {len(bare)}", f"- Claims in scope: {n.n} ({n.reviewed} reviewed)"]
+    lines += [f"- Missing years: {', '.join(sorted(missing)) or 'none in this window'}", "", "### In-scope papers", "", *(map(item, dated) if dated else ["- None"]), "", "### Undated", "", *(map(item, bare) if bare else ["- None"])]
+    return "\n".join([*lines, *(["", "### Gaps", "", *[f"- {g}" for g in gap_titles[:40]]] if gap_titles else [])])
+
+
+def survey_scope(nodes: DataFrame, edges: DataFrame, *, topics: list[str] = (), methods: list[str] = (), low: str | None = None, high: str | None = None) -> DataFrame:
+    """``paper, published, year, dated``: live papers linked with any of the topics, either way, and to any of the methods, within years; undated ones are kept apart."""
+    kept = live_papers(nodes)
+    if topics:
+        kept = kept.join(hub_links(nodes, edges, ("Topic",)).filter(F.col("hub").isin(*topics)).select("paper").distinct(), "paper", "left_semi")
+    if methods:
+        kept = kept.join(edges.filter(F.col("dst").isin(*methods)).select(F.col("src").alias("paper")).distinct(), "paper", "left_semi")
+    inside = F.lit(True) if low is None else F.col("year") >= low[:4]
+    inside = inside if high is None else inside & (F.col("year") <= high[:4])
+    return kept.filter(F.col("year").isNull() | inside).select("paper", "published", "year", F.col("year").isNotNull().alias("dated"))
+
+
+def survey_claims(nodes: DataFrame, papers: DataFrame, most: int = schema.CAPS["survey_claims"]) -> DataFrame:
+    """``id, paper, part, place``: the first reviewed claims of papers in scope, and the first of all others."""
+    claims = nodes.filter("type = 'Claim'").join(papers.select("paper"), "paper", "left_semi").select("id", "paper", (F.col("confidence") == "reviewed").alias("reviewed"))
+    rows = [claims.filter(c).orderBy("id").limit(most).withColumn("part", F.lit(p)) for p, c in (("reviewed", F.col("reviewed")), ("extracted", ~F.coalesce("reviewed", F.lit(False))))]
+    both = rows[0].unionByName(rows[1])
+    return both.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("id"))).select("id", "paper", "part", "place")
+
+
+def allowed_ids(papers: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``id`` of everything that a survey over papers in scope (``paper, dated``) may cite: all of them and the claims of dated ones."""
+    claims = nodes.filter("type = 'Claim'").join(papers.filter("dated").select("paper"), "paper", "left_semi").select("id")
+    return papers.select(F.col("paper").alias("id")).unionByName(claims)
+
+
+def gap_report(cells: DataFrame, years: list[str]) -> DataFrame:
+    """``topic_id, line`` of the heatmap (``topic_id`` and a column a year): counts in columns of four."""
+    return cells.select("topic_id", F.concat(F.rpad("topic_id", 32, " "), *[F.lpad(F.col(f"`{y}`").cast("string"), 4, " ") for y in years]).alias("line"))

@@ -50,10 +50,14 @@ def review_items(nodes: DataFrame, pairs: DataFrame, extracts: DataFrame) -> Dat
 
 
 def capped_review(items: DataFrame, most: int = schema.CAPS["review"]) -> DataFrame:
-    """At most ``most`` items of each kind, and whether that cut any."""
-    by_kind = Window.partitionBy("kind")
-    placed = items.withColumn("place", F.row_number().over(by_kind.orderBy("path", F.coalesce("other", F.lit(""))))).withColumn("n", F.count(F.lit(1)).over(by_kind))
-    return placed.filter(F.col("place") <= most).select("kind", "path", "other", "reason", (F.col("n") > most).alias("truncated"))
+    """At most ``most`` items of each kind, and whether that cut any.
+
+    The window alone limits its groups before they are shuffled; sizes are counted apart.
+    """
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("path", F.coalesce("other", F.lit(""))))
+    first = items.withColumn("place", place).filter(F.col("place") <= most)
+    sizes = items.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))  # a row a kind
+    return first.join(F.broadcast(sizes), "kind").select("kind", "path", "other", "reason", (F.col("n") > most).alias("truncated"))
 
 
 def review_counts(items: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Presents the star-schema tables as a document library.
 
 The texts are SQL that both engines read; they define inputs only, never an operator.
-Orders are papers, product attributes and parties are hubs, line items are claims.
+Orders are papers, product attributes and parties are hubs, line items are claims. Links
+say the types of their ends, so a plan that needs some types reads only their branches.
 """
 
 from __future__ import annotations
@@ -45,11 +46,11 @@ _PART = "lineitem JOIN part ON l_partkey = p_partkey"
 _PAPER = "concat('papers/o', CAST({0} AS STRING))"
 EDGES = " UNION ALL ".join(
     [
-        *(f"SELECT DISTINCT {_PAPER.format('l_orderkey')} AS src, concat('{folder}/', {_SLUG.format(c)}) AS dst FROM {_PART}" for folder, c in (("topics", "p_type"), ("methods", "p_brand"), ("genes", "p_name"))),
-        f"SELECT DISTINCT concat('datasets/', {_SLUG.format('s_name')}) AS src, {_PAPER.format('l_orderkey')} AS dst FROM lineitem JOIN supplier ON l_suppkey = s_suppkey",
-        f"SELECT {_PAPER.format('o_orderkey')} AS src, concat('entities/', {_SLUG.format('c_name')}) AS dst FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_custkey % 10 <> 0",
-        f"SELECT {_PAPER.format('o_orderkey')} AS src, concat('pathways/', {_SLUG.format('r_name')}) AS dst FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_custkey % 10 <> 0",
-        f"SELECT DISTINCT concat('claims/o', CAST(l_orderkey AS STRING), '--', CAST(l_linenumber AS STRING)) AS src, {_PAPER.format('l_orderkey')} AS dst FROM lineitem",
+        *(f"SELECT DISTINCT {_PAPER.format('l_orderkey')} AS src, concat('{folder}/', {_SLUG.format(c)}) AS dst, 'Paper' AS src_type, '{kind}' AS dst_type FROM {_PART}" for kind, folder, c in (("Topic", "topics", "p_type"), ("Method", "methods", "p_brand"), ("Gene", "genes", "p_name"))),
+        f"SELECT DISTINCT concat('datasets/', {_SLUG.format('s_name')}) AS src, {_PAPER.format('l_orderkey')} AS dst, 'Dataset' AS src_type, 'Paper' AS dst_type FROM lineitem JOIN supplier ON l_suppkey = s_suppkey",
+        f"SELECT {_PAPER.format('o_orderkey')} AS src, concat('entities/', {_SLUG.format('c_name')}) AS dst, 'Paper' AS src_type, 'Entity' AS dst_type FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_custkey % 10 <> 0",
+        f"SELECT {_PAPER.format('o_orderkey')} AS src, concat('pathways/', {_SLUG.format('r_name')}) AS dst, 'Paper' AS src_type, 'Pathway' AS dst_type FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_custkey % 10 <> 0",
+        f"SELECT DISTINCT concat('claims/o', CAST(l_orderkey AS STRING), '--', CAST(l_linenumber AS STRING)) AS src, {_PAPER.format('l_orderkey')} AS dst, 'Claim' AS src_type, 'Paper' AS dst_type FROM lineitem",
     ]
 )
 #: The text library: documents as extracts, labels as their status, benchmark items as quotes.

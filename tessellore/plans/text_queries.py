@@ -31,7 +31,7 @@ def docs(spark, sf):
 
 def hits(spark, sf):
     found = docs(spark, sf)
-    return search.fts_search(search.build_postings(found), found.count(), QUERY).select("id", F.round("score", 6).alias("score"))
+    return search.fts_search(search.postings_for(found, QUERY), found.count(), QUERY).select("id", F.round("score", 6).alias("score"))
 
 
 @R.query(f"WITH {POSTINGS} SELECT token, count(*) AS df, round(ln(((SELECT count(*) FROM docs) + 1) / (count(*) + 1)) + 1, 6) AS idf FROM postings GROUP BY token")
@@ -43,7 +43,7 @@ def fts_df_idf(spark, sf):
 @R.query(f"WITH {SCORES} SELECT id, score FROM scores")
 def fts_score(spark, sf):
     found = docs(spark, sf)
-    return search.fts_scores(search.build_postings(found), found.count(), QUERY).select("id", F.round("score", 6).alias("score"))
+    return search.fts_scores(search.postings_for(found, QUERY), found.count(), QUERY).select("id", F.round("score", 6).alias("score"))
 
 
 @R.query(f"WITH {SCORES} SELECT id, score FROM scores ORDER BY score DESC, id LIMIT 40")
@@ -53,7 +53,7 @@ def fts_search(spark, sf):
 
 @R.query(f"WITH {POSTINGS} SELECT p.token, p.id, h.id IS NOT NULL AS in_title FROM postings p LEFT JOIN heads h ON h.id = p.id AND h.token = p.token WHERE {MATCH}")
 def fts_prefix(spark, sf):
-    return search.matched_postings(search.build_postings(docs(spark, sf)), QUERY).select("token", "id", "in_title")
+    return search.postings_for(docs(spark, sf), QUERY).select("token", "id", "in_title")
 
 
 PAPERS = "papers AS (SELECT o_orderkey - 1 AS k, concat('papers/o', o_orderkey) AS id, concat('Order ', o_orderkey) AS title, CASE o_orderstatus WHEN 'F' THEN 'stable' WHEN 'O' THEN 'draft' ELSE 'deprecated' END AS status, CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS published FROM orders)"
@@ -101,7 +101,7 @@ def rrf_fusion(spark, sf):
 @R.query(f"WITH {SCORES}, c AS (SELECT item_id, concat('extracts/d', item_id) AS id FROM benchmark) SELECT c.item_id, c.id, scores.score FROM c JOIN scores ON scores.id = c.id ORDER BY score DESC, c.id LIMIT 12")
 def evidence(spark, sf):
     found = docs(spark, sf)
-    scored = search.fts_scores(search.build_postings(found), found.count(), QUERY).select("id", F.round("score", 6).alias("score"))
+    scored = search.fts_scores(search.postings_for(found, QUERY), found.count(), QUERY).select("id", F.round("score", 6).alias("score"))
     claims = lens.table(spark, sf, "benchmark").select("item_id", F.concat(F.lit("extracts/d"), F.col("item_id").cast("string")).alias("id"))
     return search.evidence(claims, scored).select("item_id", "id", "score")
 
