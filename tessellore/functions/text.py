@@ -164,7 +164,8 @@ def align_tokens(text: Column) -> Column:
 
 
 def parentheticals(text: Column) -> Column:
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"\(([^)]+)\)"), F.lit(1)), strip), lambda t: t != "")
+    """What stands in parentheses, unless it is the whole text."""
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"\(([^)]+)\)"), F.lit(1)), strip), lambda t: (t != "") & (align_key(t) != align_key(text)))
 
 
 def tokens_equal(a: Column, b: Column) -> Column:

@@ -89,7 +89,7 @@ def sanitize_links(links: DataFrame, files: DataFrame, papers: DataFrame) -> Dat
     met = met.withColumn("keep", keep).withColumn("folder", folder)
     # dead hub links against the pages of their folder, met by the first letter of the slug
     dead = met.filter(~F.col("keep") & F.col("folder").isin(*HUB_FOLDERS)).select("target", "folder", _slug(F.col("target")).alias("begin")).filter("begin <> ''").distinct()
-    pages = files.select(F.regexp_extract("path", "^([^/]*)/", 1).alias("folder"), F.col("path").alias("page"), _slug(F.col("path")).alias("slug"))
+    pages = files.filter(F.col("path").endswith(".md")).select(F.regexp_extract("path", "^([^/]*)/", 1).alias("folder"), F.col("path").alias("page"), _slug(F.col("path")).alias("slug"))
     initial = lambda c: F.substring(c, 1, 1)
     near = dead.withColumn("initial", initial("begin")).join(pages.withColumn("initial", initial("slug")), ["folder", "initial"]).filter(F.col("slug").startswith(F.col("begin")))
     one = near.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.min("page").alias("page")).filter("n = 1").select("target", "page")

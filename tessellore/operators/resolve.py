@@ -140,3 +140,59 @@ def canonicalize(concepts: DataFrame, moves: DataFrame) -> DataFrame:
         F.array_distinct(F.concat("aliases", F.coalesce(F.array_sort("more_aliases"), none))).alias("aliases"),
         F.col("to_id").alias("canonical"),
     )
+
+
+def lookup_all(keys: DataFrame, probes: DataFrame) -> DataFrame:
+    """``probe, path, matched_by`` of every hub that a title (``probe, type, title``) collides with, each by its strongest kind."""
+    key = text.align_key(F.col("title"))
+    tried = F.array(F.concat(F.lit("c:"), key), F.concat(F.lit("s:"), text.slug(F.col("title"))), F.concat(F.lit("c:"), text.stem_key(key)))
+    asked = probes.select("probe", "type", F.explode(F.array_distinct(tried)).alias("key"))
+    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    return asked.join(keys, ["type", "key"]).groupBy("probe", "path").agg(F.min_by("kind", rank).alias("matched_by"))
+
+
+def vocabulary(concepts: DataFrame) -> DataFrame:
+    """``type, path, title, aliases`` of the hubs that titles are aligned with: neither deprecated nor redirects."""
+    from tessellore import schema
+
+    canonical = F.col("canonical") if "canonical" in concepts.columns else F.lit(None).cast("string")
+    kept = concepts.filter(F.col("type").isin(*schema.HUB_TYPES) & schema.live(F.col("status")) & canonical.isNull())
+    return kept.select("type", "path", "title", "aliases")
+
+
+def alias_prompts(incoming: DataFrame, keys: DataFrame, library: DataFrame, *, new: int = 24, old: int = 100) -> DataFrame:
+    """``type, prompt`` for a model that names synonyms: per type, titles (``type, title``) that align with nothing and the library's titles, both cut."""
+    probes = incoming.select(F.concat_ws("\x1f", "type", "title").alias("probe"), "type", "title").distinct()
+    free = probes.join(lookup(keys, probes).select("probe"), "probe", "left_anti")
+    first = lambda frame, n: frame.withColumn("n", F.row_number().over(Window.partitionBy("type").orderBy("title"))).filter(F.col("n") <= n).groupBy("type").agg(F.array_sort(F.collect_list("title")).alias("titles"))
+    a, b = first(free, new), first(library.select("type", "title").distinct(), old)
+    body = F.concat(F.lit("New: "), F.to_json("titles"), F.lit("\nKnown: "), F.to_json(F.coalesce("known", F.array().cast("array<string>"))))
+    return a.join(b.withColumnRenamed("titles", "known"), "type", "left").select("type", body.alias("prompt"))
+
+
+def suggestion(reason: Column, left: Column, right: Column) -> Column:
+    """Which side of a near-duplicate pair a reviewer is told to keep: both, left or right."""
+    a, b = F.trim(left), F.trim(right)
+    apart = text.symbol_pair(a, b) | text.version_pair(a, b)
+    longer = F.contains(reason, F.lit("token:contain")) & (F.length(a) > F.length(b))
+    return F.when(apart, "both").when(longer, "left").otherwise("right")
+
+
+def biblio_gaps(papers: DataFrame) -> DataFrame:
+    """One row of counts over live papers (``status, published, doi, biblio``): no date, no DOI, a bibliography hit that waits."""
+    kept = papers.filter(F.coalesce("status", F.lit("")) != "deprecated")
+    empty = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    return kept.agg(F.count_if(empty("published")).alias("missing_published"), F.count_if(text.normalize_doi(F.coalesce("doi", F.lit(""))).isNull()).alias("missing_doi"), F.count_if(F.coalesce(F.col("biblio") == "suggested", F.lit(False))).alias("low_confidence"))
+
+
+def unite(first: Column, second: Column) -> Column:
+    """Two lists as one, each value once, in order."""
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(F.coalesce(first, none), F.coalesce(second, none)))
+
+
+def unite_aliases(first: Column, second: Column) -> Column:
+    """Aliases of two pages: of those with one alignment key the first stays."""
+    both = unite(first, second)
+    keys = F.transform(both, text.align_key)
+    return F.filter(both, lambda a, i: F.array_position(keys, text.align_key(a)) == i + 1)
