@@ -91,13 +91,42 @@ def near_duplicate_reason(kind: Column, a_title: Column, b_title: Column) -> Col
     )
 
 
+def rarest_token_pairs(titles: DataFrame) -> DataFrame:
+    """``type, a, b`` of titles (``type, path, tokens``) of which one's tokens may lie in the other's.
+
+    A set lies in another only if its rarest token does, so each title is looked for by
+    that one alone; a token that many titles share is looked for only by those without a
+    rarer one.
+    """
+    spread = titles.filter(F.size("tokens") > 0).select("type", "path", F.explode("tokens").alias("token"))
+    counts = spread.groupBy("type", "token").agg(F.count(F.lit(1)).alias("df"))
+    rarest = spread.join(counts, ["type", "token"]).groupBy("type", "path").agg(F.min(F.struct("df", "token")).alias("r")).select("type", F.col("path").alias("x"), F.col("r.token").alias("token"))
+    met = rarest.join(spread.withColumnRenamed("path", "y"), ["type", "token"]).filter("x <> y")
+    return met.select("type", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def candidate_pairs(hubs: DataFrame) -> DataFrame:
-    """``type, a, b``: hubs of one type that share a key, a deletion variant of one, or a title token, each pair once."""
-    keys = align_keys(hubs).select("type", F.col("key").alias("probe"), "path")
-    tokens = hubs.filter(F.col("type").isin(*TOKEN_TYPES)).select("type", F.explode(text.align_tokens(F.col("title"))).alias("t"), "path").select("type", F.concat(F.lit("t:"), "t").alias("probe"), "path")
-    probes = keys.unionByName(tokens)
+    """``type, a, b``: hubs of one type that share a key, a deletion variant of one, or whose titles' tokens may lie in each other, each pair once."""
+    probes = align_keys(hubs).select("type", F.col("key").alias("probe"), "path")
     met = probes.select("type", "probe", F.col("path").alias("a")).join(probes.select("type", "probe", F.col("path").alias("b")), ["type", "probe"]).filter("a < b").select("type", "a", "b")
-    return met.unionByName(edit_pairs(hubs).select("type", "a", "b").filter("a < b")).distinct()
+    titles = hubs.filter(F.col("type").isin(*TOKEN_TYPES)).select("type", "path", text.align_tokens(F.col("title")).alias("tokens"))
+    return met.unionByName(edit_pairs(hubs).select("type", "a", "b").filter("a < b")).unionByName(rarest_token_pairs(titles)).distinct()
+
+
+def similar_titles(titles: DataFrame, least: float) -> DataFrame:
+    """``a, b, score`` of titles (``title, tokens``) whose token sets have a Jaccard similarity of at least ``least``.
+
+    Of a set of n tokens only the n - ceil(least * n) + 1 rarest are looked up, in an order
+    that all share; two sets that are similar enough have one of them in common.
+    """
+    spread = titles.select("title", F.explode("tokens").alias("token"))
+    counts = spread.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    ordered = spread.join(counts, "token").groupBy("title").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    n = F.size("t")
+    prefix = ordered.select("title", F.explode(F.slice("t", 1, n - F.ceil(F.lit(least) * n - 1e-9).cast("int") + 1)).alias("p")).select("title", "p.token")
+    met = prefix.withColumnRenamed("title", "a").join(prefix.withColumnRenamed("title", "b"), "token").filter("a < b").select("a", "b").distinct()
+    side = lambda c: titles.select(F.col("title").alias(c), F.col("tokens").alias(f"k{c}"))
+    return met.join(side("a"), "a").join(side("b"), "b").select("a", "b", text.jaccard(F.col("ka"), F.col("kb")).alias("score")).filter(F.col("score") >= least)
 
 
 def canonical(pairs: DataFrame, links: DataFrame) -> DataFrame:

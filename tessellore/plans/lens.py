@@ -59,7 +59,7 @@ EXTRACTS = """SELECT concat('extracts/d', CAST(d.doc_id AS STRING)) AS id, 'Text
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
 
 #: For oracles: the same inputs as common table expressions.
-CTE = f"WITH RECURSIVE nodes AS ({NODES}), edges AS ({EDGES})"
+CTE = f"WITH RECURSIVE nodes AS MATERIALIZED ({NODES}), edges AS MATERIALIZED ({EDGES})"
 TEXT_CTE = f"WITH RECURSIVE extracts AS ({EXTRACTS})"
 
 

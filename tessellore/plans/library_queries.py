@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessellore import schema
+from tessellore.functions import text
 from tessellore.operators import coverage, graph, integrity, merge, resolve, search, survey
 from tessellore.plans import lens
 from tessellore.plans.base import Registry
@@ -49,22 +51,35 @@ def cov_heatmap(spark, sf):
     return coverage.heatmap(*both(spark, sf), [str(y) for y in range(1995, 2002)])
 
 
+#: Every topic has papers in all years, so customers stand in for topics where gaps are looked for.
+SWAPPED = f"""{CTE}, swapped AS (SELECT * REPLACE (CASE type WHEN 'Entity' THEN 'Topic' WHEN 'Topic' THEN 'Entity' ELSE type END AS type) FROM nodes),
+  {LINKS.replace('JOIN nodes', 'JOIN swapped')}, {LIVE.replace('FROM nodes', 'FROM swapped')}"""
+CUSTOMER = "entities/customer-000000001"
+
+
+def swapped(spark, sf):
+    """Nodes and links in which customers are topics and product types are entities."""
+    swap = lambda c: F.when(F.col(c) == "Entity", "Topic").when(F.col(c) == "Topic", "Entity").otherwise(F.col(c))
+    nodes, edges = both(spark, sf)
+    return nodes.withColumn("type", swap("type")), edges.withColumn("src_type", swap("src_type")).withColumn("dst_type", swap("dst_type"))
+
+
 AXIS = "axis AS (SELECT CAST(unnest(range(min(CAST(year AS INT)), max(CAST(year AS INT)) + 1)) AS VARCHAR) AS year FROM live)"
 CELLS = "cells AS (SELECT DISTINCT hub AS topic_id, year FROM links JOIN live USING (paper) WHERE kind = 'Topic' AND year IS NOT NULL)"
 USED = "used AS (SELECT DISTINCT kind, hub FROM links JOIN live USING (paper) WHERE kind IN ('Method', 'Dataset', 'Gene', 'Pathway'))"
 
 
-@R.query(f"{BASE}, {AXIS}, {CELLS} SELECT t.topic_id, axis.year FROM (SELECT DISTINCT topic_id FROM cells) t CROSS JOIN axis ANTI JOIN cells c ON c.topic_id = t.topic_id AND c.year = axis.year")
+@R.query(f"{SWAPPED}, {AXIS}, {CELLS} SELECT t.topic_id, axis.year FROM (SELECT DISTINCT topic_id FROM cells) t CROSS JOIN axis ANTI JOIN cells c ON c.topic_id = t.topic_id AND c.year = axis.year")
 def gap_missing_year(spark, sf):
-    return coverage.missing_years(*both(spark, sf))
+    return coverage.missing_years(*swapped(spark, sf))
 
 
 MISSING_HUB = f"SELECT '{TOPIC}' AS topic_id, kind, hub FROM used WHERE hub NOT IN (SELECT o.hub FROM links t JOIN links o USING (paper) JOIN live USING (paper) WHERE t.hub = '{TOPIC}')"
 
 
-@R.query(f"{BASE}, {USED} {MISSING_HUB}")
+@R.query(f"{SWAPPED}, {USED} " + MISSING_HUB.replace(TOPIC, CUSTOMER))
 def gap_missing_hub(spark, sf):
-    return coverage.missing_hubs(*both(spark, sf), TOPIC)
+    return coverage.missing_hubs(*swapped(spark, sf), CUSTOMER)
 
 
 @R.query(f"{BASE} SELECT paper FROM live WHERE year IS NULL")
@@ -180,14 +195,22 @@ def walk_directed(spark, sf):
     return graph.walk(*both(spark, sf), "datasets/supplier-000000001", 2)
 
 
-CAP_CTE = f"""{CTE}, {ALLOWED}, {DEGREE}, g AS (SELECT id, type, paper, degree FROM nodes JOIN allowed USING (id) JOIN deg USING (id)),
-  p AS (SELECT id, type, 0 AS tier FROM g WHERE type = 'Paper' ORDER BY degree DESC, id LIMIT 20),
-  t AS (SELECT dst AS id FROM edges JOIN p ON src = p.id UNION SELECT src FROM edges JOIN p ON dst = p.id),
-  h AS (SELECT g.id, g.type, CASE WHEN t.id IS NULL THEN 2 ELSE 1 END AS tier FROM g LEFT JOIN t ON t.id = g.id WHERE g.type NOT IN ('Paper', 'Claim') ORDER BY 3, degree DESC, g.id)"""
+#: All papers and hubs fit and 200 claims do, so all tiers are met.
+CAPPED = f"""{CTE}, {ALLOWED}, {DEGREE}, g AS MATERIALIZED (SELECT id, type, paper, degree FROM nodes JOIN allowed USING (id) JOIN deg USING (id)), p AS (SELECT id FROM g WHERE type = 'Paper'),
+  t AS (SELECT dst AS id FROM edges JOIN p ON src = p.id UNION SELECT src FROM edges JOIN p ON dst = p.id), c AS (SELECT id, paper, row_number() OVER (PARTITION BY coalesce(paper, '__claim:' || id) ORDER BY degree DESC, id) AS turn FROM g WHERE type = 'Claim')
+  SELECT id, type, 0 AS tier FROM g WHERE type = 'Paper' UNION ALL SELECT g.id, g.type, CASE WHEN t.id IS NULL THEN 2 ELSE 1 END FROM g LEFT JOIN t ON t.id = g.id WHERE g.type NOT IN ('Paper', 'Claim')
+  UNION ALL SELECT id, 'Claim', 3 FROM (SELECT * FROM c ORDER BY turn, paper, id LIMIT 200)"""
 
 
-@R.query(f"{CTE}, {ALLOWED}, {DEGREE}, g AS (SELECT id, type, paper, degree FROM nodes JOIN allowed USING (id) JOIN deg USING (id)) SELECT id, type, 0 AS tier FROM g WHERE type = 'Paper' ORDER BY degree DESC, id LIMIT 48")
+@R.query(CAPPED)
 def graph_capped(spark, sf):
+    nodes, edges = both(spark, sf)
+    fits = graph.graph_nodes(nodes).filter("type <> 'Claim'").count()
+    return graph.select_capped(nodes, edges, fits + 200)
+
+
+@R.query(f"{CTE}, {ALLOWED}, {DEGREE} SELECT id, type, 0 AS tier FROM nodes JOIN allowed USING (id) JOIN deg USING (id) WHERE type = 'Paper' ORDER BY degree DESC, id LIMIT 48")
+def graph_capped_papers(spark, sf):
     return graph.select_capped(*both(spark, sf), 48)
 
 
@@ -215,7 +238,7 @@ ISSUES = f"""real AS (SELECT src AS node, dst AS id, 0 AS i FROM edges WHERE src
   found AS (SELECT CASE WHEN type = 'Paper' AND coalesce(n, 0) = 0 THEN 'isolated-paper' WHEN type = 'Paper' AND coalesce(n_other, 0) = 0 THEN 'claim-only-paper'
     WHEN type IN ({HUBS}) AND coalesce(n, 0) = 0 THEN 'isolated-concept' WHEN type IN ({HUBS}) AND coalesce(n_in, 0) = 0 THEN 'unreferenced-concept' END AS category, nodes.id
     FROM nodes LEFT JOIN seen ON seen.node = nodes.id WHERE status <> 'deprecated'
-    UNION ALL SELECT 'dead-link', src || ' -> ' || dst FROM edges WHERE dst NOT IN (SELECT id FROM nodes))"""
+    UNION ALL SELECT 'dead-link', src || ' -> ' || dst FROM edges ANTI JOIN nodes ON nodes.id = edges.dst)"""
 
 
 @R.query(f"{CTE}, {ISSUES} SELECT category, id FROM found WHERE category IS NOT NULL")
@@ -312,9 +335,12 @@ def _genes(alias):
     return f"(SELECT id AS path, title, {KEY.format('title')} AS key FROM nodes WHERE type = 'Gene') {alias}"
 
 
-@R.query(f"{CTE} SELECT type, 'c:' || {KEY.format('title')} AS key, id AS path, 'title' AS kind FROM nodes WHERE type IN ('Gene', 'Method')")
+@R.query(
+    f"{CTE}, h AS (SELECT type, id, title, {KEY.format('title')} AS key FROM nodes WHERE type IN ({HUBS})), k AS (SELECT type, 'c:' || key AS key, id AS path, 0 AS rank FROM h UNION ALL SELECT type, 's:' || regexp_replace(regexp_replace(regexp_replace(lower(title), '\\s+', '-', 'g'), '[^\\p{{L}}\\p{{N}}-]', '', 'g'), '-+', '-', 'g'), id, 2 FROM h"
+    " UNION ALL SELECT type, 'c:' || CASE WHEN length(key) > 5 AND key LIKE '%s' AND key NOT LIKE '%ss' THEN key[:-2] ELSE key END, id, 3 FROM h) SELECT type, key, path, CASE min(rank) WHEN 0 THEN 'title' WHEN 2 THEN 'slug' ELSE 'stem' END AS kind FROM k GROUP BY type, key, path"
+)
 def align_keys(spark, sf):
-    return resolve.align_keys(hubs(spark, sf, ("Gene", "Method"))).filter("kind = 'title'")
+    return resolve.align_keys(hubs(spark, sf, schema.HUB_TYPES))
 
 
 @R.query(f"{CTE} SELECT 'Gene' AS type, least(a.path, b.path) AS a, greatest(a.path, b.path) AS b, levenshtein(a.key, b.key)::INT AS distance FROM {_genes('a')} JOIN {_genes('b')} ON a.key < b.key AND length(a.key) >= 6 AND length(b.key) >= 6 AND levenshtein(a.key, b.key) <= 2")
@@ -334,19 +360,44 @@ def _reasoned(rows, reason):
     return pairs.join(title("a"), "a").join(title("b"), "b").select("a", "b", reason.alias("reason")).filter("reason is not null")
 
 
-@R.query(f"{CTE} SELECT id AS a, id AS b, type AS reason FROM nodes WHERE type = 'Method' AND false")
-def auto_merge_blocked(spark, sf):
-    """Brands differ in digits only: the symbol guard must block all their pairs."""
-    none = F.array().cast("array<string>")
-    return _reasoned(hubs(spark, sf, ("Method",)), resolve.merge_reason(F.col("type"), F.col("a_title"), F.col("b_title"), none, none))
+#: The titles of parts, and those with their words turned, with one more, as plurals or as versions, so that each reason is met.
+TITLES = f"""m AS (SELECT DISTINCT length(p_name) AS k, p_name AS title FROM part), v AS (SELECT DISTINCT title FROM m UNION SELECT CASE k % 4 WHEN 0 THEN regexp_replace(title, '^(\\S+) (\\S+)', '\\2 \\1') WHEN 1 THEN title || ' kit' WHEN 2 THEN 'The ' || title || 's' ELSE title || ' 2' END FROM m),
+  t AS (SELECT concat('entities/', replace(title, ' ', '-')) AS path, title, {KEY.format('title')} AS key, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(title, '\\([^)]*\\)', ' ', 'g')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2 AND x NOT IN {text.TOKEN_STOPS}))) AS k FROM v),
+  p AS (SELECT a.path AS a, b.path AS b, a.title AS ta, b.title AS tb, a.key AS ka, b.key AS kb, a.k AS la, b.k AS lb, len(list_intersect(a.k, b.k)) AS met FROM t a JOIN t b ON a.path < b.path),
+  f AS (SELECT *, regexp_matches(ka, '[0-9]') AND regexp_matches(kb, '[0-9]') AND length(regexp_replace(ka, '[^a-z0-9]+', '', 'g')) <= 16 AND length(regexp_replace(kb, '[^a-z0-9]+', '', 'g')) <= 16 AND regexp_replace(ka, '[^a-z0-9]+', '', 'g') <> regexp_replace(kb, '[^a-z0-9]+', '', 'g') AS symbols,
+    trim(regexp_replace(lower(ta), '[\\s._-]*v?\\d+(\\.\\d+)*$', '')) AS sa, trim(regexp_replace(lower(tb), '[\\s._-]*v?\\d+(\\.\\d+)*$', '')) AS sb,
+    (len(la) > 0 AND met = len(la) AND len(lb) > len(la) AND (len(la) >= 2 OR (length(la[1]) >= 5 AND len(lb) - len(la) <= 2))) OR (len(lb) > 0 AND met = len(lb) AND len(la) > len(lb) AND (len(lb) >= 2 OR (length(lb[1]) >= 5 AND len(la) - len(lb) <= 2))) AS contained FROM p)"""
+_DISTANCE = "CASE WHEN length(ka) >= 6 AND length(kb) >= 6 AND ka <> kb AND levenshtein(ka, kb) <= 2 THEN 'edit-distance:' || levenshtein(ka, kb) END"
+
+
+def _variants(spark, sf):
+    base = lens.table(spark, sf, "part").select(F.length("p_name").alias("k"), F.col("p_name").alias("title")).distinct()
+    turned = F.when(F.col("k") % 4 == 0, F.regexp_replace("title", r"^(\S+) (\S+)", "$2 $1")).when(F.col("k") % 4 == 1, F.concat("title", F.lit(" kit"))).when(F.col("k") % 4 == 2, F.concat(F.lit("The "), "title", F.lit("s"))).otherwise(F.concat("title", F.lit(" 2")))
+    rows = base.select("title").unionByName(base.select(turned.alias("title"))).distinct()
+    return rows.select(F.lit("Entity").alias("type"), F.concat(F.lit("entities/"), F.replace("title", F.lit(" "), F.lit("-"))).alias("path"), "title", F.array().cast("array<string>").alias("aliases"))
 
 
-@R.query(f"{CTE}, g AS (SELECT id AS path, regexp_replace(title, ' .*', '') AS head, title, {KEY.format('title')} AS key FROM nodes WHERE type = 'Gene') SELECT a.path AS a, b.path AS b, 'edit-distance:' || levenshtein(a.key, b.key) AS reason FROM g a JOIN g b ON a.path < b.path AND a.key <> b.key AND length(a.key) >= 6 AND length(b.key) >= 6 AND levenshtein(a.key, b.key) <= 2")
+@R.query(f"WITH {TITLES} SELECT a, b, CASE WHEN ka <> '' AND ka = kb THEN 'align:title' ELSE coalesce({_DISTANCE}, CASE WHEN len(la) > 0 AND la = lb THEN 'token:equal' WHEN contained AND abs(len(la) - len(lb)) <= 2 THEN 'token:contain' END) END AS reason FROM f WHERE NOT symbols AND NOT (sa <> '' AND sa = sb AND regexp_replace(ta, '\\s+', '', 'g') <> regexp_replace(tb, '\\s+', '', 'g')) AND reason IS NOT NULL")
 def auto_merge_reason(spark, sf):
+    """All branches of the decision list but aliases: guards, titles, edits, token sets."""
     none = F.array().cast("array<string>")
-    rows = hubs(spark, sf, ("Gene",)).withColumn("type", F.lit("Entity"))
-    out = _reasoned(rows, resolve.merge_reason(F.col("type"), F.col("a_title"), F.col("b_title"), none, none))
-    return out.filter(F.col("reason").startswith("edit"))
+    return _reasoned(_variants(spark, sf), resolve.merge_reason(F.col("type"), F.col("a_title"), F.col("b_title"), none, none))
+
+
+@R.query(f"WITH {TITLES} SELECT count(*) AS blocked, count(*) FILTER (sa <> '' AND sa = sb) AS versions, count(*) FILTER (symbols) AS symbols FROM f WHERE (symbols OR (sa <> '' AND sa = sb AND regexp_replace(ta, '\\s+', '', 'g') <> regexp_replace(tb, '\\s+', '', 'g'))) AND (ka = kb OR {_DISTANCE} IS NOT NULL OR contained OR (len(la) > 0 AND la = lb))")
+def auto_merge_blocked(spark, sf):
+    """How many pairs that look alike the guards keep apart."""
+    rows = _variants(spark, sf)
+    none = F.array().cast("array<string>")
+    a, b = F.col("a_title"), F.col("b_title")
+    ka, kb = text.align_key(a), text.align_key(b)
+    far = F.levenshtein(ka, kb, resolve.EDIT_MOST)
+    near = (ka == kb) | ((F.length(ka) >= 6) & (F.length(kb) >= 6) & (far > 0)) | text.tokens_equal(text.align_tokens(a), text.align_tokens(b)) | (F.coalesce(text.token_match(text.align_tokens(a), text.align_tokens(b)), text.token_match(text.align_tokens(b), text.align_tokens(a))) == "existing-in-incoming")
+    pairs = resolve.candidate_pairs(rows)
+    title = lambda side: rows.select(F.col("path").alias(side), F.col("title").alias(f"{side}_title"))
+    met = pairs.join(title("a"), "a").join(title("b"), "b").filter(near & resolve.merge_reason(F.col("type"), a, b, none, none).isNull())
+    stem = lambda t: F.trim(F.regexp_replace(F.lower(t), r"[\s._-]*v?\d+(\.\d+)*$", ""))
+    return met.agg(F.count(F.lit(1)).alias("blocked"), F.count_if((stem(a) != "") & (stem(a) == stem(b))).alias("versions"), F.count_if(text.symbol_pair(ka, kb)).alias("symbols"))
 
 
 PAIRS = f"pairs AS (SELECT least(a.path, b.path) AS a, greatest(a.path, b.path) AS b FROM {_genes('a')} JOIN {_genes('b')} ON a.key < b.key AND length(a.key) >= 6 AND length(b.key) >= 6 AND levenshtein(a.key, b.key) <= 2)"

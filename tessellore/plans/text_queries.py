@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessellore.functions import text, udf
-from tessellore.operators import incremental, integrity, search, survey
+from tessellore.operators import incremental, integrity, resolve, search, survey
 from tessellore.plans import lens
 from tessellore.plans.base import Registry
 from tessellore.sources import library
@@ -249,19 +249,28 @@ def clean_markdown(spark, sf):
 NAMES = "n AS (SELECT DISTINCT p_name AS title FROM part), t AS (SELECT title, list_distinct(list_filter(regexp_split_to_array(lower(title), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 2)) AS k FROM n)"
 
 
-@R.query(f"WITH {NAMES} SELECT a.title AS a, b.title AS b, round(len(list_intersect(a.k, b.k)) / len(list_distinct(list_concat(a.k, b.k))), 6) AS score FROM t a JOIN t b ON a.title < b.title AND len(list_intersect(a.k, b.k)) > 0")
+#: The least similarity of titles that is looked for.
+SIMILAR = 0.3
+
+
+@R.query(f"WITH {NAMES}, s AS (SELECT a.title AS a, b.title AS b, len(list_intersect(a.k, b.k)) / len(list_distinct(list_concat(a.k, b.k))) AS score FROM t a JOIN t b ON a.title < b.title AND len(list_intersect(a.k, b.k)) > 0) SELECT a, b, round(score, 6) AS score FROM s WHERE score >= {SIMILAR}")
 def jaccard_titles(spark, sf):
-    t = lens.table(spark, sf, "part").select(F.col("p_name").alias("title")).distinct().withColumn("k", text.align_tokens(F.col("title")))
-    keyed = t.select("title", "k", F.explode("k").alias("token"))
-    met = keyed.select(F.col("title").alias("a"), F.col("k").alias("ka"), "token").join(keyed.select(F.col("title").alias("b"), F.col("k").alias("kb"), "token"), "token").filter("a < b").drop("token").distinct()
-    return met.select("a", "b", F.round(text.jaccard(F.col("ka"), F.col("kb")), 6).alias("score"))
+    t = lens.table(spark, sf, "part").select(F.col("p_name").alias("title")).distinct().withColumn("tokens", text.align_tokens(F.col("title")))
+    return resolve.similar_titles(t, SIMILAR).select("a", "b", F.round("score", 6).alias("score"))
+
+
+KITS = "n AS (SELECT DISTINCT p_name AS title FROM part UNION SELECT DISTINCT p_name || ' kit' FROM part), t AS (SELECT title, list_distinct(list_filter(regexp_split_to_array(lower(title), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 2)) AS k FROM n)"
 
 
-@R.query(f"WITH {NAMES}, p AS (SELECT a.title AS a, b.title AS b, a.k AS ka, b.k AS kb FROM t a JOIN t b ON a.title <> b.title AND len(list_intersect(a.k, b.k)) > 0), m AS (SELECT a, b, CASE WHEN len(list_intersect(ka, kb)) < len(ka) THEN NULL WHEN len(ka) = len(kb) THEN 'equal' WHEN len(ka) >= 2 OR (length(ka[1]) >= 5 AND len(kb) - len(ka) <= 2) THEN 'existing-in-incoming' END AS match FROM p) SELECT * FROM m WHERE match IS NOT NULL")
+@R.query(f"WITH {KITS}, p AS (SELECT a.title AS a, b.title AS b, a.k AS ka, b.k AS kb FROM t a JOIN t b ON a.title <> b.title AND len(list_intersect(a.k, b.k)) = len(a.k)), m AS (SELECT a, b, CASE WHEN len(ka) = len(kb) THEN 'equal' WHEN len(ka) >= 2 OR (length(ka[1]) >= 5 AND len(kb) - len(ka) <= 2) THEN 'existing-in-incoming' END AS match FROM p WHERE len(ka) > 0) SELECT * FROM m WHERE match IS NOT NULL")
 def token_match(spark, sf):
-    t = lens.table(spark, sf, "part").select(F.col("p_name").alias("title")).distinct().withColumn("k", text.align_tokens(F.col("title")))
-    keyed = t.select("title", "k", F.explode("k").alias("token"))
-    met = keyed.select(F.col("title").alias("a"), F.col("k").alias("ka"), "token").join(keyed.select(F.col("title").alias("b"), F.col("k").alias("kb"), "token"), "token").filter("a <> b").drop("token").distinct()
+    """Titles, and each with one more word: the shorter lies in the longer."""
+    name = lens.table(spark, sf, "part").select(F.col("p_name").alias("title")).distinct()
+    t = name.unionByName(name.select(F.concat("title", F.lit(" kit")).alias("title"))).distinct().withColumn("k", text.align_tokens(F.col("title")))
+    pairs = resolve.rarest_token_pairs(t.select(F.lit("x").alias("type"), F.col("title").alias("path"), F.col("k").alias("tokens")))
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    side = lambda c: t.select(F.col("title").alias(c), F.col("k").alias(f"k{c}"))
+    met = both.join(side("a"), "a").join(side("b"), "b")
     return met.select("a", "b", text.token_match(F.col("ka"), F.col("kb")).alias("match")).filter("match is not null")
 
 
