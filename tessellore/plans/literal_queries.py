@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessellore.functions import text
+from tessellore.functions import text, udf
 from tessellore.plans.base import Registry
 
 R = Registry()
@@ -47,12 +47,6 @@ def json_objects(spark, sf):
     return cases(spark, 'Sure:\n```json\n{"a": 1}\n```', 'x {"b": {"c": 2}} y', "nothing").select("i", text.json_object(F.col("a")).alias("json"))
 
 
-@R.query("SELECT * FROM (VALUES (0, 'kept', 'new text'), (1, NULL, 'only this')) AS t(i, block, rest)")
-def generated_blocks(spark, sf):
-    c = cases(spark, "new text\n<!-- cov:begin -->\nkept\n<!-- cov:end -->\n", "only this")
-    return c.select("i", text.generated_block(F.col("a"), "cov").alias("block"), text.strip_generated(F.col("a"), "cov").alias("rest"))
-
-
 @R.query("SELECT * FROM (VALUES (0, 'answer'), (1, 'plain')) AS t(i, reply)")
 def replies(spark, sf):
     return cases(spark, "<think>hm\nhm</think>\nanswer", "plain").select("i", text.strip_thinking(F.col("a")).alias("reply"))
@@ -62,3 +56,47 @@ def replies(spark, sf):
 def biblio_scores(spark, sf):
     c = spark.createDataFrame([(0, True, 0.0, False), (1, False, 1.0, True), (2, False, 0.96, False), (3, False, 0.7, True), (4, False, 0.5, True)], "i int, d boolean, o double, y boolean")
     return c.select("i", F.round(text.biblio_score(F.col("d"), F.col("o"), F.col("y")), 6).alias("score"))
+
+
+EXTRACT = "Before it. The quick brown fox, jumps over the lazy\n dog near the old river bank to-\nday. After."
+
+
+@R.query("SELECT * FROM (VALUES (0, 'The quick brown fox, jumps'), (1, 'The quick brown fox, jumps over the lazy' || chr(10) || ' dog near the old river bank to-' || chr(10) || 'day.'), (2, NULL), (3, NULL), (4, NULL)) AS t(i, span)")
+def snap_cases(spark, sf):
+    """A quote by its words, one by its ends, and three that have no span: too short anchors, unknown words, nothing."""
+    quotes = ("THE quick  brown fox jumps", "the quick brown fox leaps over a sleeping dog near the old river bank today", "the a of to in an on at", "nothing of the kind is said anywhere in this text", "")
+    return cases(spark, *quotes).select("i", udf.snap_column(F.col("a"), F.lit(EXTRACT)).alias("span"))
+
+
+@R.query("SELECT * FROM (VALUES (0, 'aaaa' || chr(10) || 'bb|cc'), (1, 'aaaaaaaaaa|bb'), (2, ''), (3, 'aaaaaa|bbbb')) AS t(i, parts)")
+def segment_cases(spark, sf):
+    """Cut at a blank line, hard, not at all, at a line."""
+    def ten(value: str | None) -> list[str]:
+        return udf.segments(value, 10)
+
+    from pyspark.sql import types as T
+
+    column = udf.column(ten, T.ArrayType(T.StringType()))
+    return cases(spark, "aaaa\nbb\n\ncc", "a" * 10 + "bb", " \n ", "aaaaaa\nbbbb").select("i", F.array_join(column(F.col("a")), "|").alias("parts"))
+
+
+@R.query("SELECT i, lengths FROM (VALUES (0, '401,10'), (1, '800,800,1,10'), (2, '790,20'), (3, '21')) AS t(i, lengths)")
+def passage_cases(spark, sf):
+    """Paragraphs join below 400 characters if they fit in 800; longer ones are cut."""
+    texts = ("a" * 390 + "\n\n" + "b" * 10 + "\n\n" + "c" * 10, "a" * 1601 + "\n\n" + "b" * 10, "a" * 390 + "\n\n" + "b" * 399 + "\n\n" + "c" * 20, "a" * 10 + " \n \n\n" + "b" * 5 + " \n" + "c" * 4)
+    lengths = F.transform(udf.passages_column(F.col("a")), lambda p: F.length(p).cast("string"))
+    return cases(spark, *texts).select("i", F.array_join(lengths, ",").alias("lengths"))
+
+
+@R.query(
+    "SELECT * FROM (VALUES (0, 0, 'heading2', 'T'), (0, 1, 'paragraph', 'one' || chr(10) || 'two'), (0, 2, 'list', 'a' || chr(10) || 'b'), (0, 3, 'ordered-list', 'c'), (0, 4, 'quote', 'q' || chr(10) || 'r'), (0, 5, 'code', '# x'), (0, 6, 'rule', ''), (0, 7, 'table', 'h | i' || chr(10) || '1 | 2'),"
+    " (1, 0, 'paragraph', '| no table |'), (1, 1, 'paragraph', '##### five' || chr(10) || '___')) AS t(i, pos, kind, body)"
+)
+def block_cases(spark, sf):
+    texts = ("## T\none\ntwo\n- a\n* b\n1. c\n> q\n>r\n```x\n# x\n```\n***\n| h | i |\n|---|---|\n| 1 | 2 |\n", "| no table |\n\n##### five\n___")
+    return cases(spark, *texts).select("i", F.posexplode(udf.blocks_column(F.col("a"))).alias("pos", "b")).select("i", "pos", "b.kind", F.col("b.text").alias("body"))
+
+
+@R.query("SELECT * FROM (VALUES (0, 0, 'text', 'a ', NULL), (0, 1, 'strong', 'b', NULL), (0, 2, 'text', ' ', NULL), (0, 3, 'code', '*c*', NULL), (0, 4, 'link', 'd', '/papers/e.md'), (0, 5, 'text', 'alt', NULL), (0, 6, 'em', 'f', NULL), (0, 7, 'text', '.', NULL)) AS t(i, pos, kind, body, href)")
+def inline_cases(spark, sf):
+    return cases(spark, "a **b** `*c*`[d](/papers/e.md)![alt](x.png)_f_.").select("i", F.posexplode(udf.inlines_column(F.col("a"))).alias("pos", "b")).select("i", "pos", "b.kind", F.col("b.text").alias("body"), "b.href")

@@ -129,18 +129,19 @@ def quote_fold(spark, sf):
     return lens.table(spark, sf, "benchmark").select("item_id", text.fold_quote(t).alias("folded"), text.quote_fingerprint(t).alias("fingerprint"))
 
 
-@R.query(f"SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains({_FOLD.format('d.text')}, {_FOLD.format('b.text')})")
+#: Every quote, and pieces of one, two, three, five and seven words of it.
+QUOTES = "q AS (SELECT item_id, item_id * 10 AS item, text FROM benchmark UNION ALL SELECT item_id, item_id * 10 + n, array_to_string(string_split(text, ' ')[3:2 + n], ' ') FROM benchmark, (SELECT unnest([1, 2, 3, 5, 7]) AS n) WHERE item_id % 9 = 0)"
+
+
+@R.query(f"WITH {QUOTES} SELECT item, doc_id FROM (SELECT item, {_FOLD.format('text')} AS q FROM q) b JOIN (SELECT doc_id, {_FOLD.format('text')} AS e FROM documents) d ON q <> '' AND contains(e, q)")
 def quote_in_extract(spark, sf):
-    """Quotes meet extracts on their first folded four words, then are looked for."""
-    quotes = lens.table(spark, sf, "benchmark").select("item_id", text.fold_quote(F.col("text")).alias("q"))
-    folded = lens.table(spark, sf, "documents").select("doc_id", text.fold_quote(F.col("text")).alias("e"))
-    # the second to fifth words of a quote are whole words of any text that holds it
-    head = F.array_join(F.slice(F.split("q", " "), 2, 4), " ")
-    words = F.split("e", " ")
-    spans = F.when(F.size(words) >= 4, F.transform(F.sequence(F.lit(1), F.size(words) - 3), lambda i: F.array_join(F.slice(words, i, 4), " "))).otherwise(F.array().cast("array<string>"))
-    grams = folded.select("doc_id", F.explode(F.array_distinct(spans)).alias("head"))
-    met = grams.join(quotes.select("item_id", head.alias("head")), "head").select("doc_id", "item_id").distinct()
-    return met.join(folded, "doc_id").join(quotes, "item_id").filter(F.contains("e", F.col("q"))).select("item_id", "doc_id")
+    """Quotes of any length in the texts that hold them."""
+    b = lens.table(spark, sf, "benchmark")
+    pieces = b.filter("item_id % 9 = 0").select("item_id", F.explode(F.array(*map(F.lit, (1, 2, 3, 5, 7)))).alias("n"), "text")
+    cut = pieces.select((F.col("item_id") * 10 + F.col("n")).alias("item"), F.array_join(F.slice(F.split("text", " "), 3, F.col("n")), " ").alias("text"))
+    quotes = b.select((F.col("item_id") * 10).alias("item"), "text").unionByName(cut).select("item", text.fold_quote(F.col("text")).alias("q"))
+    texts = lens.table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), text.fold_quote(F.col("text")).alias("e"))
+    return integrity.held_quotes(quotes, texts).select("item", F.col("doc").alias("doc_id"))
 
 
 CLAIMS = "c AS (SELECT item_id, item_id % 7 = 0 AS reviewed, item_id AS paper, text AS quote FROM benchmark)"
@@ -153,14 +154,14 @@ def claims_prune(spark, sf):
     return integrity.prune_claims(claims, extracts)
 
 
-@R.query()
+@R.query(f"WITH m AS (SELECT item_id, doc_id, b.text AS t, d.text AS x FROM benchmark b JOIN documents d ON contains({_FOLD.format('d.text')}, {_FOLD.format('b.text')})) SELECT item_id, doc_id, {_FOLD.format('t')} AS folded FROM m")
 def snap_quotes(spark, sf):
-    """Spans that damaged quotes snap to, in the documents that hold the quotes."""
-    held = quote_in_extract(spark, sf)
-    quotes = lens.table(spark, sf, "benchmark").select("item_id", F.upper("text").alias("quote"))
+    """Spans that quotes with other blanks and marks snap to, in the documents that hold them; folded, they are the quotes."""
+    held = quote_in_extract(spark, sf).filter("item % 10 = 0").select((F.col("item") / 10).cast("long").alias("item_id"), "doc_id")
+    quotes = lens.table(spark, sf, "benchmark").select("item_id", F.concat(F.lit("“"), F.replace("text", F.lit(" "), F.lit("  ")), F.lit("”")).alias("quote"))
     texts = lens.table(spark, sf, "documents").select("doc_id", "text")
     met = held.join(quotes, "item_id").join(texts, "doc_id")
-    return met.select("item_id", "doc_id", udf.snap_column(F.col("quote"), F.col("text")).alias("span"))
+    return met.select("item_id", "doc_id", text.fold_quote(udf.snap_column(F.col("quote"), F.col("text"))).alias("folded"))
 
 
 @R.query()
