@@ -145,8 +145,8 @@ def score_passage(passage: Column, terms: Column) -> Column:
 
 def fixed_passages(text: Column, size: int = 800) -> Column:
     """A text without paragraphs, cut every ``size`` characters."""
-    n = F.greatest(F.ceil(F.length(text) / size).cast("int"), F.lit(1))
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * size + 1, F.lit(size)))
+    n = lambda t: F.greatest(F.ceil(F.length(t) / size).cast("int"), F.lit(1))
+    return let(text, lambda t: F.transform(F.sequence(F.lit(0), n(t) - 1), lambda i: F.substring(t, i * size + 1, F.lit(size))))
 
 
 def align_key(text: Column) -> Column:
@@ -334,9 +334,9 @@ def generated_blocks(body: Column) -> Column:
 
 def _each_block(body: Column, decide) -> Column:
     """The body with each generated block replaced by ``decide(name, block)``."""
-    names, whole = F.regexp_extract_all(body, F.lit(_BLOCK_WHOLE), F.lit(2)), F.regexp_extract_all(body, F.lit(_BLOCK_WHOLE), F.lit(1))
+    found = F.arrays_zip(F.regexp_extract_all(body, F.lit(_BLOCK_WHOLE), F.lit(2)).alias("name"), F.regexp_extract_all(body, F.lit(_BLOCK_WHOLE), F.lit(1)).alias("block"))
     between = F.split(body, _BLOCK_WHOLE, -1)
-    return F.array_join(F.transform(between, lambda b, i: F.concat(b, F.coalesce(decide(F.get(names, i), F.get(whole, i)), F.lit("")))), "")
+    return let(found, lambda f: F.array_join(F.transform(between, lambda b, i: F.concat(b, F.coalesce(decide(F.get(f, i)["name"], F.get(f, i)["block"]), F.lit("")))), ""))
 
 
 def strip_generated_blocks(body: Column, names: tuple[str, ...] | None = None) -> Column:

@@ -37,17 +37,13 @@ def held_quotes(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     sized = quotes.filter("q <> ''").withColumn("m", F.least(F.lit(GRAM_WORDS), F.size(words) - 2))
     heads = sized.filter("m > 0").select("item", "m", F.array_join(F.slice(words, 2, F.col("m")), " ").alias("head"))
     sizes = sorted(r.m for r in heads.select("m").distinct().collect())  # four at most
-    split = F.split("e", " ")
 
-    def grams(m: int) -> Column:
-        every = F.transform(F.sequence(F.lit(1), F.size(split) - (m - 1)), lambda i: F.array_join(F.slice(split, i, F.lit(m)), " "))
-        return F.array_distinct(F.when(F.size(split) >= m, every).otherwise(F.array().cast("array<string>")))
+    def grams(split: Column) -> Column:
+        """Runs of all sizes asked for, in one pass; a run's words say its size."""
+        runs = lambda m: F.array_distinct(F.when(F.size(split) >= m, F.transform(F.sequence(F.lit(1), F.size(split) - (m - 1)), lambda i: F.array_join(F.slice(split, i, F.lit(m)), " "))).otherwise(F.array().cast("array<string>")))
+        return F.concat(F.array().cast("array<string>"), *map(runs, sizes))
 
-    met = None
-    for m in sizes:
-        found = texts.select("doc", F.explode(grams(m)).alias("head")).join(sized_broadcast(heads.filter(F.col("m") == m).select("item", "head")), "head").select("item", "doc")
-        met = found if met is None else met.unionByName(found)
-    near = quotes.select("item").limit(0).crossJoin(texts.select("doc").limit(0)) if met is None else met.distinct()
+    near = texts.select("doc", F.explode(text.let(F.split("e", " "), grams)).alias("head")).join(sized_broadcast(heads.select("item", "head")), "head").select("item", "doc").distinct()
     whole = near.join(texts, "doc").join(quotes, "item").filter(F.contains("e", F.col("q"))).select("item", "doc")
     short = sized.filter("m <= 0").select("item", "q")
     return whole.unionByName(texts.join(sized_broadcast(short), F.contains("e", F.col("q"))).select("item", "doc"))

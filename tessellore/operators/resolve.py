@@ -223,5 +223,4 @@ def unite(first: Column, second: Column) -> Column:
 def unite_aliases(first: Column, second: Column) -> Column:
     """Aliases of two pages: of those with one alignment key the first stays."""
     both = unite(first, second)
-    keys = F.transform(both, text.align_key)
-    return F.filter(both, lambda a, i: F.array_position(keys, text.align_key(a)) == i + 1)
+    return text.let(F.transform(both, text.align_key), lambda keys: F.filter(both, lambda a, i: F.array_position(keys, text.align_key(a)) == i + 1))

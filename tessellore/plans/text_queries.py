@@ -367,7 +367,7 @@ def events_sessions(spark, sf):
 @R.query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_hourly(spark, sf):
     """The hourly counts by a stream over the table's files, run to its end."""
-    return streams.run_to_end(spark, f"{sf}/events.parquet", streams.hourly)
+    return streams.run_to_end(spark, f"{sf}/events.parquet", streams.hourly, ["hour", "event_type"])
 
 
 @R.query("SELECT user_id, count(*) AS n_events, max(ts) AS last_ts FROM events GROUP BY user_id")

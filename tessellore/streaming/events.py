@@ -34,32 +34,58 @@ def read_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{folder}/{name[:-1]}[{name[-1]}]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_to_end(spark: SparkSession, path: str, plan: Callable[[DataFrame], DataFrame], late: str = "10 minutes") -> DataFrame:
-    """Runs a windowed plan over a file stream until it has read everything; results are upserted by batch."""
-    place = _places(spark)
+def _sink(place: str) -> Callable[[DataFrame, int], None]:
+    """Each micro-batch is a folder of its number, so one that is run again replaces itself."""
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{place}/out")
+        batch.write.mode("overwrite").parquet(f"{place}/out/batch={number}")
+
+    return save
+
+
+def _latest(spark: SparkSession, place: str, keys: list[str], like: DataFrame) -> DataFrame:
+    """The last state of each key over all batches; ``like`` gives the columns."""
+    rest = [c for c in like.columns if c not in keys]
+    got = spark.read.schema(f"{_ddl(like)}, batch long").parquet(f"{place}/out")
+    return got.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("s")).select(*keys, *[F.col(f"s.{c}").alias(c) for c in rest])
+
+
+def _ddl(frame: DataFrame) -> str:
+    return ", ".join(f"`{name}` {kind}" for name, kind in frame.dtypes)
+
+
+def _local_times(frame: DataFrame) -> DataFrame:
+    return frame.withColumns({c: F.col(c).cast("timestamp_ntz") for c, kind in frame.dtypes if kind == "timestamp"})
 
-    query = plan(read_stream(spark, path).withWatermark("ts", late)).writeStream.outputMode("complete").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(save).start()
+
+def run_to_end(spark: SparkSession, path: str, plan: Callable[[DataFrame], DataFrame], keys: list[str], late: str = "10 minutes") -> DataFrame:
+    """Runs a windowed plan over a file stream until it has read everything; results are upserted by ``keys``.
+
+    Updates only: a batch writes the groups that it changed, and the watermark lets the
+    state of windows go that no event in time can reach. Events without a time are in no
+    window.
+    """
+    place = _places(spark)
+    planned = plan(read_stream(spark, path).withWatermark("ts", late))
+    query = planned.writeStream.outputMode("update").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(_sink(place)).start()
     query.awaitTermination()
-    got = spark.read.parquet(f"{place}/out")
-    last = got.filter(F.col("batch") == got.agg(F.max("batch")).first()[0]).drop("batch")
-    return last.withColumns({c: F.col(c).cast("timestamp_ntz") for c, kind in last.dtypes if kind == "timestamp"})
+    return _local_times(_latest(spark, place, keys, planned))
 
 
 STATE = "n_events bigint, last_ts timestamp"
 
 
 def keep_state(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Counts a user's events and keeps the last time; out-of-order events only count."""
+    """Counts a user's events and keeps the last time; events out of order or without a time only count."""
     n, last = state.get if state.exists else (0, None)
     for batch in rows:
         n += len(batch)
-        newest = batch["ts"].max().to_pydatetime()
-        last = newest if last is None or newest > last else last
+        newest = batch["ts"].max()
+        if not pd.isna(newest):
+            newest = newest.to_pydatetime()
+            last = newest if last is None or newest > last else last
     state.update((n, last))
-    yield pd.DataFrame({"user_id": [key[0]], "n_events": [n], "last_ts": [last]})
+    yield pd.DataFrame({"user_id": [key[0]], "n_events": [n], "last_ts": pd.Series([last], dtype="datetime64[ns]")})
 
 
 def run_state(spark: SparkSession, path: str) -> DataFrame:
@@ -67,11 +93,71 @@ def run_state(spark: SparkSession, path: str) -> DataFrame:
     place = _places(spark)
     stream = read_stream(spark, path).select("user_id", "ts")
     kept = stream.groupBy("user_id").applyInPandasWithState(keep_state, f"user_id bigint, {STATE}", STATE, "update", GroupStateTimeout.NoTimeout)
-
-    def save(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{place}/out")
-
-    query = kept.writeStream.outputMode("update").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(save).start()
+    query = kept.writeStream.outputMode("update").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(_sink(place)).start()
+    query.awaitTermination()
+    return _local_times(_latest(spark, place, ["user_id"], kept))
+
+
+# documents under way ------------------------------------------------------------------
+#: The steps of a document's pipeline and what each may lead to.
+STEPS = {
+    "queued": ("extracting", "failed"),
+    "extracting": ("compiling", "needs_vision", "failed"),
+    "needs_vision": ("awaiting_vision", "failed"),
+    "awaiting_vision": ("extracting_vision", "failed"),
+    "extracting_vision": ("awaiting_vision", "compiling", "failed"),
+    "compiling": ("done", "compile_failed"),
+    "failed": ("queued",),
+    "compile_failed": ("compiling", "queued"),
+    "done": ("queued",),
+}
+DOCUMENT = "status string, pages_left array<int>, error string, n_refused long"
+
+
+def advance(status: str | None, left: list[int], event: tuple[str, list[int] | None, str | None]) -> tuple[str | None, list[int], str | None, bool]:
+    """One step of a document: (status, pages left, error, whether the event was refused).
+
+    An event names the next status, pages and an error. A plan of pages comes with
+    ``needs_vision``; pages that come with ``awaiting_vision`` are done, so a document that
+    begins again goes on with those left. Compiling may begin only when none is left.
+    """
+    to, pages, error = event
+    if status is None:
+        return (to, [], None, False) if to == "queued" else (None, left, None, True)
+    if to not in STEPS.get(status, ()):
+        return status, left, None, True
+    if to == "needs_vision":
+        left = sorted(set(pages or []))
+    elif to == "awaiting_vision" and pages:
+        left = [p for p in left if p not in set(pages)]
+    elif to == "compiling" and left:
+        return status, left, None, True
+    elif to == "queued" and status == "done":
+        left = []
+    return to, left, error if to in ("failed", "compile_failed") else None, False
+
+
+def keep_documents(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """A document's state after its events (``seq, status, pages, error``) in the order of ``seq``; refused ones are counted."""
+    status, left, error, refused = state.get if state.exists else (None, [], None, 0)
+    left = list(left or [])
+    events = pd.concat(list(rows)).sort_values("seq")
+    for to, pages, why in zip(events["status"], events["pages"], events["error"], strict=True):
+        status, left, now, no = advance(status, left, (to, None if pages is None else [int(p) for p in pages], why))
+        error, refused = (error if no else now), refused + int(no)
+    state.update((status, left, error, refused))
+    yield pd.DataFrame({"path": [key[0]], "status": [status], "pages_left": [left], "error": [error], "n_refused": [refused]})
+
+
+def follow_documents(events: DataFrame) -> DataFrame:
+    """The state of each document (``path``) of a stream of events."""
+    return events.select("path", "seq", "status", "pages", "error").groupBy("path").applyInPandasWithState(keep_documents, f"path string, {DOCUMENT}", DOCUMENT, "update", GroupStateTimeout.NoTimeout)
+
+
+def run_documents(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """Document states after a stream over the Parquet files of a folder has been read to its end."""
+    place = _places(spark)
+    kept = follow_documents(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder))
+    query = kept.writeStream.outputMode("update").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(_sink(place)).start()
     query.awaitTermination()
-    got = spark.read.parquet(f"{place}/out")
-    return got.groupBy("user_id").agg(F.max_by(F.struct("n_events", "last_ts"), "batch").alias("s")).select("user_id", "s.n_events", F.col("s.last_ts").cast("timestamp_ntz").alias("last_ts"))
+    return _latest(spark, place, ["path"], kept)
