@@ -8,7 +8,9 @@ candidate depends on integers that survive whole, unless a least number of them
 
 Recordings with one fingerprint form a class and are searched as one, so a recording that
 is held many times costs no more than once and no pair of copies is ever written. Classes
-and queries meet as packed blocks of bounded size, each pair of blocks in any task.
+and queries meet as packed blocks of bounded size, each pair of blocks in any task. The
+differing bits of all pairs of a block at all offsets come from transforms of each bit,
+made once a recording, and one matrix product for each frequency.
 
 Edge cases: null, empty or too short recordings have an empty fingerprint, a class of
 their own and no match; null samples count as silence; repeated rows share a class; an
@@ -37,6 +39,8 @@ MIN_VOTES, MAX_ERROR, MIN_OVERLAP = 4, 0.2, 0.5
 #: Integers of a block; places of one query times those of a recording from which transforms count the bits.
 BLOCK, LONG = 1 << 14, 1 << 22
 MOST_TASKS = 4_000
+#: Numbers that are held at a time for pairs of a block at all offsets.
+PAIR_CELLS = 1 << 21
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -190,6 +194,58 @@ def best_offsets(queries: list[np.ndarray], r: np.ndarray, long: int = LONG) ->
     return {k: x for k, (_, x) in best.items()}
 
 
+def _spectra(prints: np.ndarray, size: int) -> np.ndarray:
+    """Transforms of the 32 bits, as plus or minus one, of fingerprints of one length: (frequency, fingerprint, bit)."""
+    bits = (prints[:, None, :] >> np.arange(32, dtype=np.uint32)[None, :, None]) & np.uint32(1)
+    return np.ascontiguousarray(np.fft.rfft(np.float32(1) - np.float32(2) * bits.astype(np.float32), size).transpose(2, 0, 1))
+
+
+def block_candidates(queries: np.ndarray, others: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, other, offset, overlap, differing bits) that the rule accepts, of fingerprints of one length each."""
+    m, n = queries.shape[1], others.shape[1]
+    size = 1 << (m + n - 2).bit_length()
+    at = np.arange(1 - m, n)
+    overlap = np.minimum(m, n - at) - np.maximum(0, -at)
+    places = np.flatnonzero((overlap >= MIN_OVERLAP * min(m, n)) & (overlap > 0))
+    first, last = places[0], places[-1] + 1  # the overlap rises, stays and falls
+    at, overlap = at[first:last], overlap[first:last]
+    # equal less differing bits at which the rule still accepts; sums are whole numbers up to 32 times the overlap
+    least = 32 * overlap - 2 * np.floor(32 * (MAX_ERROR + 5e-7) * overlap) - 0.5
+    side = max(1, int((PAIR_CELLS / size) ** 0.5))
+    made = [(k, _spectra(queries[k : k + side, ::-1], size)) for k in range(0, len(queries), side)]
+    for j in range(0, len(others), side):
+        right = _spectra(others[j : j + side], size).transpose(0, 2, 1)
+        for k, left in made:
+            agree = np.fft.irfft(np.ascontiguousarray((left @ right).transpose(1, 2, 0)), size)[:, :, first:last]
+            q, r, place = np.nonzero(agree >= least.astype(np.float32))
+            if len(q):
+                same = np.rint(agree[q, r, place]).astype(np.int64)
+                yield q + k, r + j, at[place], overlap[place], (32 * overlap[place] - same) // 2
+
+
+def best_pairs(queries: list[np.ndarray], others: list[np.ndarray], long: int = LONG) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(query, other, offset, votes, overlap, differing bits) of each pair that aligns, at its best offset."""
+    by_size = lambda prints: {n: [i for i, x in enumerate(prints) if len(x) == n] for n in {len(x) for x in prints}}
+    left, right = by_size(queries), by_size(others)
+    for m, qs in left.items():
+        for n, rs in right.items():
+            if m * n > long:
+                for r in rs:
+                    for k, x in best_offsets([queries[q] for q in qs], others[r], long).items():
+                        yield (qs[k], r, *x)
+                continue
+            best: dict[tuple[int, int], tuple] = {}
+            for found in block_candidates(np.stack([queries[q] for q in qs]), np.stack([others[r] for r in rs])):
+                for k, j, offset, overlap, bits in zip(*(x.tolist() for x in found), strict=True):
+                    q, r, a = queries[qs[k]], others[rs[j]], max(0, -offset)
+                    votes = int((q[a : a + overlap] == r[a + offset : a + offset + overlap]).sum())
+                    key = (votes, -bits / overlap, -abs(offset), offset)
+                    if (k, j) not in best or key > best[k, j][0]:
+                        best[k, j] = (key, (offset, votes, overlap, bits))
+            for (k, j), (_, x) in best.items():
+                yield (qs[k], rs[j], *x)
+
+
 def _blocks(classes: DataFrame, name: str) -> DataFrame:
     """Packed ``class_id, fp`` rows of about BLOCK integers: ids, sizes and integers."""
 
@@ -218,7 +274,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             raw = [batch.column(c)[i].as_py() for c in range(6)]
             (r_ids, r_prints), (q_ids, q_prints) = ((np.frombuffer(x, np.int64), np.split(np.frombuffer(z, np.uint32), np.cumsum(np.frombuffer(y, np.int64))[:-1])) for x, y, z in (raw[:3], raw[3:]))
-            rows = [(int(q_ids[k]), int(r), *x) for r, fp in zip(r_ids, r_prints, strict=True) for k, x in best_offsets(q_prints, fp).items() if q_ids[k] != r]
+            rows = [(int(q_ids[k]), int(r_ids[r]), *x) for k, r, *x in best_pairs(q_prints, r_prints) if q_ids[k] != r_ids[r]]
             columns = list(zip(*rows, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=["q", "class_id", "offset", "votes", "overlap", "bits"])

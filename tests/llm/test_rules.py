@@ -417,6 +417,22 @@ def test_transforms_count_the_bits_of_long_recordings():
     assert audio.best_offsets(queries, r)[0][:2] == (30, 0)
 
 
+def test_blocks_give_the_candidates_of_each_pair_alone(monkeypatch):
+    rng = np.random.default_rng(31)
+    base = [rng.integers(0, 1 << 32, n, dtype=np.uint32) for n in (8, 9, 30, 30, 57, 1)]
+    prints = []
+    for x in base:
+        for share in (0.0, 0.1, 0.19, 0.2, 0.21, 0.3):
+            bits = rng.random((len(x), 32)) < share
+            prints.append(x ^ (bits * (np.uint32(1) << np.arange(32, dtype=np.uint32))).sum(axis=1).astype(np.uint32))
+        prints.append(np.concatenate([rng.integers(0, 1 << 32, 5, dtype=np.uint32), x]))
+    for cells in (1 << 21, 1 << 9):
+        monkeypatch.setattr(audio, "PAIR_CELLS", cells)
+        got = {(k, r): tuple(x) for k, r, *x in audio.best_pairs(prints[::3], prints)}
+        want = {(k, r): x for r, fp in enumerate(prints) for k, x in audio.best_offsets(prints[::3], fp).items()}
+        assert got == want and len(want) > len(prints) // 3
+
+
 # the registered queries and the pipeline ------------------------------------------------
 
 
