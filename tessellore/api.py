@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessellore import schema
-from tessellore.functions import text
-from tessellore.operators import coverage, graph, integrity, merge, resolve, search, survey
+from tessellore.functions import seams, text
+from tessellore.operators import compile as compiling
+from tessellore.operators import context, coverage, graph, incremental, integrity, links, merge, pages, resolve, search, survey
+from tessellore.sources import documents, store
 from tessellore.sources import library as source
 
 
@@ -23,6 +25,21 @@ class Library:
     def __init__(self, concepts: DataFrame, texts: DataFrame | None = None, chunks: DataFrame | None = None, model: str | None = None) -> None:
         """``texts`` has ``id, title, body`` of indexed pages whose bodies the concepts leave out; ``chunks`` has ``source_id, embedding, model``."""
         self.concepts, self._texts, self.chunks, self.model = concepts, texts, chunks, model
+        self.store: store.Store | None = None
+        self._held: list[DataFrame] = []
+
+    def __enter__(self) -> Library:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Lets go of what this object cached."""
+        for frame in self._held:
+            frame.unpersist()
+        self._held.clear()
+        self.__dict__.pop("postings", None)
 
     @classmethod
     def read(cls, spark: SparkSession, root: str) -> Library:
@@ -30,6 +47,12 @@ class Library:
         pages = source.files(spark, root)
         return cls(source.concepts(pages))
 
+    def with_index(self, root: str) -> Library:
+        """The library with an index kept below a root: made once, refreshed by what changed."""
+        self.store = store.Store(self.concepts.sparkSession, root)
+        self.__dict__.pop("postings", None)
+        return self
+
     @cached_property
     def edges(self) -> DataFrame:
         return graph.edge_list(self.concepts).select("src", "dst")
@@ -41,7 +64,11 @@ class Library:
 
     @cached_property
     def postings(self) -> DataFrame:
-        return search.build_postings(self.texts).persist()
+        if self.store is not None:
+            return self.store.refresh_index(self.texts)
+        made = search.build_postings(self.texts).persist()
+        self._held.append(made)
+        return made
 
     @cached_property
     def n_docs(self) -> int:
@@ -62,6 +89,12 @@ class Library:
         near = search.ranked(search.vector_search(self.chunks, vector))
         return search.ranked(search.fuse(words, near))
 
+    def ranked_of_type(self, query: str, kind: str) -> DataFrame:
+        """``id, score`` of the hits of one kind that a reader may be shown; the cut to 40 comes before the kind."""
+        hits = search.fts_search(self.postings, self.n_docs, query)
+        kept = self.concepts.filter((F.col("type") == kind) & schema.stable_only(F.col("status"))).select("id")
+        return hits.join(kept, "id", "left_semi")
+
     def search(self, query: str, *, kind: str | None = None, low: str | None = None, high: str | None = None, tags: Sequence[str] = (), vector: Sequence[float] | None = None, model: str | None = None) -> DataFrame:
         """At most 16 pages. The cut to 40 hits comes before every filter, so filters never widen it."""
         hits = self.ranked(query, vector, model)
@@ -91,6 +124,47 @@ class Library:
     def passages(self, query: str) -> DataFrame:
         return search.best_passages(self.texts, query)
 
+    def context(self, question: str, mode: str = "ask") -> str:
+        """What a model is given to answer a question, at most 24 000 characters."""
+        asked = self.concepts.sparkSession.range(1).select(text.asks_coverage(F.lit(question)).alias("a"), text.coverage_years(F.lit(question)).alias("y")).first()
+        gaps = None
+        if mode == "gap" or asked.a:
+            topic = self.ranked_of_type(question, "Topic").orderBy(F.round("score", 6).desc(), "id").first()
+            gaps = [] if topic is None else [f"{r.kind}: {r.gap_id}" for r in self.gaps(topic.id).limit(context.GAPS).collect()]
+        titles = [f"- {r.id} {r.title}" for r in self.papers.filter(schema.stable_only(F.col("status"))).orderBy(*pages.workbench_order()).select("id", "title").limit(context.TITLES).collect()]
+        return context.assemble(question, context.retrieval(self, question), mode, gaps, titles)
+
+    def cite_ids(self, question: str) -> dict[str, list[str]]:
+        return context.cite_ids(self, question)
+
+    def sync_vectors(self, client, model: str) -> DataFrame:
+        """Vectors of the texts by a client; those of unchanged texts are kept, those of another model go."""
+        if self.store is None:
+            raise ValueError("vectors need an index: call with_index first")
+        self.store.refresh_index(self.texts)
+        chunks = self.texts.select(F.concat("id", F.lit("#p0")).alias("chunk_id"), F.col("id").alias("source_id"), F.substring("body", 1, 800).alias("text"))
+        self.chunks, self.model = self.store.refresh_vectors(seams.embed(chunks, client, model), self.texts, model), model
+        return self.chunks
+
+    # pages ----------------------------------------------------------------------------
+    def open(self, page: str) -> DataFrame:
+        return pages.open_page(self.concepts, page)
+
+    def cards(self) -> DataFrame:
+        return pages.cards(self.concepts).orderBy("type", "title", "id")
+
+    def shelf(self, low: str | None = None, high: str | None = None, query: str = "") -> DataFrame:
+        return pages.paper_filter(self.papers, low, high, query).orderBy(*pages.workbench_order())
+
+    def root_page(self) -> str:
+        return pages.root_page(self.concepts)
+
+    def save_note(self, title: str, body: str) -> DataFrame:
+        return compiling.save_page(self.concepts, "Note", title, body)
+
+    def save_survey(self, title: str, body: str) -> DataFrame:
+        return compiling.save_page(self.concepts, "Survey", title, body)
+
     # graph ----------------------------------------------------------------------------
     def backlinks(self, page: str, kind: str | None = None) -> DataFrame:
         return graph.backlinks(self.concepts, self.edges, page, kind)
@@ -105,21 +179,44 @@ class Library:
     def walk(self, start: str, depth: int = 1) -> DataFrame:
         return graph.walk(self.concepts, self.edges, start, depth)
 
-    def graph(self, page: str | None = None, depth: int = 1, claims: bool = False) -> tuple[DataFrame, DataFrame]:
-        """Nodes (at most 48) and the edges among them (at most 80), around a page or of the whole library."""
-        shown = graph.graph_nodes(self.concepts) if page is None else self.concepts.join(self.neighborhood([page], depth), "id")
-        shown = shown if claims else shown.filter(F.col("type") != "Claim")
-        nodes = shown.select("id", "type", "title").orderBy(schema.type_rank(F.col("type")), "id").limit(schema.CAPS["graph_nodes"])
-        return nodes, graph.induced(self.edges, nodes).select("src", "dst").distinct().orderBy("src", "dst").limit(schema.CAPS["graph_edges"])
+    def graph(self, page: str | None = None, depth: int = 1, claims: bool = False, query: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """Nodes (at most 48) and the links among them (at most 80): around a page, of a search (with its claims), or of the whole library."""
+        if page is not None and pages.sealed(page):
+            raise ValueError("this path is not served")
+        allowed = None
+        if page is not None:
+            allowed = self.neighborhood([page], depth)
+        elif query is not None:
+            hits = self.ranked(query).filter(F.col("rank") < schema.CAPS["search_hits"])
+            allowed, claims = graph.search_scope(self.concepts, graph.edge_list(self.concepts), hits), True
+        return graph.tool_graph(self.concepts, self.edges, allowed, claims)[:2]
+
+    def filtered(self, **options) -> DataFrame:
+        """``id`` of the nodes of a view; see ``graph.filter_graph``."""
+        query = options.pop("query", None)
+        if query:
+            options["seeds"] = graph.papers_from_hits(self.concepts, self.edges, self.ranked(query)).select("id").unionByName(self.ranked(query).select("id"))
+        return graph.filter_graph(self.concepts, self.edges, **options)[0]
 
     def workbench(self, cap: int = schema.CAPS["overview"]) -> DataFrame:
         return graph.select_capped(self.concepts, self.edges, min(cap, 20_000))
 
-    def compare(self, papers: Sequence[str]) -> DataFrame:
+    def compare(self, papers: Sequence[str] | None = None, query: str | None = None) -> DataFrame:
+        """Hubs that papers share: the given ones (at most 48), or the first 24 of a query."""
+        if papers is None and not query:
+            raise ValueError("name papers or a query to compare")
+        if papers is None:
+            found = graph.papers_from_hits(self.concepts, self.edges, self.ranked(query)).orderBy("rank", "step", "id").limit(schema.CAPS["compare"])
+            papers = [r.id for r in found.collect()]  # 24 at most
         if len(papers) > schema.CAPS["compare_explicit"]:
             raise ValueError(f"at most {schema.CAPS['compare_explicit']} papers can be compared")
         return graph.shared_hubs(self.concepts, coverage.hub_links(self.concepts, self.edges), papers).orderBy(F.col("n_papers").desc(), "hub").limit(schema.CAPS["shared"])
 
+    def shared_tags(self, papers: Sequence[str]) -> DataFrame:
+        """``tag, n_papers, in_all`` of tags that at least two of the papers have."""
+        tags = self.papers.filter(F.col("id").isin(*papers)).select("id", F.explode("tags").alias("tag")).select("id", F.lower("tag").alias("tag")).distinct()
+        return tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n_papers")).filter("n_papers >= 2").withColumn("in_all", F.col("n_papers") == len(set(papers)))
+
     def check(self) -> DataFrame:
         return graph.issues(self.concepts, self.edges)
 
@@ -152,10 +249,63 @@ class Library:
         """What a merge of another library's papers into this one would do."""
         return merge.merge_papers(other.papers.withColumn("verified", F.col("verified_human")), self.papers.withColumn("verified", F.col("verified_human")))
 
+    def merge_pages(self, other: Library, moves: DataFrame) -> DataFrame:
+        """``path, action, conflict`` of hubs, notes, questions and surveys of another library; ``moves`` are its papers' new ids."""
+        mine = self.concepts.withColumn("verified", F.col("verified_human"))
+        of = lambda frame, *kinds: frame.filter(F.col("type").isin(*kinds))
+        out = merge.merge_hubs(of(other.concepts, *schema.HUB_TYPES), of(mine, *schema.HUB_TYPES)).select("path", "action", "conflict")
+        for kind in ("Note", "Question", "Survey"):
+            out = out.unionByName(merge.merge_slug_pages(of(other.concepts, kind), of(mine, kind), kind).select("path", "action", "conflict"))
+        bare = F.lit(None).cast("string").alias("quote")
+        claims = lambda frame: of(frame, "Claim").select("path", "paper", "title", bare, "body", "verified_human", "confidence").withColumnRenamed("verified_human", "verified")
+        return out.unionByName(merge.merge_claims(claims(other.concepts).drop("verified", "confidence"), claims(self.concepts), moves).select("path", "action", "conflict"))
+
     def bibtex(self, ids: Sequence[str] | None = None) -> DataFrame:
         none = F.lit(None).cast("string")
         rows = self.papers if ids is None else self.papers.filter(F.col("id").isin(*ids))
-        return survey.bibtex(rows.select("id", "title", "published", "doi", none.alias("authors"), none.alias("venue")))
+        have = set(rows.columns)
+        authors = F.nullif(F.array_join("authors", " and "), F.lit("")) if "authors" in have else none
+        return survey.bibtex(rows.select("id", "title", "published", "doi", authors.alias("authors"), (F.col("venue") if "venue" in have else none).alias("venue")))
+
+    def export(self, page: str, style: str = "md") -> DataFrame:
+        """``id, text, bibtex`` of a survey as a manuscript: links to papers, and to claims of papers, are citations."""
+        surveys = self.concepts.filter(F.col("id") == page).select("id", "path", "title", "body")
+        keys = survey.citation_keys(self.papers)
+        claims = self.concepts.filter(F.col("type") == "Claim").select("id", "paper").join(keys.select(F.col("id").alias("paper"), "key"), "paper").select("id", "key")
+        cited = links.body_links(surveys.select("id", "body")).select(F.regexp_replace("target", r"\.md$", "").alias("id")).distinct()
+        known = keys.select("id", "key").unionByName(claims).join(cited, "id", "left_semi")
+        woven = survey.manuscript(surveys.select("id", text.strip_generated_blocks(F.col("body"), ("coverage",)).alias("body")), known, "tex-body" if style == "tex" else "md")
+        stem = text.manuscript_stem(F.col("path"))
+        shown = text.latex_document(F.col("title"), F.col("text"), stem) if style == "tex" else text.pandoc_document(F.col("title"), F.col("text"))
+        papers = keys.select(F.col("id").alias("paper"), "key").join(known.select("key").distinct(), "key").select("paper")
+        entries = self.bibtex().join(papers, F.col("id") == F.col("paper"), "left_semi").agg(F.array_join(F.array_sort(F.collect_list("entry")), "\n\n").alias("bibtex"))  # what one survey cites
+        return surveys.join(woven, "id").select("id", shown.alias("text")).join(entries)
+
+    def compile_survey(self, topic: str, low: str | None = None, high: str | None = None) -> dict[str, DataFrame]:
+        """What a survey of a topic is written from: papers in scope, claims in two parts, year buckets, ids that it may cite."""
+        scope = coverage.survey_scope(self.concepts, self.edges, topics=[topic], low=low, high=high)
+        dated = scope.filter("dated")
+        return {"papers": scope, "claims": coverage.survey_claims(self.concepts, dated), "buckets": coverage.survey_buckets(self.concepts, self.edges, topic), "allowed": coverage.allowed_ids(scope, self.concepts)}
+
+    def ingest(self, files: DataFrame, state: DataFrame, version: int, readers: dict | None = None) -> DataFrame:
+        """``path, format, body, problem`` of the source files (``path, content``) whose content or compile version is new to the state."""
+        stamped = files.select("path", F.sha2("content", 256).alias("sha256"))
+        todo = incremental.to_compile(stamped, state, version).select("path")
+        return documents.extract_documents(files.join(todo, "path", "left_semi"), readers)
+
+    def compile(self, items: DataFrame) -> DataFrame:
+        """Pages that hub items of compiled outputs (``title, type, tags, body, paper_title, paper_href``) become: titles align with the library's hubs first."""
+        vocabulary = resolve.vocabulary(self.concepts)
+        probes = items.select(F.concat_ws("\x1f", "type", "title").alias("probe"), "type", "title").distinct()
+        found = resolve.lookup(resolve.align_keys(vocabulary), probes).select("probe", "path")
+        folders = F.create_map(*[F.lit(x) for pair in schema.DIRECTORIES.items() for x in pair])
+        own = F.concat(F.try_element_at(folders, F.col("type")), F.lit("/"), text.slug(F.col("title")), F.lit(".md"))
+        incoming = items.withColumn("probe", F.concat_ws("\x1f", "type", "title")).join(found, "probe", "left").withColumn("path", F.coalesce("path", own)).withColumn("incoming_title", F.col("title"))
+        one = incoming.groupBy("path").agg(F.min_by(F.struct("title", "incoming_title", "tags", "body", "paper_title", "paper_href"), "incoming_title").alias("i")).select("path", "i.*")
+        return compiling.upsert_pages(one, self.concepts.withColumn("verified", F.col("verified_human")))
+
+    def pack(self, files: DataFrame, **options) -> bytes:
+        return source.pack(files, **options)
 
     def cited(self, page: str) -> DataFrame:
         return self.concepts.filter(F.col("id") == page).select(F.explode(text.cite_ids(F.col("body"))).alias("id"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellore import schema
-from tessellore.functions import text
+from tessellore.functions import text, udf
 from tessellore.storage import sized_broadcast
 
 
@@ -57,9 +57,9 @@ def first_extracts(extracts: DataFrame) -> DataFrame:
 def prune_claims(claims: DataFrame, extracts: DataFrame, snap=None) -> DataFrame:
     """``id, verdict``: kept when reviewed or quoted, healed when the quote can be snapped, else pruned.
 
-    ``snap`` maps quote and extract columns to a verbatim span or null.
+    ``snap`` maps quote and extract columns to a verbatim span or null. Texts compare in NFKC.
     """
-    met = claims.join(first_extracts(extracts), "paper", "left")
+    met = claims.join(first_extracts(extracts), "paper", "left").withColumns({c: udf.nfkc_column(F.col(c)) for c in ("quote", "extract")})
     found = text.quote_in_extract(F.col("quote"), F.col("extract"))
     healed = F.lit(False) if snap is None else snap(F.col("quote"), F.col("extract")).isNotNull()
     verdict = F.when(F.col("confidence") == "reviewed", "kept").when(F.col("extract").isNull(), "kept").when(found, "kept").when(healed, "healed").otherwise("pruned")

@@ -48,7 +48,7 @@ def manuscript(surveys: DataFrame, keys: DataFrame, style: str = "md") -> DataFr
     of the keys and no body is matched against all of them.
     """
     pattern = r"\[([^\]]*)\]\(/?([^)\s]+?)(?:\.md)?\)"
-    cite = {"md": lambda k: F.concat(F.lit("[@"), k, F.lit("]")), "tex": lambda k: F.concat(F.lit(r"\cite{"), k, F.lit("}"))}[style]
+    cite = {"md": lambda k: F.concat(F.lit("[@"), k, F.lit("]")), "tex": lambda k: F.concat(F.lit(r"\cite{"), k, F.lit("}")), "tex-body": lambda k: F.concat(F.lit(r"~\cite{"), k, F.lit("}"))}[style]
     plain = text.escape_latex if style == "tex" else (lambda x: x)
     parts = surveys.select(
         "id",

@@ -69,6 +69,8 @@ def concepts(pages: DataFrame) -> DataFrame:
         _text(f, "confidence").alias("confidence"),
         _text(f, "stance").alias("stance"),
         listed("aliases").alias("aliases"),
+        F.when(F.size(listed("authors")) > 0, listed("authors")).when(_text(f, "authors").isNotNull() & ~_text(f, "authors").startswith("["), F.array(_text(f, "authors"))).otherwise(F.array().cast("array<string>")).alias("authors"),
+        _text(f, "venue").alias("venue"),
         F.when(F.col("type") == "TextExtract", F.lit("")).otherwise(F.col("body")).alias("body"),
     )
 
@@ -79,21 +81,48 @@ def html_text(pages: DataFrame) -> DataFrame:
 
 
 def write_pages(pages: DataFrame, root: str) -> int:
-    """Writes ``path, frontmatter (JSON), body`` as page files below a shared folder; the driver writes nothing."""
+    """Writes ``path, frontmatter (JSON), body`` as page files below a root in any store that Spark reaches.
+
+    Pages are serialised on the executors, in Arrow batches; the driver puts them in place
+    one by one through Hadoop's file system, each written beside its place and renamed.
+    """
     import json
-    import os
+
+    spark = pages.sparkSession
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in rows:
-            for path, front, body in zip(batch["path"], batch["frontmatter"], batch["body"], strict=True):
-                target = os.path.join(root, path)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                with open(f"{target}.part", "w", encoding="utf-8") as out:
-                    out.write(udf.serialize(json.loads(front), body or ""))
-                os.replace(f"{target}.part", target)
-            yield pd.DataFrame({"n": [len(batch)]})
-
-    return pages.select("path", "frontmatter", "body").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
+            yield pd.DataFrame({"path": batch["path"], "content": [udf.serialize(json.loads(f), b or "") for f, b in zip(batch["frontmatter"], batch["body"], strict=True)]})
+
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    for row in pages.select("path", "frontmatter", "body").mapInPandas(run, "path string, content string").toLocalIterator():  # a page at a time, never all
+        if row.path.startswith("/") or ".." in row.path.split("/"):
+            raise ValueError(f"the page leaves its folder: {row.path}")
+        target, part = (jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{row.path}{end}") for end in ("", ".part"))
+        fs = target.getFileSystem(conf)
+        stream = fs.create(part, True)
+        try:
+            stream.write(bytearray(row.content.encode("utf-8")))
+        finally:
+            stream.close()
+        if fs.exists(target):
+            fs.delete(target, False)
+        if not fs.rename(part, target):
+            raise OSError(f"could not put {row.path} in place")
+        n += 1
+    return n
+
+
+def pack(found: DataFrame, *, notes: bool = True, extracts: bool = True) -> bytes:
+    """An archive of the pages (``path, content``) that an export holds; it is one file within the archive's caps."""
+    from tessellore.operators.merge import pack_paths
+
+    kept = pack_paths(found, notes=notes, extracts=extracts)
+    size = kept.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).alias("bytes")).first()
+    if size.n > ZIP_ENTRIES or (size.bytes or 0) > ZIP_BYTES:
+        raise ValueError("the export is too large for one archive")
+    return zip_bytes([(r.path, bytes(r.content)) for r in kept.select("path", "content").collect()])  # within the caps above
 
 
 def zip_bytes(entries: list[tuple[str, bytes]]) -> bytes:
