@@ -195,7 +195,9 @@ class Library:
         """``id`` of the nodes of a view; see ``graph.filter_graph``."""
         query = options.pop("query", None)
         if query:
-            options["seeds"] = graph.papers_from_hits(self.concepts, self.edges, self.ranked(query)).select("id").unionByName(self.ranked(query).select("id"))
+            shown = schema.graph_node(F.col("type"), F.col("status"), F.col("confidence"))
+            met = self.concepts.filter(schema.stable_only(F.col("status"))).join(F.broadcast(self.ranked(query)), "id")
+            options["seeds"] = met.select(F.when(shown, F.col("id")).otherwise(F.col("paper")).alias("id")).filter("id is not null")
         return graph.filter_graph(self.concepts, self.edges, **options)[0]
 
     def workbench(self, cap: int = schema.CAPS["overview"]) -> DataFrame:

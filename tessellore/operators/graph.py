@@ -216,7 +216,7 @@ def tool_graph(nodes: DataFrame, edges: DataFrame, allowed: DataFrame | None, cl
         left = max(0, cap - n)
         truncated = truncated or n + some.limit(cap + 1).count() > cap
         if left:
-            fair = cut(fair_claims(some.join(degree(some, edges.join(some.select("id"), (F.col("src") == F.col("id")) | (F.col("dst") == F.col("id")), "left_semi")).select("id", "degree"), "id"), left))
+            fair = cut(fair_claims(some.join(degree(some, edges).select("id", "degree"), "id"), left))
             picked = picked.unionByName(fair.select("id", "type", "title", "published", F.lit(len(schema.GRAPH_TYPES)).alias("rank"), F.col("turn").alias("place")))
     picked = cut(picked)
     links = induced(edges.select("src", "dst").filter("src <> dst"), picked).distinct().orderBy("src", "dst").limit(edge_cap)
