@@ -7,22 +7,24 @@ from pyspark.sql import functions as F
 
 from tessellore import schema
 from tessellore.functions import text
-from tessellore.storage import cut
+from tessellore.storage import cut, sized_broadcast
 
 
-def hub_links(nodes: DataFrame, edges: DataFrame, hubs: tuple[str, ...] = schema.HUB_TYPES) -> DataFrame:
+def hub_links(nodes: DataFrame, edges: DataFrame, hubs: tuple[str, ...] = schema.HUB_TYPES, papers: DataFrame | None = None) -> DataFrame:
     """``paper, hub, kind``: papers and hubs linked in either direction, each pair once.
 
-    Edges that say the types of their ends are filtered by them before any join.
+    ``papers`` restricts them and gives its further columns. Edges that say the types of
+    their ends are filtered by them before any join; hubs are few as a rule and then sent
+    to all; the last distinct reuses the partitioning by paper.
     """
-    papers = nodes.filter(F.col("type") == "Paper").select(F.col("id").alias("paper"))
+    papers = nodes.filter(F.col("type") == "Paper").select(F.col("id").alias("paper")) if papers is None else papers
     hub = nodes.filter(F.col("type").isin(*hubs)).select(F.col("id").alias("hub"), F.col("type").alias("kind"))
     out, back = edges, edges
     if {"src_type", "dst_type"} <= set(edges.columns):
         out = edges.filter((F.col("src_type") == "Paper") & F.col("dst_type").isin(*hubs))
         back = edges.filter((F.col("dst_type") == "Paper") & F.col("src_type").isin(*hubs))
     both = out.select(F.col("src").alias("paper"), F.col("dst").alias("hub")).unionByName(back.select(F.col("dst").alias("paper"), F.col("src").alias("hub")))
-    return both.join(hub, "hub").join(papers, "paper", "left_semi").select("paper", "hub", "kind").distinct()
+    return both.join(sized_broadcast(hub), "hub").join(papers, "paper").select("paper", "hub", "kind", *[c for c in papers.columns if c != "paper"]).distinct()
 
 
 def live_papers(nodes: DataFrame) -> DataFrame:
@@ -32,20 +34,20 @@ def live_papers(nodes: DataFrame) -> DataFrame:
 
 def topic_years(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``topic_id, year, n_papers, papers`` of live, dated papers."""
-    links = hub_links(nodes, edges, ("Topic",)).select("paper", F.col("hub").alias("topic_id"))
     dated = live_papers(nodes).filter("year is not null").select("paper", "year")
-    return links.join(dated, "paper").groupBy("topic_id", "year").agg(F.count(F.lit(1)).alias("n_papers"), F.array_sort(F.collect_list("paper")).alias("papers"))
+    links = hub_links(nodes, edges, ("Topic",), dated).withColumnRenamed("hub", "topic_id")
+    return links.groupBy("topic_id", "year").agg(F.count(F.lit(1)).alias("n_papers"), F.array_sort(F.collect_list("paper")).alias("papers"))
 
 
 def topic_year_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    links = hub_links(nodes, edges, ("Topic",)).select("paper", F.col("hub").alias("topic_id"))
     dated = live_papers(nodes).filter("year is not null").select("paper", "year")
-    return links.join(dated, "paper").groupBy("topic_id", "year").agg(F.count(F.lit(1)).alias("n_papers"))
+    links = hub_links(nodes, edges, ("Topic",), dated).withColumnRenamed("hub", "topic_id")
+    return links.groupBy("topic_id", "year").agg(F.count(F.lit(1)).alias("n_papers"))
 
 
 def topic_hubs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``topic_id, kind, hub, n_papers``: live papers, undated ones too, that have both."""
-    links = hub_links(nodes, edges, ("Topic", *CROSSED)).join(live_papers(nodes).select("paper"), "paper", "left_semi")
+    links = cut(hub_links(nodes, edges, ("Topic", *CROSSED), live_papers(nodes).select("paper")))  # read by both sides
     topics = links.filter("kind = 'Topic'").select("paper", F.col("hub").alias("topic_id"))
     other = links.filter(F.col("kind").isin(*CROSSED))
     return topics.join(other, "paper").groupBy("topic_id", "kind", "hub").agg(F.count(F.lit(1)).alias("n_papers"))
@@ -62,7 +64,7 @@ CROSSED = ("Method", "Dataset", "Gene", "Pathway")
 
 def dated_links(nodes: DataFrame, edges: DataFrame, hubs: tuple[str, ...]) -> DataFrame:
     """``paper, hub, kind, year`` of live papers."""
-    return hub_links(nodes, edges, hubs).join(live_papers(nodes).select("paper", "year"), "paper")
+    return hub_links(nodes, edges, hubs, live_papers(nodes).select("paper", "year"))
 
 
 def _missing_years(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -105,8 +107,7 @@ def gaps(nodes: DataFrame, edges: DataFrame, topic: str) -> DataFrame:
 def hotspots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``year, topic_id, n_papers, rank``: dated papers of any status, most first."""
     dated = nodes.filter((F.col("type") == "Paper") & F.col("published").isNotNull()).select(F.col("id").alias("paper"), text.published_year(F.col("published")).alias("year"))
-    links = hub_links(nodes, edges, ("Topic",))
-    counted = links.join(dated, "paper").groupBy("year", F.col("hub").alias("topic_id")).agg(F.count(F.lit(1)).alias("n_papers"))
+    counted = hub_links(nodes, edges, ("Topic",), dated).groupBy("year", F.col("hub").alias("topic_id")).agg(F.count(F.lit(1)).alias("n_papers"))
     return counted.withColumn("rank", F.row_number().over(Window.partitionBy("year").orderBy(F.col("n_papers").desc(), "topic_id")))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,10 +22,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(f"{fs.getHomeDirectory().toString()}/.tessellore")
 
 
+#: Tables that this process has written to cut lineage.
+_MADE: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    ensure_checkpoint_dir(spark)
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def cut(frame: DataFrame) -> DataFrame:
-    """The frame, computed once and kept by a reliable checkpoint."""
-    ensure_checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint()
+    """The frame, computed once and kept as a Parquet table in the shared folder: columns that nobody reads are pruned."""
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/tessellore-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    _MADE.append(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> int:
+    """Removes the tables that this process has written, once the results that read them are written; says how many."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _MADE:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    n = len(_MADE)
+    _MADE.clear()
+    return n
 
 
 #: Rows of a side that may be sent to all executors; beyond it the join shuffles.

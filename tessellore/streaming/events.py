@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessellore.storage import ensure_checkpoint_dir
+from tessellore.storage import shared_folder
 
 
 def hourly(events: DataFrame) -> DataFrame:
@@ -22,9 +22,7 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 
 def _places(spark: SparkSession) -> str:
-    ensure_checkpoint_dir(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{base}/tessellore-stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/tessellore-stream-{uuid.uuid4().hex}"
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
