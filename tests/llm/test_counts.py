@@ -322,6 +322,13 @@ def test_elite_bins_of_one_island_reach_the_parents_of_another(monkeypatch):
         assert free >= 0 and set(members["final"]) == {free <= packing.SLACK} and set(members["elite"]) == {free <= packing.ELITE_SLACK}
 
 
+def test_a_very_long_text_is_cut_into_whole_sequences(spark):
+    texts = [" ".join(f"word{k % 997}" for k in range(200_000)), "short"]
+    rows = pack_rows(spark, texts)
+    used, least = check_packing(rows, texts)
+    assert used == least > 300
+
+
 def test_migrants_are_kept_where_they_are_better():
     sizes = [512, 342, 341, 341, 512, 342, 341, 341]  # falling best fit pairs 512 with 512
     bins = packing.evolve(sizes, 1024, 0, [[1, 2, 3], [5, 6, 7]])
@@ -461,6 +468,15 @@ def test_mixed_rows_are_the_taken_copies(spark):
     assert dict(counted) == {i: c for i, c in copies.items() if c}
 
 
+def test_mix_with_a_very_long_text_and_clashing_columns(spark):
+    rows = [(0, "w " * 400_000, "a", 1, 2, "x")] + [(i, "w " * (i % 50 + 1), "ab"[i % 2], 1, 2, "x") for i in range(1, 400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, uid int, bin int, copies string")
+    got = {r.doc_id: r for r in mixing.mix_report(docs).collect()}
+    assert got[0].size == 400_000 and sum(r.size for r in got.values()) == 400_000 + sum(i % 50 + 1 for i in range(1, 400))
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns and {r.copies for r in out.collect()} == {"x"}
+
+
 def test_mix_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, None, 1), (1, None, None, 1), (None, " ", "s", 2)], "doc_id bigint, text string, source string, size int")
     assert [(r.size, r.taken) for r in mixing.mix_report(docs).collect()] == [(0, 0)] * 3

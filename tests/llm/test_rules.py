@@ -408,6 +408,19 @@ def test_no_recording_within_the_error_is_lost(spark):
     assert few  # some that whole integers alone don't find
 
 
+def test_a_long_recording_and_clashing_columns(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(audio, "LONG", 1 << 14)
+    rng = np.random.default_rng(37)
+    long = audio.render(rng.normal(size=2000).tolist())
+    part = long[300 * audio.HOP : 1700 * audio.HOP]
+    rows = [(0, long.tolist(), "q", 1, 2), (1, part.tolist(), "q", 1, 2), (2, audio.render(rng.normal(size=900).tolist()).tolist(), "q", 1, 2)]
+    recordings = spark.createDataFrame(rows, "rec bigint, samples array<double>, query string, fp int, class_id int")
+    got = {r.rec_id: r for r in audio.align(recordings, "rec", "samples", is_query=F.col("rec_id") == 0, min_votes=0).collect()}
+    assert [(m.class_id, m.offset) for m in got[0].matches] == [(1, -300)] and got[1].matches == []
+
+
 def test_transforms_count_the_bits_of_long_recordings():
     rng = np.random.default_rng(29)
     q = rng.integers(0, 1 << 32, 50, dtype=np.uint32)
