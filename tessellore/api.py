@@ -215,9 +215,7 @@ class Library:
         return graph.shared_hubs(self.concepts, coverage.hub_links(self.concepts, self.edges), papers).orderBy(F.col("n_papers").desc(), "hub").limit(schema.CAPS["shared"])
 
     def shared_tags(self, papers: Sequence[str]) -> DataFrame:
-        """``tag, n_papers, in_all`` of tags that at least two of the papers have."""
-        tags = self.papers.filter(F.col("id").isin(*papers)).select("id", F.explode("tags").alias("tag")).select("id", F.lower("tag").alias("tag")).distinct()
-        return tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n_papers")).filter("n_papers >= 2").withColumn("in_all", F.col("n_papers") == len(set(papers)))
+        return graph.shared_tags(self.papers, papers)
 
     def check(self) -> DataFrame:
         return graph.issues(self.concepts, self.edges)

@@ -483,3 +483,32 @@ def pandoc_document(title: Column, body: Column) -> Column:
 def manuscript_stem(path: Column) -> Column:
     name = F.regexp_replace(F.regexp_replace(path, "^/*surveys/", ""), r"(?i)\.md$", "")
     return F.coalesce(F.nullif(F.regexp_replace(name, "[^A-Za-z0-9._-]+", "-"), F.lit("")), F.lit("survey"))
+
+
+# messages -----------------------------------------------------------------------------
+#: The form of an image that a message holds.
+DATA_URL = r"(?i)^data:image/(png|jpeg|jpg|webp|gif);base64,([A-Za-z0-9+/]+={0,2})$"
+
+
+def message_text(parts: Column) -> Column:
+    """The text of a message's parts (``type, text``)."""
+    return F.array_join(F.transform(F.filter(parts, lambda p: p["type"] == "text"), lambda p: F.coalesce(p["text"], F.lit(""))), "")
+
+
+def system_text(messages: Column) -> Column:
+    """What the system messages (``role, content``) of a conversation say together; null if nothing."""
+    said = F.transform(F.filter(messages, lambda m: (m["role"] == "system") & (strip(m["content"]) != "")), lambda m: m["content"])
+    return F.when(F.size(said) > 0, F.array_join(said, "\n\n"))
+
+
+def image_of(url: Column) -> Column:
+    """(media type, bytes) of a data URL of an image, or null for anything else."""
+    kind = F.lower(F.regexp_extract(strip(url), DATA_URL, 1))
+    content = F.try_to_binary(F.regexp_extract(strip(url), DATA_URL, 2), F.lit("base64"))
+    known = strip(url).rlike(DATA_URL) & content.isNotNull() & (F.octet_length(content) > 0)
+    return F.when(known, F.struct(F.concat(F.lit("image/"), F.when(kind == "jpg", "jpeg").otherwise(kind)).alias("media"), content.alias("content")))
+
+
+def remaining(planned: Column, done: Column) -> Column:
+    """What is planned and not done yet, in order."""
+    return F.array_except(planned, F.coalesce(done, F.array().cast("array<int>")))

@@ -118,6 +118,12 @@ def shared_hubs(nodes: DataFrame, links: DataFrame, papers: Sequence[str]) -> Da
     return met.filter("n_papers >= 2").withColumn("in_all", F.col("n_papers") == n)
 
 
+def shared_tags(nodes: DataFrame, papers: Sequence[str]) -> DataFrame:
+    """``tag, n_papers, in_all`` of tags, whatever their case, that at least two of the papers have."""
+    tags = nodes.filter((F.col("type") == "Paper") & F.col("id").isin(*papers)).select("id", F.explode("tags").alias("tag")).select("id", F.lower("tag").alias("tag")).distinct()
+    return tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n_papers")).filter("n_papers >= 2").withColumn("in_all", F.col("n_papers") == len(set(papers)))
+
+
 def claim_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct claims of each paper: links in either direction, or the claim's own paper field."""
     claims = nodes.filter(F.col("type") == "Claim").select(F.col("id").alias("claim"), "paper")

@@ -101,3 +101,53 @@ def without_dismissed(pairs: DataFrame, dismissed: DataFrame) -> DataFrame:
     """Pairs whose order-free key nobody dismissed (``a, b`` in any order)."""
     key = lambda: F.array_join(F.array_sort(F.array("a", "b")), "\t")
     return pairs.withColumn("pair", key()).join(dismissed.select(key().alias("pair")).distinct(), "pair", "left_anti").drop("pair")
+
+
+#: Kinds of review items in their order, and those that ask for a decision.
+REVIEW_KINDS = ("missing_published", "missing_doi", "low_confidence_biblio", "disputed_claim", "near_duplicate", "merge_conflict", "draft")
+ACTION_KINDS = ("merge_conflict", "near_duplicate", "missing_published", "missing_doi", "low_confidence_biblio")
+
+
+def review_queue(records: DataFrame, pairs: DataFrame, extracts: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """``kind, path, other, paper, reason`` of all seven kinds of review items.
+
+    ``records`` has ``path, type, status, published, doi, biblio, confidence, paper, quote``;
+    ``pairs`` ``a, b, reason``; ``extracts`` ``id, paper, body``; ``conflicts`` ``path,
+    reason``. A claim is disputed by its confidence or as its quote is not in the first
+    extract of its paper; a draft that is queued as such a claim is not queued twice. All
+    checks of a record are one pass over it.
+    """
+    live = schema.live(F.col("status"))
+    paper, claim = F.col("type") == "Paper", F.col("type") == "Claim"
+    quotes = records.filter(claim & live & F.col("paper").isNotNull() & (F.coalesce("quote", F.lit("")) != "")).select("path", "paper", "quote")
+    held = quotes.join(first_extracts(extracts).select("paper", "extract"), "paper").filter(F.col("extract") != "")
+    lost = held.filter(~text.quote_in_extract(F.col("quote"), F.col("extract"))).select("path", F.lit(True).alias("lost"))
+    met = records.filter(F.col("type") != "TextExtract").join(lost, "path", "left").withColumn("lost", F.coalesce("lost", F.lit(False)))
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    disputed = claim & live & (F.col("lost") | F.coalesce(F.col("confidence") == "disputed", F.lit(False)))
+    item = lambda when, kind, reason: F.when(when, F.struct(F.lit(kind).alias("kind"), reason.alias("reason")))
+    found = F.array_compact(
+        F.array(
+            item(paper & live & empty("published"), "missing_published", F.lit("no date")),
+            item(paper & live & empty("doi"), "missing_doi", F.lit("no DOI")),
+            item(paper & live & F.coalesce(F.col("biblio") == "suggested", F.lit(False)), "low_confidence_biblio", F.lit("a bibliography hit waits")),
+            item(disputed, "disputed_claim", F.when(F.col("lost"), "quote not in extract").otherwise("disputed")),
+            item((F.col("status") == "draft") & ~disputed, "draft", F.lit("draft")),
+        )
+    )
+    none = F.lit(None).cast("string")
+    out = met.select("path", "paper", F.explode(found).alias("i")).select("i.kind", "path", none.alias("other"), F.when(F.col("i.kind") == "disputed_claim", F.col("paper")).alias("paper"), "i.reason")
+    out = out.unionByName(pairs.select(F.lit("near_duplicate").alias("kind"), F.col("a").alias("path"), F.col("b").alias("other"), none.alias("paper"), "reason"))
+    return out.unionByName(conflicts.select(F.lit("merge_conflict").alias("kind"), "path", none.alias("other"), none.alias("paper"), "reason"))
+
+
+def review_order(items: DataFrame) -> DataFrame:
+    """Items by kind, path and other path."""
+    rank = F.array_position(F.array(*map(F.lit, REVIEW_KINDS)), F.col("kind"))
+    return items.orderBy(rank, "path", F.coalesce("other", F.lit("")))
+
+
+def review_totals(items: DataFrame) -> DataFrame:
+    """One row: items that ask for a decision, and those that are inventory."""
+    action = F.col("kind").isin(*ACTION_KINDS)
+    return items.agg(F.count_if(action).alias("actions"), F.count_if(~action).alias("backlog"))

@@ -149,3 +149,21 @@ def best_passages(docs: DataFrame, query: str, most: int = schema.CAPS["passages
     by_id = Window.partitionBy("id")
     placed = scored.withColumn("top", F.max("score").over(by_id)).withColumn("place", F.row_number().over(by_id.orderBy(F.col("score").desc(), "ordinal")))
     return placed.filter((F.col("place") <= most) & ((F.col("score") > 0) | (F.col("top") == 0))).select("id", "ordinal", "score", "place")
+
+
+def chunks(records: DataFrame, bodies: DataFrame, most: int = schema.CAPS["chunks"]) -> DataFrame:
+    """``chunk_id, source_id, kind, ordinal, text`` that are embedded: the first passages of extracts (``bodies``: id, body), and claims with their quotes."""
+    from tessellore.functions import udf
+
+    extracts = records.filter("type = 'TextExtract'").select("id").join(bodies.select("id", "body"), "id")
+    cut_ = extracts.select("id", F.posexplode(F.slice(udf.passages_column(F.col("body")), 1, most)).alias("ordinal", "text"))
+    passages = cut_.select(F.concat("id", F.lit("#p"), F.col("ordinal").cast("string")).alias("chunk_id"), F.col("id").alias("source_id"), F.lit("extract").alias("kind"), "ordinal", "text")
+    quote = text.strip(F.regexp_replace(F.coalesce("body", F.lit("")), r"(?m)^>\s*", ""))
+    claims = records.filter("type = 'Claim'").select("id", F.concat_ws("\n", F.nullif(F.trim("title"), F.lit("")), F.nullif(quote, F.lit(""))).alias("text")).filter("text <> ''")
+    return passages.unionByName(claims.select(F.concat("id", F.lit("#quote")).alias("chunk_id"), F.col("id").alias("source_id"), F.lit("claim").alias("kind"), F.lit(0).alias("ordinal"), "text"))
+
+
+def evidence_papers(found: DataFrame, papers: DataFrame) -> DataFrame:
+    """``id, title, n`` of the papers of claims found (``paper``), most claims first."""
+    counted = found.filter("paper is not null").groupBy(F.col("paper").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.join(papers.select("id", "title"), "id").select("id", "title", "n").orderBy(F.col("n").desc(), "id")

@@ -42,7 +42,7 @@ def prune_sessions(sessions: DataFrame, most: int = schema.CAPS["sessions"]) ->
 
 
 def manuscript(surveys: DataFrame, keys: DataFrame, style: str = "md") -> DataFrame:
-    """``id, text`` of surveys (``id, body``): links to papers become citations by key, links to other pages their labels.
+    """``id, text`` of surveys (``id, body``): links to papers become citations by key, links to other pages their labels; links out of the library stay.
 
     Links are exploded, joined with the keys and put back in place, so no pattern is made
     of the keys and no body is matched against all of them.
@@ -55,10 +55,11 @@ def manuscript(surveys: DataFrame, keys: DataFrame, style: str = "md") -> DataFr
         F.split("body", r"\[[^\]]*\]\(/?[^)\s]+?(?:\.md)?\)", -1).alias("between"),
         F.regexp_extract_all("body", F.lit(pattern), F.lit(1)).alias("labels"),
         F.regexp_extract_all("body", F.lit(pattern), F.lit(2)).alias("targets"),
+        F.regexp_extract_all("body", F.lit(r"(\[[^\]]*\]\(/?[^)\s]+?(?:\.md)?\))"), F.lit(1)).alias("wholes"),
     )
-    links = parts.select("id", F.posexplode(F.arrays_zip("labels", "targets")).alias("pos", "link")).select("id", "pos", F.col("link.labels").alias("label"), F.col("link.targets").alias("target"))
+    links = parts.select("id", F.posexplode(F.arrays_zip("labels", "targets", "wholes")).alias("pos", "link")).select("id", "pos", F.col("link.labels").alias("label"), F.col("link.targets").alias("target"), F.col("link.wholes").alias("whole"))
     met = links.join(keys.select(F.col("id").alias("target"), "key"), "target", "left")
-    shown = met.select("id", F.struct("pos", F.when(F.col("key").isNotNull(), cite(F.col("key"))).otherwise(plain(F.col("label"))).alias("t")).alias("l"))
+    shown = met.select("id", F.struct("pos", F.when(F.col("key").isNotNull(), cite(F.col("key"))).when(F.col("target").rlike(r"://|^#|^(?i)mailto:"), F.col("whole")).otherwise(plain(F.col("label"))).alias("t")).alias("l"))
     texts = shown.groupBy("id").agg(F.transform(F.array_sort(F.collect_list("l")), lambda x: x.t).alias("links"))
     whole = parts.select("id", "between").join(texts, "id", "left").withColumn("links", F.coalesce("links", F.array().cast("array<string>")))
     woven = F.array_join(F.transform("between", lambda b, i: F.concat(plain(b), F.coalesce(F.get("links", i), F.lit("")))), "")

@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from tessellore.functions import text
 from tessellore.operators import compile as compiling
-from tessellore.operators import context, coverage, graph, links, merge, pages, resolve, search
+from tessellore.operators import context, coverage, graph, integrity, links, merge, pages, resolve, search, survey
 from tessellore.plans import lens
 from tessellore.plans.base import Registry
 from tessellore.plans.library_queries import ALLOWED, BASE, CTE, DEGREE, HUBS, RANK, TOPIC, both
-from tessellore.storage import cut
 
 R = Registry()
 ORDER_ID = "concat('papers/o', o_orderkey)"
@@ -477,3 +476,125 @@ def passages_whole(spark, sf):
     glued = lambda x: F.regexp_replace(x, r"\s+", "")
     whole = (glued(F.array_join("p", "")) == glued(F.col("text"))) & F.forall("p", lambda x: F.length(x) <= 800)
     return d.select("id", F.size(F.split(F.trim(F.regexp_replace("text", r"^\s+|\s+$", "")), r"\s+")).alias("n_words"), whole.alias("whole"))
+
+
+# review -------------------------------------------------------------------------------
+REVIEWED = """r AS (SELECT 'papers/o' || o_orderkey AS path, 'Paper' AS type, CASE WHEN o_orderstatus = 'P' THEN 'deprecated' WHEN o_orderkey % 13 = 0 THEN 'draft' ELSE 'stable' END AS status, CASE WHEN o_orderkey % 50 <> 0 THEN 'd' END AS published, CASE WHEN o_orderkey % 4 = 0 THEN '10.1/x' END AS doi, CASE WHEN o_orderkey % 17 = 0 THEN 'suggested' END AS biblio, NULL AS confidence, NULL AS paper, NULL AS quote FROM orders
+  UNION ALL SELECT 'claims/b' || item_id, 'Claim', CASE WHEN item_id % 3 = 0 THEN 'draft' ELSE 'stable' END, NULL, NULL, NULL, CASE WHEN item_id % 5 = 0 THEN 'disputed' END, 'papers/b' || item_id, text FROM benchmark),
+  x AS (SELECT 'papers/b' || item_id AS paper, CASE WHEN item_id % 2 = 0 THEN 'It says: ' || text ELSE 'It says nothing.' END AS extract FROM benchmark WHERE item_id % 7 > 0),
+  c AS (SELECT r.*, extract IS NOT NULL AND extract = 'It says nothing.' AS lost FROM r LEFT JOIN x USING (paper)),
+  i AS (SELECT 'missing_published' AS kind, path, NULL AS other, NULL AS paper, 'no date' AS reason FROM c WHERE type = 'Paper' AND status <> 'deprecated' AND published IS NULL UNION ALL SELECT 'missing_doi', path, NULL, NULL, 'no DOI' FROM c WHERE type = 'Paper' AND status <> 'deprecated' AND doi IS NULL
+    UNION ALL SELECT 'low_confidence_biblio', path, NULL, NULL, 'a bibliography hit waits' FROM c WHERE type = 'Paper' AND status <> 'deprecated' AND biblio IS NOT NULL UNION ALL SELECT 'disputed_claim', path, NULL, paper, CASE WHEN lost THEN 'quote not in extract' ELSE 'disputed' END FROM c WHERE type = 'Claim' AND (lost OR confidence = 'disputed')
+    UNION ALL SELECT 'draft', path, NULL, NULL, 'draft' FROM c WHERE status = 'draft' AND NOT (type = 'Claim' AND (lost OR coalesce(confidence = 'disputed', false))) UNION ALL SELECT 'near_duplicate', 'topics/a.md', 'topics/b.md', NULL, 'align:stem' UNION ALL SELECT 'merge_conflict', 'papers/z.md', NULL, NULL, 'differs')"""
+
+
+def _queue(spark, sf):
+    o, k = _orders(spark, sf), F.col("k")
+    none = F.lit(None).cast("string")
+    papers = o.select(F.col("id").alias("path"), F.lit("Paper").alias("type"), F.when(F.col("o_orderstatus") == "P", "deprecated").when(k % 13 == 0, "draft").otherwise("stable").alias("status"), F.when(k % 50 != 0, "d").alias("published"), F.when(k % 4 == 0, "10.1/x").alias("doi"), F.when(k % 17 == 0, "suggested").alias("biblio"), none.alias("confidence"), none.alias("paper"), none.alias("quote"))
+    b, i = lens.table(spark, sf, "benchmark"), F.col("item_id")
+    owner = F.concat(F.lit("papers/b"), i.cast("string"))
+    claims = b.select(F.concat(F.lit("claims/b"), i.cast("string")).alias("path"), F.lit("Claim").alias("type"), F.when(i % 3 == 0, "draft").otherwise("stable").alias("status"), none.alias("published"), none.alias("doi"), none.alias("biblio"), F.when(i % 5 == 0, "disputed").alias("confidence"), owner.alias("paper"), F.col("text").alias("quote"))
+    extracts = b.filter(i % 7 > 0).select(F.concat(F.lit("extracts/b"), i.cast("string")).alias("id"), owner.alias("paper"), F.when(i % 2 == 0, F.concat(F.lit("It says: "), "text")).otherwise("It says nothing.").alias("body"))
+    pairs = spark.createDataFrame([("topics/a.md", "topics/b.md", "align:stem")], "a string, b string, reason string")
+    return integrity.review_queue(papers.unionByName(claims), pairs, extracts, spark.createDataFrame([("papers/z.md", "differs")], "path string, reason string"))
+
+
+@R.query(f"WITH {REVIEWED} SELECT * FROM i")
+def review_queue(spark, sf):
+    return _queue(spark, sf)
+
+
+KIND_RANK = "CASE kind WHEN 'missing_published' THEN 0 WHEN 'missing_doi' THEN 1 WHEN 'low_confidence_biblio' THEN 2 WHEN 'disputed_claim' THEN 3 WHEN 'near_duplicate' THEN 4 WHEN 'merge_conflict' THEN 5 ELSE 6 END"
+
+
+@R.query(f"WITH {REVIEWED} SELECT kind, path FROM i ORDER BY {KIND_RANK}, path, coalesce(other, '') LIMIT 100")
+def review_first(spark, sf):
+    return integrity.review_order(_queue(spark, sf)).select("kind", "path").limit(100)
+
+
+@R.query(f"WITH {REVIEWED} SELECT count(*) FILTER (kind NOT IN ('disputed_claim', 'draft')) AS actions, count(*) FILTER (kind IN ('disputed_claim', 'draft')) AS backlog FROM i")
+def review_totals(spark, sf):
+    return integrity.review_totals(_queue(spark, sf))
+
+
+# index and chunks ---------------------------------------------------------------------
+@R.query("WITH d AS (SELECT doc_id, concat('extracts/d', doc_id) AS id, CASE WHEN doc_id % 13 = 0 THEN text || ' zzdelta' ELSE text END AS body FROM documents WHERE doc_id % 11 <> 0), p AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(body), '[a-z0-9][a-z0-9+-]{1,}')) AS token FROM d) SELECT token, count(*) AS df FROM p GROUP BY token")
+def persisted_index(spark, sf):
+    """An index that is written, brought up to date from its delta and read again has the frequencies of a new one."""
+    import uuid
+
+    from tessellore.sources.store import POSTINGS, Store
+    from tessellore.storage import shared_folder
+
+    d = lens.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("extracts/d"), F.col("doc_id").cast("string")).alias("id"), F.lit(None).cast("string").alias("title"), F.col("text").alias("body"))
+    root = f"{shared_folder(spark)}/tessellore-index-{uuid.uuid4().hex}"
+    Store(spark, root).build_index(d.filter("doc_id % 7 <> 0").drop("doc_id"))
+    edited = F.when(F.col("doc_id") % 13 == 0, F.concat("body", F.lit(" zzdelta"))).otherwise(F.col("body"))
+    Store(spark, root).refresh_index(d.filter("doc_id % 11 <> 0").withColumn("body", edited).drop("doc_id"))
+    return Store(spark, root).load(POSTINGS).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
+
+@R.query("SELECT 'claims/b' || item_id || '#quote' AS chunk_id, 'Claim ' || item_id || chr(10) || text AS body FROM benchmark")
+def claim_chunks(spark, sf):
+    b, i = lens.table(spark, sf, "benchmark"), F.col("item_id").cast("string")
+    records = b.select(F.concat(F.lit("claims/b"), i).alias("id"), F.lit("Claim").alias("type"), F.concat(F.lit("Claim "), i).alias("title"), F.concat(F.lit("> "), "text", F.lit("\n")).alias("body"))
+    return search.chunks(records, records.limit(0)).select("chunk_id", F.col("text").alias("body"))
+
+
+@R.query("SELECT concat('extracts/d', doc_id) AS source_id, true AS whole FROM documents")
+def extract_chunks(spark, sf):
+    """The first sixteen passages of each extract: numbered from 0, of at most 800 characters, the beginning of its text."""
+    d = lens.table(spark, sf, "documents").select(F.concat(F.lit("extracts/d"), F.col("doc_id").cast("string")).alias("id"), F.lit("TextExtract").alias("type"), F.lit("t").alias("title"), F.col("text").alias("body"))
+    rows = search.chunks(d, d).groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "chunk_id", "text"))).alias("c"))
+    glued = lambda x: F.regexp_replace(x, r"\s+", "")
+    joined = glued(F.array_join(F.transform("c", lambda x: x.text), ""))
+    right = F.forall(F.transform("c", lambda x, i: (x.ordinal == i) & (x.chunk_id == F.concat("source_id", F.lit("#p"), i.cast("string"))) & (F.length(x.text) <= 800)), lambda x: x)
+    return rows.join(d.select(F.col("id").alias("source_id"), "body"), "source_id").select("source_id", (right & (F.size("c") <= 16) & glued(F.col("body")).startswith(joined)).alias("whole"))
+
+
+@R.query("WITH h AS (SELECT o_orderkey % 11 AS p, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1) SELECT 'papers/o' || p AS id, 'Order ' || p AS title, n FROM h WHERE p IN (SELECT o_orderkey FROM orders)")
+def evidence_rollup(spark, sf):
+    o = _orders(spark, sf)
+    found = o.filter("k % 3 = 0").select(F.format_string("papers/o%d", F.col("k") % 11).alias("paper"))
+    return search.evidence_papers(found, o.select("id", F.concat(F.lit("Order "), F.col("k").cast("string")).alias("title")))
+
+
+# messages, comparisons, manuscripts ---------------------------------------------------
+@R.query("WITH m AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (turn % 3 = 0) AS said, count(*) FILTER (turn % 3 > 0) AS rest FROM conversations GROUP BY conv_id) SELECT * FROM m")
+def system_texts(spark, sf):
+    """Every third turn stands for a system message."""
+    c = lens.table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.when(F.col("turn") % 3 == 0, "system").otherwise("user").alias("role"), F.col("text").alias("content")))).alias("m"))
+    return c.select("conv_id", text.system_text(F.col("m")).alias("said"), F.size(F.filter("m", lambda x: x.role != "system")).cast("long").alias("rest"))
+
+
+@R.query("SELECT * FROM (VALUES (0, 'image/png', 3), (1, 'image/jpeg', 1), (2, NULL, NULL), (3, NULL, NULL)) AS t(i, media, n)")
+def image_urls(spark, sf):
+    rows = spark.createDataFrame([(0, "data:image/png;base64,YWJj"), (1, " data:image/JPG;base64,YQ== "), (2, "https://e.org/a.png"), (3, "data:image/png;base64,")], "i int, url string")
+    got = text.image_of(F.col("url"))
+    return rows.select("i", got.media.alias("media"), F.octet_length(got.content).alias("n"))
+
+
+@R.query("SELECT * FROM (VALUES (0, 'ab'), (1, '')) AS t(i, said)")
+def message_texts(spark, sf):
+    rows = spark.createDataFrame([(0, [("text", "a"), ("image_url", None), ("text", "b")]), (1, [])], "i int, parts array<struct<type:string,text:string>>")
+    return rows.select("i", text.message_text(F.col("parts")).alias("said"))
+
+
+@R.query(f"{CTE} SELECT lower(tag) AS tag, count(DISTINCT id) AS n_papers, count(DISTINCT id) = 24 AS in_all FROM nodes WHERE type = 'Paper' AND id IN ({', '.join(repr(f'papers/o{k}') for k in range(1, 25))}) GROUP BY 1 HAVING count(DISTINCT id) >= 2")
+def compare_tags(spark, sf):
+    return graph.shared_tags(lens.nodes(spark, sf), [f"papers/o{k}" for k in range(1, 25)])
+
+
+@R.query(f"WITH {BODIES}, o AS (SELECT o_orderkey AS k FROM orders) SELECT b.id, CASE WHEN o.k IS NULL THEN 'next' ELSE '[@key' || o.k || ']' END || ' and gone, see [web](https://e.org/a.md).' AS text FROM b LEFT JOIN o ON o.k = b.k + 1")
+def manuscripts(spark, sf):
+    """Links to papers become citations, those to other pages their labels, those to elsewhere stay."""
+    return survey.manuscript(_bodies(spark, sf).select("id", F.regexp_replace("body", "#x", "").alias("body")), _orders(spark, sf).select("id", F.concat(F.lit("key"), F.col("k").cast("string")).alias("key")))
+
+
+@R.query("SELECT o_orderkey, array_to_string(list_filter([1, 2, 3, 4, 5], lambda x: x % (1 + o_orderkey % 3) <> 0), ',') AS pages_left FROM orders")
+def remaining_pages(spark, sf):
+    o = lens.table(spark, sf, "orders")
+    planned = F.array(*map(F.lit, (1, 2, 3, 4, 5)))
+    done = F.filter(planned, lambda x: x % (1 + F.col("o_orderkey") % 3) == 0)
+    return o.select("o_orderkey", F.array_join(text.remaining(planned, done), ",").alias("pages_left"))
