@@ -41,7 +41,7 @@ from .common import Scratch, join_small, tidy
 from .minhash import mixed_bits
 
 LENGTH, GRAM = 100, 32
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 BUCKET_BYTES = 8 << 20
 #: Bytes of the texts of one suffix array, if no single anchor has more.
 ARRAY_BYTES = 1 << 20
