@@ -81,38 +81,43 @@ def html_text(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.trim(F.regexp_replace(text.strip_tags(F.col("html")), r"\s+", " ")).alias("text"))
 
 
+#: Schemes of stores that executors can write to by themselves.
+DIRECT = ("file", "hdfs", "s3", "gs", "gcs", "abfs", "abfss")
+
+
 def write_pages(pages: DataFrame, root: str) -> int:
-    """Writes ``path, frontmatter (JSON), body`` as page files below a root in any store that Spark reaches.
+    """Writes ``path, frontmatter (JSON), body`` as page files below a root, from the executors; says how many.
 
-    Pages are serialised on the executors, in Arrow batches; the driver puts them in place
-    one by one through Hadoop's file system, each written beside its place and renamed.
+    The root is qualified by Hadoop, so a path without a scheme is one of the cluster's file
+    system. Each page is written beside its place and moved there. A store that only Spark
+    reaches is an error that names it: save a table there (``store.Store``).
     """
     import json
 
     spark = pages.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    full = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    scheme = full.split(":", 1)[0]
+    if scheme not in DIRECT:
+        raise ValueError(f"executors can't write files to {scheme}:")
+    full = f"file://{full.split(':', 1)[1]}" if scheme == "file" and "://" not in full else full
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(full)
         for batch in rows:
-            yield pd.DataFrame({"path": batch["path"], "content": [udf.serialize(json.loads(f), b or "") for f, b in zip(batch["frontmatter"], batch["body"], strict=True)]})
-
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    n = 0
-    for row in pages.select("path", "frontmatter", "body").mapInPandas(run, "path string, content string").toLocalIterator():  # a page at a time, never all
-        if row.path.startswith("/") or ".." in row.path.split("/"):
-            raise ValueError(f"the page leaves its folder: {row.path}")
-        target, part = (jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{row.path}{end}") for end in ("", ".part"))
-        fs = target.getFileSystem(conf)
-        stream = fs.create(part, True)
-        try:
-            stream.write(bytearray(row.content.encode("utf-8")))
-        finally:
-            stream.close()
-        if fs.exists(target):
-            fs.delete(target, False)
-        if not fs.rename(part, target):
-            raise OSError(f"could not put {row.path} in place")
-        n += 1
-    return n
+            for path, front, body in zip(batch["path"], batch["frontmatter"], batch["body"], strict=True):
+                if path.startswith("/") or ".." in path.split("/"):
+                    raise ValueError(f"the page leaves its folder: {path}")
+                target = f"{base}/{path}"
+                store.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(f"{target}.part") as out:
+                    out.write(udf.serialize(json.loads(front), body or "").encode("utf-8"))
+                store.move(f"{target}.part", target)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return pages.select("path", "frontmatter", "body").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def pack(found: DataFrame, *, notes: bool = True, extracts: bool = True) -> bytes:
