@@ -39,16 +39,51 @@ def lookup(keys: DataFrame, probes: DataFrame) -> DataFrame:
     return met.withColumn("n", place).filter("n = 1").select("probe", "path", F.col("kind").alias("matched_by"))
 
 
+#: Keys of up to so many characters meet on deletion variants, those of at least so many on segments.
+VARIANT_LENGTH, SEGMENT_LENGTH = 20, 18
+
+
+def _segments(length: Column, parts: int) -> list[tuple[Column, Column]]:
+    """(start from 1, size) of the even parts of a key of some length."""
+    cut = [F.floor(length * i / parts).cast("int") for i in range(parts + 1)]
+    return [(cut[i] + 1, cut[i + 1] - cut[i]) for i in range(parts)]
+
+
+def segment_probes(keys: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Two sets of ``type, key, probe`` on which long keys within ``most`` edits meet.
+
+    Of most + 1 even parts of a key one stays whole, shifted by no more than the edits. The
+    first set has each key's own parts, the second what lies at the places of such parts in
+    keys of about its length: a number of probes that doesn't grow with the key.
+    """
+    parts = most + 1
+    probe = lambda length, i, piece: F.concat_ws("\x1f", F.lit("s"), length.cast("string"), F.lit(str(i)), piece)
+    size = F.length("key")
+    own = F.array(*[probe(size, i, F.substring("key", at, n)) for i, (at, n) in enumerate(_segments(size, parts))])
+    met = []
+    for change in range(-most, most + 1):
+        length = size + change
+        for i, (at, n) in enumerate(_segments(length, parts)):
+            for shift in range(-most, most + 1):
+                start = at + shift
+                inside = (start >= 1) & (start + n - 1 <= size)
+                met.append(F.when(inside, probe(length, i, F.substring("key", start, n))))
+    long = keys.filter(size >= SEGMENT_LENGTH)
+    return long.select("type", "key", F.explode(own).alias("probe")), long.select("type", "key", F.explode(F.array_distinct(F.array_compact(F.array(*met)))).alias("probe"))
+
+
 def edit_pairs(hubs: DataFrame, most: int = EDIT_MOST) -> DataFrame:
     """Pairs ``a, b, distance`` of paths of one type whose keys differ by at most ``most`` edits.
 
-    Keys meet on shared deletion variants, an equi-join, and are then measured.
+    Short keys meet on shared deletion variants, whose number grows with the square of the
+    key, long ones on a part that stays whole; both are equi-joins, then pairs are measured.
     """
     keyed = hubs.select("type", "path", text.align_key(F.col("title")).alias("key")).filter(F.length("key") >= EDIT_LENGTH)
     distinct = keyed.select("type", "key").distinct()
-    probes = distinct.select("type", "key", F.explode(text.deletion_variants(F.col("key"), most)).alias("probe"))
-    left, right = probes.withColumnRenamed("key", "ka"), probes.withColumnRenamed("key", "kb")
-    met = left.join(right, ["type", "probe"]).filter("ka < kb").select("type", "ka", "kb").distinct()
+    probes = distinct.filter(F.length("key") <= VARIANT_LENGTH).select("type", "key", F.explode(text.deletion_variants(F.col("key"), most)).alias("probe"))
+    own, near = segment_probes(distinct, most)
+    left, right = probes.unionByName(own).withColumnRenamed("key", "ka"), probes.unionByName(near).withColumnRenamed("key", "kb")
+    met = left.join(right, ["type", "probe"]).filter("ka <> kb").select("type", F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb")).distinct()
     near = met.withColumn("distance", F.levenshtein("ka", "kb", most)).filter("distance >= 0")
     paths = keyed.select("type", "path", "key")
     a = near.join(paths.select("type", F.col("key").alias("ka"), F.col("path").alias("a")), ["type", "ka"])

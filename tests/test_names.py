@@ -56,3 +56,48 @@ def test_citation_keys_never_repeat(spark):
     keys = {r.id: r.key for r in survey.citation_keys(spark.createDataFrame(rows, "id string, title string, published string")).collect()}
     assert len(set(keys.values())) == len(rows)
     assert keys["papers/-b"] == "t2020"
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_pairs_within_edits_are_those_of_all_pairs_at_every_length(spark):
+    from tessellore.operators import resolve
+
+    rng = random.Random(12)
+    titles = set()
+    for size in (5, 6, 9, 16, 17, 18, 19, 20, 21, 22, 40, 90):
+        for _ in range(4):
+            base = "".join(rng.choice("abcd") for _ in range(size))
+            titles.add(base)
+            for _ in range(5):
+                t = list(base)
+                for _ in range(rng.randint(1, 3)):
+                    at = rng.randrange(len(t))
+                    rng.choice([lambda: t.pop(at), lambda: t.insert(at, "x"), lambda: t.__setitem__(at, "y")])()
+                titles.add("".join(t))
+    titles = sorted(titles)
+    hubs = spark.createDataFrame([("Entity", t, t) for t in titles], "type string, path string, title string")
+    got = {(r.a, r.b): r.distance for r in resolve.edit_pairs(hubs).collect()}
+    want = {(a, b): d for i, a in enumerate(titles) for b in titles[i + 1 :] if len(a) >= 6 and len(b) >= 6 and abs(len(a) - len(b)) <= 2 and (d := levenshtein(a, b)) <= 2}
+    assert got == want and len(want) > 100
+
+
+def test_similar_titles_are_those_of_all_pairs(spark):
+    from pyspark.sql import functions as F
+    from tessellore.operators import resolve
+
+    rng = random.Random(13)
+    titles = sorted({" ".join(sorted({rng.choice("a b c d e f g hh ii jj".split()) for _ in range(rng.randint(1, 6))})) for _ in range(90)})
+    frame = spark.createDataFrame([(t,) for t in titles], "title string").withColumn("tokens", F.split("title", " "))
+    for least in (0.3, 0.5, 0.8, 1.0):
+        got = {(r.a, r.b): round(r.score, 9) for r in resolve.similar_titles(frame, least).collect()}
+        sets = {t: set(t.split()) for t in titles}
+        want = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 9) for i, a in enumerate(titles) for b in titles[i + 1 :] if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least}
+        assert got == want
