@@ -22,6 +22,7 @@ LINE_NOISE = (
 #: Inline footers and formatting tags that are dropped from lines.
 DOWNLOADED = r"Downloaded from \S+(?: by guest on \d{1,2} \w+ \d{4}| at \S+ .+? on \w+ \d{1,2}, \d{4})?"
 INLINE_TAGS = r"</?(?:u|i|b|em|strong|sub|sup)>"
+#: A lone capital before small letters; A and I are words of their own. Borders are those of ASCII words, as a Unicode border would count fewer in accented texts.
 BROKEN_WORD = r"(?<![A-Za-z0-9_])[B-HJ-Z] [a-z]{2,}(?![A-Za-z0-9_])"
 BROKEN_WORD_THRESHOLD = 80
 QUOTE_NOISE = ".,;:()\\[\\]\"'“”‘’…"
