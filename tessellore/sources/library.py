@@ -164,8 +164,8 @@ def unzip_column(frame: DataFrame, content: str = "content") -> DataFrame:
     return frame.select(content).mapInPandas(run, "path string, content binary")
 
 
-def synthetic(spark: SparkSession, papers: int = 1000, topics: int = 20, claims: int = 1, years: tuple[int, int] = (2000, 2024)) -> DataFrame:
-    """A made library for scale tests: ``id, type, title, published, outgoing``."""
+def synthetic(spark: SparkSession, papers: int = 1000, topics: int = 20, claims: int = 1, years: tuple[int, int] = (2000, 2024), saved: int = 0) -> DataFrame:
+    """A made library for scale tests: ``id, type, title, published, outgoing``; ``saved`` notes, questions and surveys each."""
     span = years[1] - years[0] + 1
     year = (F.lit(years[0]) + F.col("id") % span).cast("string")
     key = F.concat(F.lit("papers/"), year, F.lit("-paper-"), F.lpad(F.col("id").cast("string"), 4, "0"))
@@ -176,9 +176,10 @@ def synthetic(spark: SparkSession, papers: int = 1000, topics: int = 20, claims:
     paper = base.select(F.col("key").alias("id"), F.lit("Paper").alias("type"), F.concat(F.lit("Paper "), F.col("id").cast("string")).alias("title"), F.concat(year, F.lit("-01-01")).alias("published"), links.alias("outgoing"))
     claim_rows = base.select("key", F.explode(F.transform(numbers, claim)).alias("id")).select("id", F.lit("Claim").alias("type"), F.col("id").alias("title"), F.lit(None).cast("string").alias("published"), F.array("key").alias("outgoing"))
     topic = spark.range(topics).select(F.concat(F.lit("topics/topic-"), F.col("id").cast("string")).alias("id"), F.lit("Topic").alias("type"), F.concat(F.lit("Topic "), F.col("id").cast("string")).alias("title"), F.lit(None).cast("string").alias("published"), F.array().cast("array<string>").alias("outgoing"))
-    pages = [spark.range(1).select(F.lit(f"{schema.DIRECTORIES[k]}/{k.lower()}-0").alias("id"), F.lit(k).alias("type"), F.lit(f"{k} 0").alias("title"), F.lit(None).cast("string").alias("published"), F.array(F.lit("topics/topic-0")).alias("outgoing")) for k in ("Note", "Question", "Survey")]
+    number = F.col("id").cast("string")
+    pages = [spark.range(saved).select(F.concat(F.lit(f"{schema.DIRECTORIES[k]}/{k.lower()}-"), number).alias("id"), F.lit(k).alias("type"), F.concat(F.lit(f"{k} "), number).alias("title"), F.lit(None).cast("string").alias("published"), F.array(F.lit("topics/topic-0")).alias("outgoing")) for k in ("Note", "Question", "Survey")]
     extract = base.select(F.regexp_replace("key", "^papers", "extracts").alias("id"), F.lit("TextExtract").alias("type"), F.col("key").alias("title"), F.lit(None).cast("string").alias("published"), F.array("key").alias("outgoing"))
-    return functools.reduce(DataFrame.unionByName, [paper, claim_rows, topic, extract, *pages])
+    return functools.reduce(DataFrame.unionByName, [paper, claim_rows, topic, extract, *(pages if saved else [])])
 
 
 def index_page(concepts_frame: DataFrame) -> DataFrame:

@@ -128,6 +128,11 @@ def test_pages_go_to_files_and_archives(spark, tmp_path):
         library.write_pages(rows.withColumn("path", F.lit("../x.md")), str(tmp_path / "lib"))
 
 
+def test_made_libraries_have_saved_pages_if_asked_for(spark):
+    made = library.synthetic(spark, papers=3, topics=2, saved=2)
+    assert {r.type: r["count"] for r in made.groupBy("type").count().collect()} == {"Paper": 3, "Topic": 2, "Claim": 3, "TextExtract": 3, "Note": 2, "Question": 2, "Survey": 2}
+
+
 # links --------------------------------------------------------------------------------
 def test_stubs_and_the_error_of_the_guard(spark):
     bodies = spark.createDataFrame([("p", "[Motion](/topics/movement.md) [New thing](/methods/new-thing.md) [again](methods/new-thing.md)")], "id string, body string")
