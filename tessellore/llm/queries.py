@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, chat, license_scan, line_dedup, minhash, mixing, packing, quality, secret_scan, suffix_dedup, token_counts
+from . import audio, chat, collocations, license_scan, line_dedup, minhash, mixing, packing, quality, secret_scan, suffix_dedup, token_counts
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,10 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocation_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_license_scan": op2_license_scan,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op9_audio_alignment": op9_audio_alignment,
     "op10_chat_formatting": op10_chat_formatting,
     "op11_line_dedup": op11_line_dedup,
+    "op12_collocations": op12_collocations,
 }
 
 #: All shingles of all documents, all pairs that share one, components by closure.
@@ -102,4 +107,4 @@ SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coal
 FROM d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_suffix_dedup": REPEAT_ORACLE, "op6_near_dedup": NEAR_ORACLE, "op8_quality_rules": quality.ORACLE, "op10_chat_formatting": chat.ORACLE, "op11_line_dedup": line_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op5_suffix_dedup": REPEAT_ORACLE, "op6_near_dedup": NEAR_ORACLE, "op8_quality_rules": quality.ORACLE, "op10_chat_formatting": chat.ORACLE, "op11_line_dedup": line_dedup.ORACLE, "op12_collocations": collocations.ORACLE}
