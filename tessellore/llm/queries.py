@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, chat, collocations, license_scan, line_dedup, minhash, mixing, packing, quality, secret_scan, suffix_dedup, token_counts
+from . import audio, chat, collocations, license_scan, line_dedup, minhash, mixing, packing, quality, secret_scan, suffix_dedup, token_alignment, token_counts
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocation_report(table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_license_scan": op2_license_scan,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op10_chat_formatting": op10_chat_formatting,
     "op11_line_dedup": op11_line_dedup,
     "op12_collocations": op12_collocations,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 #: All shingles of all documents, all pairs that share one, components by closure.
