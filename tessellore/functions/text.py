@@ -159,6 +159,16 @@ def stem_key(key: Column) -> Column:
     return F.when(plural, F.regexp_replace(key, "s$", "")).otherwise(key)
 
 
+def singular(key: Column) -> Column:
+    """A plural key without its last letter; null if it is none."""
+    return F.when((F.length(key) > 5) & key.endswith("s") & ~key.endswith("ss"), F.regexp_replace(key, "s$", ""))
+
+
+def other_number(key: Column) -> Column:
+    """The singular of a plural key, the plural of another; null if it is too short for either."""
+    return F.coalesce(singular(key), F.when(F.length(key) > 5, F.concat(key, F.lit("s"))))
+
+
 def align_tokens(text: Column) -> Column:
     bare = F.regexp_replace(F.lower(text), r"\([^)]*\)", " ")
     return F.array_distinct(F.filter(F.split(bare, r"[^\p{L}\p{N}]+"), lambda t: (F.length(t) >= 2) & ~t.isin(*TOKEN_STOPS)))

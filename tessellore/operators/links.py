@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessellore import schema
-from tessellore.operators import resolve
+from tessellore.operators import align
 
 #: The form of a link, its label and its target.
 LINK = r'\[([^\]]*)\]\(([^)\s]+)(?:\s+"[^"]*")?\)'
@@ -116,7 +116,7 @@ def guard_links(links: DataFrame, files: DataFrame, hubs: DataFrame) -> DataFram
     kinds = F.create_map(*[F.lit(x) for pair in HUB_FOLDERS.items() for x in pair])
     dead = dead.withColumn("type", F.try_element_at(kinds, F.regexp_extract("target", "^([^/]*)/", 1)))
     probes = dead.filter("type is not null and label <> ''").select(F.concat_ws("\x1f", "type", "label").alias("probe"), "type", F.col("label").alias("title")).distinct()
-    found = resolve.lookup(resolve.align_keys(hubs), probes).select("probe", F.col("path").alias("into"))
+    found = align.lookup(align.index(hubs), probes).select("probe", F.col("path").alias("into"))
     met = dead.join(found, F.concat_ws("\x1f", "type", "label") == F.col("probe"), "left")
     aligned = F.col("into").isNotNull() & (F.col("into") != F.col("target"))
     action = F.when(F.col("type").isNull(), "error").when(aligned, "align").otherwise("stub")

@@ -6,39 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellore.functions import text
+from tessellore.operators.align import TOKEN_TYPES, Index, align_keys, label_pairs, lookup, names_of
 
-#: Match kinds by strength, and the types whose titles may match by tokens.
-KINDS = ("title", "alias", "slug", "stem", "token")
-TOKEN_TYPES = ("Topic", "Method", "Entity", "Pathway", "Dataset")
 EDIT_MOST, EDIT_LENGTH = 2, 6
 
 
-def align_keys(hubs: DataFrame) -> DataFrame:
-    """``type, key, kind, path`` of hubs (``type, path, title, aliases``)."""
-    key = text.align_key(F.col("title"))
-    rows = F.array(
-        F.struct(F.concat(F.lit("c:"), key).alias("key"), F.lit("title").alias("kind")),
-        F.struct(F.concat(F.lit("s:"), text.slug(F.col("title"))).alias("key"), F.lit("slug").alias("kind")),
-        F.struct(F.concat(F.lit("c:"), text.stem_key(key)).alias("key"), F.lit("stem").alias("kind")),
-    )
-    names = F.concat(F.coalesce("aliases", F.array().cast("array<string>")), text.parentheticals(F.col("title")))
-    aliases = F.transform(names, lambda a: F.struct(F.concat(F.lit("c:"), text.align_key(a)).alias("key"), F.lit("alias").alias("kind")))
-    spread = hubs.select("type", "path", F.explode(F.concat(rows, aliases)).alias("k")).select("type", "path", "k.*")
-    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
-    return spread.groupBy("type", "key", "path").agg(F.min_by("kind", rank).alias("kind"))
-
-
-def lookup(keys: DataFrame, probes: DataFrame) -> DataFrame:
-    """``probe, path, matched_by`` of titles (``probe, type, title``): the strongest kind, then the least path."""
-    key = text.align_key(F.col("title"))
-    tried = F.array(F.concat(F.lit("c:"), key), F.concat(F.lit("s:"), text.slug(F.col("title"))), F.concat(F.lit("c:"), text.stem_key(key)))
-    asked = probes.select("probe", "type", F.explode(F.array_distinct(tried)).alias("key"))
-    met = asked.join(keys, ["type", "key"])
-    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
-    place = F.row_number().over(Window.partitionBy("probe").orderBy(rank, "path"))
-    return met.withColumn("n", place).filter("n = 1").select("probe", "path", F.col("kind").alias("matched_by"))
-
-
 #: Keys of up to so many characters meet on deletion variants, those of at least so many on segments.
 VARIANT_LENGTH, SEGMENT_LENGTH = 20, 18
 
@@ -93,12 +65,18 @@ def edit_pairs(hubs: DataFrame, most: int = EDIT_MOST) -> DataFrame:
 def merge_reason(kind: Column, a_title: Column, b_title: Column, a_aliases: Column, b_aliases: Column) -> Column:
     """Why two hubs of one type may merge without a human, or null; an ordered decision list."""
     ka, kb = text.align_key(a_title), text.align_key(b_title)
-    none = F.array().cast("array<string>")
-    keys = lambda title, key, aliases: F.array_union(F.array(key), F.transform(F.concat(F.coalesce(aliases, none), text.parentheticals(title)), text.align_key))
+    keys = lambda title, key, aliases: F.array_union(F.array(key), F.transform(names_of(title, aliases), text.align_key))
     shared = F.filter(F.array_intersect(keys(a_title, ka, a_aliases), keys(b_title, kb, b_aliases)), lambda k: (k != "") & ~text.symbol_pair(k, F.when(ka == k, kb).otherwise(ka)))
     distance = F.levenshtein(ka, kb, EDIT_MOST)
-    ta, tb = text.align_tokens(a_title), text.align_tokens(b_title)
-    contained = (F.coalesce(text.token_match(ta, tb), text.token_match(tb, ta)) == "existing-in-incoming") & (F.abs(F.size(ta) - F.size(tb)) <= 2)
+    labels = lambda title, aliases: F.transform(F.concat(F.array(title), names_of(title, aliases)), text.align_tokens)
+
+    def of_labels(x: Column, y: Column) -> Column:
+        """What two labels' tokens say."""
+        within = F.coalesce(text.token_match(x, y), text.token_match(y, x))
+        return F.when(within == "equal", "token:equal").when((within == "existing-in-incoming") & (F.abs(F.size(x) - F.size(y)) <= 2), "token:contain")
+
+    # all labels of one against all of the other, in order; the first pair that says something decides
+    said = F.flatten(F.transform(labels(a_title, a_aliases), lambda x: F.transform(labels(b_title, b_aliases), lambda y: of_labels(x, y))))
     return (
         F.when(text.version_pair(a_title, b_title) | text.symbol_pair(ka, kb), F.lit(None).cast("string"))
         .when((ka != "") & (ka == kb), F.lit("align:title"))
@@ -106,8 +84,7 @@ def merge_reason(kind: Column, a_title: Column, b_title: Column, a_aliases: Colu
         .when(kind == "Gene", F.lit(None).cast("string"))
         .when((F.length(ka) >= EDIT_LENGTH) & (F.length(kb) >= EDIT_LENGTH) & (distance > 0), F.concat(F.lit("edit-distance:"), distance.cast("string")))
         .when(~kind.isin(*TOKEN_TYPES), F.lit(None).cast("string"))
-        .when(text.tokens_equal(ta, tb), F.lit("token:equal"))
-        .when(contained, F.lit("token:contain"))
+        .otherwise(F.get(F.array_compact(said), F.lit(0)))
     )
 
 
@@ -126,26 +103,11 @@ def near_duplicate_reason(kind: Column, a_title: Column, b_title: Column) -> Col
     )
 
 
-def rarest_token_pairs(titles: DataFrame) -> DataFrame:
-    """``type, a, b`` of titles (``type, path, tokens``) of which one's tokens may lie in the other's.
-
-    A set lies in another only if its rarest token does, so each title is looked for by
-    that one alone; a token that many titles share is looked for only by those without a
-    rarer one.
-    """
-    spread = titles.filter(F.size("tokens") > 0).select("type", "path", F.explode("tokens").alias("token"))
-    counts = spread.groupBy("type", "token").agg(F.count(F.lit(1)).alias("df"))
-    rarest = spread.join(counts, ["type", "token"]).groupBy("type", "path").agg(F.min(F.struct("df", "token")).alias("r")).select("type", F.col("path").alias("x"), F.col("r.token").alias("token"))
-    met = rarest.join(spread.withColumnRenamed("path", "y"), ["type", "token"]).filter("x <> y")
-    return met.select("type", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
 def candidate_pairs(hubs: DataFrame) -> DataFrame:
-    """``type, a, b``: hubs of one type that share a key, a deletion variant of one, or whose titles' tokens may lie in each other, each pair once."""
+    """``type, a, b``: hubs of one type that share a key, a deletion variant of one, or of which a label's tokens lie in a label of the other, each pair once."""
     probes = align_keys(hubs).select("type", F.col("key").alias("probe"), "path")
     met = probes.select("type", "probe", F.col("path").alias("a")).join(probes.select("type", "probe", F.col("path").alias("b")), ["type", "probe"]).filter("a < b").select("type", "a", "b")
-    titles = hubs.filter(F.col("type").isin(*TOKEN_TYPES)).select("type", "path", text.align_tokens(F.col("title")).alias("tokens"))
-    return met.unionByName(edit_pairs(hubs).select("type", "a", "b").filter("a < b")).unionByName(rarest_token_pairs(titles)).distinct()
+    return met.unionByName(edit_pairs(hubs).select("type", "a", "b").filter("a < b")).unionByName(label_pairs(hubs)).distinct()
 
 
 def similar_titles(titles: DataFrame, least: float) -> DataFrame:
@@ -206,15 +168,6 @@ def canonicalize(concepts: DataFrame, moves: DataFrame) -> DataFrame:
     )
 
 
-def lookup_all(keys: DataFrame, probes: DataFrame) -> DataFrame:
-    """``probe, path, matched_by`` of every hub that a title (``probe, type, title``) collides with, each by its strongest kind."""
-    key = text.align_key(F.col("title"))
-    tried = F.array(F.concat(F.lit("c:"), key), F.concat(F.lit("s:"), text.slug(F.col("title"))), F.concat(F.lit("c:"), text.stem_key(key)))
-    asked = probes.select("probe", "type", F.explode(F.array_distinct(tried)).alias("key"))
-    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
-    return asked.join(keys, ["type", "key"]).groupBy("probe", "path").agg(F.min_by("kind", rank).alias("matched_by"))
-
-
 def vocabulary(concepts: DataFrame) -> DataFrame:
     """``type, path, title, aliases`` of the hubs that titles are aligned with: neither deprecated nor redirects."""
     from tessellore import schema
@@ -224,10 +177,10 @@ def vocabulary(concepts: DataFrame) -> DataFrame:
     return kept.select("type", "path", "title", "aliases")
 
 
-def alias_prompts(incoming: DataFrame, keys: DataFrame, library: DataFrame, *, new: int = 24, old: int = 100) -> DataFrame:
+def alias_prompts(incoming: DataFrame, known: Index, library: DataFrame, *, new: int = 24, old: int = 100) -> DataFrame:
     """``type, prompt`` for a model that names synonyms: per type, titles (``type, title``) that align with nothing and the library's titles, both cut."""
     probes = incoming.select(F.concat_ws("\x1f", "type", "title").alias("probe"), "type", "title").distinct()
-    free = probes.join(lookup(keys, probes).select("probe"), "probe", "left_anti")
+    free = probes.join(lookup(known, probes).select("probe"), "probe", "left_anti")
     first = lambda frame, n: frame.withColumn("n", F.row_number().over(Window.partitionBy("type").orderBy("title"))).filter(F.col("n") <= n).groupBy("type").agg(F.array_sort(F.collect_list("title")).alias("titles"))
     a, b = first(free, new), first(library.select("type", "title").distinct(), old)
     body = F.concat(F.lit("New: "), F.to_json("titles"), F.lit("\nKnown: "), F.to_json(F.coalesce("known", F.array().cast("array<string>"))))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessellore import schema
 from tessellore.functions import text
-from tessellore.operators import coverage, graph, integrity, merge, resolve, search, survey
+from tessellore.operators import align, coverage, graph, integrity, merge, resolve, search, survey
 from tessellore.plans import lens
 from tessellore.plans.base import Registry
 
@@ -337,10 +337,10 @@ def _genes(alias):
 
 @R.query(
     f"{CTE}, h AS (SELECT type, id, title, {KEY.format('title')} AS key FROM nodes WHERE type IN ({HUBS})), k AS (SELECT type, 'c:' || key AS key, id AS path, 0 AS rank FROM h UNION ALL SELECT type, 's:' || regexp_replace(regexp_replace(regexp_replace(lower(title), '\\s+', '-', 'g'), '[^\\p{{L}}\\p{{N}}-]', '', 'g'), '-+', '-', 'g'), id, 2 FROM h"
-    " UNION ALL SELECT type, 'c:' || CASE WHEN length(key) > 5 AND key LIKE '%s' AND key NOT LIKE '%ss' THEN key[:-2] ELSE key END, id, 3 FROM h) SELECT type, key, path, CASE min(rank) WHEN 0 THEN 'title' WHEN 2 THEN 'slug' ELSE 'stem' END AS kind FROM k GROUP BY type, key, path"
+    " UNION ALL SELECT type, 's:' || regexp_replace(id, '^.*/', ''), id, 2 FROM h UNION ALL SELECT type, 'c:' || CASE WHEN length(key) <= 5 THEN NULL WHEN key LIKE '%s' AND key NOT LIKE '%ss' THEN key[:-2] ELSE key || 's' END, id, 3 FROM h) SELECT type, key, path, CASE min(rank) WHEN 0 THEN 'title' WHEN 2 THEN 'slug' ELSE 'stem' END AS kind FROM k WHERE key IS NOT NULL GROUP BY type, key, path"
 )
 def align_keys(spark, sf):
-    return resolve.align_keys(hubs(spark, sf, schema.HUB_TYPES))
+    return align.align_keys(hubs(spark, sf, schema.HUB_TYPES))
 
 
 @R.query(f"{CTE} SELECT 'Gene' AS type, least(a.path, b.path) AS a, greatest(a.path, b.path) AS b, levenshtein(a.key, b.key)::INT AS distance FROM {_genes('a')} JOIN {_genes('b')} ON a.key < b.key AND length(a.key) >= 6 AND length(b.key) >= 6 AND levenshtein(a.key, b.key) <= 2")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessellore.functions import text
 from tessellore.operators import compile as compiling
-from tessellore.operators import context, coverage, graph, integrity, links, merge, pages, resolve, search, survey
+from tessellore.operators import align, context, coverage, graph, integrity, links, merge, pages, resolve, search, survey
 from tessellore.plans import lens
 from tessellore.plans.base import Registry
 from tessellore.plans.library_queries import ALLOWED, BASE, CTE, DEGREE, HUBS, RANK, TOPIC, both
@@ -262,7 +262,7 @@ def remapped_bodies(spark, sf):
 def aligned_titles(spark, sf):
     hubs = lens.nodes(spark, sf).filter("type = 'Method'").select("type", F.col("id").alias("path"), "title", F.array().cast("array<string>").alias("aliases"))
     probes = hubs.select(F.upper("title").alias("probe"), "type", F.upper("title").alias("title"))
-    return resolve.lookup_all(resolve.align_keys(hubs), probes)
+    return align.lookup(align.index(hubs), probes)
 
 
 @R.query("SELECT * FROM (VALUES (0, 'both'), (1, 'both'), (2, 'right'), (3, 'left'), (4, 'right')) AS t(i, keep)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessellore.functions import text, udf
-from tessellore.operators import incremental, integrity, resolve, search, survey
+from tessellore.operators import align, incremental, integrity, resolve, search, survey
 from tessellore.plans import lens
 from tessellore.plans.base import Registry
 from tessellore.sources import library
@@ -268,10 +268,9 @@ def token_match(spark, sf):
     """Titles, and each with one more word: the shorter lies in the longer."""
     name = lens.table(spark, sf, "part").select(F.col("p_name").alias("title")).distinct()
     t = name.unionByName(name.select(F.concat("title", F.lit(" kit")).alias("title"))).distinct().withColumn("k", text.align_tokens(F.col("title")))
-    pairs = resolve.rarest_token_pairs(t.select(F.lit("x").alias("type"), F.col("title").alias("path"), F.col("k").alias("tokens")))
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    side = lambda c: t.select(F.col("title").alias(c), F.col("k").alias(f"k{c}"))
-    met = both.join(side("a"), "a").join(side("b"), "b")
+    sets = t.select(F.lit("x").alias("type"), F.array_sort("k").alias("tokens")).filter(F.size("tokens") > 0).distinct()
+    side = lambda c, k: t.select(F.col("title").alias(c), F.col("k").alias(f"k{c}"), F.array_sort("k").alias(k))
+    met = align.contained(sets, sets).join(side("a", "small"), "small").join(side("b", "large"), "large").filter("a <> b")
     return met.select("a", "b", text.token_match(F.col("ka"), F.col("kb")).alias("match")).filter("match is not null")
 
 

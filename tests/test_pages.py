@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessellore import paths, schema
 from tessellore.api import Library
 from tessellore.operators import compile as compiling
-from tessellore.operators import context, links, merge, pages, resolve, search
+from tessellore.operators import align, context, links, merge, pages, resolve, search
 from tessellore.sources import documents, library, store
 from tessellore.streaming import events
 
@@ -251,7 +251,7 @@ def test_vectors_are_synced_by_model(spark, shelf, tmp_path):
 
 def test_prompts_for_synonyms_and_the_vocabulary(spark, shelf):
     words = resolve.vocabulary(shelf.concepts)
-    keys = resolve.align_keys(words)
+    keys = align.index(words)
     incoming = spark.createDataFrame([("Topic", "motion"), ("Topic", "Speed"), ("Method", "Imaging")], "type string, title string")
     got = {r.type: r.prompt for r in resolve.alias_prompts(incoming, keys, words).collect()}
     assert got == {"Topic": 'New: ["Speed"]\nKnown: ["Motion"]', "Method": 'New: ["Imaging"]\nKnown: []'}
