@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessellore import schema
-from tessellore.functions import seams, text
+from tessellore.functions import text
 from tessellore.operators import compile as compiling
 from tessellore.operators import context, coverage, graph, incremental, integrity, links, merge, pages, resolve, search, survey
 from tessellore.sources import documents, store
@@ -138,12 +138,18 @@ class Library:
         return context.cite_ids(self, question)
 
     def sync_vectors(self, client, model: str) -> DataFrame:
-        """Vectors of the texts by a client; those of unchanged texts are kept, those of another model go."""
+        """Vectors of the first passages of extracts and of claims with their quotes, by a client.
+
+        Only what is new or has changed since the last call is cut and embedded; vectors of
+        removed pages and of another model go.
+        """
         if self.store is None:
             raise ValueError("vectors need an index: call with_index first")
-        self.store.refresh_index(self.texts)
-        chunks = self.texts.select(F.concat("id", F.lit("#p0")).alias("chunk_id"), F.col("id").alias("source_id"), F.substring("body", 1, 800).alias("text"))
-        self.chunks, self.model = self.store.refresh_vectors(seams.embed(chunks, client, model), self.texts, model), model
+        kinds = self.concepts.filter(F.col("type").isin("TextExtract", "Claim")).select("id", "type")
+        sources = self.texts.join(kinds.select("id"), "id", "left_semi")
+        claims = self.concepts.filter("type = 'Claim'").select("id", "title", "body").join(sources.select("id"), "id", "left_anti")  # without a body, a title is embedded
+        cut = lambda delta: search.chunks(delta.join(kinds, "id"), delta)
+        self.chunks, self.model = self.store.refresh_vectors(sources.unionByName(claims), cut, client, model), model
         return self.chunks
 
     # pages ----------------------------------------------------------------------------

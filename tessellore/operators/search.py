@@ -141,11 +141,16 @@ def evidence(claims: DataFrame, scored: DataFrame, most: int = schema.CAPS["evid
     return claims.join(scored, "id").orderBy(F.round("score", 6).desc(), "id").limit(most)
 
 
-def best_passages(docs: DataFrame, query: str, most: int = schema.CAPS["passages"], size: int = 800) -> DataFrame:
-    """``id, ordinal, score``: each document's passages with most query terms; its first ones if none has any."""
+def best_passages(docs: DataFrame, query: str, most: int = schema.CAPS["passages"]) -> DataFrame:
+    """``id, ordinal, score, place``: each document's passages with most query terms; its first ones if none has any.
+
+    Passages are paragraphs as ``udf.passages_column`` joins and cuts them; an empty document has none.
+    """
+    from tessellore.functions import udf
+
     terms = text.passage_terms(F.lit(query))
-    cut = docs.select("id", F.posexplode(text.fixed_passages(F.regexp_replace(F.trim("body"), r"\s+", " "), size)).alias("ordinal", "passage"))
-    scored = cut.withColumn("score", text.score_passage(F.col("passage"), terms))
+    cut = docs.select("id", F.posexplode(udf.passages_column(F.col("body"))).alias("ordinal", "passage"))
+    scored = cut.select("id", "ordinal", text.score_passage(F.col("passage"), terms).alias("score"))
     by_id = Window.partitionBy("id")
     placed = scored.withColumn("top", F.max("score").over(by_id)).withColumn("place", F.row_number().over(by_id.orderBy(F.col("score").desc(), "ordinal")))
     return placed.filter((F.col("place") <= most) & ((F.col("score") > 0) | (F.col("top") == 0))).select("id", "ordinal", "score", "place")

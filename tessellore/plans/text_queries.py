@@ -111,12 +111,27 @@ def evidence_papers(spark, sf):
     return evidence(spark, sf).groupBy((F.col("item_id") % 5).alias("paper")).agg(F.count(F.lit(1)).alias("n"))
 
 
-FLAT = "trim(regexp_replace(trim(text), '\\s+', ' ', 'g'))"
+#: The passages ``ps`` (id, ordinal from 0, passage) of ``t`` (id, body): short paragraphs joined, long ones cut.
+PASSAGES = """q AS (SELECT id, list_filter(list_transform(regexp_split_to_array(body, '\\n\\s*\\n'), lambda p: trim(regexp_replace(p, '\\s+', ' ', 'g'))), lambda p: p <> '') AS paras FROM t),
+f AS (SELECT id, array_to_string(paras, ' ') AS flat, list_reduce(list_transform(paras, lambda p: {'spans': [{'a': length(p), 'b': 0::BIGINT}], 'more': false, 'stop': 0::BIGINT}), lambda s, x:
+  CASE WHEN x.spans[1].a > 800 THEN {'spans': list_concat(s.spans, list_transform(range(s.stop + 1, s.stop + 1 + x.spans[1].a, 800), lambda i: {'a': i, 'b': least(i + 800, s.stop + 1 + x.spans[1].a)})), 'more': false, 'stop': s.stop + 1 + x.spans[1].a}
+       WHEN s.more AND s.spans[-1].b - s.spans[-1].a < 400 AND s.stop + 1 + x.spans[1].a - s.spans[-1].a <= 800 THEN {'spans': list_append(s.spans[:-2], {'a': s.spans[-1].a, 'b': s.stop + 1 + x.spans[1].a}), 'more': true, 'stop': s.stop + 1 + x.spans[1].a}
+       ELSE {'spans': list_append(s.spans, {'a': s.stop + 1, 'b': s.stop + 1 + x.spans[1].a}), 'more': true, 'stop': s.stop + 1 + x.spans[1].a} END,
+  {'spans': []::STRUCT(a BIGINT, b BIGINT)[], 'more': false, 'stop': (-1)::BIGINT}) AS r FROM q WHERE len(paras) > 0),
+ps AS (SELECT id, i - 1 AS ordinal, substr(flat, r.spans[i].a + 1, r.spans[i].b - r.spans[i].a) AS passage FROM (SELECT *, unnest(range(1, len(r.spans) + 1)) AS i FROM f))"""
+#: Every third document has each line as a paragraph, the others are as they are.
+PARAGRAPHS = "SELECT concat('extracts/d', doc_id) AS id, CASE WHEN doc_id % 3 = 0 THEN replace(text, chr(10), chr(10) || ' ' || chr(10)) ELSE text END AS body FROM documents"
+
+
+def paragraphed(spark, sf):
+    d = lens.table(spark, sf, "documents")
+    body = F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("text", "\n", "\n \n")).otherwise(F.col("text"))
+    return d.select(F.concat(F.lit("extracts/d"), F.col("doc_id").cast("string")).alias("id"), body.alias("body"))
 
 
-@R.query(f"WITH c AS (SELECT concat('extracts/d', doc_id) AS id, i AS ordinal, lower(substr({FLAT}, i * 800 + 1, 800)) AS p FROM documents, LATERAL (SELECT unnest(range(greatest(1, CAST(ceil(length({FLAT}) / 800) AS BIGINT)))) AS i)), s AS (SELECT id, ordinal, " + " + ".join(f"contains(p, '{t}')::INT" for t in TOKENS) + " AS score FROM c), w AS (SELECT *, max(score) OVER (PARTITION BY id) AS top, row_number() OVER (PARTITION BY id ORDER BY score DESC, ordinal) AS place FROM s) SELECT id, ordinal::INT AS ordinal, score, place::INT AS place FROM w WHERE place <= 3 AND (score > 0 OR top = 0)")
+@R.query(f"WITH t AS ({PARAGRAPHS}), {PASSAGES}, s AS (SELECT id, ordinal, " + " + ".join(f"contains(lower(passage), '{t}')::INT" for t in TOKENS) + " AS score FROM ps), w AS (SELECT *, max(score) OVER (PARTITION BY id) AS top, row_number() OVER (PARTITION BY id ORDER BY score DESC, ordinal) AS place FROM s) SELECT id, ordinal::INT AS ordinal, score, place::INT AS place FROM w WHERE place <= 3 AND (score > 0 OR top = 0)")
 def passages_scored(spark, sf):
-    return search.best_passages(docs(spark, sf).withColumn("body", F.regexp_replace(F.trim("body"), r"\s+", " ")), QUERY)
+    return search.best_passages(paragraphed(spark, sf), QUERY)
 
 
 # quotes and claims --------------------------------------------------------------------
@@ -170,10 +185,10 @@ def segments(spark, sf):
     return d.select("doc_id", F.posexplode(udf.segments_column(F.col("text"))).alias("ordinal", "segment")).select("doc_id", "ordinal", F.length("segment").alias("n_chars"))
 
 
-@R.query()
+@R.query(f"WITH t AS ({PARAGRAPHS}), {PASSAGES} SELECT id || '#p' || ordinal AS chunk_id, passage FROM ps WHERE ordinal < 16")
 def passages(spark, sf):
-    d = lens.table(spark, sf, "documents")
-    return d.select("doc_id", F.posexplode(F.slice(udf.passages_column(F.col("text")), 1, 16)).alias("ordinal", "passage")).select(F.concat(F.lit("extracts/d"), F.col("doc_id").cast("string"), F.lit("#p"), F.col("ordinal").cast("string")).alias("chunk_id"), F.length("passage").alias("n_chars"))
+    d = paragraphed(spark, sf)
+    return d.select("id", F.posexplode(F.slice(udf.passages_column(F.col("body")), 1, 16)).alias("ordinal", "passage")).select(F.concat("id", F.lit("#p"), F.col("ordinal").cast("string")).alias("chunk_id"), "passage")
 
 
 @R.query()
