@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tessellore import schema
 from tessellore.functions import text
 from tessellore.operators import compile as compiling
-from tessellore.operators import context, coverage, graph, incremental, integrity, links, merge, pages, resolve, search, survey
+from tessellore.operators import align, context, coverage, graph, incremental, integrity, links, merge, pages, resolve, search, survey
 from tessellore.sources import documents, store
 from tessellore.sources import library as source
 
@@ -244,9 +244,13 @@ class Library:
         one = self.concepts.sparkSession.createDataFrame([("draft", body)], "id string, body string")
         return integrity.cite_check(one, self.concepts)
 
-    def near_duplicates(self) -> DataFrame:
-        hubs = self.concepts.filter(F.col("type").isin(*schema.HUB_TYPES) & schema.live(F.col("status")))
-        return resolve.candidate_pairs(hubs)
+    def near_duplicates(self, dismissed: DataFrame | None = None) -> DataFrame:
+        """``a, b, reason`` of live hubs that a reviewer may find to be one, but for the ``dismissed`` pairs (``a, b``)."""
+        hubs = self.concepts.filter(F.col("type").isin(*schema.HUB_TYPES) & schema.live(F.col("status"))).select("type", "path", "title", "aliases")
+        side = lambda s: hubs.select("type", F.col("path").alias(s), F.col("title").alias(f"t{s}"))
+        met = resolve.candidate_pairs(hubs).join(side("a"), ["type", "a"]).join(side("b"), ["type", "b"])
+        judged = met.select("a", "b", resolve.near_duplicate_reason(F.col("type"), F.col("ta"), F.col("tb")).alias("reason")).filter("reason IS NOT NULL")
+        return judged if dismissed is None else integrity.without_dismissed(judged, dismissed)
 
     def canonicalize(self, moves: DataFrame) -> DataFrame:
         return resolve.canonicalize(self.concepts, moves)
@@ -300,15 +304,14 @@ class Library:
         return documents.extract_documents(files.join(todo, "path", "left_semi"), readers)
 
     def compile(self, items: DataFrame) -> DataFrame:
-        """Pages that hub items of compiled outputs (``title, type, tags, body, paper_title, paper_href``) become: titles align with the library's hubs first."""
+        """Pages that hub items of compiled outputs (``title, type, tags, body, paper_title, paper_href``) become: titles align with the library's hubs first, and all items that go to one page are kept."""
         vocabulary = resolve.vocabulary(self.concepts)
         probes = items.select(F.concat_ws("\x1f", "type", "title").alias("probe"), "type", "title").distinct()
-        found = resolve.lookup(resolve.align_keys(vocabulary), probes).select("probe", "path")
+        found = align.lookup(align.index(vocabulary), probes).select("probe", "path")
         folders = F.create_map(*[F.lit(x) for pair in schema.DIRECTORIES.items() for x in pair])
         own = F.concat(F.try_element_at(folders, F.col("type")), F.lit("/"), text.slug(F.col("title")), F.lit(".md"))
         incoming = items.withColumn("probe", F.concat_ws("\x1f", "type", "title")).join(found, "probe", "left").withColumn("path", F.coalesce("path", own)).withColumn("incoming_title", F.col("title"))
-        one = incoming.groupBy("path").agg(F.min_by(F.struct("title", "incoming_title", "tags", "body", "paper_title", "paper_href"), "incoming_title").alias("i")).select("path", "i.*")
-        return compiling.upsert_pages(one, self.concepts.withColumn("verified", F.col("verified_human")))
+        return compiling.upsert_pages(incoming, self.concepts.withColumn("verified", F.col("verified_human")))
 
     def pack(self, files: DataFrame, **options) -> bytes:
         return source.pack(files, **options)

@@ -190,6 +190,22 @@ def token_match(existing: Column, incoming: Column) -> Column:
     return F.when(subset & (F.size(existing) == F.size(incoming)), F.lit("equal")).when(subset & ((F.size(existing) >= 2) | long_enough), F.lit("existing-in-incoming"))
 
 
+#: From how many letters of the shorter slug on a common beginning makes two slugs akin. Below it, slugs
+#: of compile targets need to lie within one another; a link's slug has to begin the paper's with so many letters.
+KIN_LENGTH = {"target": 12, "link": 8}
+KIN_BEGIN = 4
+
+
+def akin(said: Column, slug: Column, rule: str) -> Column:
+    """Whether two slugs mean one paper, their leading years aside; an empty one means none."""
+    x, y = (F.regexp_replace(c, "^[0-9]{4}-", "") for c in (said, slug))
+    size = F.least(F.length(x), F.length(y))
+    at = F.greatest(F.position(x, y), F.position(y, x))  # 1 where one begins the other, 0 where neither holds the other
+    below = at > 0 if rule == "target" else (x == y) | ((F.position(x, y) == 1) & (F.length(x) >= KIN_BEGIN))
+    begins = (F.position(x, y) == 1) | (F.position(y, x) == 1)
+    return (size > 0) & F.when(size >= KIN_LENGTH[rule], begins).otherwise(below)
+
+
 def symbol_pair(a: Column, b: Column) -> Column:
     """Two different catalogue symbols: at most 16 letters and digits, some of them digits."""
     bare = lambda t: F.regexp_replace(t, "[^A-Za-z0-9]+", "")
@@ -300,19 +316,6 @@ def needs_vision(text: Column, has_image: Column, thin: int = 80) -> Column:
     return has_image | (F.length(F.trim(text)) < thin)
 
 
-def ensure_link(body: Column, title: Column, target: Column) -> Column:
-    link = F.concat(F.lit("["), title, F.lit("](/"), target, F.lit(".md)"))
-    return F.when(F.contains(body, F.concat(F.lit("](/"), target, F.lit(".md)"))), body).otherwise(F.concat(F.rtrim(body), F.lit("\n- "), link, F.lit("\n")))
-
-
-def generated_block(body: Column, name: str) -> Column:
-    return F.nullif(F.regexp_extract(body, rf"(?s)<!-- {name}:begin -->\n(.*?)\n<!-- {name}:end -->", 1), F.lit(""))
-
-
-def strip_generated(body: Column, name: str) -> Column:
-    return strip(F.regexp_replace(body, rf"(?s)<!-- {name}:begin -->.*?<!-- {name}:end -->", ""))
-
-
 def fingerprint16(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 
@@ -416,7 +419,7 @@ def vision_problem(markdown: Column, pages: Column) -> Column:
     named = lambda some: F.array_join(F.transform(some, lambda p: p.cast("string")), ",")
     missing = F.filter(pages, lambda p: place(p) == 0)
     empty = F.filter(pages, lambda p: (place(p) > 0) & (F.length(strip(F.coalesce(F.get(bodies, (place(p) - 1).cast("int")), F.lit("")))) < SECTION_CHARS))
-    return F.when(F.size(missing) > 0, F.concat(F.lit("missing headings for page(s) "), named(missing))).when(F.size(empty) > 0, F.concat(F.lit("near-empty output for page(s) "), named(empty)))
+    return F.when(F.size(missing) > 0, F.concat(F.lit("no heading for pages "), named(missing))).when(F.size(empty) > 0, F.concat(F.lit("hardly any text for pages "), named(empty)))
 
 
 def page_plan(pages: Column, most: int | None = None) -> Column:

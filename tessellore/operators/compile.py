@@ -42,14 +42,6 @@ def bind_extracts(extracts: DataFrame, papers: DataFrame, state: DataFrame) -> D
     return found.select("path", F.coalesce("bound", "own").alias("paper"), doi.alias("doi"), "bound_by", changed.alias("changed"))
 
 
-def slug_related(a: Column, b: Column) -> Column:
-    """Whether slugs without their years begin alike; short ones may lie within the other."""
-    yearless = lambda x: F.regexp_replace(x, "^[0-9]{4}-", "")
-    x, y = yearless(a), yearless(b)
-    short = F.contains(x, y) | F.contains(y, x)
-    return F.when((x == "") | (y == ""), F.lit(False)).when(x == y, F.lit(True)).when(F.least(F.length(x), F.length(y)) < 12, short).otherwise(x.startswith(y) | y.startswith(x))
-
-
 def compile_targets(targets: DataFrame, selector: str, papers: DataFrame, state: DataFrame) -> DataFrame:
     """``extract, paper, matched_by`` of the targets (``extract, source, title, paper``) that a selector names.
 
@@ -73,8 +65,8 @@ def compile_targets(targets: DataFrame, selector: str, papers: DataFrame, state:
         "paper": F.coalesce(text.concept_id(F.col("paper")) == want, F.lit(False)),
         "pipeline": F.coalesce(F.col("extract") == F.col("r_extract"), F.lit(False)),
         "resource": F.coalesce(F.array_contains("p_resources", F.col("source")), F.lit(False)),
-        "title": F.coalesce(slug_related(title, F.col("p_slug")), F.lit(False)),
-        "slug": slug_related(title, F.lit(want.removeprefix("papers/"))) | slug_related(text.slug(stem), F.lit(want.removeprefix("papers/"))),
+        "title": F.coalesce(text.akin(title, F.col("p_slug"), "target"), F.lit(False)),
+        "slug": text.akin(title, F.lit(want.removeprefix("papers/")), "target") | text.akin(text.slug(stem), F.lit(want.removeprefix("papers/")), "target"),
     }
     met = targets.join(F.broadcast(one)).select("extract", "paper", F.coalesce("known", F.lit(False)).alias("known"), F.array(*[F.when(t, F.lit(k)) for k, t in tests.items()]).alias("kinds"))
     spread = met.select("extract", "paper", "known", F.posexplode(F.array(*[F.get("kinds", F.lit(i)) for i in range(len(tests))])).alias("order", "matched_by")).filter("matched_by is not null")
@@ -132,31 +124,40 @@ def paper_links(existing: Column, incoming: Column) -> Column:
     return F.aggregate(papers, incoming, lambda body, p: text.ensure_href(body, F.when(p.label == "", F.lit("Paper")).otherwise(p.label), p.href))
 
 
-def united_aliases(existing: Column, title: Column, incoming_title: Column) -> Column:
-    """Aliases and, unless they align with the title, the incoming title and what both titles have in parentheses."""
+def united_aliases(existing: Column, title: Column, incoming_titles: Column) -> Column:
+    """Aliases and, unless they align with the title, the incoming titles and what all these titles have in parentheses."""
     differs = lambda a: text.align_key(a) != text.align_key(title)
-    own = F.when((F.trim(incoming_title) != "") & differs(incoming_title), F.array(F.trim(incoming_title))).otherwise(F.array().cast(NONE))
-    more = F.filter(F.concat(text.parentheticals(title), text.parentheticals(incoming_title)), differs)
+    own = F.filter(F.transform(incoming_titles, F.trim), lambda t: (t != "") & differs(t))
+    more = F.filter(F.concat(text.parentheticals(title), F.flatten(F.transform(incoming_titles, text.parentheticals))), differs)
     return F.array_distinct(F.concat(F.coalesce(existing, F.array().cast(NONE)), own, more))
 
 
 def upsert_pages(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """``path, action, title, tags, aliases, body`` of hub pages that a compile writes.
 
-    ``incoming`` has ``path, title, incoming_title, tags, body, paper_title, paper_href``,
-    one row a path; ``existing`` has ``path, title, tags, aliases, body, verified``. A page that a
-    human verified keeps its body and gets only the link and aliases ("skipped").
+    ``incoming`` has ``path, title, incoming_title, tags, body, paper_title, paper_href``;
+    ``existing`` has ``path, title, tags, aliases, body, verified``. Several items may go to
+    one path, also of several papers: in the order of papers and titles, their bodies are
+    appended unless held, their tags and titles unite and every paper gets its link. What
+    meets in one row is what one page will hold. A page that a human verified keeps its body
+    and gets only links and aliases ("skipped").
     """
+    rows = F.array_sort(F.collect_list(F.struct("paper_href", "incoming_title", "body", "paper_title", "title", "tags")))
+    items = incoming.groupBy("path").agg(rows.alias("r")).withColumn("made", joined_bodies(F.transform("r", lambda x: F.coalesce(x.body, F.lit("")))))
     old = existing.select(F.col("path").alias("o_path"), F.col("title").alias("o_title"), F.col("tags").alias("o_tags"), F.col("aliases").alias("o_aliases"), F.col("body").alias("o_body"), "verified")
-    met = incoming.join(old, F.col("path") == F.col("o_path"), "left")
+    met = items.join(old, F.col("path") == F.col("o_path"), "left")
     there, verified = F.col("o_path").isNotNull(), F.coalesce("verified", F.lit(False))
-    title = F.coalesce("o_title", "title")
-    linked = text.ensure_href(F.coalesce("body", F.lit("")), F.col("paper_title"), F.col("paper_href"))
+    title = F.coalesce("o_title", F.get("r", F.lit(0)).title)
+    papers = F.array_distinct(F.transform("r", lambda x: F.struct(x.paper_title.alias("label"), x.paper_href.alias("href"))))
+    with_links = lambda body: F.aggregate(papers, body, lambda b, p: text.ensure_href(b, p.label, p.href))
     none = F.array().cast(NONE)
-    body = F.when(verified, text.ensure_href(F.col("o_body"), F.col("paper_title"), F.col("paper_href"))).when(there, paper_links(F.col("o_body"), linked)).otherwise(linked)
-    tags = F.when(verified, F.col("o_tags")).otherwise(F.array_distinct(F.concat(F.coalesce("o_tags", none), F.coalesce("tags", none))))
+    linked = with_links(F.coalesce("made", F.lit("")))
+    body = F.when(verified, with_links(F.coalesce("o_body", F.lit("")))).when(there, paper_links(F.coalesce("o_body", F.lit("")), linked)).otherwise(linked)
+    given = F.flatten(F.transform("r", lambda x: F.coalesce(x.tags, none)))
+    tags = F.when(verified, F.col("o_tags")).otherwise(F.array_distinct(F.concat(F.coalesce("o_tags", none), given)))
     action = F.when(verified, "skipped").when(there, "updated").otherwise("written")
-    return met.select("path", action.alias("action"), title.alias("title"), tags.alias("tags"), united_aliases(F.col("o_aliases"), title, F.col("incoming_title")).alias("aliases"), body.alias("body"))
+    titles = F.array_distinct(F.transform("r", lambda x: x.incoming_title))
+    return met.select("path", action.alias("action"), title.alias("title"), tags.alias("tags"), united_aliases(F.col("o_aliases"), title, titles).alias("aliases"), body.alias("body"))
 
 
 def upsert_papers(incoming: DataFrame, existing: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tessellore import schema
 from tessellore.functions import text, udf
-from tessellore.storage import sized_broadcast
 
 
 def dead_links(links: DataFrame, files: DataFrame) -> DataFrame:
@@ -22,33 +21,6 @@ def cite_check(bodies: DataFrame, records: DataFrame) -> DataFrame:
     return cited.join(allowed, "cited", "left").select("id", "cited", F.coalesce("ok", F.lit(False)).alias("legal"))
 
 
-#: Words of the grams by which quotes meet texts.
-GRAM_WORDS = 4
-
-
-def held_quotes(quotes: DataFrame, texts: DataFrame) -> DataFrame:
-    """``item, doc`` of the folded quotes (``item, q``) that folded texts (``doc, e``) hold.
-
-    The inner words of a quote are whole words of any text that holds it, so quotes of three
-    words and more meet texts on grams of up to four inner words; the first and the last word
-    may be parts. Quotes of one or two words are looked for in all texts.
-    """
-    words = F.split("q", " ")
-    sized = quotes.filter("q <> ''").withColumn("m", F.least(F.lit(GRAM_WORDS), F.size(words) - 2))
-    heads = sized.filter("m > 0").select("item", "m", F.array_join(F.slice(words, 2, F.col("m")), " ").alias("head"))
-    sizes = sorted(r.m for r in heads.select("m").distinct().collect())  # four at most
-
-    def grams(split: Column) -> Column:
-        """Runs of all sizes asked for, in one pass; a run's words say its size."""
-        runs = lambda m: F.array_distinct(F.when(F.size(split) >= m, F.transform(F.sequence(F.lit(1), F.size(split) - (m - 1)), lambda i: F.array_join(F.slice(split, i, F.lit(m)), " "))).otherwise(F.array().cast("array<string>")))
-        return F.concat(F.array().cast("array<string>"), *map(runs, sizes))
-
-    near = texts.select("doc", F.explode(text.let(F.split("e", " "), grams)).alias("head")).join(sized_broadcast(heads.select("item", "head")), "head").select("item", "doc").distinct()
-    whole = near.join(texts, "doc").join(quotes, "item").filter(F.contains("e", F.col("q"))).select("item", "doc")
-    short = sized.filter("m <= 0").select("item", "q")
-    return whole.unionByName(texts.join(sized_broadcast(short), F.contains("e", F.col("q"))).select("item", "doc"))
-
-
 def first_extracts(extracts: DataFrame) -> DataFrame:
     """The extract with the least path of each paper."""
     return extracts.groupBy("paper").agg(F.min_by("body", "id").alias("extract"), F.min("id").alias("extract_id"))

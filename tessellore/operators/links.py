@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessellore import schema
+from tessellore.functions import text
 from tessellore.operators import align
 
 #: The form of a link, its label and its target.
@@ -64,15 +65,11 @@ def _slug(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?i)\.md$", "")
 
 
-def paper_related(label: Column, target: Column, paper: Column) -> Column:
-    """Whether a link with an invented target means a paper: its label, else its file name, begins like the paper's slug or is begun by it."""
-    yearless = lambda x: F.regexp_replace(x, "^[0-9]{4}-", "")
-    said = F.when(label != "", label).otherwise(F.regexp_replace(_slug(target), "[-_]+", " "))
-    said = yearless(F.regexp_replace(F.regexp_replace(F.lower(said), "[^a-z0-9]+", "-"), "^-+|-+$", ""))
-    slug = yearless(F.lower(_slug(paper)))
-    shorter = F.least(F.length(said), F.length(slug))
-    short = (said == slug) | ((F.length(said) >= 4) & slug.startswith(said))
-    return F.when(shorter == 0, F.lit(False)).when(shorter < 8, short).otherwise(slug.startswith(said) | said.startswith(slug))
+def means_paper(label: Column, target: Column, paper: Column) -> Column:
+    """Whether a link with an invented target means a paper, by its label or, without one, by its file name."""
+    said = F.when(label != "", label).otherwise(_slug(target))
+    letters = F.regexp_replace(F.lower(said), "[^a-z0-9]+", "-")
+    return text.akin(F.btrim(letters, F.lit("-")), F.lower(_slug(paper)), "link")
 
 
 def sanitize_links(links: DataFrame, files: DataFrame, papers: DataFrame) -> DataFrame:
@@ -94,7 +91,7 @@ def sanitize_links(links: DataFrame, files: DataFrame, papers: DataFrame) -> Dat
     near = dead.withColumn("initial", initial("begin")).join(pages.withColumn("initial", initial("slug")), ["folder", "initial"]).filter(F.col("slug").startswith(F.col("begin")))
     one = near.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.min("page").alias("page")).filter("n = 1").select("target", "page")
     met = met.join(one, "target", "left")
-    means = F.col("folder").isin("paper", "papers") & F.coalesce(paper_related(F.col("label"), F.col("target"), F.col("paper")), F.lit(False))
+    means = F.col("folder").isin("paper", "papers") & F.coalesce(means_paper(F.col("label"), F.col("target"), F.col("paper")), F.lit(False))
     action = F.when(F.col("keep"), "keep").when(means, "paper").when(F.col("page").isNotNull(), "align").otherwise("unlink")
     into = F.when(F.col("keep"), F.col("target")).when(means, F.col("paper")).otherwise(F.col("page"))
     return met.select("id", "pos", "label", "target", action.alias("action"), into.alias("into"))
@@ -127,7 +124,7 @@ def guard_links(links: DataFrame, files: DataFrame, hubs: DataFrame) -> DataFram
 def stub_pages(guarded: DataFrame, papers: DataFrame) -> DataFrame:
     """``path, type, title, body`` of the pages to be made, each once; ``papers`` (``id, paper, paper_title``) names who refers to them."""
     first = guarded.filter("action = 'stub'").join(papers, "id").groupBy("target").agg(F.min(F.struct("id", "pos", "type", "title", "paper", "paper_title")).alias("s"))
-    body = F.concat(F.lit("Referenced from "), link_text(F.col("s.paper_title"), F.col("s.paper")), F.lit(".\n\n(_Created by the link guard. This page is a stub pending review._)"))
+    body = F.concat(F.lit("Referenced from "), link_text(F.col("s.paper_title"), F.col("s.paper")), F.lit(", which has no page of its own yet; somebody should write it."))
     return first.select(F.col("target").alias("path"), "s.type", "s.title", body.alias("body"))
 
 

@@ -174,6 +174,30 @@ def upserted_pages(spark, sf):
     return out.select("path", "action", "title", F.array_join("tags", ",").alias("tags"), F.array_join("aliases", ",").alias("aliases"), "body")
 
 
+@R.query(
+    "WITH i AS (SELECT p_partkey AS k, p_name AS name, p_name || 's' AS title, p_brand AS tag, 'Body ' || p_partkey || '.' AS body, '/papers/p' || lpad(p_partkey::VARCHAR, 7, '0') || '.md' AS href, length(p_name) % 2 = 0 AS there FROM part),"
+    " g AS (SELECT 'topics/' || replace(CASE WHEN there THEN name ELSE title END, ' ', '-') || '.md' AS path, bool_or(there) AS there, min(name) AS name, min(title) AS title, string_agg(body, chr(10) || chr(10) ORDER BY href) || string_agg(chr(10) || chr(10) || '- [P' || k || '](' || href || ')', '' ORDER BY href) || chr(10) AS body, list_sort(list_distinct(list(tag))) AS tags, count(*) AS n FROM i GROUP BY 1)"
+    " SELECT path, CASE WHEN there THEN 'updated' ELSE 'written' END AS action, CASE WHEN there THEN name ELSE title END AS title, CASE WHEN there THEN title ELSE '' END AS aliases, CASE WHEN there THEN regexp_replace(body, chr(10) || '$', '') || chr(10) || chr(10) || '- [Old](/papers/old.md)' || chr(10) ELSE body END AS body, array_to_string(tags, ',') AS tags, n FROM g"
+)
+def compiled_collisions(spark, sf):
+    """Many papers name one hub, by the plural of its title where it is there: all bodies, tags and links are kept."""
+    from pyspark.sql import types as T
+
+    from tessellore import schema
+    from tessellore.api import Library
+
+    k, name = F.col("p_partkey"), F.col("p_name")
+    part = lens.table(spark, sf, "part")
+    items = part.select(F.concat(name, F.lit("s")).alias("title"), F.lit("Topic").alias("type"), F.array("p_brand").alias("tags"), F.format_string("Body %d.", k).alias("body"), F.format_string("P%d", k).alias("paper_title"), F.format_string("/papers/p%07d.md", k).alias("paper_href"))
+    path = F.concat(F.lit("topics/"), F.replace(name, F.lit(" "), F.lit("-")), F.lit(".md"))
+    held = part.filter(F.length(name) % 2 == 0).select(name.alias("title"), path.alias("path")).distinct()
+    given = {"id": F.regexp_replace("path", r"\.md$", ""), "path": F.col("path"), "type": F.lit("Topic"), "title": F.col("title"), "status": F.lit("stable"), "body": F.lit("- [Old](/papers/old.md)\n"), "tags": F.array().cast("array<string>"), "aliases": F.array().cast("array<string>"), "verified_human": F.lit(False)}
+    shape = T.StructType.fromDDL(schema.CONCEPTS)
+    concepts = held.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in shape.fields])
+    out = Library(concepts).compile(items)
+    return out.select("path", "action", "title", F.array_join("aliases", ",").alias("aliases"), "body", F.array_join(F.array_sort("tags"), ",").alias("tags"), F.regexp_count("body", F.lit(r"\]\(/papers/p")).cast("long").alias("n"))
+
+
 @R.query("SELECT 'claims/b' || item_id || '--claim-' || item_id || '.md' AS path, CASE WHEN item_id % 2 = 1 THEN 'omitted' WHEN item_id % 6 = 0 THEN 'skipped' ELSE 'written' END AS action, CASE WHEN item_id % 2 = 0 THEN text END AS quote FROM benchmark")
 def written_claims(spark, sf):
     """Quotes with other blanks and marks snap back to what the text says; odd items' texts don't hold them."""
@@ -429,7 +453,7 @@ def merged_visuals(spark, sf):
     return spark.createDataFrame(rows, "i int, layer string, visual string, scan boolean").select("i", text.merge_visual(F.col("layer"), F.col("visual"), F.col("scan")).alias("body"))
 
 
-@R.query("SELECT * FROM (VALUES (0, NULL), (1, 'missing headings for page(s) 2,5'), (2, 'near-empty output for page(s) 2')) AS t(i, problem)")
+@R.query("SELECT * FROM (VALUES (0, NULL), (1, 'no heading for pages 2,5'), (2, 'hardly any text for pages 2')) AS t(i, problem)")
 def vision_checks(spark, sf):
     rows = [(0, "### Page 1\nlong enough text\n### Page 2\nalso long enough", [1, 2]), (1, "### Page 1\nlong enough text", [1, 2, 5]), (2, "### Page 1\nlong enough text\n### Page 2\n tiny ", [1, 2])]
     return spark.createDataFrame(rows, "i int, markdown string, pages array<int>").select("i", text.vision_problem(F.col("markdown"), F.col("pages")).alias("problem"))

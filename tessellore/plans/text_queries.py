@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessellore.functions import text, udf
+from tessellore.operators import quotes as quotes_
 from tessellore.operators import align, incremental, integrity, resolve, search, survey
 from tessellore.plans import lens
 from tessellore.plans.base import Registry
@@ -156,7 +157,7 @@ def quote_in_extract(spark, sf):
     cut = pieces.select((F.col("item_id") * 10 + F.col("n")).alias("item"), F.array_join(F.slice(F.split("text", " "), 3, F.col("n")), " ").alias("text"))
     quotes = b.select((F.col("item_id") * 10).alias("item"), "text").unionByName(cut).select("item", text.fold_quote(F.col("text")).alias("q"))
     texts = lens.table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), text.fold_quote(F.col("text")).alias("e"))
-    return integrity.held_quotes(quotes, texts).select("item", F.col("doc").alias("doc_id"))
+    return quotes_.held_quotes(quotes, texts).select("item", F.col("doc").alias("doc_id"))
 
 
 CLAIMS = "c AS (SELECT item_id, item_id % 7 = 0 AS reviewed, item_id AS paper, text AS quote FROM benchmark)"
