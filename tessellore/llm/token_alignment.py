@@ -5,11 +5,8 @@ leads and the bytes that the other has not matched yet; the next token is always
 from the side behind. Transitions are remembered by residual and next token, so bytes are
 compared once for each such pair. Whenever the residual is empty, a group closes.
 
-Texts are cut where both tokenizers are known to start anew, before a space or line break
-between two other characters: the byte-level pattern ends a token there, and no piece of
-the other vocabulary goes across, which is checked when it is loaded. What lies between two
-cuts is aligned once by a worker and remembered; a vocabulary that fails the check is read
-uncut.
+Texts are encoded whole. What a group shows, its ids as text and its id pairs, is remembered
+by the group's ids as well, as most groups recur.
 
 What two ids share is counted by document. The aligned table, one row for each document
 with its distinct id pairs as packed sorted numbers, is written once; pair counts are
@@ -29,7 +26,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
-import re
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -42,25 +39,23 @@ from pyspark.sql import functions as F
 from .common import Scratch, tidy
 
 BYTE_LEVEL, PIECES = "byte_bpe_50k", "piece_bpe_32k"
-#: Stretches of text and transitions that a worker remembers before it starts anew.
-STRETCHES, TRANSITIONS = 150_000, 1_000_000
-#: Longer stretches are aligned each time.
-LONG_STRETCH = 200
+#: Transitions, and ids of groups, that a worker remembers before it starts anew.
+TRANSITIONS, GROUP_IDS = 1_000_000, 1_000_000
+#: Texts that are encoded at a time, and their characters.
+SLICE, SLICE_CHARS = 64, 1 << 20
 #: Pairs that are sent to the executors at a time (about 50 MB).
 PAIRS = 4_000_000
 #: Pairs that a task combines at a time.
 BATCH_PAIRS = 2_000_000
-_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 ALIGNED = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, pairs binary, times binary"
 
 
 @dataclass
 class Side:
-    """A tokenizer: how it encodes a stretch, the bytes of its ids, and whether texts may be cut for it."""
+    """A tokenizer: how it encodes texts, and the bytes of its ids, which spell each text after a space."""
 
-    encode: Callable[[str], list[int]]
+    encode: Callable[[list[str]], list[list[int]]]
     tokens: list[bytes]
-    cuts: bool = True
 
 
 def _place(folder: str | None, name: str) -> str:
@@ -79,7 +74,7 @@ def _byte_letters() -> dict[str, int]:
 
 
 def byte_level(folder: str | None = None, vocabulary: str = BYTE_LEVEL) -> Side:
-    """The byte-level BPE; a stretch comes with the space that precedes it."""
+    """The byte-level BPE; a space is set before each text."""
     import json
 
     import tiktoken
@@ -105,7 +100,7 @@ def byte_level(folder: str | None = None, vocabulary: str = BYTE_LEVEL) -> Side:
         out.encode_special_tokens = True
         return out
 
-    def encode(text: str) -> list[int]:
+    def one(text: str) -> list[int]:
         try:
             return fast.encode_ordinary(text)
         except BaseException as e:  # a panic of the pattern engine isn't an Exception
@@ -113,31 +108,21 @@ def byte_level(folder: str | None = None, vocabulary: str = BYTE_LEVEL) -> Side:
                 raise
             return exact().encode(text, add_special_tokens=False).ids
 
-    return Side(encode, tokens)
+    return Side(lambda texts: [one(f" {t}") for t in texts], tokens)
 
 
 def pieces(folder: str | None = None, vocabulary: str = PIECES) -> Side:
-    """The piece BPE, which sets a space before a text; a stretch comes with that space, or with a line break."""
+    """The piece BPE, which sets a space before each text itself."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=_place(folder, f"{vocabulary}.model"))
     names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
     tokens = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
-    whole = [p for i, p in enumerate(names) if not model.is_byte(i)]
-    cuts = not any(re.search("[^▁]▁", p) or (len(p) > 1 and "\n" in p) for p in whole)
-    space = model.piece_to_id("▁")
-
-    def encode(text: str) -> list[int]:
-        if text.startswith(" "):
-            return model.encode(text[1:], num_threads=1)
-        out = model.encode(text, num_threads=1)
-        return out[1:] if out[:1] == [space] else [0, *out]  # what can't be told apart fails the check of bytes
-
-    return Side(encode, tokens, cuts)
+    return Side(lambda texts: model.encode(texts, num_threads=1), tokens)
 
 
 class Transducer:
-    """Groups of tokens that end together, by remembered transitions."""
+    """Where the tokens of two sides end together, by remembered transitions."""
 
     def __init__(self, a: list[bytes], b: list[bytes]) -> None:
         self.sides = (a, b)
@@ -145,10 +130,11 @@ class Transducer:
 
     def start(self) -> None:
         """Forgets all: state 0 has no residual; of each other one its leading side and residual."""
-        self.state = {(0, b""): 0}
-        self.lead = [1]  # with nothing left over, side 0 goes first
+        self.state = {(1, b""): 0}
+        self.lead = [1]  # with nothing left over, the first side goes on, as if the other led
         self.rest = [b""]
-        self.after: dict[tuple[int, int], int] = {}
+        self.after: list[dict[int, int]] = [{}]
+        self.known = 0
 
     def move(self, state: int, token: int) -> int:
         """The state after the side behind has read ``token``; -1 if its bytes differ."""
@@ -167,108 +153,120 @@ class Transducer:
             if to == len(self.lead):
                 self.lead.append(key[0])
                 self.rest.append(key[1])
-        self.after[state, token] = to
+                self.after.append({})
+        self.after[state][token] = to
+        self.known += 1
         return to
 
-    def groups(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]] | None:
-        """The ids of both sides by group; None if the bytes differ."""
-        if len(self.after) > TRANSITIONS:
+    def ends(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]] | None:
+        """How many ids of each side are read where a group closes; None if the bytes differ."""
+        if self.known > TRANSITIONS:
             self.start()
-        out, after, lead = [], self.after, self.lead
-        i = j = state = from_a = from_b = 0
-        while i < len(a) or j < len(b):
-            if lead[state]:  # the second side leads, or none does
-                if i == len(a):
-                    return None
-                token, i = a[i], i + 1
-            else:
-                if j == len(b):
+        after, lead, move = self.after, self.lead, self.move
+        at_a, at_b = [], []
+        i = j = state = 0
+        try:
+            while state or i < len(a):
+                if lead[state]:  # the second side leads, or none does
+                    token = a[i]
+                    i += 1
+                else:
+                    token = b[j]
+                    j += 1
+                to = after[state].get(token)
+                state = move(state, token) if to is None else to
+                if not state:
+                    at_a.append(i)
+                    at_b.append(j)
+                elif state < 0:
                     return None
-                token, j = b[j], j + 1
-            to = after.get((state, token))
-            state = self.move(state, token) if to is None else to
-            if state == -1:
-                return None
-            if state == 0:
-                out.append((a[from_a:i], b[from_b:j]))
-                from_a, from_b = i, j
-        return out if state == 0 else None
+        except IndexError:  # one side ends while the other has bytes left
+            return None
+        return (at_a, at_b) if j == len(b) else None
 
 
 @dataclass
-class Stretch:
-    """What a stretch of text adds to its document."""
+class Aligned:
+    """The sums of a text, its groups as a string, its distinct id pairs in order and how often each is linked."""
 
     n_a: int = 0
     n_b: int = 0
     n_groups: int = 0
     n_links: int = 0
     shown: str = ""
-    pairs: bytes = b""
-    times: bytes = b""
+    pairs: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    times: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
 
 
-@dataclass
 class Aligner:
     """Aligns texts for one pair of tokenizers; a pair of ids (x, y) is the number x * (ids of the second) + y."""
 
-    a: Side
-    b: Side
-    held: dict[str, Stretch | None] = field(default_factory=dict)
-
-    def __post_init__(self) -> None:
-        self.transducer = Transducer(self.a.tokens, self.b.tokens)
-        self.kind = np.dtype("<u4") if len(self.a.tokens) * len(self.b.tokens) < 1 << 32 else np.dtype("<i8")
-
-    def _align(self, text: str) -> Stretch | None:
-        x, y = self.a.encode(text), self.b.encode(text)
-        raw = text.encode()
-        if b"".join([self.a.tokens[i] for i in x]) != raw or b"".join([self.b.tokens[i] for i in y]) != raw:
-            return None
-        groups = self.transducer.groups(x, y)
-        if groups is None:
+    def __init__(self, a: Side, b: Side) -> None:
+        self.a, self.b = a, b
+        self.transducer = Transducer(a.tokens, b.tokens)
+        self.wide = len(b.tokens)
+        self.kind = np.dtype("<u4") if len(a.tokens) * self.wide < 1 << 32 else np.dtype("<i8")
+        self.forget()
+
+    def forget(self) -> None:
+        self.held: dict[tuple, int] = {}  # the place of a group in the lists below
+        self.shown: list[str] = []
+        self.found: list[tuple[bytes, bytes, int]] = []  # distinct pairs, how often each is linked, links
+        self.size = 0
+
+    def _group(self, key: tuple, p: list[int], q: list[int]) -> int:
+        """A new group's place."""
+        ours, theirs = Counter(p), Counter(q)
+        codes, times = array("q"), array("q")
+        for x, n in ours.items():
+            for y, m in theirs.items():
+                codes.append(x * self.wide + y)
+                times.append(n * m)
+        self.size += len(p) + len(q)
+        self.shown.append(",".join(map(str, p)) + "|" + ",".join(map(str, q)))
+        self.found.append((codes.tobytes(), times.tobytes(), len(p) * len(q)))
+        self.held[key] = len(self.found) - 1
+        return self.held[key]
+
+    def _align(self, x: list[int], y: list[int]) -> Aligned | None:
+        ends = self.transducer.ends(x, y)
+        if ends is None:
             return None
-        wide, links, times = len(self.b.tokens), 0, Counter()
-        for p, q in groups:
-            links += len(p) * len(q)
-            ours, theirs = Counter(p), Counter(q)
-            for i, n in ours.items():
-                for j, m in theirs.items():
-                    times[i * wide + j] += n * m
-        shown = ";".join([",".join(map(str, p)) + "|" + ",".join(map(str, q)) for p, q in groups])
-        return Stretch(len(x), len(y), len(groups), links, shown, np.fromiter(times, self.kind, len(times)).tobytes(), np.fromiter(times.values(), np.int64, len(times)).tobytes())
-
-    def _known(self, part: str) -> Stretch | None:
-        if part not in self.held:
-            found = self._align(part)
-            if len(part) > LONG_STRETCH:
-                return found
-            self.held[part] = found
-        return self.held[part]
-
-    def text(self, text: str | None) -> tuple[Stretch, str, np.ndarray, np.ndarray]:
-        """The sums of a text, its groups as a string, its distinct pairs in order and how often each is linked."""
-        none = (Stretch(), "", np.empty(0, self.kind), np.empty(0, np.int64))
-        if not text:
-            return none
-        if len(self.held) > STRETCHES:
-            self.held.clear()
-        parts = _CUT.split(f" {text}") if self.a.cuts and self.b.cuts else [f" {text}"]
-        often = Counter(parts)
-        known = {p: self._known(p) for p in often}
-        if any(s is None for s in known.values()):
-            return none
-        out = Stretch()
-        for p, n in often.items():
-            s = known[p]
-            out.n_a, out.n_b, out.n_groups, out.n_links = out.n_a + n * s.n_a, out.n_b + n * s.n_b, out.n_groups + n * s.n_groups, out.n_links + n * s.n_links
-        codes = np.frombuffer(b"".join([s.pairs for s in known.values()]), self.kind)
-        each = np.frombuffer(b"".join([s.times for s in known.values()]), np.int64)
-        lengths = np.array([len(s.pairs) // self.kind.itemsize for s in known.values()])
-        each = each * np.repeat(np.fromiter(often.values(), np.int64, len(often)), lengths)
-        order = np.argsort(codes, kind="stable")
-        heads = np.flatnonzero(np.concatenate([[True], codes[order][1:] != codes[order][:-1]]))
-        return out, ";".join([known[p].shown for p in parts]), codes[order][heads], np.add.reduceat(each[order], heads)
+        if self.size > GROUP_IDS:
+            self.forget()
+        held, places = self.held, []
+        i = j = 0
+        for k, m in zip(*ends, strict=True):
+            key = (x[i], y[j]) if k == i + 1 and m == j + 1 else (*x[i:k], -1, *y[j:m])
+            got = held.get(key)
+            places.append(self._group(key, x[i:k], y[j:m]) if got is None else got)
+            i, j = k, m
+        often = Counter(places)
+        found = [self.found[g] for g in often]
+        count = np.fromiter(often.values(), np.int64, len(often))
+        pairs = np.frombuffer(b"".join([f[0] for f in found]), np.int64)
+        times = np.frombuffer(b"".join([f[1] for f in found]), np.int64) * np.repeat(count, [len(f[0]) // 8 for f in found])
+        links = int((count * np.array([f[2] for f in found])).sum())
+        order = np.argsort(pairs, kind="stable")
+        pairs = pairs[order]
+        heads = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+        return Aligned(len(x), len(y), len(places), links, ";".join([self.shown[g] for g in places]), pairs[heads].astype(self.kind), np.add.reduceat(times[order], heads))
+
+    def texts(self, texts: list[str | None]) -> list[Aligned]:
+        """The alignment of each text; one without tokens for what is empty or isn't spelled by them."""
+        some = [t for t in texts if t]
+        left, right = self.a.encode(some), self.b.encode(some)
+        spell_a, spell_b = self.a.tokens, self.b.tokens
+        out, k = [], 0
+        for t in texts:
+            found = None
+            if t:
+                x, y, raw = left[k], right[k], f" {t}".encode()
+                k += 1
+                if b"".join([spell_a[i] for i in x]) == raw == b"".join([spell_b[i] for i in y]):
+                    found = self._align(x, y)
+            out.append(found or Aligned())
+        return out
 
 
 @functools.lru_cache(maxsize=1)
@@ -294,14 +292,24 @@ def align_texts(docs: DataFrame, of: str = "doc_id", text: str = "text", *, alig
         made = make()
         kinds = [pa.int64()] * 5 + [pa.string(), pa.binary(), pa.binary()] + [pa.string()] * groups
         names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"] + ["groups"] * groups
+        def done(ids: list, texts: list) -> pa.RecordBatch:
+            rows = []
+            for i, s in zip(ids, made.texts(texts), strict=True):
+                digest = hashlib.sha256(s.shown.encode()).hexdigest() if s.n_a else ""
+                rows.append((i, s.n_a, s.n_b, s.n_groups, s.n_links, digest, s.pairs.astype(made.kind).tobytes(), _narrow(s.times), s.shown)[: len(names)])
+            return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part, rows = batch.slice(begin, 256), []
-                for i, t in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    s, shown, codes, times = made.text(t.as_py())
-                    digest = hashlib.sha256(shown.encode()).hexdigest() if s.n_a else ""
-                    rows.append((i, s.n_a, s.n_b, s.n_groups, s.n_links, digest, codes.tobytes(), _narrow(times), shown)[: len(names)])
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            ids, texts, size = [], [], 0
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids.append(i)
+                texts.append(t.as_py())
+                size += len(texts[-1] or "")
+                if len(ids) == SLICE or size > SLICE_CHARS:
+                    yield done(ids, texts)
+                    ids, texts, size = [], [], 0
+            if ids:
+                yield done(ids, texts)
 
     slim = docs.select(F.col(f"`{of}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return slim.mapInArrow(tidy(run), ALIGNED + ", groups string" * groups)

@@ -113,38 +113,36 @@ def test_the_documents_of_the_tables(spark):
 
 
 def test_blocks_of_pairs_and_small_memories_change_nothing(spark, monkeypatch):
-    for name, value in (("PAIRS", 150), ("BATCH_PAIRS", 40), ("STRETCHES", 5), ("TRANSITIONS", 20), ("LONG_STRETCH", 3)):
+    for name, value in (("PAIRS", 150), ("BATCH_PAIRS", 40), ("GROUP_IDS", 12), ("TRANSITIONS", 20), ("SLICE", 4), ("SLICE_CHARS", 50)):
         monkeypatch.setattr(ta, name, value)
     rows = corpus(4, 60)
     assert rows_of(ta.alignment_report(spark.createDataFrame(rows, SCHEMA).repartition(2))) == brute(rows)
 
 
-def test_other_tokenizers_without_cuts_and_unequal_bytes(spark):
+def test_other_tokenizers_and_unequal_bytes(spark):
     def make():
-        side = ta.Side(lambda t: ["abc ".index(c) + 3 for c in t], [b"", b"", b"?", b"a", b"b", b"c", b" "], cuts=False)
-        pairs = ta.Side(lambda t: ["abc ".index(c) for c in t], [b"a", b"b", b"c", b" "])
+        side = ta.Side(lambda texts: [["abc ".index(c) + 3 for c in f" {t}"] for t in texts], [b"", b"", b"?", b"a", b"b", b"c", b" "])
+        pairs = ta.Side(lambda texts: [["abc ".index(c) for c in f" {t}"[: 3 if t == "aaa" else None]] for t in texts], [b"a", b"b", b"c", b" "])
         return ta.Aligner(side, pairs)
 
-    rows = [(1, "abc"), (2, "a a"), (3, None)]
+    rows = [(1, "abc"), (2, "a a"), (3, None), (4, "aaa")]
     out = rows_of(ta.align_texts(spark.createDataFrame(rows, SCHEMA), aligner=make, groups=True).select("doc_id", "n_groups", "n_links", "groups"))
-    assert out == [(1, 4, 4, "6|3;3|0;4|1;5|2"), (2, 4, 4, "6|3;3|0;6|3;3|0"), (3, 0, 0, "")]
+    assert out == [(1, 4, 4, "6|3;3|0;4|1;5|2"), (2, 4, 4, "6|3;3|0;6|3;3|0"), (3, 0, 0, ""), (4, 0, 0, "")]
 
 
 def test_transitions_are_remembered_by_residual_and_token():
     t = ta.Transducer([b"ab", b"c", b"abc"], [b"a", b"bc", b"abcabc"])
-    assert t.groups([0, 1], [0, 1]) == [([0, 1], [0, 1])]
-    known = dict(t.after)
-    assert t.groups([0, 1, 0, 1], [0, 1, 0, 1]) == [([0, 1], [0, 1])] * 2 and t.after == known
-    assert t.groups([2, 2], [2]) == [([2, 2], [2])]
-    assert t.groups([0], [1]) is None and t.groups([0], [0]) is None and t.groups([], []) == []
-
-
-def test_long_groups_count_pairs_without_listing_them(spark):
-    ours = ta.Side(lambda t: [0] * (len(t) // 2) if len(t) % 2 == 0 else [0] * (len(t) // 2) + [1], [b"aa", b"a"], cuts=False)
-    theirs = ta.Side(lambda t: [1] + [0] * ((len(t) - 1) // 2) + [1] * ((len(t) - 1) % 2), [b"aa", b"a"], cuts=False)
-    aligner = ta.Aligner(ours, theirs)
-    found = aligner._align("a" * 20_000)
-    assert (found.n_groups, found.n_links) == (1, 10_000 * 10_001) and len(found.pairs) <= 4 * 4
+    assert t.ends([0, 1], [0, 1]) == ([2], [2])
+    known = [dict(x) for x in t.after]
+    assert t.ends([0, 1, 0, 1], [0, 1, 0, 1]) == ([2, 4], [2, 4]) and t.after == known
+    assert t.ends([2, 2], [2]) == ([2], [1])
+    assert t.ends([0], [1]) is None and t.ends([0], [0]) is None and t.ends([], []) == ([], []) and t.ends([], [0]) is None
+
+
+def test_long_groups_count_pairs_without_listing_them():
+    aligner = ta.Aligner(ta.Side(None, [b"aa", b"a"]), ta.Side(None, [b"aa", b"a"]))
+    found = aligner._align([0] * 10_000, [1] + [0] * 9_999 + [1])
+    assert (found.n_groups, found.n_links, len(found.pairs)) == (1, 10_000 * 10_001, 2)
 
 
 def test_empty_table_and_clashing_names(spark):
