@@ -333,7 +333,8 @@ def drop_near(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     twice = classes.filter("n_shingles > 0 and doc_id <=> component_id").groupBy("component_id").count().filter("count > 1")
     dropped = classes.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
     if twice.isEmpty():
-        return join_small(docs, dropped, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti", limit=CANDIDATE_ROWS)
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # so that no column of theirs meets ours
+        return join_small(rows, dropped, F.col("row.doc_id").eqNullSafe(F.col("gone")), "left_anti", limit=CANDIDATE_ROWS).select("row.*")
     # rows that repeat an id: number them, for the id alone no longer names the row that stays
     numbered = scratch.keep(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("k", F.monotonically_increasing_id()))
     by_row = scratch.keep(near_classes(numbered.select(F.col("k").alias("doc_id"), F.col("row.text").alias("text")), rule or Rule()))

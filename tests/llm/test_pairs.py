@@ -270,3 +270,13 @@ def test_empty_tables(spark):
     assert minhash.near_report(docs).collect() == []
     assert suffix_dedup.repeat_report(docs).collect() == []
     assert minhash.drop_near(docs).collect() == []
+
+
+def test_columns_of_any_name_pass_through_the_stage(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    names = ["gone", "row", "k", "node", "h1", "component_id", "n_shingles", "rep", "count"]
+    for repeated in (False, True):
+        rows = [(1, text, *range(9)), (1 if repeated else 2, text + " more", *range(9)), (3, "other words", *range(9)), (4, None, *range(9)), (None, "", *range(9))]
+        docs = spark.createDataFrame(rows, f"doc_id bigint, text string, {', '.join(f'{n} int' for n in names)}")
+        out = minhash.drop_near(docs)
+        assert out.columns == docs.columns and sorted(r.text or "" for r in out.collect()) == sorted(["", "", "other words", text])
