@@ -1,17 +1,19 @@
 """License scans by sentence rules.
 
-Texts are cut into sentences at line breaks and after end marks, each is normalised (case,
-punctuation, years, holders) and looked up among known licence sentences, which gives it an
-identifier. Where a line alone is none, the lines after it in its paragraph are joined to it
-and the sentence is tried that a wrapped text has there. The identifiers met in a document,
-in order, are then matched against ordered licence rules: the first rule whose sequence
-occurs (gaps of unknown sentences up to a bound allowed, known sentences between not)
-claims its sentences for a licence; later rules see what is left. An SPDX line gives the
-expression it names.
+Lines without comment marks make sentences, which end at end marks and empty lines, however
+they are wrapped. A sentence becomes its words in lower case, and known licence sentences
+are looked for from every word of it, wherever in it they begin and end; of those that begin
+at one word the longest counts. Titles have to fill a line, or up to three lines in a row,
+so that prose which names a licence is none. Each match has an identifier. The identifiers
+of a document, in order, are then matched against ordered licence rules: the first rule
+whose sequence occurs (gaps of unknown sentences up to a bound allowed, known sentences
+between not) claims its sentences for a licence; later rules see what is left. An SPDX line
+gives the expression it names.
 
 Edge cases: a null or empty text has no licence; a text of any length is read whole;
 repeated rows each get their own result; an empty table gives an empty result;
-only the named id and text columns take part, so others may have any name.
+only the named id and text columns take part, so others may have any name. Of rules that
+fit at one place the first counts, so no two results tie.
 """
 
 from __future__ import annotations
@@ -74,7 +76,7 @@ SENTENCES: tuple[tuple[str, str], ...] = (
     ("wtfpl-title", r"do what the fuck you want to public license(?: version 2 december 2004)?"),
     ("mpl-2-form", r"this source code form is subject to the terms of the mozilla public license v(?: 2 0)?"),
     ("mpl-2-title", r"mozilla public license version 2 0"),
-    ("mpl-2-name", r"(?:this .* is )?(?:released|licensed|distributed|available|subject to the terms) (?:under|of) the mozilla public licen[cs]e(?: version| v)? ?2 0"),
+    ("mpl-2-name", r"(?:released|licensed|distributed|available|subject to the terms) (?:under|of) the mozilla public licen[cs]e(?: version| v)? ?2 0"),
     ("cc-by-name", r"(?:this (?:work|software|file|project|text) is )?(?:released|licensed|distributed|available) under (?:a |the )?(?:creative commons attribution|cc by)(?: [1-4] [05])?(?: international)?(?: licen[cs]e)?"),
     ("cc-by-sa-name", r"(?:this (?:work|software|file|project|text) is )?(?:released|licensed|distributed|available) under (?:a |the )?(?:creative commons attribution share ?alike|cc by sa)(?: [1-4] [05])?(?: international)?(?: licen[cs]e)?"),
     ("cc-by-nc-name", r"(?:this (?:work|software|file|project|text) is )?(?:released|licensed|distributed|available) under (?:a |the )?(?:creative commons attribution non ?commercial|cc by nc)(?: [1-4] [05])?(?: international)?(?: licen[cs]e)?"),
@@ -82,7 +84,11 @@ SENTENCES: tuple[tuple[str, str], ...] = (
     ("cc0-name", r"(?:this (?:work|software|file|project|text) is )?(?:released|licensed|dedicated|available|marked) (?:under|to|with) (?:the )?(?:cc0(?: 1 0)?.*|public domain)"),
     ("all-rights", r"(?:copyright )?all rights reserved"),
     ("spdx-line", r"spdx license identifier [a-z0-9 ]+"),
+    ("bsd-style", r"use of this (?:source code|software|file|package) is governed by (?:a|the) bsd (?:style )?licen[cs]e"),
+    ("mit-style", r"use of this (?:source code|software|file|package) is governed by (?:an|the) mit (?:style )?licen[cs]e"),
 )
+#: Sentences that have to fill lines.
+TITLES = frozenset(("mit-title", "apache-2-title", "gpl-2-title", "gpl-3-title", "bsl-title", "wtfpl-title", "mpl-2-title", "all-rights", "spdx-line"))
 #: Licences and the sentence sequences that mean them; the first that fits wins.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("X11", ("mit-grant", "mit-notice", "as-is", "x11-name")),
@@ -120,6 +126,8 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("BSD-3-Clause", ("bsd-3-name",)),
     ("BSD-2-Clause", ("bsd-2-name",)),
     ("BSD-2-Clause", ("bsd-redistribution",)),
+    ("BSD", ("bsd-style",)),
+    ("MIT", ("mit-style",)),
     ("ISC", ("isc-grant", "isc-as-is")),
     ("ISC", ("isc-grant",)),
     ("0BSD", ("0bsd-grant", "isc-as-is")),
@@ -150,25 +158,34 @@ _END = re.compile(r"(?<=[.!?;])\s")
 _NOISE = re.compile(r"[^a-z0-9]+")
 #: Comment marks and indents at the start of a line that a wrapped sentence goes on in.
 _MARGIN = re.compile(r"[ \t]*(?:(?://+|#+|\*+|;+|--+|/\*+|>+|%+)[ \t]*)?")
-#: Lines that a sentence may be wrapped over, all of known ones have fewer at 70 columns.
-MAX_LINES = 24
-#: How sentences begin that are long enough to be wrapped.
-_START = re.compile(r"[\W_]*(?:permission |all advertising|except as|gnu general|boost|mozilla|the above|the software|this |redistribution|neither|either version|you may|released|licensed|distributed|available|dedicated|marked|subject|copyright|\(c\)|all rights|the mit|mit|(?:the )?apache)", re.I)
+#: Lines that a title may fill, and titles that fill one.
+TITLE_LINES, ONE_LINE = 3, ("spdx-line", "all-rights")
 _HELD = re.compile(r"[\W_]*(?:copyright\b|\(c\)|©)[^\n]*?\b(all rights reserved)[.\s]*", re.I)
 _SPDX = re.compile(r"spdx-license-identifier\s*:\s*([A-Za-z0-9.+:() \t-]+?)\s*(?:\*/|-->|$)", re.I)
-_HINT = re.compile(r"licen[cs]|permission|redistribut|rights reserved|warrant|copyright|public\s+domain|unencumbered|advertis|endorse|cc0|free software|spdx|later version", re.I)
-_TABLE = [(name, re.compile(p)) for name, p in SENTENCES]
+_HINT = re.compile(r"licen[cs]|permission|redistribut|rights reserved|warrant|copyright|public\s+domain|unencumbered|advertis|endorse|cc0|free software|spdx|later version|gpl|bsd|\bcc[ -]by\b|governed by", re.I)
+_WORD = re.compile("[A-Za-z0-9]+")
+_TITLES = [(name, re.compile(p)) for name, p in SENTENCES if name in TITLES]
+#: What a sentence may go on with after the known part is left out.
+_INSIDE = [(name, re.compile(rf"(?<![^ ])(?:{p.removesuffix(' .*').removesuffix('.*')})(?![^ ])")) for name, p in SENTENCES if name not in TITLES]
 
 
-def sentence_id(sentence: str) -> str | None:
-    """The identifier of a licence sentence, or None."""
-    if (held := _HELD.fullmatch(sentence)) is not None:
-        sentence = held[1]  # without the years and the holder
-    plain = _NOISE.sub(" ", sentence.lower()).strip()
-    for name, pattern in _TABLE:
-        if pattern.fullmatch(plain):
-            return name
-    return None
+def title_id(line: str) -> str | None:
+    """The identifier of a title, or None."""
+    if (held := _HELD.fullmatch(line)) is not None:
+        line = held[1]  # without the years and the holder
+    plain = _NOISE.sub(" ", line.lower()).strip()
+    return next((name for name, pattern in _TITLES if pattern.fullmatch(plain)), None)
+
+
+def inside(plain: str) -> list[tuple[int, int, str]]:
+    """(start, end, identifier) of the known sentences in a sentence's words: the leftmost, there the longest, then the first of the table."""
+    every = [(m.start(), -m.end(), i, name) for i, (name, pattern) in enumerate(_INSIDE) for m in pattern.finditer(plain)]
+    out, at = [], 0
+    for start, end, _, name in sorted(every):
+        if start >= at:
+            out.append((start, -end, name))
+            at = -end
+    return out
 
 
 def sentences(text: str) -> Iterator[tuple[int, int, int]]:
@@ -188,38 +205,48 @@ def sentences(text: str) -> Iterator[tuple[int, int, int]]:
 
 
 def _identified(text: str) -> Iterator[tuple[int, str, int, int]]:
-    """(number, identifier, start, end) of the known sentences; wrapped lines count as one sentence."""
+    """(sentence number, identifier, start, end) of the known sentences, by place."""
     cuts = list(sentences(text))
-    lines = [text[a:b].strip() for _, a, b in cuts]
-    names = [sentence_id(x) if _HINT.search(x) else None for x in lines]
+    lines = [text[a:b] for _, a, b in cuts]
+    number = i = 0
+    while i < len(cuts):
+        j = i + 1  # a sentence goes on after a semicolon and over line breaks, not over an empty line
+        while j < len(cuts) and cuts[j][0] - cuts[j - 1][0] <= 1 and lines[j - 1].rstrip()[-1] not in ".!?":
+            j += 1
+        if any(map(_HINT.search, lines[i:j])) or _HINT.search(" ".join(lines[i:j])):
+            words = [m for _, a, b in cuts[i:j] for m in _WORD.finditer(text, a, b)]
+            ends, plain = [], []
+            for m in words:
+                plain.append(m[0].lower())
+            at = 0
+            starts = {}
+            for k, w in enumerate(plain):
+                starts[at] = k
+                ends.append(at + len(w))
+                at += len(w) + 1
+            last = {e: k for k, e in enumerate(ends)}
+            met = [(words[starts[a]].start(), words[last[b]].end(), name) for a, b, name in inside(" ".join(plain))]
+            met += _titles(text, cuts[i:j], [(a, b) for a, b, _ in met])
+            for a, b, name in sorted(met):
+                yield number, name, a, b
+        if any(map(str.isalpha, "".join(lines[i:j]))):
+            number += 1  # list numbers are no sentences
+        i = j
 
-    def follows(i: int) -> str:
-        """How a piece follows the one before: "wrap" within a sentence, "end" after its end mark, "part" after a semicolon, "paragraph"."""
-        if i == 0 or cuts[i][0] - cuts[i - 1][0] > 1:
-            return "paragraph"
-        last = lines[i - 1][-1]
-        return "part" if last == ";" else "end" if last in ".!?" else "wrap"
 
-    joins = [follows(i) for i in range(len(cuts))]
-    k = i = 0
+def _titles(text: str, cuts: list[tuple[int, int, int]], taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+    """(start, end, identifier) of titles that fill lines of a sentence, the most lines first."""
+    i = 0
     while i < len(cuts):
-        if joins[i] != "wrap" and any(map(str.isalpha, lines[i - 1] if i else "")):
-            k += 1  # list numbers are no sentences
-        name, last = names[i], i
-        if _START.match(lines[i]):
-            whole = lines[i]
-            for j in range(i + 1, min(len(cuts), i + MAX_LINES)):
-                if joins[j] not in ("wrap", "part") or names[j]:
-                    break
-                whole = f"{whole} {lines[j]}"
-                # tried where the sentence ends
-                if (j + 1 == len(cuts) or joins[j + 1] != "wrap" or names[j + 1]) and _HINT.search(whole) and (found := sentence_id(whole)):
-                    if found != name:
-                        name, last = found, j
-                    break
-        if name:
-            yield k, name, cuts[i][1], cuts[last][2]
-        i = last + 1
+        step = 1
+        for n in range(min(TITLE_LINES, len(cuts) - i), 0, -1):
+            a, b = cuts[i][1], cuts[i + n - 1][2]
+            name = title_id(" ".join(text[x:y] for _, x, y in cuts[i : i + n]))
+            if name and (n == 1 or name not in ONE_LINE) and not any(x < b and a < y for x, y in taken):
+                yield a, b, name
+                step = n
+                break
+        i += step
 
 
 def match_rules(found: Sequence[tuple[int, str]], rules: Sequence[tuple[str, tuple[str, ...]]] = RULES, gap: int = MAX_GAP) -> list[tuple[str, int, int]]:

@@ -132,7 +132,7 @@ IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.
     [
         (BSD, "BSD-3-Clause", "bsd-redistribution+bsd-endorse"),
         (BSD.replace("\n", "\r\n"), "BSD-3-Clause", "bsd-redistribution+bsd-endorse"),
-        (GPL, "GPL-2.0-or-later", "gpl-free+gpl-later"),
+        (GPL, "GPL-2.0-or-later", "gpl-2-later-free"),
         (MIT, "MIT", "mit-grant+mit-notice+as-is"),
         ("Licensed under the GNU General Public License\nversion 3.", "GPL-3.0", "gpl-3-name"),
         ("Copyright (c) 2020 X, all rights reserved", "Proprietary", "all-rights"),
@@ -232,6 +232,53 @@ def test_rules_match_brute_force_sequences():
         assert license_scan.match_rules(found, rules, 3) == sorted(want, key=lambda x: x[1])
 
 
+@pytest.mark.parametrize(
+    "text, wanted",
+    [
+        ("This project is licensed under the MIT License - see the LICENSE.md file for details.", ["MIT"]),
+        ("Our code is available on GitHub and released under the MIT License.", ["MIT"]),
+        ("Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", ["BSD"]),
+        ("Except where otherwise noted, content on this site is licensed under a Creative Commons Attribution 4.0 International License.", ["CC-BY"]),
+        ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n", ["Apache-2.0"]),
+        ("This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.", ["LGPL-2.1-or-later"]),
+        ("We like the MIT License, and the GNU General Public License version 2, June 1991, is long.", []),
+        ("word\n" * 60 + "and all of it is\nreleased\nunder\nthe\nMIT\nLicense", ["MIT"]),
+    ],
+)
+def test_notices_as_projects_write_them(text, wanted):
+    assert [x[0] for x in license_scan.find_licences(text)] == wanted
+
+
+def test_known_sentences_are_found_in_any_prose_however_it_is_wrapped():
+    """Against a search of each pattern by itself in the flat words of each sentence."""
+    rng = random.Random(11)
+    known = ["released under the MIT License", "distributed under the terms of the GNU General Public License, version 3 or later", "you may not use this file except in compliance with the License", "Licensed under the Apache License, Version 2.0", "This is free and unencumbered software released into the public domain", "available under CC BY-SA 4.0", "either version 2 of the License, or (at your option) any later version", "dedicated to the public domain"]
+    prose = ["a", "license", "of", "the", "under", "the", "version", "terms", "MIT", "released", "public", "2.0", "permission"]
+    wide = [(n, re.compile(rf"(?<![^ ])(?:{p.removesuffix(' .*').removesuffix('.*')})(?![^ ])")) for n, p in license_scan.SENTENCES if n not in license_scan.TITLES]
+    for _ in range(300):
+        said, want, number = [], [], 0
+        for _ in range(rng.randint(1, 5)):
+            words = [rng.choice(prose) for _ in range(rng.randint(0, 6))]
+            for _ in range(rng.randint(0, 2)):
+                words += rng.choice(known).split() + [rng.choice(prose) for _ in range(rng.randint(1, 3))]
+            said.append(words + ["end"])
+            plain, at = " ".join(re.findall("[a-z0-9]+", " ".join(said[-1]).lower())), 0
+            while at < len(plain):
+                if at == 0 or plain[at - 1] == " ":
+                    hits = [(m.end(), -i, n) for i, (n, p) in enumerate(wide) if (m := p.match(plain, at))]
+                    if hits:
+                        end, _, name = max(hits)
+                        want.append((number, name))
+                        at = end
+                        continue
+                at += 1
+            number += 1
+        mark = rng.choice(["", "# ", "// ", " * "])
+        text = "".join(mark + line + "\n" for line in " ".join(" ".join(w) + "." for w in said).replace(" ", " ").splitlines())
+        text = re.sub(" (?!$)", lambda m: f"\n{mark}" if rng.random() < 0.2 and text[max(0, m.start() - 3) : m.start()].strip("#/* \n") else " ", text)
+        assert [(k, n) for k, n, _, _ in license_scan._identified(text) if n not in license_scan.TITLES] == want, text
+
+
 def test_license_scan_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, "a", 5), (1, None, "a", 5), (None, "Released under the MIT License.", "b", 6)], "doc_id bigint, text string, licences string, spans int")
     assert sorted((r.n_licences for r in license_scan.scan_licences(docs).collect())) == [0, 0, 1]
