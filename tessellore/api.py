@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tessellore import schema
 from tessellore.functions import text
 from tessellore.operators import compile as compiling
-from tessellore.operators import align, context, coverage, graph, incremental, integrity, links, merge, pages, resolve, search, survey
+from tessellore.operators import align, context, coverage, graph, incremental, integrity, links, merge, merging, pages, resolve, search, survey
 from tessellore.sources import documents, store
 from tessellore.sources import library as source
 
@@ -252,8 +252,21 @@ class Library:
         judged = met.select("a", "b", resolve.near_duplicate_reason(F.col("type"), F.col("ta"), F.col("tb")).alias("reason")).filter("reason IS NOT NULL")
         return judged if dismissed is None else integrity.without_dismissed(judged, dismissed)
 
+    def consolidate(self) -> DataFrame:
+        """``gone, into``: hubs that may merge without a human, the best linked first; see ``merging.consolidate``."""
+        hubs = self.concepts.filter(F.col("type").isin(*schema.HUB_TYPES) & schema.live(F.col("status")))
+        slim = hubs.select("type", "path", "title", "aliases")
+        side = lambda s: slim.select("type", F.col("path").alias(s), F.col("title").alias(f"t{s}"), F.col("aliases").alias(f"l{s}"))
+        met = resolve.candidate_pairs(slim).join(side("a"), ["type", "a"]).join(side("b"), ["type", "b"])
+        judged = met.filter(resolve.merge_reason(F.col("type"), F.col("ta"), F.col("tb"), F.col("la"), F.col("lb")).isNotNull()).select("a", "b")
+        paths = self.concepts.select("id", "path")
+        counted = self.edges.join(self.papers.select(F.col("id").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n")).join(paths, "id").select("path", "n")
+        pairs = resolve.canonical(judged, counted).select(F.concat_ws("\x1f", "a", "b").alias("place"), "keep", "drop")
+        return merging.consolidate(pairs, hubs.filter("verified_human").select(F.col("path").alias("id"))).select("gone", "into")
+
     def canonicalize(self, moves: DataFrame) -> DataFrame:
-        return resolve.canonicalize(self.concepts, moves)
+        """Concepts after moves (``from_id, to_id``); see ``merging.canonicalize``."""
+        return merging.canonicalize(self.concepts, moves)
 
     def merge(self, other: Library) -> DataFrame:
         """What a merge of another library's papers into this one would do."""

@@ -134,40 +134,6 @@ def canonical(pairs: DataFrame, links: DataFrame) -> DataFrame:
     return met.select("a", "b", F.when(first, F.col("a")).otherwise(F.col("b")).alias("keep"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("drop"))
 
 
-def consolidate(choices: list[tuple[str, str]], verified: set[str] = frozenset()) -> dict[str, str]:
-    """Greedy merges in the given order of (keep, drop): a page merged away joins no later pair, a verified one is never dropped."""
-    gone: dict[str, str] = {}
-    for keep, drop in choices:
-        if drop in verified:
-            keep, drop = drop, keep
-        if drop in verified or keep in gone or drop in gone:
-            continue
-        gone[drop] = keep
-    return gone
-
-
-def canonicalize(concepts: DataFrame, moves: DataFrame) -> DataFrame:
-    """Concepts after merges (``from_id, to_id``): links rewritten, tags and aliases united, merged pages become redirects."""
-    moved = moves.select(F.col("from_id").alias("id"), "to_id")
-    links = concepts.select("id", F.posexplode("outgoing").alias("pos", "dst")).join(moves.select(F.col("from_id").alias("dst"), "to_id"), "dst", "left")
-    links = links.select("id", "pos", F.coalesce("to_id", "dst").alias("dst")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "dst"))).alias("l"))
-    rewritten = links.select("id", F.array_distinct(F.transform("l", lambda x: x.dst)).alias("new_links"))
-    given = concepts.join(moved, "id").groupBy(F.col("to_id").alias("id")).agg(F.flatten(F.collect_list("tags")).alias("more_tags"), F.flatten(F.collect_list(F.concat("aliases", F.array("title")))).alias("more_aliases"))
-    none = F.array().cast("array<string>")
-    out = concepts.join(rewritten, "id", "left").join(given, "id", "left").join(moved, "id", "left")
-    gone = F.col("to_id").isNotNull()
-    return out.select(
-        "id",
-        "type",
-        "title",
-        F.when(gone, F.lit("deprecated")).otherwise(F.col("status")).alias("status"),
-        F.when(gone, F.array("to_id")).otherwise(F.coalesce("new_links", none)).alias("outgoing"),
-        F.array_distinct(F.concat("tags", F.coalesce(F.array_sort("more_tags"), none))).alias("tags"),
-        F.array_distinct(F.concat("aliases", F.coalesce(F.array_sort("more_aliases"), none))).alias("aliases"),
-        F.col("to_id").alias("canonical"),
-    )
-
-
 def vocabulary(concepts: DataFrame) -> DataFrame:
     """``type, path, title, aliases`` of the hubs that titles are aligned with: neither deprecated nor redirects."""
     from tessellore import schema

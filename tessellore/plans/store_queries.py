@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tessellore.operators import search
+from tessellore.operators import merging, pruned, search
 from tessellore.plans import lens
 from tessellore.plans.base import Registry
-from tessellore.plans.text_queries import PASSAGES, PARAGRAPHS, paragraphed
+from tessellore.plans.text_queries import ASKED, PARAGRAPHS, PASSAGES, QUERY, SCORES, docs, paragraphed
 from tessellore.sources import segments
 from tessellore.sources.store import POSTINGS, Store
 from tessellore.storage import shared_folder
@@ -64,3 +64,54 @@ def delta_segments(spark, sf):
     held, root = kept.entry(POSTINGS)["segments"], f"{kept.root}/{POSTINGS}"
     count = lambda frame, part: frame.agg(F.lit(part).alias("part"), F.count(F.lit(1)).alias("n"))
     return count(segments.stamps(spark, root, held), "all").unionByName(count(spark.read.parquet(f"{root}/{held[-1]['name']}/stamps"), "second segment"))
+
+
+# searches that read less, merges ----------------------------------------------------------
+@R.query(f"WITH {SCORES} SELECT id, score FROM scores ORDER BY score DESC, id LIMIT 40")
+def fts_topk_blocks(spark, sf):
+    """The first forty hits from blocks of postings whose bound reaches the fortieth score."""
+    found = docs(spark, sf)
+    n = found.count()
+    dealt, bounds = pruned.blocked(search.build_postings(found), n)
+    kept = _store(spark)
+    dealt, bounds = kept.save("blocked", dealt, "token"), kept.save("bounds", bounds, "token")
+    return pruned.top_documents(dealt, bounds, n, QUERY)[0].select("id", F.round("score", 6).alias("score"))
+
+
+@R.query(f"WITH {ASKED} SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM embeddings, asked ORDER BY score DESC, id LIMIT 40")
+def vector_topk_cells(spark, sf):
+    """The forty nearest vectors from cells whose bound reaches the fortieth similarity."""
+    e = lens.table(spark, sf, "embeddings")
+    asked = [float(x) for x in e.filter("vec_id = 7").first().embedding]
+    dealt, cells = pruned.celled(e.select(F.col("vec_id").alias("source_id"), "embedding"), 16)
+    return pruned.top_sources(dealt, cells, asked)[0].select("id", F.round("score", 6).alias("score"))
+
+
+#: Pairs of neighbouring suppliers by hashed order, every ninth page verified.
+MERGES = "w AS (SELECT row_number() OVER (ORDER BY (s_suppkey * 7919) % 10007, s_suppkey) AS i, 'p' || s_suppkey AS a, 'p' || (s_suppkey * 31 + 7) % 97 AS b FROM supplier), v AS (SELECT DISTINCT x FROM (SELECT a AS x FROM w UNION ALL SELECT b FROM w) WHERE substr(x, 2)::BIGINT % 9 = 0)"
+
+
+@R.query(
+    f"WITH RECURSIVE {MERGES}, p AS (SELECT row_number() OVER (ORDER BY i) AS i, CASE WHEN b IN (SELECT x FROM v) THEN b ELSE a END AS keep, CASE WHEN b IN (SELECT x FROM v) THEN a ELSE b END AS gone FROM w WHERE a <> b AND NOT (a IN (SELECT x FROM v) AND b IN (SELECT x FROM v))),"
+    " r AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS gone, ''::VARCHAR AS g, ''::VARCHAR AS into_page UNION ALL SELECT p.i, CASE WHEN list_contains(r.gone, p.keep) OR list_contains(r.gone, p.gone) THEN r.gone ELSE list_append(r.gone, p.gone) END, CASE WHEN list_contains(r.gone, p.keep) OR list_contains(r.gone, p.gone) THEN '' ELSE p.gone END, p.keep FROM r JOIN p ON p.i = r.i + 1)"
+    " SELECT g AS gone, into_page AS into FROM r WHERE g <> ''"
+)
+def consolidated(spark, sf):
+    """Merges in order, of which a later one may not touch what an earlier one dropped."""
+    k = F.col("s_suppkey")
+    w = lens.table(spark, sf, "supplier").select(F.struct(((k * 7919) % 10007).alias("h"), k.alias("k")).alias("place"), F.concat(F.lit("p"), k).alias("keep"), F.concat(F.lit("p"), (k * 31 + 7) % 97).alias("drop"))
+    pages = w.select(F.explode(F.array("keep", "drop")).alias("id")).distinct()
+    return merging.consolidate(w, pages.filter(F.substring("id", 2, 20).cast("long") % 9 == 0)).select("gone", "into")
+
+
+@R.query(
+    "WITH RECURSIVE m AS (SELECT s_suppkey AS f, CASE WHEN s_suppkey % 10 = 9 THEN s_suppkey - 2 WHEN s_suppkey % 10 = 4 THEN s_suppkey + 96 ELSE s_suppkey + 1 END AS t FROM supplier), r AS (SELECT f, t, [f] AS seen FROM m UNION ALL SELECT r.f, m.t, list_append(r.seen, r.t) FROM r JOIN m ON m.f = r.t WHERE NOT list_contains(r.seen, r.t)),"
+    " e AS (SELECT f, t, seen, list_contains(seen, t) AS around FROM r QUALIFY row_number() OVER (PARTITION BY f ORDER BY len(seen) DESC) = 1), z AS (SELECT f, CASE WHEN around THEN list_min(seen[list_position(seen, t):]) ELSE t END AS t FROM e)"
+    " SELECT f::VARCHAR AS from_id, t::VARCHAR AS to_id FROM z WHERE f <> t"
+)
+def redirect_closure(spark, sf):
+    """Chains of redirects, some of which end in a cycle."""
+    k = F.col("s_suppkey")
+    to = F.when(k % 10 == 9, k - 2).when(k % 10 == 4, k + 96).otherwise(k + 1)
+    moves = lens.table(spark, sf, "supplier").select(k.alias("from_id"), to.alias("to_id"))
+    return merging.closure(moves).select(F.col("from_id").cast("string").alias("from_id"), F.col("to_id").cast("string").alias("to_id"))

@@ -145,10 +145,6 @@ def test_deletion_variants_meet_within_two_edits(spark):
     assert variants("kitten") & variants("sitten") and variants("kitten") & variants("kittens")
 
 
-def test_greedy_consolidation():
-    assert resolve.consolidate([("a", "b"), ("b", "c"), ("c", "d")], {"d"}) == {"b": "a", "c": "d"}
-
-
 def test_archives():
     packed = library.zip_bytes([("b.md", b"2"), ("a/x.md", b"1")])
     assert library.unzip(packed) == [("a/x.md", b"1"), ("b.md", b"2")]
