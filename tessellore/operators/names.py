@@ -31,8 +31,44 @@ def unique_names(wanted: DataFrame, taken: DataFrame, glue: str = "-") -> DataFr
     another base wants, the least id gets it and the others' base goes on without it, round
     by round, until no name repeats.
     """
+    names = cut(taken.select("name").distinct())
+    ranked = cut(rank_within(wanted.select("id", "base"), "base", "id"))
+    blocked = None if names.isEmpty() else cut(_blocked(names, glue).join(wanted.select("base").distinct(), "base", "left_semi").distinct())
+    settled = None
+    while True:
+        numbered = _numbered(ranked, blocked)
+        made = numbered.select("id", "base", "k", "n", F.concat("base", F.when(F.col("n") > 1, F.concat(F.lit(glue), F.col("n").cast("string"))).otherwise("")).alias("name"))
+        named = cut(made if settled is None else made.unionByName(settled))
+        twice = named.groupBy("name").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("winner")).filter("c > 1")
+        losers = cut(named.join(twice, "name").filter("id <> winner").select("base", "n").distinct())
+        if losers.isEmpty():
+            return named.select("id", "base", "name")
+        # only bases that lost a name are numbered anew
+        again = losers.select("base").distinct()
+        blocked = cut(losers if blocked is None else blocked.unionByName(losers).distinct())
+        settled = named.join(again, "base", "left_anti")
+        ranked = cut(named.join(again, "base", "left_semi").select("id", "base", "k"))
+
+
+def _numbered(ranked: DataFrame, blocked: DataFrame | None) -> DataFrame:
+    """``id, base, k, n``: the ``k``-th free number of each base, whose ``blocked`` numbers (``base, n``) none gets.
+
+    The i-th blocked number leaves n - i free ones before it. Among a base's places k and
+    these counts, in one order, the k-th place stands where its number is: as many blocked
+    numbers are before it as counts are less than k.
+    """
+    if blocked is None:
+        return ranked.withColumn("n", F.col("k").cast("long"))
+    busy = blocked.select("base").distinct()
+    left = rank_within(blocked, "base", "n", "i").select("base", F.struct((F.col("n") - F.col("i")).alias("v"), F.lit(1).alias("kind")).alias("o"), F.lit(None).cast(ranked.schema["id"].dataType).alias("id"))
+    rows = ranked.join(busy, "base", "left_semi").select("base", F.struct(F.col("k").cast("long").alias("v"), F.lit(0).alias("kind")).alias("o"), "id")
+    placed = rank_within(rows.unionByName(left), "base", "o", "n").filter("o.kind = 0").select("id", "base", F.col("o.v").alias("k"), F.col("n").cast("long").alias("n"))
+    return placed.unionByName(ranked.join(busy, "base", "left_anti").select("id", "base", F.col("k").cast("long").alias("k"), F.col("k").cast("long").alias("n")))
+
+
+def _blocked(names: DataFrame, glue: str) -> DataFrame:
+    """``base, n`` of all ways in which a name may be a base with a number."""
     pattern = rf"^(.*){glue}([1-9][0-9]*)$"
-    names = taken.select("name").distinct()
     if glue:
         split = F.array(F.struct(F.regexp_extract("name", pattern, 1).alias("base"), F.regexp_extract("name", pattern, 2).try_cast("long").alias("n")))
     else:  # any split of the digits at the end
@@ -42,17 +78,4 @@ def unique_names(wanted: DataFrame, taken: DataFrame, glue: str = "-") -> DataFr
         split = F.filter(split, lambda s: s.n.cast("string") == F.expr("name").substr(F.length("name") - F.length(s.n.cast("string")) + 1, F.length(s.n.cast("string"))))
     whole = names.select(F.col("name").alias("base"), F.lit(1).cast("long").alias("n"))
     parts = names.select(F.explode(split).alias("s")).select("s.base", "s.n").filter("base <> '' and n >= 2")
-    bases = wanted.select("base").distinct()
-    blocked = cut(whole.unionByName(parts).join(bases, "base", "left_semi").distinct())
-    ranked = cut(rank_within(wanted.select("id", "base"), "base", "id"))
-    while True:
-        # the k-th free number of a base: k and as many more as blocked numbers lie before it
-        order = Window.partitionBy("base").orderBy("n")
-        gaps = blocked.withColumn("gap", F.col("n") - F.row_number().over(order)).groupBy("base").agg(F.array_sort(F.collect_list("gap")).alias("gaps"))
-        numbered = ranked.join(gaps, "base", "left").withColumn("n", F.col("k") + F.coalesce(F.size(F.filter("gaps", lambda g: g < F.col("k"))), F.lit(0)))
-        named = cut(numbered.select("id", "base", "n", F.concat("base", F.when(F.col("n") > 1, F.concat(F.lit(glue), F.col("n").cast("string"))).otherwise("")).alias("name")))
-        twice = named.groupBy("name").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("winner")).filter("c > 1")
-        losers = cut(named.join(twice, "name").filter("id <> winner").select("base", "n"))
-        if losers.isEmpty():
-            return named.select("id", "base", "name")
-        blocked = cut(blocked.unionByName(losers).distinct())
+    return whole.unionByName(parts)

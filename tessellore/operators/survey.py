@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from tessellore import schema
 from tessellore.functions import text
-from tessellore.operators.names import rank_within, unique_names
+from tessellore.operators.names import unique_names
 
 
 def citation_keys(papers: DataFrame) -> DataFrame:
     """``id, key``: the first paper of a key keeps it, others add their id's slug; what still repeats is numbered until no key does."""
     base = papers.select("id", text.citation_key(F.coalesce(F.nullif(F.trim("title"), F.lit("")), "id"), F.col("published")).alias("base"))
     slug = F.substring(F.regexp_replace(F.regexp_replace("id", "^papers/", ""), "[^A-Za-z0-9]+", ""), 1, 12)
-    tried = rank_within(base, "base", "id").select("id", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat("base", slug)).alias("base"))
+    first = base.groupBy("base").agg(F.min("id").alias("first"))
+    tried = base.join(first, "base").select("id", F.when(F.col("id") == F.col("first"), F.col("base")).otherwise(F.concat("base", slug)).alias("base"))
     none = papers.sparkSession.createDataFrame([], "name string")
     return unique_names(tried, none, glue="").select("id", F.col("name").alias("key"))
 

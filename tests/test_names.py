@@ -27,6 +27,18 @@ def test_names_are_the_first_free_ones(spark, glue):
     assert {r.id: r.name for r in rows.collect()} == greedy(wanted, taken, glue)
 
 
+def test_a_base_of_very_many_names(spark):
+    from pyspark.sql import functions as F
+
+    n = 200_000
+    wanted = spark.range(n).select(F.lpad("id", 7, "0").alias("id"), F.lit("hot").alias("base"))
+    taken = spark.range(0, n, 3).select(F.when(F.col("id") == 0, "hot").otherwise(F.concat(F.lit("hot-"), F.col("id") + 1)).alias("name"))
+    out = names.unique_names(wanted, taken).select(F.col("id").cast("long").alias("i"), F.regexp_extract("name", "([0-9]+)$", 1).cast("long").alias("n"))
+    # of every three numbers the first is taken: 1, 4, 7, ...
+    assert out.filter(F.col("n") != F.when(F.col("i") < 2 * ((n + 2) // 3), F.col("i") + 2 + F.floor(F.col("i") / 2)).otherwise(F.col("i") + 1 + (n + 2) // 3)).count() == 0
+    assert out.select("n").distinct().count() == n
+
+
 def test_numbered_names_never_meet_names_that_others_want(spark):
     wanted = [("1", "x"), ("2", "x"), ("3", "x-2"), ("4", "x-2"), ("5", "x"), ("6", "x-2-2"), ("7", "x-3")]
     rows = names.unique_names(spark.createDataFrame(wanted, "id string, base string"), spark.createDataFrame([], "name string")).collect()
