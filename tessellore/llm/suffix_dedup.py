@@ -6,7 +6,7 @@ a smaller id, or before in the same one. The steps, all over whole texts:
 1. Texts that are copies of an earlier one go whole, by their digest.
 2. Anchors: every LENGTH-byte string selects the GRAM-byte string in it of least hash, so
    equal strings select equal anchors at one place. Only anchors that occur twice can lie
-   in a repeat. Their hashes are shuffled as packed arrays, not rows.
+   in a repeat. Their hashes are counted with a combine in each task.
 3. Of repeated anchors the context is sent, all LENGTH-byte strings around the anchor;
    contexts that are equal to an earlier one are wholly repeated and only counted.
 4. Contexts that share an anchor but differ go into one suffix array: suffixes smaller
@@ -113,26 +113,17 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
                 ids, held, more, size = [], [], [], 0
 
 
-ANCHORS = "bucket int, hashes binary, docs binary, places binary"
-
-
-def find_anchors(texts: DataFrame, buckets: int) -> DataFrame:
-    """Packed anchors of ``did, text`` by bucket."""
+def find_anchors(texts: DataFrame) -> DataFrame:
+    """``hash, did, place`` of the anchors of ``did, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, data, ends, _ in _texts(batches):
             at, hashes = anchors(data, ends)
             doc = np.searchsorted(ends, at, side="right")
             place = (at - (ends[doc] - np.diff(ends, prepend=0)[doc])).astype(np.int32)
-            bucket = (hashes % np.uint64(buckets)).astype(np.int32)
-            by = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[by])) + 1
-            rows = [(int(bucket[part[0]]), hashes[part].tobytes(), ids[doc[part]].tobytes(), place[part].tobytes()) for part in np.split(by, cuts) if len(part)]
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=["bucket", "hashes", "docs", "places"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids[doc]), pa.array(place)], names=["hash", "did", "place"])
 
-    return texts.mapInArrow(tidy(run), ANCHORS)
+    return texts.mapInArrow(tidy(run), "hash bigint, did bigint, place int")
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -150,22 +141,17 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield rows
 
 
-def repeated_anchors(packed: DataFrame, buckets: int) -> DataFrame:
-    """``did, place`` of the anchors that occur more than once; -1 - place of those that do more than HOT times."""
-    most = HOT
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_bucket(batches):
-            hashes, docs, places = (np.frombuffer(b"".join(r[i] for r in rows), dtype=t) for i, t in enumerate((np.uint64, np.int64, np.int32)))
-            by = np.argsort(hashes, kind="stable")
-            heads = np.flatnonzero(np.concatenate([[True], hashes[by][1:] != hashes[by][:-1]])[: len(by)])
-            n = np.diff(heads, append=len(by))
-            times = np.repeat(n, n)
-            by, times = by[times > 1], times[times > 1]
-            places = np.where(times > most, -1 - places[by], places[by]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(docs[by]), pa.array(places)], names=["did", "place"])
+def repeated_anchors(found: DataFrame) -> DataFrame:
+    """``did, place`` of the anchors that occur more than once; -1 - place of those that do more than HOT times.
 
-    return packed.repartition(min(buckets, PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), "did bigint, place int")
+    Hashes are counted with a combine in each task; only those that repeat come back to
+    their occurrences, broadcast if few, else by a join whose hot hashes adaptive execution
+    splits. No task holds the occurrences of a hash.
+    """
+    counts = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("hash").alias("of"), (F.col("n") > HOT).alias("hot"))
+    counts = Scratch(found.sparkSession).keep(counts)
+    met = join_small(found, counts, F.col("hash") == F.col("of"), "inner", limit=JOIN_ROWS)
+    return met.select("did", F.when(F.col("hot"), -1 - F.col("place")).otherwise(F.col("place")).cast("int").alias("place"))
 
 
 CONTEXTS = "bucket int, spans boolean, hashes binary, docs binary, starts binary, lengths binary, bytes binary"
@@ -459,8 +445,10 @@ def repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
         first = scratch.keep(first.join(numbered, F.col("first_id").eqNullSafe(F.col("n_id")) & (F.col("sha") == F.col("n_sha"))).select("sha", "first_id", "n", "did"))
     work = join_small(work.filter(F.octet_length("raw") >= LENGTH), copies, (F.col("sha") == F.col("c_sha")) & F.col("doc_id").eqNullSafe(F.col("c_id")), "left_anti", limit=JOIN_ROWS)
     work = work.select("did", "raw").dropDuplicates(["did"]) if equal_rows else work.select("did", "raw")
-    hits = repeated_anchors(find_anchors(work, buckets), buckets).groupBy("did").agg(F.collect_list("place").alias("places"))
+    found = scratch.keep(find_anchors(work))
+    hits = repeated_anchors(found).groupBy("did").agg(F.collect_list("place").alias("places"))
     hits = scratch.keep(hits)
+    scratch.drop(found)
     met = join_small(work, hits.withColumnRenamed("did", "h_did"), F.col("did") == F.col("h_did"), "inner", array_bytes=4 * F.size("places")).select("did", "raw", "places")
     spans = repeated_spans(contexts(met, buckets), buckets).groupBy("did").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     spans = scratch.keep(spans)

@@ -192,7 +192,7 @@ def test_repeats_when_every_shared_anchor_is_hot(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 3000)
     texts = corpus(13, 40)
     docs = frame(spark, texts)
-    marked = suffix_dedup.repeated_anchors(suffix_dedup.find_anchors(docs.filter("length(text) >= 100").selectExpr("doc_id as did", "cast(text as binary) as raw"), 48), 48)
+    marked = suffix_dedup.repeated_anchors(suffix_dedup.find_anchors(docs.filter("length(text) >= 100").selectExpr("doc_id as did", "cast(text as binary) as raw")))
     assert 0 < marked.filter("place < 0").count() < marked.count()
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeat_report(docs).collect()}
     assert got == brute_repeats(list(enumerate(texts)))
@@ -206,7 +206,7 @@ def test_an_anchor_is_hot_by_its_occurrences_whatever_the_batches(spark, monkeyp
     texts = [some(150) + passage + some(150) for _ in range(60)] + [some(150) + some(90) * 2 for _ in range(9)]
     docs = frame(spark, texts)
     raw = docs.selectExpr("doc_id as did", "cast(text as binary) as raw")
-    marked = suffix_dedup.repeated_anchors(suffix_dedup.find_anchors(raw, 16), 16)
+    marked = suffix_dedup.repeated_anchors(suffix_dedup.find_anchors(raw))
     assert marked.filter("place < 0").count() >= 60
     met = raw.join(marked.groupBy("did").agg({"place": "collect_list"}).toDF("did", "places"), "did")
     # no task gets more than HOT contexts of an anchor
