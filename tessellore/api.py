@@ -57,6 +57,11 @@ class Library:
     def edges(self) -> DataFrame:
         return graph.edge_list(self.concepts).select("src", "dst")
 
+    @cached_property
+    def adjacent(self) -> DataFrame:
+        """The links from both ends, written once for all questions about neighbourhoods."""
+        return graph.adjacency(self.edges)
+
     @cached_property
     def texts(self) -> DataFrame:
         own = self.concepts.filter(F.coalesce("body", F.lit("")) != "").select("id", "title", "body")
@@ -180,7 +185,7 @@ class Library:
         return (out if kind is None else out.filter(F.col("type") == kind)).orderBy("rank", "title", "id")
 
     def neighborhood(self, seeds: Sequence[str], depth: int = 1) -> DataFrame:
-        return graph.neighborhood(self.concepts, self.edges, seeds, depth)
+        return graph.neighborhood(self.concepts, self.edges, seeds, depth, self.adjacent)
 
     def walk(self, start: str, depth: int = 1) -> DataFrame:
         return graph.walk(self.concepts, self.edges, start, depth)

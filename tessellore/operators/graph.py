@@ -47,17 +47,40 @@ def neighbors(nodes: DataFrame, edges: DataFrame, target: str) -> DataFrame:
     return nodes.join(merged, "id").select("id", "title", "type", schema.type_rank(F.col("type")).alias("rank"), way.alias("direction"))
 
 
-def neighborhood(nodes: DataFrame, edges: DataFrame, seeds: Sequence[str], depth: int) -> DataFrame:
+#: Pages of a frontier that are named in a filter, which skips row groups of a stored adjacency; a larger one is joined.
+FRONTIER = 1_000
+
+
+def adjacency(edges: DataFrame) -> DataFrame:
+    """``src, dst`` of all links from both ends, in ranges of ``src``: to be kept, so that a hop reads its frontier's rows only."""
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return cut(both.distinct().repartitionByRange("src").sortWithinPartitions("src", "dst"))
+
+
+def _near(links: DataFrame, frontier: DataFrame, adjacent: DataFrame | None) -> DataFrame:
+    """``id`` of what the frontier's pages are linked with, whichever end links."""
+    if adjacent is None:
+        few = sized_broadcast(frontier.select("id"))
+        ahead = links.join(few.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id"))
+        return ahead.unionByName(links.join(few.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id"))).distinct()
+    named = [r.id for r in frontier.select("id").limit(FRONTIER + 1).collect()]
+    if len(named) <= FRONTIER:
+        return adjacent.filter(F.col("src").isin(*named)).select(F.col("dst").alias("id")).distinct()
+    return adjacent.join(sized_broadcast(frontier.select(F.col("id").alias("src"))), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+
+
+def neighborhood(nodes: DataFrame, edges: DataFrame, seeds: Sequence[str], depth: int, adjacent: DataFrame | None = None) -> DataFrame:
     """``id, hops`` within ``depth`` steps in either direction, through graph nodes only.
 
-    The frontier alone is joined with the edges at each of the few steps.
+    The frontier alone is joined with the links at each of the few steps, or looked up in a
+    kept ``adjacency``.
     """
     allowed = cut(graph_nodes(nodes).select("id"))
-    both = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    links = cut(edges.select("src", "dst")) if adjacent is None else edges
     seen = allowed.filter(F.col("id").isin(*seeds)).withColumn("hops", F.lit(0))
     frontier = seen
     for step in range(1, max(1, min(depth, 3)) + 1):
-        met = both.join(sized_broadcast(frontier.select(F.col("id").alias("src"))), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+        met = _near(links, frontier, adjacent)
         frontier = cut(allowed.join(met, "id", "left_semi").join(seen, "id", "left_anti").withColumn("hops", F.lit(step)))
         seen = seen.unionByName(frontier)
     return seen
@@ -192,10 +215,10 @@ def filter_graph(nodes: DataFrame, edges: DataFrame, *, types: Sequence[str], th
 def reach(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """``id`` within ``depth`` undirected steps of seeds (``id``), through graph nodes only."""
     allowed = cut(graph_nodes(nodes).select("id"))
-    both = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    links = cut(edges.select("src", "dst"))
     seen = frontier = cut(allowed.join(seeds.select("id").distinct(), "id", "left_semi"))
     for _ in range(max(1, min(depth, 3))):
-        met = both.join(sized_broadcast(frontier.select(F.col("id").alias("src"))), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+        met = _near(links, frontier, None)
         frontier = cut(allowed.join(met, "id", "left_semi").join(seen, "id", "left_anti"))
         seen = seen.unionByName(frontier)
     return seen

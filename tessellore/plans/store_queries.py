@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tessellore.operators import merging, pruned, search
+from tessellore.operators import graph, merging, pruned, search
 from tessellore.plans import lens
 from tessellore.plans.base import Registry
+from tessellore.plans.library_queries import ALLOWED, CTE, HUB, UNDIRECTED
 from tessellore.plans.text_queries import ASKED, PARAGRAPHS, PASSAGES, QUERY, SCORES, docs, paragraphed
 from tessellore.sources import segments
 from tessellore.sources.store import POSTINGS, Store
@@ -115,3 +116,10 @@ def redirect_closure(spark, sf):
     to = F.when(k % 10 == 9, k - 2).when(k % 10 == 4, k + 96).otherwise(k + 1)
     moves = lens.table(spark, sf, "supplier").select(k.alias("from_id"), to.alias("to_id"))
     return merging.closure(moves).select(F.col("from_id").cast("string").alias("from_id"), F.col("to_id").cast("string").alias("to_id"))
+
+
+@R.query(f"{CTE}, {ALLOWED}, {UNDIRECTED}, k AS (SELECT id, 0 AS hops FROM allowed WHERE id = '{HUB}' UNION SELECT a.id, k.hops + 1 FROM k JOIN und ON und.src = k.id JOIN allowed a ON a.id = und.dst WHERE k.hops < 2) SELECT id, min(hops) AS hops FROM k GROUP BY id")
+def khop_adjacency(spark, sf):
+    """Two steps from a hub by the kept adjacency."""
+    nodes, edges = lens.nodes(spark, sf), lens.edges(spark, sf)
+    return graph.neighborhood(nodes, edges, [HUB], 2, graph.adjacency(edges)).select("id", "hops")
