@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tessellore.plans import align_queries, library_queries, literal_queries, page_queries, store_queries, text_queries
+from tessellore.plans import align_queries, function_queries, library_queries, literal_queries, page_queries, store_queries, text_queries
 from tessellore.plans.base import Query
 
-PARTS = (library_queries.R, text_queries.R, literal_queries.R, page_queries.R, align_queries.R, store_queries.R)
+PARTS = (library_queries.R, text_queries.R, literal_queries.R, page_queries.R, align_queries.R, store_queries.R, function_queries.R)
 
 
 def queries() -> dict[str, Query]:
