@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessellore import schema
@@ -225,6 +225,39 @@ class Library:
             raise ValueError(f"at most {schema.CAPS['compare_explicit']} papers can be compared")
         return graph.shared_hubs(self.concepts, coverage.hub_links(self.concepts, self.edges), papers).orderBy(F.col("n_papers").desc(), "hub").limit(schema.CAPS["shared"])
 
+    def comparison(self, papers: Sequence[str] | None = None, query: str | None = None) -> dict:
+        """Papers side by side: ``papers`` (cards), ``shared`` hubs and ``tags``, ``missing`` ids, ``truncated``, ``nodes`` and ``edges`` among the papers and what they share.
+
+        The given papers (48 at most), those of a query (24), or all of a library of up to 24;
+        a larger one has to say which.
+        """
+        cap, missing, truncated = schema.CAPS["compare"], [], False
+        if papers:
+            asked = list(dict.fromkeys(p.strip().lstrip("/").removesuffix(".md") for p in papers if p.strip()))
+            there = {r.id for r in self.papers.filter(F.col("id").isin(*asked)).select("id").collect()}  # no more than were asked for
+            missing, chosen, cap = [p for p in asked if p not in there], [p for p in asked if p in there], schema.CAPS["compare_explicit"]
+        elif query and query.strip():
+            found = graph.papers_from_hits(self.concepts, self.edges, self.ranked(query)).orderBy("rank", "step", "id").limit(cap + 1)
+            chosen = [r.id for r in found.collect()]
+            if not chosen:
+                raise ValueError("the query matches no paper")
+        else:
+            chosen = [r.id for r in self.papers.orderBy(F.coalesce("published", F.lit("")).desc(), "id").select("id").limit(cap + 1).collect()]
+            if len(chosen) > cap:
+                raise ValueError(f"the library has more than {cap} papers: name some, or ask a query")
+        truncated, chosen = len(chosen) > cap, chosen[:cap]
+        hub_links = coverage.hub_links(self.concepts, self.edges)
+        every = graph.shared_hubs(self.concepts, hub_links, chosen)
+        rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.col("n_papers").desc(), "hub"))
+        shared = every.withColumn("place", rank).filter(F.col("place") <= schema.CAPS["shared"]).drop("place")
+        tags = graph.shared_tags(self.papers, chosen).orderBy(F.col("n_papers").desc(), "tag").limit(schema.CAPS["shared"])
+        title = self.concepts.select("id", "type", F.coalesce("title", "id").alias("title"))
+        order = F.array_position(F.array(*map(F.lit, chosen)), F.col("id"))
+        nodes = title.filter(F.col("id").isin(*chosen)).withColumn("o", order).unionByName(title.join(every.select(F.col("hub").alias("id")), "id").withColumn("o", F.lit(len(chosen) + 1).cast("long")))
+        nodes = nodes.orderBy("o", "type", "id").limit(schema.CAPS["graph_nodes"]).select("id", "type", "title")
+        ends = hub_links.filter(F.col("paper").isin(*chosen)).join(every.select("hub"), "hub").select(F.col("paper").alias("src"), F.col("hub").alias("dst")).distinct()
+        return {"papers": graph.paper_cards(self.concepts, self.edges, hub_links, chosen), "shared": shared, "tags": tags, "missing": missing, "truncated": truncated, "nodes": nodes, "edges": ends.orderBy("src", "dst").limit(schema.CAPS["graph_edges"])}
+
     def shared_tags(self, papers: Sequence[str]) -> DataFrame:
         return graph.shared_tags(self.papers, papers)
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellore import schema
+from tessellore.functions import text
 from tessellore.storage import cut, sized_broadcast
 
 def edge_list(concepts: DataFrame) -> DataFrame:
@@ -141,6 +142,35 @@ def shared_hubs(nodes: DataFrame, links: DataFrame, papers: Sequence[str]) -> Da
     return met.filter("n_papers >= 2").withColumn("in_all", F.col("n_papers") == n)
 
 
+#: Characters of a card's excerpt.
+CARD_CHARS = 220
+
+
+def paper_cards(nodes: DataFrame, edges: DataFrame, links: DataFrame, papers: Sequence[str]) -> DataFrame:
+    """``place, id, title, tags, excerpt, published, hubs, n_claims`` of the papers to be compared, in their order.
+
+    ``links`` has ``paper, hub, kind``; ``hubs`` lists (kind, id, title), the first twelve of
+    each kind by title. Only the papers' own links are read.
+    """
+    spark = nodes.sparkSession
+    chosen = spark.createDataFrame([(i, p) for i, p in enumerate(papers)], "place int, id string")
+    page = nodes.filter((F.col("type") == "Paper") & F.col("id").isin(*papers))
+    have = set(nodes.columns)
+    body = text.excerpt(F.coalesce("body", F.lit("")), CARD_CHARS) if "body" in have else F.lit("")
+    page = page.select("id", F.coalesce("title", "id").alias("title"), "tags", body.alias("excerpt"), "published")
+    own = links.filter(F.col("paper").isin(*papers)).select("paper", "hub", "kind").distinct()
+    titled = own.join(nodes.select(F.col("id").alias("hub"), F.coalesce("title", "id").alias("hub_title")), "hub")
+    place = F.row_number().over(Window.partitionBy("paper", "kind").orderBy("hub_title", "hub"))
+    first = titled.withColumn("n", place).filter(F.col("n") <= schema.CAPS["neighbors"])
+    hubs = first.groupBy(F.col("paper").alias("id")).agg(F.array_sort(F.collect_list(F.struct("kind", F.col("hub_title").alias("title"), F.col("hub").alias("id")))).alias("hubs"))
+    near = edges.filter(F.col("src").isin(*papers) | F.col("dst").isin(*papers))
+    mine = nodes.filter(((F.col("type") == "Claim")) | F.col("id").isin(*papers))
+    counts = claim_counts(mine, near)
+    none = F.array().cast("array<struct<kind:string,title:string,id:string>>")
+    out = chosen.join(page, "id").join(hubs, "id", "left").join(counts, "id", "left")
+    return out.select("place", "id", "title", "tags", "excerpt", "published", F.coalesce("hubs", none).alias("hubs"), F.coalesce("n_claims", F.lit(0)).alias("n_claims")).orderBy("place")
+
+
 def shared_tags(nodes: DataFrame, papers: Sequence[str]) -> DataFrame:
     """``tag, n_papers, in_all`` of tags, whatever their case, that at least two of the papers have."""
     tags = nodes.filter((F.col("type") == "Paper") & F.col("id").isin(*papers)).select("id", F.explode("tags").alias("tag")).select("id", F.lower("tag").alias("tag")).distinct()

@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tessellore.operators import graph, merging, pruned, search
+from tessellore.operators import coverage, graph, merging, pruned, search
 from tessellore.plans import lens
 from tessellore.plans.base import Registry
-from tessellore.plans.library_queries import ALLOWED, CTE, HUB, UNDIRECTED
+from tessellore.plans.library_queries import ALLOWED, BASE, COMPARED, CTE, HUB, UNDIRECTED
 from tessellore.plans.text_queries import ASKED, PARAGRAPHS, PASSAGES, QUERY, SCORES, docs, paragraphed
 from tessellore.sources import segments
 from tessellore.sources.store import POSTINGS, Store
@@ -123,3 +123,15 @@ def khop_adjacency(spark, sf):
     """Two steps from a hub by the kept adjacency."""
     nodes, edges = lens.nodes(spark, sf), lens.edges(spark, sf)
     return graph.neighborhood(nodes, edges, [HUB], 2, graph.adjacency(edges)).select("id", "hops")
+
+
+@R.query(
+    f"{BASE}, c AS (SELECT dst AS id, src AS claim FROM edges WHERE src LIKE 'claims/%' UNION SELECT paper, id FROM nodes WHERE type = 'Claim'), k AS (SELECT id, count(DISTINCT claim) AS n_claims FROM c GROUP BY id),"
+    " t AS (SELECT l.paper, l.hub, l.kind, h.title, row_number() OVER (PARTITION BY l.paper, l.kind ORDER BY h.title, l.hub) AS n FROM links l JOIN nodes h ON h.id = l.hub),"
+    f" g AS (SELECT paper, string_agg(kind || ' ' || hub, ',' ORDER BY kind, title, hub) AS hubs FROM t WHERE n <= 12 GROUP BY paper) SELECT p.id, p.title, p.published, coalesce(hubs, '') AS hubs, coalesce(n_claims, 0) AS n_claims FROM nodes p LEFT JOIN g ON g.paper = p.id LEFT JOIN k ON k.id = p.id WHERE p.type = 'Paper' AND p.id IN {COMPARED}"
+)
+def compare_cards(spark, sf):
+    """The cards of papers that are compared: their hubs by kind and title, and their claims."""
+    nodes, edges = lens.nodes(spark, sf), lens.edges(spark, sf)
+    cards = graph.paper_cards(nodes, edges, coverage.hub_links(nodes, edges), COMPARED)
+    return cards.select("id", "title", "published", F.array_join(F.transform("hubs", lambda h: F.concat_ws(" ", h.kind, h.id)), ",").alias("hubs"), "n_claims")

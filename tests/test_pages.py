@@ -224,6 +224,19 @@ def test_reader_pages(shelf):
     assert pages.in_range(shelf.papers, None, "2020-06").count() == 1
 
 
+def test_papers_side_by_side(shelf):
+    got = shelf.comparison(["papers/2020-a", "/papers/2021-b.md", "papers/none", "papers/2020-a"])
+    assert got["missing"] == ["papers/none"] and got["truncated"] is False
+    cards = got["papers"].collect()
+    assert [(c.id, c.n_claims, [h.id for h in c.hubs]) for c in cards] == [("papers/2020-a", 2, ["topics/t"]), ("papers/2021-b", 0, ["topics/t"])]
+    assert [(r.hub, r.in_all) for r in got["shared"].collect()] == [("topics/t", True)] and [r.tag for r in got["tags"].collect()] == ["bio"]
+    assert [r.id for r in got["nodes"].collect()] == ["papers/2020-a", "papers/2021-b", "topics/t"]
+    assert {(r.src, r.dst) for r in got["edges"].collect()} == {("papers/2020-a", "topics/t"), ("papers/2021-b", "topics/t")}
+    assert [c.id for c in shelf.comparison()["papers"].collect()] == ["papers/2021-b", "papers/2020-a"]
+    with pytest.raises(ValueError, match="no paper"):
+        shelf.comparison(query="zzzz")
+
+
 def test_graphs_of_a_search_and_comparisons(shelf):
     nodes, edges = shelf.graph(query="collagen")
     assert {r.id for r in nodes.collect()} == set()
