@@ -65,6 +65,13 @@ def test_integrity(shelf):
     assert not shelf.get("papers/a").first().truncated
 
 
+def test_consolidation_and_dismissed_pairs(spark, shelf):
+    assert [(r.gone, r.into) for r in shelf.consolidate().collect()] == [("topics/motions.md", "topics/t.md")]
+    gone = spark.createDataFrame([("topics/t.md", "topics/motions.md")], "a string, b string")
+    assert shelf.near_duplicates(gone).count() == 0
+    assert {r.reason for r in shelf.near_duplicates().collect()} == {"align:stem"}
+
+
 def test_canonicalize(spark, shelf):
     moves = spark.createDataFrame([("topics/t", "topics/motions")], "from_id string, to_id string")
     out = {r.id: r for r in shelf.canonicalize(moves).collect()}
