@@ -145,12 +145,11 @@ def repeated_anchors(found: DataFrame) -> DataFrame:
     """``did, place`` of the anchors that occur more than once; -1 - place of those that do more than HOT times.
 
     Hashes are counted with a combine in each task; only those that repeat come back to
-    their occurrences, broadcast if few, else by a join whose hot hashes adaptive execution
-    splits. No task holds the occurrences of a hash.
+    their occurrences, by a join whose hot hashes adaptive execution splits. No task holds the occurrences of a hash.
     """
     counts = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("hash").alias("of"), (F.col("n") > HOT).alias("hot"))
     counts = Scratch(found.sparkSession).keep(counts)
-    met = join_small(found, counts, F.col("hash") == F.col("of"), "inner", limit=JOIN_ROWS)
+    met = found.join(counts, F.col("hash") == F.col("of"))  # alike at every size
     return met.select("did", F.when(F.col("hot"), -1 - F.col("place")).otherwise(F.col("place")).cast("int").alias("place"))
 
 
