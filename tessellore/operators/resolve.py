@@ -63,7 +63,10 @@ def edit_pairs(hubs: DataFrame, most: int = EDIT_MOST) -> DataFrame:
 
 
 def merge_reason(kind: Column, a_title: Column, b_title: Column, a_aliases: Column, b_aliases: Column) -> Column:
-    """Why two hubs of one type may merge without a human, or null; an ordered decision list."""
+    """Why two hubs of one type may merge without a human, or null; an ordered decision list.
+
+    Titles that differ in case only are no versions of one another: they merge by their title.
+    """
     ka, kb = text.align_key(a_title), text.align_key(b_title)
     keys = lambda title, key, aliases: F.array_union(F.array(key), F.transform(names_of(title, aliases), text.align_key))
     shared = F.filter(F.array_intersect(keys(a_title, ka, a_aliases), keys(b_title, kb, b_aliases)), lambda k: (k != "") & ~text.symbol_pair(k, F.when(ka == k, kb).otherwise(ka)))
@@ -78,7 +81,7 @@ def merge_reason(kind: Column, a_title: Column, b_title: Column, a_aliases: Colu
     # all labels of one against all of the other, in order; the first pair that says something decides
     said = F.flatten(F.transform(labels(a_title, a_aliases), lambda x: F.transform(labels(b_title, b_aliases), lambda y: of_labels(x, y))))
     return (
-        F.when(text.version_pair(a_title, b_title) | text.symbol_pair(ka, kb), F.lit(None).cast("string"))
+        F.when(text.version_pair(F.lower(a_title), F.lower(b_title)) | text.symbol_pair(ka, kb), F.lit(None).cast("string"))
         .when((ka != "") & (ka == kb), F.lit("align:title"))
         .when(F.size(shared) > 0, F.lit("align:alias"))
         .when(kind == "Gene", F.lit(None).cast("string"))
