@@ -117,11 +117,20 @@ def merge_additions(heads: DataFrame, tails: DataFrame) -> DataFrame:
 
 
 # pages --------------------------------------------------------------------------------
-def paper_links(existing: Column, incoming: Column) -> Column:
-    """The incoming body with the paper links of the existing one that it lacks."""
+def _papers_of(existing: Column) -> Column:
+    """``label, href`` of the links to papers in a body, in order."""
     pairs = F.arrays_zip(F.regexp_extract_all(existing, F.lit(LINK), F.lit(1)).alias("label"), F.regexp_extract_all(existing, F.lit(LINK), F.lit(2)).alias("href"))
     papers = F.filter(F.transform(pairs, lambda p: F.struct(F.trim(p.label).alias("label"), bundle_href(p.href).alias("href"))), lambda p: p.href.startswith("/papers/") & p.href.endswith(".md"))
-    return F.aggregate(papers, incoming, lambda body, p: text.ensure_href(body, F.when(p.label == "", F.lit("Paper")).otherwise(p.label), p.href))
+    return F.transform(papers, lambda p: F.struct(F.when(p.label == "", F.lit("Paper")).otherwise(p.label).alias("label"), p.href.alias("href")))
+
+
+def paper_links(existing: Column, incoming: Column) -> Column:
+    """The incoming body with the paper links of the existing one that it lacks."""
+    return F.aggregate(_papers_of(existing), incoming, lambda body, p: text.ensure_href(body, p.label, p.href))
+
+
+def _with_links(body: Column, labels: Column, hrefs: Column) -> Column:
+    return udf.links_column(body, F.regexp_replace(body, r"\s+$", ""), labels, hrefs)
 
 
 def united_aliases(existing: Column, title: Column, incoming_titles: Column) -> Column:
@@ -143,16 +152,16 @@ def upsert_pages(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     and gets only links and aliases ("skipped").
     """
     rows = F.array_sort(F.collect_list(F.struct("paper_href", "incoming_title", "body", "paper_title", "title", "tags")))
-    items = incoming.groupBy("path").agg(rows.alias("r")).withColumn("made", joined_bodies(F.transform("r", lambda x: F.coalesce(x.body, F.lit("")))))
+    items = incoming.groupBy("path").agg(rows.alias("r")).withColumn("made", udf.join_column(F.transform("r", lambda x: F.coalesce(x.body, F.lit("")))))
     old = existing.select(F.col("path").alias("o_path"), F.col("title").alias("o_title"), F.col("tags").alias("o_tags"), F.col("aliases").alias("o_aliases"), F.col("body").alias("o_body"), "verified")
     met = items.join(old, F.col("path") == F.col("o_path"), "left")
     there, verified = F.col("o_path").isNotNull(), F.coalesce("verified", F.lit(False))
     title = F.coalesce("o_title", F.get("r", F.lit(0)).title)
-    papers = F.array_distinct(F.transform("r", lambda x: F.struct(x.paper_title.alias("label"), x.paper_href.alias("href"))))
-    with_links = lambda body: F.aggregate(papers, body, lambda b, p: text.ensure_href(b, p.label, p.href))
     none = F.array().cast(NONE)
-    linked = with_links(F.coalesce("made", F.lit("")))
-    body = F.when(verified, with_links(F.coalesce("o_body", F.lit("")))).when(there, paper_links(F.coalesce("o_body", F.lit("")), linked)).otherwise(linked)
+    start = F.when(verified, F.coalesce("o_body", F.lit(""))).otherwise(F.coalesce("made", F.lit("")))
+    met = met.withColumn("linked", _with_links(start, F.transform("r", lambda x: x.paper_title), F.transform("r", lambda x: x.paper_href)))
+    kept = _papers_of(F.when(there & ~verified, F.coalesce("o_body", F.lit(""))).otherwise(""))
+    body = _with_links(F.col("linked"), F.transform(kept, lambda p: p.label), F.transform(kept, lambda p: p.href))
     given = F.flatten(F.transform("r", lambda x: F.coalesce(x.tags, none)))
     tags = F.when(verified, F.col("o_tags")).otherwise(F.array_distinct(F.concat(F.coalesce("o_tags", none), given)))
     action = F.when(verified, "skipped").when(there, "updated").otherwise("written")
