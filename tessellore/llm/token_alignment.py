@@ -5,8 +5,12 @@ leads and the bytes that the other has not matched yet; the next token is always
 from the side behind. Transitions are remembered by residual and next token, so bytes are
 compared once for each such pair. Whenever the residual is empty, a group closes.
 
-Texts are encoded whole. What a group shows, its ids as text and its id pairs, is remembered
-by the group's ids as well, as most groups recur.
+Texts are encoded as if whole: neither public tokenizer has a token across a lone space that
+follows a character which isn't blank and precedes another, so a text is cut there, each part
+with its space is encoded and aligned once, and its groups are remembered, like a transition
+from one closed group to another. Other tokenizers take texts whole unless their aligner is
+told where they may be cut. What a group shows, its ids as text and its id pairs, is
+remembered by the group's ids as well, as most groups recur.
 
 What two ids share is counted by document. The aligned table, one row for each document
 with its distinct id pairs as packed sorted numbers, is written once; pair counts are
@@ -26,6 +30,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
+import re
 from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -41,6 +46,10 @@ from .common import Scratch, tidy
 BYTE_LEVEL, PIECES = "byte_bpe_50k", "piece_bpe_32k"
 #: Transitions, and ids of groups, that a worker remembers before it starts anew.
 TRANSITIONS, GROUP_IDS = 1_000_000, 1_000_000
+#: Parts of texts that a worker remembers before it starts anew, and the characters of the longest of them.
+PARTS, PART_CHARS = 400_000, 64
+#: Where both public tokenizers begin a token, whatever stands around: Python's blanks include those of either.
+LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Texts that are encoded at a time, and their characters.
 SLICE, SLICE_CHARS = 64, 1 << 20
 #: Pairs that are sent to the executors at a time (about 50 MB).
@@ -199,10 +208,14 @@ class Aligned:
 
 
 class Aligner:
-    """Aligns texts for one pair of tokenizers; a pair of ids (x, y) is the number x * (ids of the second) + y."""
+    """Aligns texts for one pair of tokenizers; a pair of ids (x, y) is the number x * (ids of the second) + y.
 
-    def __init__(self, a: Side, b: Side) -> None:
+    ``apart`` cuts a text at spaces, which it leaves out, where no token of either side reaches from one part into the next.
+    """
+
+    def __init__(self, a: Side, b: Side, apart: Callable[[str], list[str]] | None = None) -> None:
         self.a, self.b = a, b
+        self.apart = apart or (lambda text: [text])
         self.transducer = Transducer(a.tokens, b.tokens)
         self.wide = len(b.tokens)
         self.kind = np.dtype("<u4") if len(a.tokens) * self.wide < 1 << 32 else np.dtype("<i8")
@@ -211,68 +224,85 @@ class Aligner:
     def forget(self) -> None:
         self.held: dict[tuple, int] = {}  # the place of a group in the lists below
         self.shown: list[str] = []
-        self.found: list[tuple[bytes, bytes, int]] = []  # distinct pairs, how often each is linked, links
+        self.sizes = array("q")  # of each group the ids of either side
+        self.ends = array("q", [0])  # where a group's distinct pairs end in the next two; the next group's begin there
+        self.codes, self.times = array("q"), array("q")  # pairs, and how often each is linked
+        self.parts: dict[str, tuple[bytes, str] | None] = {}  # places of a part's groups, and what they show
         self.size = 0
 
     def _group(self, key: tuple, p: list[int], q: list[int]) -> int:
         """A new group's place."""
         ours, theirs = Counter(p), Counter(q)
-        codes, times = array("q"), array("q")
         for x, n in ours.items():
             for y, m in theirs.items():
-                codes.append(x * self.wide + y)
-                times.append(n * m)
+                self.codes.append(x * self.wide + y)
+                self.times.append(n * m)
         self.size += len(p) + len(q)
         self.shown.append(",".join(map(str, p)) + "|" + ",".join(map(str, q)))
-        self.found.append((codes.tobytes(), times.tobytes(), len(p) * len(q)))
-        self.held[key] = len(self.found) - 1
+        self.sizes.extend((len(p), len(q)))
+        self.ends.append(len(self.codes))
+        self.held[key] = len(self.shown) - 1
         return self.held[key]
 
-    def _align(self, x: list[int], y: list[int]) -> Aligned | None:
+    def _read(self, x: list[int], y: list[int]) -> tuple[bytes, str] | None:
+        """The places of the groups of two id sequences, and what they show; None if their bytes differ."""
         ends = self.transducer.ends(x, y)
         if ends is None:
             return None
-        if self.size > GROUP_IDS:
-            self.forget()
-        held, places = self.held, []
+        held, places = self.held, array("q")
         i = j = 0
         for k, m in zip(*ends, strict=True):
             key = (x[i], y[j]) if k == i + 1 and m == j + 1 else (*x[i:k], -1, *y[j:m])
             got = held.get(key)
             places.append(self._group(key, x[i:k], y[j:m]) if got is None else got)
             i, j = k, m
-        often = Counter(places)
-        found = [self.found[g] for g in often]
-        count = np.fromiter(often.values(), np.int64, len(often))
-        pairs = np.frombuffer(b"".join([f[0] for f in found]), np.int64)
-        times = np.frombuffer(b"".join([f[1] for f in found]), np.int64) * np.repeat(count, [len(f[0]) // 8 for f in found])
-        links = int((count * np.array([f[2] for f in found])).sum())
-        order = np.argsort(pairs, kind="stable")
+        return places.tobytes(), ";".join([self.shown[g] for g in places])
+
+    def _sum(self, parts: list[tuple[bytes, str]]) -> Aligned:
+        """The alignment of a text of these parts."""
+        places = np.frombuffer(b"".join([p for p, _ in parts]), np.int64)
+        group, often = np.unique(places, return_counts=True)
+        sizes, ends = np.frombuffer(self.sizes, np.int64).reshape(-1, 2)[group], np.frombuffer(self.ends, np.int64)
+        first, n = ends[group], ends[group + 1] - ends[group]
+        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        pairs, times = np.frombuffer(self.codes, np.int64)[at], np.frombuffer(self.times, np.int64)[at] * np.repeat(often, n)
+        order = np.argsort(pairs)
         pairs = pairs[order]
         heads = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
-        return Aligned(len(x), len(y), len(places), links, ";".join([self.shown[g] for g in places]), pairs[heads].astype(self.kind), np.add.reduceat(times[order], heads))
+        n_a, n_b = (often @ sizes).tolist()
+        links = int((often * sizes[:, 0] * sizes[:, 1]).sum())
+        return Aligned(n_a, n_b, len(places), links, ";".join([s for _, s in parts]), pairs[heads].astype(self.kind), np.add.reduceat(times[order], heads))
+
+    def _align(self, x: list[int], y: list[int]) -> Aligned | None:
+        found = self._read(x, y)
+        return found and self._sum([found])
 
     def texts(self, texts: list[str | None]) -> list[Aligned]:
         """The alignment of each text; one without tokens for what is empty or isn't spelled by them."""
-        some = [t for t in texts if t]
-        left, right = self.a.encode(some), self.b.encode(some)
+        if self.size > GROUP_IDS or len(self.parts) > PARTS:
+            self.forget()
+        known = self.parts
+        cut = [self.apart(t) if t else [] for t in texts]
+        new = list({p for parts in cut for p in parts if p not in known})
         spell_a, spell_b = self.a.tokens, self.b.tokens
-        out, k = [], 0
-        for t in texts:
-            found = None
-            if t:
-                x, y, raw = left[k], right[k], f" {t}".encode()
-                k += 1
-                if b"".join([spell_a[i] for i in x]) == raw == b"".join([spell_b[i] for i in y]):
-                    found = self._align(x, y)
-            out.append(found or Aligned())
+        for p, x, y in zip(new, self.a.encode(new), self.b.encode(new), strict=True):
+            raw = f" {p}".encode()
+            spelled = b"".join([spell_a[i] for i in x]) == raw == b"".join([spell_b[i] for i in y])
+            known[p] = self._read(x, y) if spelled else None
+        out = []
+        for parts in cut:
+            found = [known[p] for p in parts]
+            out.append(self._sum(found) if found and None not in found else Aligned())
+        for p in new:
+            if len(p) > PART_CHARS:
+                del known[p]
         return out
 
 
 @functools.lru_cache(maxsize=1)
 def standard(folder: str | None) -> Aligner:
     """The aligner of the two public vocabularies, one for a worker."""
-    return Aligner(byte_level(folder), pieces(folder))
+    return Aligner(byte_level(folder), pieces(folder), LONE_SPACE.split)
 
 
 def _narrow(times: np.ndarray) -> bytes:

@@ -150,3 +150,24 @@ def test_empty_table_and_clashing_names(spark):
     rows = corpus(6, 30)
     wide = spark.createDataFrame(rows, SCHEMA).select("*", *[F.lit("x").alias(c) for c in ("uid", "pairs", "times", "n_a", "n_best", "pair", "best")])
     assert rows_of(ta.alignment_report(wide)) == brute(rows)
+
+
+def test_parts_between_lone_spaces_are_encoded_once():
+    """Texts of the same words in another order give the tokenizers nothing new."""
+    made, asked = ta.Aligner(ta.byte_level(), ta.pieces(), ta.LONE_SPACE.split), []
+    for side in (made.a, made.b):
+        side.encode = lambda texts, of=side.encode: (asked.extend(texts), of(texts))[1]
+    words = ["alpha", "beta's", "gamma\n\ndelta", "12,5", "東京"]
+    made.texts([" ".join(words)])
+    assert sorted(asked) == sorted(words * 2)
+    asked.clear()
+    found = made.texts([" ".join(words[::-1]), " ".join(words * 3)])
+    assert not asked and [s.n_a for s in found] == [sum(len(p) for p, _ in groups_of(t)) for t in (" ".join(words[::-1]), " ".join(words * 3))]
+
+
+def test_blanks_of_all_kinds_beside_lone_spaces(spark, monkeypatch):
+    monkeypatch.setattr(ta, "PARTS", 30)
+    rng = random.Random(9)
+    parts = ["a", "Zq", "'s", "1", "-", "\u6771", "\u0301", "\u2581", "\x00", "\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u200b", "\u202f", "\u3000", "\ufeff", "\t", "\n", "\r", "\x0b", "\U0001f642"]
+    rows = [(k, "".join(rng.choice([rng.choice(parts), " ", rng.choice("abc")]) for _ in range(rng.randint(1, 40)))) for k in range(400)]
+    assert rows_of(ta.alignment_report(spark.createDataFrame(rows, SCHEMA).repartition(2))) == brute(rows)
