@@ -303,3 +303,16 @@ def test_path_templates():
     for template in ("${other}", "${env:NONE}"):
         with pytest.raises(ValueError, match="path variable"):
             paths.expand(template, {"home": "/h"}, {})
+
+
+def test_extracts_without_words_and_with_blanks_of_any_kind_are_chunked(spark, tmp_path):
+    """A row for each document, whatever its text, as the SQL says."""
+    from tests import oracle
+    from tessellore.plans import registry
+
+    texts = ["One.\n\nTwo.", None, "", " \n\n\t", "a\xa0b\u2003c\u3000d", "a\x1cb\x85c\u2028d", "\xa0\n\xa0", "word " * 4000, "x" * 20000]
+    rows = [*enumerate(texts), (7, texts[7]), (7, "another text of it"), (1, None), (None, "no id")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "w"))
+    (part,) = (tmp_path / "w").glob("part-*.parquet")
+    part.rename(tmp_path / "documents.parquet")
+    oracle.compare(spark, oracle.connect(tmp_path), registry.queries()["extract_chunks"], registry.oracle_sql()["extract_chunks"], str(tmp_path))
