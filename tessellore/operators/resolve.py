@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellore.functions import text
-from tessellore.operators.align import TOKEN_TYPES, Index, align_keys, label_pairs, lookup, names_of
+from tessellore.operators.align import TOKEN_TYPES, Index, align_keys, blocks_of, classes_of, contained, in_blocks, label_pairs, lookup, names_of
+from tessellore.storage import cut
 
 EDIT_MOST, EDIT_LENGTH = 2, 6
 
@@ -44,21 +45,25 @@ def segment_probes(keys: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     return long.select("type", "key", F.explode(own).alias("probe")), long.select("type", "key", F.explode(F.array_distinct(F.array_compact(F.array(*met)))).alias("probe"))
 
 
-def edit_pairs(hubs: DataFrame, most: int = EDIT_MOST) -> DataFrame:
-    """Pairs ``a, b, distance`` of paths of one type whose keys differ by at most ``most`` edits.
+def edit_keys(keys: DataFrame, most: int = EDIT_MOST) -> DataFrame:
+    """``type, ka, kb, distance`` of different keys (``type, key``) of one type within ``most`` edits, ka < kb.
 
     Short keys meet on shared deletion variants, whose number grows with the square of the
     key, long ones on a part that stays whole; both are equi-joins, then pairs are measured.
     """
-    keyed = hubs.select("type", "path", text.align_key(F.col("title")).alias("key")).filter(F.length("key") >= EDIT_LENGTH)
-    distinct = keyed.select("type", "key").distinct()
+    distinct = keys.filter(F.length("key") >= EDIT_LENGTH).select("type", "key").distinct()
     probes = distinct.filter(F.length("key") <= VARIANT_LENGTH).select("type", "key", F.explode(text.deletion_variants(F.col("key"), most)).alias("probe"))
     own, near = segment_probes(distinct, most)
     left, right = probes.unionByName(own).withColumnRenamed("key", "ka"), probes.unionByName(near).withColumnRenamed("key", "kb")
     met = left.join(right, ["type", "probe"]).filter("ka <> kb").select("type", F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb")).distinct()
-    near = met.withColumn("distance", F.levenshtein("ka", "kb", most)).filter("distance >= 0")
-    paths = keyed.select("type", "path", "key")
-    a = near.join(paths.select("type", F.col("key").alias("ka"), F.col("path").alias("a")), ["type", "ka"])
+    return met.withColumn("distance", F.levenshtein("ka", "kb", most)).filter("distance >= 0")
+
+
+def edit_pairs(hubs: DataFrame, most: int = EDIT_MOST) -> DataFrame:
+    """Pairs ``a, b, distance`` of paths of one type whose keys differ by at most ``most`` edits."""
+    keyed = hubs.select("type", "path", text.align_key(F.col("title")).alias("key"))
+    paths = keyed.filter(F.length("key") >= EDIT_LENGTH)
+    a = edit_keys(keyed, most).join(paths.select("type", F.col("key").alias("ka"), F.col("path").alias("a")), ["type", "ka"])
     return a.join(paths.select("type", F.col("key").alias("kb"), F.col("path").alias("b")), ["type", "kb"]).select("type", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("distance").cast("int").alias("distance"))
 
 
@@ -91,6 +96,88 @@ def merge_reason(kind: Column, a_title: Column, b_title: Column, a_aliases: Colu
     )
 
 
+#: Reasons as numbers, the least of which decides: a shared title, a shared name, edits and from this one on tokens,
+#: by the places of the two labels; even for equal ones.
+_TITLE, _NAME, _TOKENS = 0, 1, 16
+
+
+def _reason_name(code: str) -> Column:
+    c = F.col(code)
+    tokens = F.when(c % 2 == 0, "token:equal").otherwise("token:contain")
+    return F.when(c == _TITLE, "align:title").when(c == _NAME, "align:alias").when(c < _TOKENS, F.concat(F.lit("edit-distance:"), (c - _NAME).cast("string"))).otherwise(tokens)
+
+
+def _by_keys(classes: DataFrame) -> DataFrame:
+    """``x, y, on, back`` of classes that share the key of a title or name."""
+    keyed = cut(classes.select("class", "type", "key", "sign", F.explode("keys").alias("k")).filter("k <> ''").select("class", "type", "sign", "k", F.expr("k = key").alias("own")))
+    side = lambda name, n: keyed.select("type", "k", F.col("class").alias(name), F.col("own").alias(f"own{n}"), F.col("sign").alias(f"sign{n}"))
+    mark, other = text.symbol(F.col("k")), F.when(F.col("own1"), F.col("sign2")).otherwise(F.col("sign1"))
+    code = F.when(F.col("own1") & F.col("own2"), _TITLE).when(mark.isNull() | other.isNull() | (mark == other), _NAME).cast("long")
+    return side("x", 1).join(side("y", 2), ["type", "k"]).filter("x <= y").select("x", "y", code.alias("on"), code.alias("back")).filter("on IS NOT NULL")
+
+
+def _by_edits(classes: DataFrame) -> DataFrame:
+    """``x, y, on, back`` of classes whose titles differ by few edits."""
+    keyed = classes.filter("type <> 'Gene'").select("type", "key", "class")
+    side = lambda name, key: keyed.select("type", F.col("key").alias(key), F.col("class").alias(name))
+    met = edit_keys(keyed).join(side("x", "ka"), ["type", "ka"]).join(side("y", "kb"), ["type", "kb"])
+    code = F.col("distance").cast("long") + _NAME
+    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), code.alias("on"), code.alias("back"))
+
+
+def _by_tokens(classes: DataFrame) -> DataFrame:
+    """``x, y, on, back`` of classes with labels of the same tokens, or of some of the other's and no more than two others."""
+    spread = classes.filter(F.col("type").isin(*TOKEN_TYPES)).select("class", "type", F.posexplode("labels").alias("at", "tokens")).filter(F.size("tokens") > 0)
+    spread = cut(spread.groupBy("class", "type", "tokens").agg(F.min("at").cast("long").alias("at")))
+    sets = cut(spread.select("type", "tokens").distinct().withColumn("set", F.monotonically_increasing_id()))
+    held = cut(spread.join(sets, ["type", "tokens"]).select("set", "class", "at"))
+    known = lambda name: sets.select("type", F.col("tokens").alias(name), F.col("set").alias(f"{name}_set"))
+    telling = sets.filter((F.size("tokens") >= 2) | (F.length(F.get("tokens", F.lit(0))) >= 5))
+    inside = contained(telling, sets).filter(F.size("small") < F.size("large")).filter(F.size("large") - F.size("small") <= 2)
+    inside = inside.join(known("small"), ["type", "small"]).join(known("large"), ["type", "large"]).select("small_set", "large_set", F.lit(1).alias("more"))
+    match = inside.unionByName(sets.select(F.col("set").alias("small_set"), F.col("set").alias("large_set"), F.lit(0).alias("more")))
+    side = lambda of, name, at: held.select(F.col("set").alias(of), F.col("class").alias(name), F.col("at").alias(at))
+    met = cut(match).join(side("small_set", "p", "i"), "small_set").join(side("large_set", "q", "j"), "large_set").filter("more = 1 OR p <= q")
+    code = lambda i, j: F.shiftleft(i, 32) + F.shiftleft(j, 1) + F.col("more") + _TOKENS
+    there, here = code("i", "j"), code("j", "i")
+    turned = F.col("p") > F.col("q")
+    # of one class both orders are met at once: the first label that meets another decides
+    on = F.when(F.col("p") == F.col("q"), F.least(there, here)).when(turned, here).otherwise(there)
+    back = F.when(F.col("p") == F.col("q"), F.least(there, here)).when(turned, there).otherwise(here)
+    return met.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), on.alias("on"), back.alias("back"))
+
+
+def merge_reasons(hubs: DataFrame) -> DataFrame:
+    """``a, b, reason`` of all hubs (``type, path, title, aliases``) that may merge without a human, a < b: what ``merge_reason`` says of each pair.
+
+    Hubs of which ``merge_reason`` reads the same are one class. Classes meet by keys, edits
+    and tokens, the least number of a reason decides, for each order of the two as tokens
+    go by the first one's labels; hubs are paired from classes at the very end.
+    """
+    title = F.col("title")
+    names = F.concat(F.array("title"), names_of(title, F.col("aliases")))
+    keys = F.array_sort(F.array_distinct(F.transform(names, text.align_key)))
+    labels = F.transform(names, lambda t: F.array_sort(text.align_tokens(t)))
+    read = {"key": text.align_key(title), "stem": text.version_stem(title), "flat": text.unspaced(F.lower(title)), "keys": keys, "labels": labels}
+    rows = cut(hubs.filter("title IS NOT NULL").select("type", "path", *[c.alias(n) for n, c in read.items()]))
+    by = ["type", *read]
+    known = classes_of(rows, by)
+    blocks = blocks_of(in_blocks(rows, known, by, "path"), "path")
+    # stems count only where one of the titles has a version
+    versions = known.filter(text.unspaced(F.col("stem")) != F.col("flat")).filter("stem <> ''").select("type", "stem").distinct().withColumn("versions", F.lit(True))
+    several = F.col("versions").isNotNull()
+    shown = {"stem": F.when(several, F.col("stem")), "flat": F.when(several, F.col("flat")), "sign": text.symbol(F.col("key"))}
+    classes = cut(known.join(versions, ["type", "stem"], "left").withColumns(shown).drop("versions"))
+    met = _by_keys(classes).unionByName(_by_edits(classes)).unionByName(_by_tokens(classes)).groupBy("x", "y").agg(F.min("on").alias("on"), F.min("back").alias("back"))
+    members = blocks.join(classes.select("class", "n", "stem", "flat", "sign"), "class")
+    side = lambda name, of, n: members.select(F.col("class").alias(name), F.col("members").alias(of), F.col("block").alias(f"block{n}"), *[F.col(c).alias(f"{c}{n}") for c in ("n", "stem", "flat", "sign")])
+    near = met.join(side("x", "p", 1), "x").filter("x < y OR n1 > 1").join(side("y", "q", 2), "y").filter("x < y OR block1 <= block2")
+    apart = (F.col("stem1") == F.col("stem2")) & (F.col("flat1") != F.col("flat2")) | (F.col("sign1") != F.col("sign2"))
+    near = near.filter(~F.coalesce(apart, F.lit(False))).select(F.expr("x = y AND block1 = block2").alias("one"), "p", "q", _reason_name("on").alias("on"), _reason_name("back").alias("back"))
+    pairs = near.select("one", "on", "back", "q", F.explode("p").alias("p")).select("one", "on", "back", "p", F.explode("q").alias("q")).filter("NOT one OR p < q")
+    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.when(F.col("p") < F.col("q"), F.col("on")).otherwise(F.col("back")).alias("reason"))
+
+
 def near_duplicate_reason(kind: Column, a_title: Column, b_title: Column) -> Column:
     """The looser rule of the review queue: versions may pair, genes too."""
     ka, kb = text.align_key(a_title), text.align_key(b_title)
