@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellore.functions import text
-from tessellore.operators.align import TOKEN_TYPES, Index, align_keys, blocks_of, classes_of, contained, in_blocks, label_pairs, lookup, names_of
+from tessellore.operators.align import TOKEN_TYPES, Index, align_keys, blocks_of, classes_of, contained, dealt, in_blocks, label_pairs, lookup, names_of
 from tessellore.storage import cut
 
 EDIT_MOST, EDIT_LENGTH = 2, 6
@@ -120,7 +120,7 @@ def _by_edits(classes: DataFrame) -> DataFrame:
     """``x, y, on, back`` of classes whose titles differ by few edits."""
     keyed = classes.filter("type <> 'Gene'").select("type", "key", "class")
     side = lambda name, key: keyed.select("type", F.col("key").alias(key), F.col("class").alias(name))
-    met = edit_keys(keyed).join(side("x", "ka"), ["type", "ka"]).join(side("y", "kb"), ["type", "kb"])
+    met = edit_keys(dealt(keyed.select("type", "key"), "key")).join(side("x", "ka"), ["type", "ka"]).join(side("y", "kb"), ["type", "kb"])
     code = F.col("distance").cast("long") + _NAME
     return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), code.alias("on"), code.alias("back"))
 
@@ -171,7 +171,8 @@ def merge_reasons(hubs: DataFrame) -> DataFrame:
     met = _by_keys(classes).unionByName(_by_edits(classes)).unionByName(_by_tokens(classes)).groupBy("x", "y").agg(F.min("on").alias("on"), F.min("back").alias("back"))
     members = blocks.join(classes.select("class", "n", "stem", "flat", "sign"), "class")
     side = lambda name, of, n: members.select(F.col("class").alias(name), F.col("members").alias(of), F.col("block").alias(f"block{n}"), *[F.col(c).alias(f"{c}{n}") for c in ("n", "stem", "flat", "sign")])
-    near = met.join(side("x", "p", 1), "x").filter("x < y OR n1 > 1").join(side("y", "q", 2), "y").filter("x < y OR block1 <= block2")
+    near = met.join(side("x", "p", 1), "x").filter("x < y OR n1 > 1")
+    near = dealt(near, "y").join(dealt(side("y", "q", 2), "y"), "y").filter("x < y OR block1 <= block2")
     apart = (F.col("stem1") == F.col("stem2")) & (F.col("flat1") != F.col("flat2")) | (F.col("sign1") != F.col("sign2"))
     near = near.filter(~F.coalesce(apart, F.lit(False))).select(F.expr("x = y AND block1 = block2").alias("one"), "p", "q", _reason_name("on").alias("on"), _reason_name("back").alias("back"))
     pairs = near.select("one", "on", "back", "q", F.explode("p").alias("p")).select("one", "on", "back", "p", F.explode("q").alias("q")).filter("NOT one OR p < q")
